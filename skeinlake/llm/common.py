@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +53,25 @@ def texts_sizes(texts: pa.Array) -> list[int]:
     return [n or 0 for n in pc.binary_length(texts).to_pylist()]
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """A string column's values as UTF-8; null is empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
-
-
 def plain_text(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """Only the key columns and the text (null: empty), so that scans read nothing else."""
     return docs.select(*[F.col(f"`{k}`").alias(k) for k in keys], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+def keep_rows(docs: DataFrame, passes: Callable[[list[str]], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text (null: empty) passes. Each row is judged by itself in its own place: nothing moves."""
+    at = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            for a, b in slices(texts_sizes(texts)):
+                good = passes([x or "" for x in texts.slice(a, b - a).to_pylist()])
+                yield batch.slice(a, b - a).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Of the links a[i]-b[i], those (as member, root) that hold the same groups together: one for each member but its group's least."""
     root: dict[int, int] = {}

@@ -139,13 +139,26 @@ def _forests(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"src": pa.array(src), "dst": pa.array(dst)})
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row of docs: key, fingerprint (16 hex digits), component_id (the least key reachable over links)."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored tables: each row's key and fp; each fp's component_id (the least key reachable over links) and least key."""
     prints = staged(fingerprints(docs, key, text), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    distinct = staged(least, "distinct")
+    distinct = staged(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     groups = connected_components(links(distinct.select("fp")))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = staged(named.join(smallest, "component").select("fp", "component_id"), "components")
+    return prints, staged(named.join(smallest, "component").select("fp", "least", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row of docs: key, fingerprint (16 hex digits), component_id."""
+    prints, of = classes(docs, key, text)
     return prints.join(of, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of near-duplicates the rows of docs with its least key, all columns; of rows that share that key, one.
+    Rows without a key are kept: they have no name to be a duplicate under."""
+    _, of = classes(docs, key, text)
+    least = of.where(F.col("least") == F.col("component_id")).select(F.col("least").alias(key))
+    kept = docs.where(F.col(key).isNotNull()).join(least, key, "left_semi").dropDuplicates([key])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
