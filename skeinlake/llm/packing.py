@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import plain_text, slices, staged, texts_sizes
-from .tokens import ChunkEncoder
+from .tokens import encoder
 
 #: Groups into which the pieces of one length are dealt while they are ranked.
 SALTS = 64
@@ -162,13 +162,13 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end
     kind = dict(rows.dtypes)[key]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_file)
+        tokens = encoder(tokenizer_file)
         for batch in batches:
             texts = batch.column("text")
             for a, b in slices(texts_sizes(texts)):
                 take, out = [], {"piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
                 for row, x in enumerate(texts.slice(a, b - a).to_pylist(), a):
-                    ids = np.frombuffer(encoder.encode(x), encoder.dtype).astype("<u4")
+                    ids = np.frombuffer(tokens.encode(x), tokens.dtype).astype("<u4")
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     start = 0
                     for piece, n in enumerate(cut(len(ids), capacity)):

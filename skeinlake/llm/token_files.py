@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, plain_text, slices, staged, texts_sizes
-from .tokens import ChunkEncoder
+from .tokens import encoder
 
 
 @dataclass(frozen=True)
@@ -97,14 +97,14 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, layout: Layout = Lay
     rows = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sink, keys, spans = ChunkEncoder(tokenizer_file), None, [], []
+        tokens, sink, keys, spans = encoder(tokenizer_file), None, [], []
         part = TaskContext.get().partitionId()
-        end = np.array([layout.end_id], encoder.dtype).tobytes()
+        end = np.array([layout.end_id], tokens.dtype).tobytes()
         for batch in batches:
             texts = batch.column("text")
             for a, b in slices(texts_sizes(texts)):
-                sink = sink or _Writer(f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}.arrow", encoder.dtype, layout)
-                spans += [sink.add(encoder.encode(x) + end) for x in texts.slice(a, b - a).to_pylist()]
+                sink = sink or _Writer(f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}.arrow", tokens.dtype, layout)
+                spans += [sink.add(tokens.encode(x) + end) for x in texts.slice(a, b - a).to_pylist()]
             keys.append(batch.column("key"))
         if sink:
             starts, sizes = zip(*spans, strict=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -15,26 +16,37 @@ _RUN = re.compile(f" [{_WHITE}]|[{_WHITE}] |^ | $")
 
 
 class _Known(dict):
-    """Ids (as bytes) of a blank and the text behind it, made on first use."""
+    """Ids (as bytes) of a blank and the text behind it, made on first use; what was in use before the last change is kept aside."""
 
-    def __init__(self, encode, dtype: np.dtype):
+    def __init__(self, encode, dtype: np.dtype, keep: int):
         super().__init__()
         self.ids = lambda text: np.array(encode(text, add_special_tokens=False).ids, dtype).tobytes()
+        self.older: dict[str, bytes] = {}
+        self.keep = keep
 
     def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = self.ids(f" {piece}")
+        got = self.older.get(piece)
+        if got is None:
+            got = self.ids(f" {piece}")
+        self[piece] = got
         return got
 
+    def change(self) -> None:
+        """Once half of `keep` is in use, only what is used from now on stays."""
+        if len(self) * 2 > self.keep:
+            self.older = dict(self)
+            self.clear()
+
 
 class ChunkEncoder:
     """Encodes whole texts to little-endian ids of 16 or 32 bits.
 
     A byte-level pattern never lets a word run past white space, and gives the last blank of a run to the word behind it.
     So a text may be cut before each blank that stands between two other characters, and the pieces are encoded alike alone
-    and in place; texts with longer runs are cut before each run. Up to `keep` pieces' ids are kept, then all are forgotten.
+    and in place; texts with longer runs are cut before each run. The ids of up to `keep` pieces are kept.
     """
 
-    def __init__(self, tokenizer_file: str, keep: int = 800_000):
+    def __init__(self, tokenizer_file: str, keep: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,18 +54,23 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.keep, self.known = keep, _Known(self.tokenizer.encode, self.dtype)
+        self.known = _Known(self.tokenizer.encode, self.dtype, keep)
 
     def encode(self, text: str) -> bytes:
         known = self.known
-        if len(known) > self.keep:
-            known.clear()
+        known.change()
         if _RUN.search(text):
             return b"".join([known[x[1:]] if x[0] == " " else known.ids(x) for x in _CHUNK.findall(text)])
         first, *rest = text.split(" ")
         return known.ids(first) + b"".join(map(known.__getitem__, rest))
 
 
+@lru_cache(maxsize=2)
+def encoder(tokenizer_file: str) -> ChunkEncoder:
+    """A worker's own, kept from task to task."""
+    return ChunkEncoder(tokenizer_file)
+
+
 def id_type(vocabulary: int) -> np.dtype:
     """The least unsigned little-endian type that holds the ids."""
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
