@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,31 +12,8 @@ import numpy as np
 #: White space as the vocabulary's pattern has it (Unicode's White_Space property).
 _WHITE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-#: A blank next to other white space: such texts are cut with care.
-_RUN = re.compile(f" [{_WHITE}]|[{_WHITE}] |^ | $")
-
-
-class _Known(dict):
-    """Ids (as bytes) of a blank and the text behind it, made on first use; what was in use before the last change is kept aside."""
-
-    def __init__(self, encode, dtype: np.dtype, keep: int):
-        super().__init__()
-        self.ids = lambda text: np.array(encode(text, add_special_tokens=False).ids, dtype).tobytes()
-        self.older: dict[str, bytes] = {}
-        self.keep = keep
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.older.get(piece)
-        if got is None:
-            got = self.ids(f" {piece}")
-        self[piece] = got
-        return got
-
-    def change(self) -> None:
-        """Once half of `keep` is in use, only what is used from now on stays."""
-        if len(self) * 2 > self.keep:
-            self.older = dict(self)
-            self.clear()
+#: White space other than blanks and line feeds.
+_OTHER = re.compile(f"[{_WHITE.replace(chr(32), '').replace('\t-\r', '\t\x0b-\r')}]")
 
 
 class ChunkEncoder:
@@ -43,10 +21,11 @@ class ChunkEncoder:
 
     A byte-level pattern never lets a word run past white space, and gives the last blank of a run to the word behind it.
     So a text may be cut before each blank that stands between two other characters, and the pieces are encoded alike alone
-    and in place; texts with longer runs are cut before each run. The ids of up to `keep` pieces are kept.
+    and in place; texts with longer runs are cut before each run. The ids of up to `keep` pieces are kept in two
+    generations: once the younger holds half, the older goes, and what is used again moves up.
     """
 
-    def __init__(self, tokenizer_file: str, keep: int = 1_200_000):
+    def __init__(self, tokenizer_file: str, keep: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,15 +33,43 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.known = _Known(self.tokenizer.encode, self.dtype, keep)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.keep, self.known, self.older = keep, {}, {}
+
+    def _all(self, pieces: list[str]) -> list[bytes]:
+        """The ids of a blank and each piece behind it; new pieces are encoded together."""
+        known, older = self.known, self.older
+        got = list(map(known.get, pieces))
+        if None in got:
+            gaps = [i for i, g in enumerate(got) if g is None]
+            wanted = {pieces[i] for i in gaps}
+            if older:
+                known.update([(p, g) for p in wanted if (g := older.get(p)) is not None])
+                new = [p for p in wanted if p not in known]
+            else:
+                new = list(wanted)
+            for p, e in zip(new, self.tokenizer.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False), strict=True):
+                known[p] = array(self.code, e.ids).tobytes()
+            for i in gaps:
+                got[i] = known[pieces[i]]
+        return got
+
+    def _one(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        known.change()
-        if _RUN.search(text):
-            return b"".join([known[x[1:]] if x[0] == " " else known.ids(x) for x in _CHUNK.findall(text)])
+        if len(self.known) * 2 > self.keep:
+            self.older, self.known = self.known, {}
+        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text):
+            found = _CHUNK.findall(text)
+            if found and found[0][0] != " ":
+                return self._one(found[0]) + self._careful(found[1:])
+            return self._careful(found)
         first, *rest = text.split(" ")
-        return known.ids(first) + b"".join(map(known.__getitem__, rest))
+        return self._one(first) + b"".join(self._all(rest))
+
+    def _careful(self, found: list[str]) -> bytes:
+        return b"".join([self._all([x[1:]])[0] if x[0] == " " else self._one(x) for x in found])
 
 
 @lru_cache(maxsize=2)
