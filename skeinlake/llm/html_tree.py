@@ -278,7 +278,7 @@ def sum_product(model: Model, f: Forest) -> tuple[np.ndarray, np.ndarray, np.nda
     return nodes, edges, z
 
 
-def fit(trees: list[Tree], rounds: int = 250, rate: float = 0.1, l2: float = 1e-3) -> Model:
+def fit(trees: list[Tree], rounds: int = 150, rate: float = 0.15, l2: float = 1e-3) -> Model:
     """Gradient ascent (Adam) on the likelihood of the trees' labels; a node without a mark has its parent's."""
     f = forest_of(trees)
     y = np.zeros(len(f.parent), np.int64)
@@ -304,7 +304,7 @@ def fit(trees: list[Tree], rounds: int = 250, rate: float = 0.1, l2: float = 1e-
     return model
 
 
-def training_pages(n: int = 500, seed: int = 11) -> Iterator[str]:
+def training_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
     """Pages whose elements carry data-y="1" where content begins and data-y="0" where it ends; children inherit it."""
     rng = np.random.default_rng(seed)
     letters = list("etaoinshrdlucmfwygpbvk")
@@ -372,11 +372,13 @@ def training_pages(n: int = 500, seed: int = 11) -> Iterator[str]:
 
     for i in range(n):
         article: list[str] = [f"<h1>{words(2, 12)}</h1>"] if maybe(0.85) else []
-        for _ in range(rng.integers(1, 14)):
+        if maybe(0.15):
+            article.append(pick(f"<p><b>{words(1, 12)}<br>", f"<p>{words(1, 12)}", f"<p>{sentence(1, 12)}</p>"))
+        for _ in range(rng.integers(1, 14) if len(article) < 2 or maybe(0.3) else 0):
             block(article)
             if maybe(0.06):
                 article.append(noise(inside=True))
-        opening, closing = [("<article{y}{c}>", "</article>"), ("<article{y}>", "</article>"), ("<main{y}>", "</main>"), ("<div{y}{c}>", "</div>"), ("<section{y}{c}>", "</section>"), ("<main><article{y}>", "</article></main>"), ("<main><div{y}{c}>", "</div></main>")][rng.integers(7)]
+        opening, closing = [("<article{y}{c}>", "</article>"), ("<article{y}>", "</article>"), ("<article{y}>", "</article>"), ("<main{y}>", "</main>"), ("<div{y}{c}>", "</div>"), ("<div{y}>", "</div>"), ("<section{y}{c}>", "</section>"), ("<main><article{y}>", "</article></main>"), ("<main><div{y}{c}>", "</div></main>")][rng.integers(9)]
         body = opening.format(y=' data-y="1"', c=name("content")) + "".join(article)
         tail = comments() if maybe(0.35) else ""
         body += tail + closing if maybe(0.3) else closing + tail
@@ -399,7 +401,7 @@ def training_pages(n: int = 500, seed: int = 11) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 500, seed: int = 11) -> Model:
+def trained(n: int = 400, seed: int = 11) -> Model:
     return fit([parse(p, "data-y") for p in training_pages(n, seed)])
 
 

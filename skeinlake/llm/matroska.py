@@ -6,8 +6,8 @@ the cue points. Packets are byte ranges of the file: nothing is decoded or copie
 
 The writer stores a payload losslessly as 8-bit PCM: one audio track, laced simple blocks in clusters, a cue for each cluster.
 
-Defined results: a null or empty file, or one without an EBML head, has no packets and a null error-free parse is not made up:
-`error` says what is wrong, with the packets read so far; a null text is an empty text (64 zero bytes of payload); equal
+Defined results: a null or empty file, or one without an EBML head, has no packets; a file that is cut off or
+damaged gives the packets read so far, and `error` says what is wrong; a null text is an empty text (64 zero bytes of payload); equal
 bytes give equal files; empty tables give no rows; other columns are not read.
 """
 
@@ -194,7 +194,9 @@ def parse(data: bytes | None) -> Media:
                 size, at = read_size(data, at)
                 stop = end if size is None else at + size
                 if stop > end:
-                    raise BadMedia("an element outgrows what holds it")
+                    if ident not in (SEGMENT, CLUSTER):
+                        raise BadMedia("an element outgrows what holds it")
+                    media.error, stop = "the file is cut off", end  # what is there is read
                 if ident == SEGMENT:
                     segment = at
                     levels.append((stop, end))
