@@ -1,6 +1,9 @@
-"""The registered queries and the SQL that says the same."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import retrieval
+
+_ALL = (retrieval,)
+QUERIES = {n: f for m in _ALL for n, f in m.register.queries.items()}
+ORACLES = {n: s for m in _ALL for n, s in m.register.oracles.items()}
