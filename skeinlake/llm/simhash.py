@@ -5,8 +5,8 @@ that differ in at most 3 of 64 bits differ in at most one bit of one of their tw
 indexed under its halves with one bit blanked out, 2 x 32 signatures; fingerprints under the same signature are compared,
 and those within 3 bits are linked. Equal halves meet under all 32 signatures and are compared under the first alone.
 
-Copies never multiply: documents with one fingerprint are one row of the index. A signature's fingerprints are compared in
-blocks of `BLOCK`; a signature with more gets a group for each pair of its blocks, so that no group holds more than two blocks.
+Copies never multiply: documents with one fingerprint are one row of the index. A signature of more than `BLOCK` fingerprints
+gets a group for each pair of its blocks, so that no group holds more than about two blocks.
 Each group reports a spanning forest of its links, never all pairs, and components come from the forests.
 
 Defined results: null, empty and blank texts have fingerprint zero, which links like any other; fewer than three words are
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -83,60 +82,90 @@ def _close(a: np.ndarray, b: np.ndarray, first: bool, shift: np.uint64) -> Itera
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """A spanning forest for each group of fingerprints under one signature: src, dst."""
-    index = staged(signatures(distinct), "signatures")
-    sizes = staged(index.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    met = index.join(sizes, "sig").select("sig", "fp", blocks.alias("blocks"), own.alias("own"))
-    pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", "fp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def compare(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups come sorted, each whole in one partition; those of two dominate, and are compared all at once."""
-        held: pd.DataFrame | None = None
-        for batch in groups:
-            rows = batch.to_pandas()
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            keys = rows[["sig", "lo", "hi"]].to_numpy()
-            last = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-            stop = last[-1] + 1 if len(last) else 0
-            held = rows.iloc[stop:]
-            yield from _forests(rows.iloc[:stop])
-        if held is not None:
-            yield from _forests(held)
-
-    grouped = pairs.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-    return grouped.mapInArrow(compare, "src long, dst long")
-
-
-def _forests(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-    if rows.empty:
+    """A spanning forest for each group of fingerprints under one signature: src, dst.
+
+    One shuffle brings each signature's fingerprints together, sorted; groups pass through in a stream. A group of more than
+    BLOCK isn't compared there: its rows are passed on, and dealt to a group for each pair of the signature's blocks.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, fp, over = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for batch in batches:
+            new_sig, new_fp = batch.column("sig").to_numpy(), batch.column("fp").to_numpy()
+            if over is not None and (more := int(np.searchsorted(new_sig, over, side="right"))):
+                yield _rows(new_fp[:more], None, new_sig[:more])
+                new_sig, new_fp = new_sig[more:], new_fp[more:]
+            if not len(new_sig):
+                continue
+            sig, fp = np.concatenate([sig, new_sig]), np.concatenate([fp, new_fp])
+            last = int(np.searchsorted(sig, sig[-1]))
+            yield from _groups(sig[:last], fp[:last])
+            sig, fp, over = sig[last:], fp[last:], None
+            if len(sig) > BLOCK:
+                yield _rows(fp, None, sig)
+                sig, fp, over = sig[:0], fp[:0], sig[-1]
+        yield from _groups(sig, fp)
+
+    sorted_index = signatures(distinct).repartition("sig").sortWithinPartitions("sig")
+    found = staged(sorted_index.mapInArrow(compare, "src long, dst long, sig long"), "links")
+    near, large = found.where("sig is null").select("src", "dst"), found.where("sig is not null").select("sig", F.col("src").alias("fp"))
+    return near if large.isEmpty() else near.unionByName(_large(large))
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """Links within signatures of many fingerprints, by pairs of blocks."""
+    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "sig").select("sig", "fp", "blocks", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp")
+
+    def compare(group: pa.Table) -> pa.Table:
+        sig, lo, hi = (group.column(c)[0].as_py() for c in ("sig", "lo", "hi"))
+        own, fp = group.column("own").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
+        tree = _tree(fp[own == lo], fp[own == hi], sig)
+        return pa.table({"src": pa.array(tree[:, 0]), "dst": pa.array(tree[:, 1])})
+
+    return pairs.groupBy("sig", "lo", "hi").applyInArrow(compare, "src long, dst long")
+
+
+def _rows(src: np.ndarray, dst: np.ndarray | None, sig: np.ndarray | None) -> pa.RecordBatch:
+    nothing = pa.nulls(len(src), pa.int64())
+    return pa.record_batch({"src": pa.array(src), "dst": nothing if dst is None else pa.array(dst), "sig": nothing if sig is None else pa.array(sig)})
+
+
+def _place(sig):
+    """The blanked bit, 0 to 63 over both halves, and the shift to its half."""
+    place = (sig >> HALF) & 63
+    return place % HALF == 0, np.where(place < HALF, 0, HALF).astype(np.uint64)
+
+
+def _tree(left: np.ndarray, right: np.ndarray, sig: int) -> np.ndarray:
+    """A spanning forest of the links between two sets of fingerprints under one signature."""
+    first, shift = _place(np.int64(sig))
+    found = list(_close(left, right, bool(first), shift)) if len(left) and len(right) else []
+    x, y = (np.concatenate([*(f[k] for f in found), np.empty(0, np.uint64)]) for k in (0, 1))
+    apart = x != y
+    return np.array(forest(x[apart].view(np.int64), y[apart].view(np.int64)), np.int64).reshape(-1, 2)
+
+
+def _groups(sig: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links of whole groups, those of two all at once; groups of more than BLOCK are passed on."""
+    if not len(sig):
         return
-    sig, own, lo, hi = (rows[c].to_numpy() for c in ("sig", "own", "lo", "hi"))
-    fp = rows["fp"].to_numpy().view(np.uint64)
-    cuts = np.flatnonzero((sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-    starts, ends = np.append(0, cuts), np.append(cuts, len(rows))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    place = (sig >> 32) & 63
-    two = starts[(ends - starts == 2)]
-    differ = fp[two] ^ fp[two + 1]
-    halves = (differ >> np.where(place[two] < HALF, 0, HALF).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-    near = (np.bitwise_count(differ) <= DISTANCE) & ((halves != 0) | (place[two] % HALF == 0))
-    out.append((fp[two][near], fp[two + 1][near]))
-    for a, b in zip(starts, ends, strict=True):
-        if b - a < 3:
-            continue
-        first, shift = place[a] % HALF == 0, np.uint64(0 if place[a] < HALF else HALF)
-        here, mine = fp[a:b], own[a:b]
-        left, right = here[mine == lo[a]], here[mine == hi[a]]
-        x, y = zip(*_close(left, right, first, shift), strict=True) if len(left) and len(right) else ((), ())
-        x, y = np.concatenate([*x, np.empty(0, np.uint64)]), np.concatenate([*y, np.empty(0, np.uint64)])
-        apart = x != y
-        if apart.any():
-            pairs = np.array(forest(x[apart].view(np.int64), y[apart].view(np.int64)), np.int64)
-            out.append((pairs[:, 0].view(np.uint64), pairs[:, 1].view(np.uint64)))
-    src, dst = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
-    yield pa.record_batch({"src": pa.array(src), "dst": pa.array(dst)})
+    cuts = np.flatnonzero(sig[1:] != sig[:-1]) + 1
+    starts, ends = np.append(0, cuts), np.append(cuts, len(sig))
+    bits = fp.view(np.uint64)
+    two = starts[ends - starts == 2]
+    differ = bits[two] ^ bits[two + 1]
+    first, shift = _place(sig[two])
+    near = (np.bitwise_count(differ) <= DISTANCE) & (first | ((differ >> shift) & np.uint64(0xFFFFFFFF) != 0))
+    yield _rows(fp[two][near], fp[two + 1][near], None)
+    many = ends - starts > 2
+    for a, b in zip(starts[many], ends[many], strict=True):
+        if b - a > BLOCK:
+            yield _rows(fp[a:b], None, sig[a:b])
+        elif len(tree := _tree(bits[a:b], bits[a:b], sig[a])):
+            yield _rows(tree[:, 0], tree[:, 1], None)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
