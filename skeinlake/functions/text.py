@@ -105,12 +105,18 @@ def url_category(url: Column) -> Column:
 
 
 def safe_path(url: Column) -> Column:
-    """A relative file name from a URL's path: decoded, other letters than word letters, dots and hyphens as _, parts cut at
-    120, and ten digits of the URL's hash."""
-    path = F.regexp_replace(F.regexp_extract(url, r"^https?://[^/]+/?([^?#]*)", 1), "/+$", "")
-    parts = F.filter(F.transform(F.split(F.try_url_decode(path), "/"), lambda p: F.left(F.regexp_replace(p, "[^A-Za-z0-9._-]+", "_"), F.lit(120))), lambda p: (p != "") & (p != ".") & (p != ".."))
-    stem = F.when(F.size(parts) > 0, F.array_join(parts, "/")).otherwise(F.lit("index"))
-    return F.concat(stem, F.lit("-"), F.left(F.sha2(url, 256), F.lit(10)), F.lit(".md"))
+    """A relative file name from a URL's path: decoded; in each part other than word letters, dots and hyphens become hyphens,
+    which with dots are stripped at its ends ("page" if nothing is left) and it is cut at 120; ten digits of the URL's hash end the last."""
+    path = F.regexp_replace(F.try_url_decode(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)), "^/+|/+$", "")
+    parts = F.transform(F.split(F.coalesce(F.nullif(path, F.lit("")), F.lit("index")), "/"), _path_part)
+    leaf = F.regexp_replace(F.element_at(parts, -1), r"\.html$", "")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return F.array_join(F.concat(folders, F.array(F.concat(leaf, F.lit("-"), F.left(F.sha2(url, 256), F.lit(10)), F.lit(".md")))), "/")
+
+
+def _path_part(p: Column) -> Column:
+    clean = F.regexp_replace(F.regexp_replace(p, "[^0-9A-Za-z._-]+", "-"), "^[.-]+|[.-]+$", "")
+    return F.left(F.coalesce(F.nullif(clean, F.lit("")), F.lit("page")), F.lit(120))
 
 
 def first_heading(text: Column) -> Column:

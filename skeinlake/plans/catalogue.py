@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, learner, retrieval, sessions
+from . import curation, evaluation, learner, retrieval, sessions
 
-_ALL = (retrieval, evaluation, learner, sessions)
+_ALL = (retrieval, curation, evaluation, learner, sessions)
 QUERIES = {n: f for m in _ALL for n, f in m.register.queries.items()}
 ORACLES = {n: s for m in _ALL for n, s in m.register.oracles.items()}
