@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skeinlake.operators import learner as L
@@ -31,14 +30,19 @@ FROM (SELECT fs.user_id, fs.concept, sq.i, s, sq.rating, sq.ts, greatest(1e0, le
 fsrs AS (SELECT user_id, concept, max(i) AS n, arg_max(s, i) AS stability, arg_max(d, i) AS difficulty, arg_max(last, i) AS last FROM fs GROUP BY ALL)"""
 
 
-def observations(spark, sf_dir):
+def outcomes(events):
+    """Events as observations."""
     kind, value = F.col("event_type"), F.col("value")
     outcome = F.when(kind == "purchase", "correct").when(kind == "error", "incorrect").when(kind == "click", "hinted").when(kind == "signup", "solution_viewed").otherwise("reviewed")
     concept = F.concat(F.lit("c"), F.get_json_object("props", "$.k").cast("int") % 12)
-    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), concept.alias("concept"), outcome.alias("outcome"), F.when(value < 15, "easy").when(value < 60, "medium").otherwise("hard").alias("difficulty"))
+    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), concept.alias("concept"), outcome.alias("outcome"), F.when(value < 15, "easy").when(value < 60, "medium").otherwise("hard").alias("difficulty"))
     return rows.withColumn("confidence", L.lookup(L.CONFIDENCE, F.col("outcome")))
 
 
+def observations(spark, sf_dir):
+    return outcomes(table(spark, sf_dir, "events"))
+
+
 def _long(*names):
     return [F.col(n).cast("long").alias(n) for n in names]
 
