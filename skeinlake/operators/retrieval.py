@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from skeinlake.functions import text as T
 
@@ -87,12 +89,12 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).where("v is not null").collect()  # the batch of queries
     out = None
     for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        some = _dense_block(vectors, asked[at : at + QUERY_BLOCK], k, key, vector, digits, queries.schema["query_id"].dataType.simpleString())
+        some = _dense_block(vectors, asked[at : at + QUERY_BLOCK], k, key, vector, digits, queries.schema["query_id"].dataType)
         out = some if out is None else out.unionByName(some)
     return ranked(out, "query_id", F.col("score").desc(), F.col(key), limit=k)
 
 
-def _dense_block(vectors: DataFrame, asked: list, k: int, key: str, vector: str, digits: int, kind: str) -> DataFrame:
+def _dense_block(vectors: DataFrame, asked: list, k: int, key: str, vector: str, digits: int, kind: DataType) -> DataFrame:
     by_size: dict[int, list] = {}
     for r in asked:
         by_size.setdefault(len(r["v"]), []).append(r)
@@ -104,6 +106,7 @@ def _dense_block(vectors: DataFrame, asked: list, k: int, key: str, vector: str,
         ready[n] = ([r["query_id"] for r, g in zip(rs, good, strict=True) if g], m[good] / norm[good, None])
     shared = vectors.sparkSession.sparkContext.broadcast(ready)  # at most QUERY_BLOCK vectors
     rows = vectors.select(key, F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    id_type = to_arrow_type(kind)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +125,9 @@ def _dense_block(vectors: DataFrame, asked: list, k: int, key: str, vector: str,
                 scores = np.round(q @ m.T, digits)[:, place]
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 flat = top.ravel()
-                yield pa.record_batch({"query_id": pa.array(np.repeat(np.array(names, object), top.shape[1]).tolist()), key: keys.take(pa.array(place[flat])), "score": pa.array(np.take_along_axis(scores, top, axis=1).ravel())})
+                yield pa.record_batch({"query_id": pa.array(np.repeat(np.array(names, object), top.shape[1]).tolist(), id_type), key: keys.take(pa.array(place[flat])), "score": pa.array(np.take_along_axis(scores, top, axis=1).ravel())})
 
-    return rows.mapInArrow(best, f"query_id {kind}, {key} {dict(vectors.dtypes)[key]}, score double")
+    return rows.mapInArrow(best, f"query_id {kind.simpleString()}, {key} {dict(vectors.dtypes)[key]}, score double")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, limit: int = 20, k: int = RRF_K, digits: int = 8) -> DataFrame:
