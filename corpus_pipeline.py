@@ -42,8 +42,8 @@ def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 1024."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+    """Token pieces with their place in sequences of 1024. The encoder keeps fewer pieces: its workers have served the stages before."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False, keep_pieces=500_000)
 
 
 STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("simhash", one_of_each), ("pii", pseudonymous), ("packing", packed)]

@@ -31,7 +31,7 @@ class Hasher:
     """Hashes of any spans of a buffer, from one pass of prefix sums: equal bytes, equal hash, wherever they stand."""
 
     def __init__(self, buf: np.ndarray):
-        self.up, self.down = _powers(1 << max(23, int(len(buf)).bit_length()))
+        self.up, self.down = _powers(1 << max(22, int(len(buf)).bit_length()))
         self.sums = np.empty(len(buf) + 1, np.uint64)
         self.sums[0] = 0
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.up[: len(buf)], out=self.sums[1:])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import plain_text, slices, staged, texts_sizes
-from .tokens import encoder
+from .tokens import KEEP, encoder
 
 #: Groups into which the pieces of one length are dealt while they are ranked.
 SALTS = 64
@@ -156,13 +156,13 @@ def cut(n: int, capacity: int) -> list[int]:
     return ([n % capacity] if n % capacity else []) + [capacity] * (n // capacity)
 
 
-def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", keep_ids: bool = True, keep_pieces: int = KEEP) -> DataFrame:
     """Each document's ids with the end id, cut to pieces: key, piece, start, length, ids_crc32, and ids (little-endian 32-bit, if kept)."""
     rows = plain_text(docs, key, text=text)
     kind = dict(rows.dtypes)[key]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer_file)
+        tokens = encoder(tokenizer_file, keep_pieces)
         for batch in batches:
             texts = batch.column("text")
             for a, b in slices(texts_sizes(texts)):
@@ -212,6 +212,6 @@ def pack(pieces: DataFrame, capacity: int = 1024, key: str = "doc_id") -> DataFr
     return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Tokenized pieces, stored once in the shared folder, with their place: sequence_id, offset."""
-    return pack(staged(token_pieces(docs, tokenizer_file, capacity, end_id, key, text, keep_ids), "pieces"), capacity, key)
+def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", keep_ids: bool = True, keep_pieces: int = KEEP) -> DataFrame:
+    """Tokenized pieces, stored once in the shared folder, with their place: sequence_id, offset. keep_pieces: of the encoder."""
+    return pack(staged(token_pieces(docs, tokenizer_file, capacity, end_id, key, text, keep_ids, keep_pieces), "pieces"), capacity, key)

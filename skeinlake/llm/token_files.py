@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, plain_text, slices, staged, texts_sizes
-from .tokens import encoder
+from .tokens import KEEP, encoder
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, layout: Layout = Lay
     rows = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sink, keys, spans = encoder(tokenizer_file), None, [], []
+        tokens, sink, keys, spans = encoder(tokenizer_file, KEEP), None, [], []
         part = TaskContext.get().partitionId()
         end = np.array([layout.end_id], tokens.dtype).tobytes()
         for batch in batches:

@@ -16,6 +16,10 @@ _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _OTHER = re.compile(f"[{_WHITE.replace(chr(32), '').replace('\t-\r', '\t\x0b-\r')}]")
 
 
+#: Pieces whose ids a worker keeps: about 350 MB at most.
+KEEP = 2_000_000
+
+
 class ChunkEncoder:
     """Encodes whole texts to little-endian ids of 16 or 32 bits.
 
@@ -25,7 +29,7 @@ class ChunkEncoder:
     generations: once the younger holds half, the older goes, and what is used again moves up.
     """
 
-    def __init__(self, tokenizer_file: str, keep: int = 2_000_000):
+    def __init__(self, tokenizer_file: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,10 +76,10 @@ class ChunkEncoder:
         return b"".join([self._all([x[1:]])[0] if x[0] == " " else self._one(x) for x in found])
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> ChunkEncoder:
+@lru_cache(maxsize=1)
+def encoder(tokenizer_file: str, keep: int) -> ChunkEncoder:
     """A worker's own, kept from task to task."""
-    return ChunkEncoder(tokenizer_file)
+    return ChunkEncoder(tokenizer_file, keep)
 
 
 def id_type(vocabulary: int) -> np.dtype:
