@@ -241,6 +241,8 @@ def parse(data: bytes | None) -> Media:
                         if i == POINT:
                             media.cues += _cue(data, a, b, scale, segment)
                 at = stop
+        if not segment:
+            raise BadMedia("no segment")
     except (BadMedia, struct.error) as e:
         media.error = str(e)
     return media

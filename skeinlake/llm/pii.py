@@ -254,7 +254,10 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
 
     # Between marks lies what was outside and inside in turn; splitting yields them at even and odd places.
     parts = F.transform(pieces, lambda s, i: F.when(i % 2 == 1, made(s)).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), s.alias("text"))))
-    out = docs.withColumn("__parts", parts)
-    done = F.col("__parts")
+    held = "__parts"
+    while held in docs.columns:
+        held += "_"
+    out = docs.withColumn(held, parts)
+    done = F.col(held)
     counts = {f"n_{k}": F.when(done.isNull(), 0).otherwise(_count(done, k)) for k in KINDS}
-    return out.withColumns({text: F.when(done.isNull(), source).otherwise(_swap(F.array_join(F.transform(done, lambda p: p["text"]), ""), [(b, a) for a, b in reversed(_ESCAPES)]))} | counts).drop("__parts")
+    return out.withColumns({text: F.when(done.isNull(), source).otherwise(_swap(F.array_join(F.transform(done, lambda p: p["text"]), ""), [(b, a) for a, b in reversed(_ESCAPES)]))} | counts).drop(held)

@@ -98,12 +98,12 @@ def sentence_scores(model: Model, b: Bags) -> np.ndarray:
 
 
 def noisy_or(scores: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
-    return -np.expm1(np.bincount(document, np.log1p(-np.minimum(scores, 1 - 1e-12)), n))
+    return 0.0 - np.expm1(np.bincount(document, np.log1p(-np.minimum(scores, 1 - 1e-12)), n))
 
 
 def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, settings: Settings = Settings()) -> Model:
     """weight: of each document. Features that hardly tell the classes apart stay at weight zero."""
-    model = Model(np.zeros(1 << BUCKET_BITS, np.float32), -30.0)
+    model = Model(np.zeros(1 << BUCKET_BITS, np.float32), -np.inf)
     if not 0 < labels.sum() < len(labels):
         return model
     raw = [lowered(t) for t in texts]
