@@ -62,8 +62,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.full(n, PASSAGE, np.int64)
     lengths[first[1:] - 1] = sizes - (each - 1) * PASSAGE + 1  # with the newline behind the text
     of = np.repeat(np.arange(n, dtype=np.int32), lengths)
-    kind = _KIND[buf]
-    code = of[1:] * np.int32(_N * _N)
+    # Each byte with the one before; before a text stands a newline.
+    kind = _KIND[np.append(np.uint8(10), buf)]
+    code = of * np.int32(_N * _N)
     code += kind[:-1].astype(np.int32) * _N + kind[1:]
     pairs = np.bincount(code, minlength=n * _N * _N).reshape(n, -1)
     starts, ends = words(buf)
@@ -71,11 +72,12 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     home = of[starts]
     many = np.bincount(home, minlength=n)
     far = np.maximum(1, many)
-    last = np.zeros(len(hashed), bool)
-    last[1:] = hashed[1:] == hashed[:-1]
-    near = np.zeros(len(hashed), bool)
+    text_of = np.repeat(np.arange(len(texts)), each)[home]
+    again = lambda k: (hashed[k:] == hashed[:-k]) & (text_of[k:] == text_of[:-k])
+    last, near = np.zeros(len(hashed), bool), np.zeros(len(hashed), bool)
+    last[1:] = again(1)
     for k in (2, 3, 4):
-        near[k:] |= hashed[k:] == hashed[:-k]
+        near[k:] |= again(k)
     out = np.empty((n, FEATURES), np.float32)
     out[:, : _N * _N] = pairs / np.maximum(1, lengths)[:, None]
     out[:, -5] = np.bincount(home, last, n) / far

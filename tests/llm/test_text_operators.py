@@ -289,6 +289,14 @@ def test_quality_held_out(spark):
     assert ((p >= 0.3) == y[300:]).mean() > 0.98
 
 
+def test_passages_stand_alone():
+    """A text's features don't depend on its neighbours."""
+    texts = [b"", b"one one two", b"two " * 400, b"two", b"", b"###"]
+    together, first = quality.passages(texts)
+    alone = np.concatenate([quality.passages([t])[0] for t in texts])
+    assert np.array_equal(together, alone) and first[-1] == len(alone)
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(3)
     model = quality.fit(["a b c", "### ###"], np.array([1, 0]), np.ones(2), quality.Settings(epochs=1))
