@@ -7,7 +7,8 @@ documents and the pseudonym still parses:
 
 * card: all digits but the last are permuted, the last is made anew;
 * iban: the digits of the account part are permuted, the check digits made anew; country and letters stay;
-* phone (+1 or ten digits of the North American plan): area and exchange stay within 200-999; other international numbers:
+* phone (+1 or ten digits of the North American plan): area and exchange stay within 200-999, and numbers outside the plan outside
+  it in the same way; other international numbers:
   the digits behind the country code's first two are permuted;
 * date (year 1900 to 2099): the day's number is permuted among the 73,049 days of those years;
 * ipv4: both halves are permuted; ssn: area, group and serial stay within their ranges.
@@ -187,15 +188,20 @@ def _phone(s: Column, key: str) -> Column:
     ten = F.right(d, F.lit(10))
     plus = s.startswith("+")
     nanp = (F.length(d) == 10) & ~plus | (F.length(d) == 11) & d.startswith("1")
-    area, exchange = F.substring(ten, 1, 3).cast("long"), F.substring(ten, 4, 3).cast("long")
-    line = F.substring(ten, 7, 4).cast("long")
-    ranged = nanp & (area >= 200) & (exchange >= 200)
-    got = feistel(area - 200, (exchange - 200) * 10_000 + line, F.lit(800), F.lit(8_000_000), key, "phone")
+    area, exchange, line = (F.substring(ten, i, n).cast("long") for i, n in ((1, 3), (4, 3), (7, 4)))
+    # Area and exchange from 200 on are valid. Numbers outside the plan are permuted among their like if they are written as phone numbers.
+    low_area, low_exchange = area < 200, exchange < 200
+    first = F.when(low_area, F.lit(0)).otherwise(F.lit(200))
+    second = F.when(low_area | low_exchange, F.lit(0)).otherwise(F.lit(200))
+    sizes = F.when(low_area, 200).otherwise(800), F.when(low_area, 10_000_000).when(low_exchange, 2_000_000).otherwise(8_000_000)
+    meant = nanp & (~(low_area | low_exchange) | plus | s.contains("("))
+    got = feistel(area - first, (exchange - second) * 10_000 + line, *sizes, key, "phone")
     head = F.substr(d, F.lit(1), F.length(d) - 10)
-    american = _bind(got, lambda g: _refill(s, F.concat(head, (g["a"] + 200).cast("string"), (F.floor(g["b"] / 10_000) + 200).cast("string"), F.lpad((g["b"] % 10_000).cast("string"), 4, "0"))))
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    american = _bind(got, lambda g: _refill(s, F.concat(head, padded(g["a"] + first, 3), padded(F.floor(g["b"] / 10_000) + second, 3), padded(g["b"] % 10_000, 4))))
     abroad = plus & ~nanp & F.length(d).between(8, 15)
     foreign = _refill(s, F.concat(F.substring(d, 1, 2), permute_digits(F.substr(d, F.lit(3)), key, "phone")))
-    return F.when(ranged, american).when(abroad, foreign)
+    return F.when(meant, american).when(abroad, foreign)
 
 
 def _ssn(s: Column, key: str) -> Column:
