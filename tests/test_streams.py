@@ -1,10 +1,13 @@
 """Streaming twins against their batch plans, run in more than one batch."""
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from skeinlake.operators import learner as L
-from skeinlake.operators.documents import near_edges, replay
+from skeinlake.operators.documents import common_length, gestalt, near_edges, replay
 from skeinlake.operators.graph import connected_components
 from skeinlake.streaming import stateful as St
 
@@ -47,6 +50,20 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_gestalt_is_difflib():
+    rng = random.Random(1)
+    for n in (0, 5, 90, 700):
+        for letters in ("ab", "abcdefghijklmnop", "é東x"):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            b = list(a)
+            for _ in range(n // 20):
+                b[rng.randrange(len(b))] = rng.choice(letters) * rng.randrange(3)
+            b = "".join(b)
+            want = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            assert gestalt(a, b) == want.ratio()
+            assert 2 * common_length(a, b) >= want.ratio() * (len(a) + len(b)) - 1e-9
+
+
 def test_near_edges_and_replay(spark):
     base = "abcdefghij klmnopq rstuvw xyz 0123456789 " * 8
     docs = spark.createDataFrame([(1, base), (2, base[:-3] + "!!!"), (3, base.upper()), (4, "other text entirely"), (5, None), (6, "")], "doc_id long, text string")
