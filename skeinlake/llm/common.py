@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker looks at in one go; longer texts come alone.
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
+from skeinlake.operators.graph import connected_components
+from skeinlake.sources.tables import fresh_path, staged
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skeinlake/{name}-{uuid.uuid4().hex}"
+__all__ = ["connected_components", "forest", "fresh_path", "keep_rows", "plain_text", "slices", "staged", "texts_sizes"]
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that a Python worker looks at in one go; longer texts come alone.
+SLICE_BYTES = 2 << 20
 
 
 def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -92,32 +75,3 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         if x != y:
             root[max(x, y)] = min(x, y)
     return [(x, find(x)) for x in root if find(x) != x]
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Each node of edges (src, dst: long) with the least node of its component: columns node, component.
-
-    Nodes hook onto their least neighbour, chains are shortened fourfold and edges are drawn between what remains,
-    until none remains. Grouping keeps minima only (map-side combined) and the
-    joins have a table with unique keys on one side, so a hub's edges are dealt anew by adaptive execution.
-    Null ends and loops are ignored; an empty table gives an empty result.
-    """
-    spark = edges.sparkSession
-    links = staged(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct(), "edges")
-    chains = None  # node, up: what each node has been replaced by so far
-    while not links.isEmpty():
-        ends = links.select(F.col("b").alias("node"), F.col("a").alias("up")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("up"))).groupBy("node").agg(F.min("up").alias("up"))
-        up = staged(ends, "hooks")
-        for _ in range(2):
-            up = staged(_follow(up, up), "hooks")
-        chains = up if chains is None else staged(_follow(chains, up), "roots")
-        moved = links.join(up.select(F.col("node").alias("a"), F.col("up").alias("na")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("nb")), "b")
-        links = staged(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).where("a < b").distinct(), "edges")
-    if chains is None:
-        return spark.createDataFrame([], "node long, component long")
-    return chains.select("node", F.col("up").alias("component"))
-
-
-def _follow(near: DataFrame, far: DataFrame) -> DataFrame:
-    step = far.select(F.col("node").alias("up"), F.col("up").alias("beyond"))
-    return near.join(step, "up", "left").select("node", F.coalesce("beyond", "up").alias("up"))

@@ -62,5 +62,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_token_files, op4_embedding_near_dedup, op5_best_fit_packing, op6_pii, op7_matroska, op8_quality, op9_html_extraction, op10_bpe)}
 
-#: DuckDB SQL where it can express the operator.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can express the operator. The tokenizers, XXH64, trained models, files and look-behind are beyond it.
+ORACLES: dict[str, str] = {
+    "op4_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 95e-2),
+r AS (SELECT a AS n, b AS m FROM l UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a), c AS (SELECT n AS vec_id, min(m) AS m FROM r GROUP BY n)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.m, vec_id)) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
+}
