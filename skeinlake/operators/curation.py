@@ -66,13 +66,17 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def resolve_aliases(aliases: DataFrame, rounds: int = 20) -> DataFrame:
     """Each alias (src, dst) with the end of its chain; a chain that returns to itself stops where it would repeat. Chains are
     doubled each round, so 20 rounds follow a million steps."""
+    from skeinlake.sources.tables import staged
+
     step = aliases.select("src", "dst")
+    again = F.col("beyond").isNotNull() & (F.col("beyond") != F.col("src"))
     for _ in range(rounds):
         far = step.select(F.col("src").alias("dst"), F.col("dst").alias("beyond"))
-        moved = step.join(far, "dst", "left").select("src", F.when(F.col("beyond").isNull() | (F.col("beyond") == F.col("src")), F.col("dst")).otherwise(F.col("beyond")).alias("dst"), (F.col("beyond").isNotNull() & (F.col("beyond") != F.col("src"))).alias("moved"))
-        if moved.where("moved").isEmpty():
-            return step
+        moved = step.join(far, "dst", "left").select("src", F.when(again, F.col("beyond")).otherwise(F.col("dst")).alias("dst"), again.alias("moved"))
+        moved = staged(moved, "aliases")  # else each round would repeat all before it, twice
         step = moved.select("src", "dst")
+        if moved.where("moved").isEmpty():
+            break
     return step
 
 
@@ -95,8 +99,10 @@ def merge_evidence(target: DataFrame, incoming: DataFrame, prefix: str) -> DataF
 
 
 def running_budget(rows: DataFrame, by: str, budget: int, text: str, *order: Column) -> DataFrame:
-    """Rows in order while the texts before leave room; the last one is cut to what is left; numbered anew."""
+    """Rows in order while the texts before leave room; the last one is cut to what is left; numbered anew. A text takes a letter at
+    least, so no group's rows beyond the first `budget` matter: they go before the shuffle."""
     w = Window.partitionBy(by).orderBy(*order)
+    rows = rows.where(F.length(text) > 0).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= budget).drop("__r")
     used = F.coalesce(F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = rows.withColumn("__left", F.lit(budget) - used).where((F.col("__left") > 0) & (F.length(text) > 0))
     return kept.withColumn(text, F.left(text, F.col("__left").cast("int"))).withColumn("number", F.row_number().over(w)).drop("__left")
