@@ -16,6 +16,8 @@ _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _OTHER = re.compile(f"[{_WHITE.replace(chr(32), '').replace('\t-\r', '\t\x0b-\r')}]")
 
 
+_WHITES = frozenset(["", *"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"])
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Pieces whose ids a worker keeps: about 350 MB at most.
 KEEP = 2_000_000
 
@@ -39,6 +41,7 @@ class ChunkEncoder:
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.keep, self.known, self.older = keep, {}, {}
+        self.tail = {x: self._one(x) for x in (".", ",")}
 
     def _all(self, pieces: list[str]) -> list[bytes]:
         """The ids of a blank and each piece behind it; new pieces are encoded together."""
@@ -52,12 +55,36 @@ class ChunkEncoder:
                 new = [p for p in wanted if p not in known]
             else:
                 new = list(wanted)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False), strict=True):
-                known[p] = array(self.code, e.ids).tobytes()
+            self._learn(new)
             for i in gaps:
                 got[i] = known[pieces[i]]
         return got
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds pieces' ids. Lines, and a stop or comma behind a letter, are words of their own: such a piece is put together from
+        parts if those are known. A part behind a line end stands under its own text with that line end."""
+        known, older, ask, late = self.known, self.older, [], []
+        for p in pieces:
+            first, end, rest = p.partition("\n")
+            if end:
+                parts = [first, *(f"\n{r}" for r in rest.split("\n"))] if first and rest and "\n\n" not in p and rest[-1] != "\n" else None
+            else:
+                parts = [p[:-1], p[-1]] if p[-1:] in (".", ",") and p[-2:-1] in _LETTERS else None
+            if parts is None:
+                ask.append(p)
+            elif end:
+                ask += [x for x in parts if x not in known and x not in older]
+                late.append((p, parts))
+            elif (ids := known.get(parts[0]) or older.get(parts[0])) is not None:
+                known[p] = ids + self.tail[parts[1]]
+            else:
+                ask.append(p)
+        texts = [p if p[:1] == "\n" else f" {p}" for p in ask]
+        for p, e in zip(ask, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            known[p] = array(self.code, e.ids).tobytes()
+        for p, parts in late:
+            known[p] = b"".join([known[x] if x in known else older[x] for x in parts])
+
     def _one(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -73,7 +100,7 @@ class ChunkEncoder:
         return self._one(first) + b"".join(self._all(rest))
 
     def _careful(self, found: list[str]) -> bytes:
-        return b"".join([self._all([x[1:]])[0] if x[0] == " " else self._one(x) for x in found])
+        return b"".join([self._all([x[1:]])[0] if x[0] == " " and x[1:2] not in _WHITES else self._one(x) for x in found])
 
 
 @lru_cache(maxsize=1)
