@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from skeinlake.functions import text as T
+from skeinlake.sources.tables import staged
 
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Queries whose vectors go to each task at once.
@@ -28,13 +29,19 @@ def ranked(scores: DataFrame, per: str, *order: Column, limit: int | None = None
 
 
 def records(docs: DataFrame, key: str, title: Column, content: Column, metadata: Column, problem: Column, document: Column) -> DataFrame:
-    """chunk_id, document_id, tokens: what BM25 counts."""
-    return docs.select(F.col(key).alias("chunk_id"), document.alias("document_id"), T.record_tokens(title, metadata, content, document, problem).alias("tokens"))
+    """chunk_id, document_id, tokens, len: what BM25 counts."""
+    own = docs.select(F.col(key).alias("chunk_id"), document.alias("document_id"), T.record_tokens(title, metadata, content, document, problem).alias("tokens"))
+    return own.withColumn("len", F.size("tokens"))
+
+
+def stored(index: DataFrame) -> DataFrame:
+    """The index as a table: tokenized once, then read for lengths, frequencies and postings, each by its own columns."""
+    return staged(index, "index")
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n_docs, avg_len."""
-    return index.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
+    return index.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -52,7 +59,7 @@ def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, dig
     counted, counts are combined before the shuffle, and one row of corpus statistics is joined to all.
     """
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = index.select("chunk_id", "document_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    terms = index.select("chunk_id", "document_id", "len", F.explode("tokens").alias("term"))
     tf = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "chunk_id", "document_id", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     norm = k1 * (1.0 - b + b * F.col("len") / F.col("avg_len"))

@@ -18,7 +18,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: title := source, metadata := the language as JSON."""
     docs = table(spark, sf_dir, "documents")
     meta = F.concat(F.lit('{"lang": "'), F.col("lang"), F.lit('"}'))
-    return R.records(docs, "doc_id", F.col("source"), F.col("text"), meta, F.lit(None).cast("long"), F.col("doc_id").cast("string"))
+    return R.stored(R.records(docs, "doc_id", F.col("source"), F.col("text"), meta, F.lit(None).cast("long"), F.col("doc_id").cast("string")))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

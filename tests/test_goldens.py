@@ -101,7 +101,7 @@ def test_aliases_with_a_cycle(spark):
 
 
 def test_empty_inputs(spark):
-    none = spark.createDataFrame([], "chunk_id int, document_id string, tokens array<string>")
+    none = spark.createDataFrame([], "chunk_id int, document_id string, tokens array<string>, len int")
     ask = spark.createDataFrame([(1, ["a"])], "query_id int, tokens array<string>")
     assert R.bm25(none, ask).count() == 0
     vectors = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0])], "vec_id int, embedding array<double>")
