@@ -40,6 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video noembed noframes".split())
 #: What a start tag closes, up to the elements that hold such tags apart.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 _KEEPS_P = frozenset("html head body title label button select option textarea legend caption thead tbody tfoot tr td th li dt dd summary figcaption".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -148,9 +149,11 @@ def parse(page: str, mark: str | None = None) -> Tree:
             if name == "a":
                 links = max(0, links - 1)
             elif name in BLOCKS:
-                if any(n == name for n, _ in stack):
+                # An end tag of any heading closes the heading that is open.
+                ends = stack[-1][0] if name in _HEADINGS and stack[-1][0] in _HEADINGS else name
+                if any(n == ends for n, _ in stack):
                     cut()
-                    while stack.pop()[0] != name:
+                    while stack.pop()[0] != ends:
                         pass
                     links = 0
             continue
@@ -340,7 +343,8 @@ def training_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
         elif k < 0.72:
             out.append(f"<p><b>{sentence()}" + ("</b></p>" if maybe(0.5) else "<br>"))
         elif k < 0.8:
-            out.append(f"<h{rng.integers(2, 5)}>{words(1, 8)}</h{rng.integers(2, 5)}>")
+            tag = pick("h2", "h3", "h4")
+            out.append(f"<{tag}>{words(1, 8)}</{tag}>")
         elif k < 0.88:
             out.append("<ul>" + "".join(f"<li>{sentence(2, 14)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>")
         elif k < 0.93:
@@ -357,7 +361,8 @@ def training_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
         if k == 1:
             return f'<div data-y="0"{name("share")}><ul>{links(2, 5)}</ul></div>'
         if k == 2:
-            return f'<{pick("div", "section", "aside")} data-y="0"{name("notice")}><p>{prose(2)}</p><button>{words(1, 2)}</button></div>'
+            tag = pick("div", "section", "aside")
+            return f'<{tag} data-y="0"{name("notice")}><p>{prose(2)}</p><button>{words(1, 2)}</button></{tag}>'
         if k == 3:
             return f'<form data-y="0"{pick("", name("form"))}><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>{pick("", f"<p>{sentence()}</p>")}</form>'
         if k == 4:
@@ -368,7 +373,8 @@ def training_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
 
     def comments() -> str:
         each = "".join(pick(f'<div class="comment"><p>{prose(3)}</p></div>', f'<li class="comment"><b>{words(1, 2)}</b> {prose(3)}</li>', f"<article><p>{prose(3)}</p></article>") for _ in range(rng.integers(1, 7)))
-        return f'<{pick("section", "div", "div", "ol")} data-y="0"{name("comment")}>{pick("", f"<h3>{words(1, 3)}</h3>")}{each}</{pick("section", "div")}>'
+        tag = pick("section", "div", "div", "ol")
+        return f'<{tag} data-y="0"{name("comment")}>{pick("", f"<h3>{words(1, 3)}</h3>")}{each}</{tag}>'
 
     for i in range(n):
         article: list[str] = [f"<h1>{words(2, 12)}</h1>"] if maybe(0.85) else []
@@ -384,7 +390,8 @@ def training_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
         body += tail + closing if maybe(0.3) else closing + tail
         before = [f'<nav data-y="0"{pick("", name("menu"))}><ul>{links(2, 9)}</ul></nav>'] if maybe(0.7) else []
         if maybe(0.5):
-            before.insert(rng.integers(len(before) + 1), f'<header data-y="0"{pick("", name("head"))}><{pick("h1", "div", "p")}>{words(1, 4)}</{pick("div", "p")}></header>')
+            tag = pick("h1", "div", "p")
+            before.insert(rng.integers(len(before) + 1), f'<header data-y="0"{pick("", name("head"))}><{tag}>{words(1, 4)}</{tag}></header>')
         elif maybe(0.4):
             before.append(f'<div data-y="0"{name(pick("menu", "head"))}>{pick(f"<ul>{links(2, 8)}</ul>", words(1, 6), f"<p>{sentence()}</p>")}</div>')
         before += [noise() for _ in range(rng.integers(3))]
