@@ -47,6 +47,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+
+
 class MergeTable:
     """Sorted pair keys (left id x size + right id) with rank and merged id."""
 
@@ -83,18 +86,18 @@ class MergeTable:
         number = np.array(short, np.int64)
         symbols = np.array([s for i in short for s in words[i]], np.int64)
         sizes = np.array([len(words[i]) for i in short], np.int64)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        rank = np.full(len(symbols), self.none, np.int64)  # of each symbol with the next of its word
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        rank[inside] = self.ranks_of(symbols[inside], symbols[inside + 1])
         while len(number):
             starts = np.append(0, np.cumsum(sizes)[:-1])
-            word = np.repeat(np.arange(len(sizes)), sizes)
-            rank = np.full(len(symbols), self.none, np.int64)
-            inside = np.flatnonzero(word[:-1] == word[1:])
-            rank[inside] = self.ranks_of(symbols[inside], symbols[inside + 1])
             low = np.minimum.reduceat(rank, starts)
             ended = low == self.none
             if ended.any():
-                stop = np.append(starts[1:], len(symbols))
-                for k in np.flatnonzero(ended):
-                    done[number[k]] = symbols[starts[k] : stop[k]].tolist()
+                flat, stop = symbols.tolist(), np.append(starts[1:], len(symbols))
+                for k, a, b in zip(number[ended].tolist(), starts[ended].tolist(), stop[ended].tolist(), strict=True):
+                    done[k] = flat[a:b]
                 stay = ~ended
                 keep = np.repeat(stay, sizes)
                 number, symbols, rank, low, sizes = number[stay], symbols[keep], rank[keep], low[stay], sizes[stay]
@@ -112,7 +115,14 @@ class MergeTable:
             keep = np.ones(len(symbols), bool)
             keep[take + 1] = False
             sizes = sizes - np.bincount(word[take], minlength=len(sizes))
-            symbols = symbols[keep]
+            at = np.cumsum(keep)[take] - 1
+            symbols, rank, word = symbols[keep], rank[keep], word[keep]
+            # Only the pairs that hold a new symbol have another rank now.
+            changed = np.concatenate([at, at[at > 0] - 1])
+            rank[changed] = self.none
+            inner = changed[changed + 1 < len(symbols)]
+            inner = inner[word[inner] == word[inner + 1]]
+            rank[inner] = self.ranks_of(symbols[inner], symbols[inner + 1])
         return done
 
     def merge_long(self, word: list[int]) -> list[int]:
@@ -150,7 +160,7 @@ class MergeTable:
 class Bpe:
     """A tokenizer file's BPE with word ends, lower case and byte letters."""
 
-    def __init__(self, tokenizer_file: str, keep: int = 600_000):
+    def __init__(self, tokenizer_file: str, keep: int = 1_200_000):
         with open(tokenizer_file, encoding="utf-8") as f:
             told = json.load(f)
         model = told["model"]
@@ -167,7 +177,9 @@ class Bpe:
         self.table = MergeTable(self.vocab, [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]], self.suffix)
         self.first = [self.vocab[c] for c in byte_letters()]
         self.last = [self.vocab[c + self.suffix] for c in byte_letters()]
-        self.keep, self.words, self.pieces, self.older = keep, {}, {}, {}
+        self.keep, self.pieces, self.older, self.tail = keep, {}, {}, {}
+        self.learn({".", ","})
+        self.tail = {x: self.pieces[x] for x in (".", ",")}
 
     def _cut(self, piece: str) -> list[str]:
         """The words of a piece without white space."""
@@ -181,11 +193,18 @@ class Bpe:
         if len(self.pieces) * 2 > self.keep:
             self.older, self.pieces = self.pieces, {}
         new = []
-        for p in pieces.difference(self.pieces):
-            if (got := self.older.get(p)) is not None:
-                self.pieces[p] = got
-            else:
+        known, older = self.pieces, self.older
+        for p in pieces.difference(known):
+            # The same in lower case; or a known piece with a stop or comma behind its last letter, which is a word of its own.
+            low = p.lower() if p.isascii() else p
+            got = older.get(p) or (known.get(low) or older.get(low) if low != p else None)
+            if got is None and low[-1] in self.tail and low[-2:-1] in _LETTERS and (base := known.get(low[:-1]) or older.get(low[:-1])):
+                n, ids, names = self.tail[low[-1]]
+                got = (base[0] + n, f"{base[1]} {ids}", f"{base[2]} {names}")
+            if got is None:
                 new.append(p)
+            else:
+                known[p] = got
         cut = [self._cut(p) for p in new]
         words = list({w for ws in cut for w in ws})
         symbols = []
