@@ -11,7 +11,7 @@ from skeinlake.operators import curation as C
 from skeinlake.operators import documents as D
 from skeinlake.sources import tables as S
 
-from .registry import Registry, table
+from .registry import Registry, table, texts
 
 register = Registry()
 NL = "chr(10)"
@@ -20,7 +20,7 @@ NL = "chr(10)"
 def marked_up(spark, sf_dir):
     """Documents as Markdown: a heading, the text, a list of numbers, a fence, an image, a link and a comment section."""
     t = F.concat(F.lit("# "), "source", F.lit("\n\n"), "text", F.lit("\n\n1\n2\n3\n4\n5\n\n```py\nx = 1\n"), F.when(F.col("doc_id") % 4 != 0, "```\n").otherwise(""), F.lit("![icon](a.png) [link](http://x) <b>bold</b>\n\n---\n## 评论 (3)\nbye\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", t.alias("text"))
+    return texts(spark, sf_dir).select("doc_id", "source", t.alias("text"))
 
 
 @register()

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinlake.sources.tables import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on at length."""
+    return spread(table(spark, sf_dir, name))
+
+
 def values(spark: SparkSession, sql: str) -> DataFrame:
     """Rows given in SQL that both engines read: SELECT ... UNION ALL, or VALUES with column names."""
     return spark.sql(sql)

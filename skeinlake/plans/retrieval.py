@@ -9,14 +9,14 @@ from skeinlake.functions import text as T
 from skeinlake.operators import retrieval as R
 
 from . import sqltext as S
-from .registry import Registry, table, values
+from .registry import Registry, table, texts, values
 
 register = Registry()
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: title := source, metadata := the language as JSON."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     meta = F.concat(F.lit('{"lang": "'), F.col("lang"), F.lit('"}'))
     return R.stored(R.records(docs, "doc_id", F.col("source"), F.col("text"), meta, F.lit(None).cast("long"), F.col("doc_id").cast("string")))
 

@@ -32,6 +32,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt to as many tasks as run at once, if its files make fewer: for small tables whose rows cost much to work on. A
+    scan of many files stays as it is; other plans shouldn't come here, as asking for their partitions may run them."""
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(tasks) if scan._jdf.rdd().getNumPartitions() < tasks else scan
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: Ty.StructType | str) -> DataFrame:
     """One object a line; a line that is none ends the read with an error. Blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
