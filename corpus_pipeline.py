@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.llm import packing, pii, quality, simhash, toxicity
 from skeinlake.llm.common import staged
+from skeinlake.sources.tables import spread
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
