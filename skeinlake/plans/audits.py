@@ -398,3 +398,38 @@ def whole_json_or_empty(spark, sf_dir):
             spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
         out.append(Src.read_json_or_empty(spark, path, schema).agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("file"), "n"))
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register("SELECT * FROM (VALUES (1, ''), (2, 'source,harness'), (3, 'mark,categories')) AS t(id, errors)")
+def test_plan_validation(spark, sf_dir):
+    rows = [(1, "h", "h", " f() ", "x f() y", "ALL_TESTS_PASSED 3/3\n", 3, ["a", "b"]), (2, "h", "g", "f()", "g()", "ALL_TESTS_PASSED 3/3\n", 3, ["a", "b"]), (3, "h", "h", "f()", "f()", "ok", 3, ["a"])]
+    got = spark.createDataFrame(rows, "id int, source string, bound string, code string, harness string, output string, tests int, categories array<string>")
+    return got.select("id", A.test_plan_errors(*[F.col(c) for c in got.columns[1:]]).alias("errors"))
+
+
+@register("SELECT * FROM (VALUES (1, ''), (2, 'no_trace,no_count'), (3, 'no_report'), (4, 'no_limits'), (5, '')) AS t(id, errors)")
+def execution_claims(spark, sf_dir):
+    rows = [(1, "Judge0: 5/5", "passed", 5, 5), (2, "all fine", "passed", 5, 5), (3, "fine", None, None, None), (4, "judge0", "unavailable", 0, 5), (5, "judge0 不可用", "unavailable", 0, 5)]
+    got = spark.createDataFrame(rows, "id int, answer string, status string, passed int, total int")
+    return got.select("id", A.execution_claim_errors(*[F.col(c) for c in got.columns[1:]]).alias("errors"))
+
+
+@register("SELECT doc_id, doc_id % 4 <> 3 AS ok FROM documents")
+def stored_hashes(spark, sf_dir):
+    """Hashes of the content, of it without its last line end, none, and a wrong one."""
+    k, content = F.col("doc_id") % 4, F.concat("text", F.lit("\n"))
+    stored = F.when(k == 0, F.sha2(content, 256)).when(k == 1, F.sha2("text", 256)).when(k == 3, "wrong")
+    return table(spark, sf_dir, "documents").select("doc_id", A.stored_hash_ok(content, stored).alias("ok"))
+
+
+@register("SELECT * FROM (VALUES (1, 1, 'LeetCode 7: 甲', 'https://leetcode.cn/problems/a/', 'Easy', 'x, y', 'do it'), (1, 2, 'B', 'https://leetcode.cn/problems/b/', 'unknown', 'unknown', '')) AS t(id, rank, title, url, difficulty, tags, statement)")
+def contest_payload(spark, sf_dir):
+    payload = '{"contest_number":480,"contest_slug":"w","questions":[{"title":"A","titleSlug":"a","detail":{"translatedTitle":"甲","questionFrontendId":"7","difficulty":"Easy","topicTags":[{"name":"x"},{"name":"y"}],"content":"<p>do <b>it</b></p>"}},{"title":""},{"title":"B","titleSlug":"b"}]}'
+    return A.contest_questions(spark.createDataFrame([(1, payload), (2, "{}")], "id int, p string"), "id", "p")
+
+
+@register("SELECT conv_id, array_to_string(list(left(text, 20) ORDER BY turn)[1:100], '|') AS seen FROM conversations GROUP BY conv_id")
+def observer_projection(spark, sf_dir):
+    """What an observer of a session gets to see: the first hundred items, in order."""
+    items = F.slice(F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(20)).alias("t")))), 1, 100)
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(items, lambda s: s["t"]), "|").alias("seen"))
