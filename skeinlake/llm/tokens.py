@@ -17,6 +17,7 @@ _OTHER = re.compile(f"[{_WHITE.replace(chr(32), '').replace('\t-\r', '\t\x0b-\r'
 
 
 _WHITES = frozenset(["", *"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"])
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Pieces whose ids a worker keeps: about 350 MB at most.
 KEEP = 2_000_000
@@ -41,7 +42,7 @@ class ChunkEncoder:
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.keep, self.known, self.older = keep, {}, {}
-        self.tail = {x: self._one(x) for x in (".", ",")}
+        self.tail: dict[str, bytes] = {}
 
     def _all(self, pieces: list[str]) -> list[bytes]:
         """The ids of a blank and each piece behind it; new pieces are encoded together."""
@@ -61,7 +62,7 @@ class ChunkEncoder:
         return got
 
     def _learn(self, pieces: list[str]) -> None:
-        """Adds pieces' ids. Lines, and a stop or comma behind a letter, are words of their own: such a piece is put together from
+        """Adds pieces' ids. Lines, and marks behind a letter at the end, are words of their own: such a piece is put together from
         parts if those are known. A part behind a line end stands under its own text with that line end."""
         known, older, ask, late = self.known, self.older, [], []
         for p in pieces:
@@ -69,14 +70,19 @@ class ChunkEncoder:
             if end:
                 parts = [first, *(f"\n{r}" for r in rest.split("\n"))] if first and rest and "\n\n" not in p and rest[-1] != "\n" else None
             else:
-                parts = [p[:-1], p[-1]] if p[-1:] in (".", ",") and p[-2:-1] in _LETTERS else None
+                word = p.rstrip(_MARKS)
+                parts = [word, p[len(word) :]] if word != p and word[-1:] in _LETTERS and "<|" not in p else None
             if parts is None:
                 ask.append(p)
             elif end:
                 ask += [x for x in parts if x not in known and x not in older]
                 late.append((p, parts))
             elif (ids := known.get(parts[0]) or older.get(parts[0])) is not None:
-                known[p] = ids + self.tail[parts[1]]
+                if (tail := self.tail.get(parts[1])) is None:
+                    tail = self._one(parts[1])
+                    if len(self.tail) < 10_000:
+                        self.tail[parts[1]] = tail
+                known[p] = ids + tail
             else:
                 ask.append(p)
         texts = [p if p[:1] == "\n" else f" {p}" for p in ask]
