@@ -44,6 +44,7 @@ _HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 _KEEPS_P = frozenset("html head body title label button select option textarea legend caption thead tbody tfoot tr td th li dt dd summary figcaption".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OPENS = re.compile(r"</?[a-zA-Z]")
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HREF = re.compile(r"\s(?:hidden\b|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
 
@@ -139,8 +140,13 @@ def parse(page: str, mark: str | None = None) -> Tree:
             continue
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
         if not m:
-            if page[lt + 1 : lt + 2].isalpha() or page.startswith("</", lt):
+            if _OPENS.match(page, lt):
                 break  # a tag that the page's end cuts off
+            if page.startswith("</", lt) and lt + 2 < end:
+                # An end tag without a name is a comment up to the next '>'.
+                stop = page.find(">", lt)
+                at = end if stop < 0 else stop + 1
+                continue
             say("<")
             at = lt + 1
             continue

@@ -155,6 +155,17 @@ def test_parsing():
     assert [text for _, text in t.runs] == ["a & b c d ef", "g", "h", "i", "j", "k", "l < m"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [("a</>b", "ab"), ("a</ div>b", "ab"), ("a</3 x>b", "ab"), ("a<é b", "a<é b"), ("a <日本> b", "a <日本> b"), ("a < b </", "a < b </"), ("a</ b", "a"), ("a<b", "a"), ("a</b", "a")],
+)
+def test_text_behind_malformed_tags(page, want):
+    """What no tag begins is text, what only looks like an end tag is a comment; neither ends the page."""
+    assert [text for _, text in html_tree.parse(page).runs] == [want]
+    whole = html_tree.parse(f"<p>{page}</p><p>rest</p>" if want != "a" else f"<p>{page}></p><p>rest</p>")
+    assert whole.runs[-1][1] == "rest"
+
+
 def test_page_rows(spark):
     article = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Title</h1><p>Some text &amp; more.</p></article><footer>&copy; x</footer></body></html>"
     rows = spark.createDataFrame([(1, "u", article, 0), (1, "u", article, 0), (2, None, None, 0), (3, "u", "", 0), (4, "u", "only text", 0)], "page_id long, url string, html string, text int")
