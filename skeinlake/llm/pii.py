@@ -53,8 +53,8 @@ KINDS = tuple(PATTERNS)
 #: All in one, behind nothing that continues a word or number. Repeats are bounded: no text, however long, backtracks far.
 _BEHIND = {"email": "(?<![A-Za-z0-9_.%+-])", "ipv4": r"(?<![A-Za-z0-9])(?<![0-9]\.)"}
 ANY = "|".join(_BEHIND.get(k, "(?<![A-Za-z0-9])") + f"(?:{p})" for k, p in PATTERNS.items())
-#: A text without one of these can't hold a match.
-HINT = r"[0-9]{2}|@|AKIA|[=:]"
+#: A text without one of these can't hold a match: all but emails and secrets have two digits with at most these between them.
+HINT = r"[0-9][ .()-]{0,3}[0-9]|@|AKIA|[=:]"
 
 
 def _digest(key: str, tag: str, *parts: Column) -> Column:
