@@ -18,9 +18,12 @@ undone, so the whole is a permutation, for halves of any two sizes. Emails and s
 values) have no such format: a keyed digest replaces the local part and host, or as many characters as the secret had.
 
 A pattern marks what it finds; texts are split at the marks; only marked pieces are looked at again. Texts without a mark
-pass through as they are.
+pass through as they are. A mark of a card or IBAN that fails its check may have taken in what stands before or behind a valid
+value (an expiry, a currency): such marks are lifted, IBANs and cards in customary groups are looked for from each of the
+text's words on, and what is then free is searched for the other kinds. Digits in other groups count as a card only alone:
+one in ten runs of numbers has a part that passes Luhn's check.
 
-Defined results: null text stays null, empty text empty; the characters U+E000 and U+E001 of the private use area, which
+Defined results: null text stays null, empty text empty; the characters U+E000 to U+E003 of the private use area, which
 serve as marks, are kept (they are escaped and restored); equal rows give equal rows; empty tables give
 none; other columns pass through unchanged, unless named as the counts are (they are then replaced).
 """
@@ -35,8 +38,10 @@ from pyspark.sql import functions as F
 ROUNDS = 6
 KEY = "skeinlake"
 OPEN, CLOSE = "\ue000", "\ue001"
+#: Stands where a card or IBAN may begin.
+START = "\ue003"
 #: Stand for the marks where a text has them itself: in turn, so that nothing is lost.
-_ESCAPES = (("\ue002", "\ue002a"), (OPEN, "\ue002b"), (CLOSE, "\ue002c"))
+_ESCAPES = (("\ue002", "\ue002a"), (OPEN, "\ue002b"), (CLOSE, "\ue002c"), (START, "\ue002d"))
 
 #: In order: where two could match at one place, the first counts.
 PATTERNS = {
@@ -52,7 +57,17 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: All in one, behind nothing that continues a word or number. Repeats are bounded: no text, however long, backtracks far.
 _BEHIND = {"email": "(?<![A-Za-z0-9_.%+-])", "ipv4": r"(?<![A-Za-z0-9])(?<![0-9]\.)"}
-ANY = "|".join(_BEHIND.get(k, "(?<![A-Za-z0-9])") + f"(?:{p})" for k, p in PATTERNS.items())
+def _any(kinds) -> str:
+    return "|".join(_BEHIND.get(k, "(?<![A-Za-z0-9])") + f"(?:{PATTERNS[k]})" for k in kinds)
+
+
+ANY = _any(KINDS)
+#: Kinds whose checks tell where a value ends, and the others.
+CHECKED = ("iban", "card")
+OTHERS = _any(k for k in KINDS if k not in CHECKED)
+#: Cards in customary groups; their lengths and those of IBANs, separators included.
+GROUPED = r"[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -](?:[0-9]{1,4}|[0-9]{4}[ -][0-9]{1,3})|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{6}[ -][0-9]{13}"
+SHORTEST, LONGEST = 13, 43
 #: A text without one of these can't hold a match: all but emails and secrets have two digits with at most these between them.
 HINT = r"[0-9][ .()-]{0,3}[0-9]|@|AKIA|[=:]"
 
@@ -120,12 +135,16 @@ def _refill(shape: Column, digits: Column) -> Column:
     )
 
 
+def _is_card(s: Column) -> Column:
+    d = _digits(s)
+    return F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0)
+
+
 def _card(s: Column, key: str) -> Column:
     d = _digits(s)
     body = F.substr(d, F.lit(1), F.length(d) - 1)
-    valid = (F.length(d).between(13, 19)) & (luhn_sum(d, False) % 10 == 0)
     made = _bind(permute_digits(body, key, "card"), lambda b: _refill(s, F.concat(b, F.pmod(10 - luhn_sum(b, True) % 10, F.lit(10)).cast("string"))))
-    return F.when(valid, made)
+    return F.when(_is_card(s), made)
 
 
 def _mod97(s: Column) -> Column:
@@ -134,10 +153,14 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(turned, F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97))
 
 
+def _is_iban(s: Column) -> Column:
+    plain = F.replace(s, F.lit(" "), F.lit(""))
+    return F.length(plain).between(15, 34) & (_mod97(F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), plain)) == 1)
+
+
 def _iban(s: Column, key: str) -> Column:
     plain = F.replace(s, F.lit(" "), F.lit(""))
     account = F.substr(plain, F.lit(5))
-    valid = F.length(plain).between(15, 34) & (_mod97(F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), plain)) == 1)
     moved = permute_digits(_digits(account), key, "iban")
 
     def checked(digits: Column) -> Column:
@@ -146,7 +169,7 @@ def _iban(s: Column, key: str) -> Column:
         check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
         return _refill(s, F.concat(check, digits))
 
-    return F.when(valid, _bind(moved, checked))
+    return F.when(_is_iban(s), _bind(moved, checked))
 
 
 #: Days from 1900-01-01 to 2099-12-31: 229 x 319.
@@ -245,12 +268,56 @@ def _whole(kind: str) -> str:
     return f"^(?:{PATTERNS[kind]})$"
 
 
+def _failing(s: Column) -> Column:
+    """Whether a mark is that of a card or IBAN, of no other kind, and fails the check."""
+    other = "|".join(_whole(k) for k in KINDS if k not in CHECKED)
+    card, iban = s.rlike(_whole("card")), s.rlike(_whole("iban"))
+    return (card | iban) & ~s.rlike(other) & ~F.when(card, F.coalesce(_is_card(s), F.lit(False))).otherwise(F.coalesce(_is_iban(s), F.lit(False)))
+
+
+def _valid_length(s: Column) -> Column:
+    """Of the longest IBAN or grouped card that s begins with and that ends where a word does; null if there is none."""
+
+    def valid(n: Column) -> Column:
+        head = F.substr(s, F.lit(1), n)
+        ends = (F.length(s) >= n) & ~F.substr(s, n + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+        return ends & F.when(head.rlike(f"^(?:{GROUPED})$"), _is_card(head)).when(head.rlike(_whole("iban")), _is_iban(head)).otherwise(False)
+
+    return F.array_max(F.filter(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), valid))
+
+
+def _marked_anew(pieces: Column) -> Column:
+    """The marked text of pieces with failing marks lifted and the values that they hid marked.
+
+    A place where a card or IBAN may begin gets START and, if a valid one does, its length as a character. One replacement
+    from left to right then marks values that don't overlap, so the work is in proportion to the text.
+    """
+    lifted = F.array_join(F.transform(pieces, lambda s, i: F.when((i % 2 == 0) | _failing(s), s).otherwise(F.concat(F.lit(OPEN), s, F.lit(CLOSE)))), "")
+    begins = f"(?:{GROUPED})(?![0-9A-Za-z])|{PATTERNS['iban']}"
+    begun = F.split(F.regexp_replace(lifted, f"{OPEN}[^{CLOSE}]*{CLOSE}|(?<![A-Za-z0-9])(?={begins})", f"$0{START}"), START)
+
+    def placed(begun: Column, near: Column) -> Column:
+        def begin(s: Column, i: Column) -> Column:
+            behind = F.left(F.array_join(F.slice(near, i + 1, F.lit(LONGEST // 2 + 2)), ""), F.lit(LONGEST + 1))
+            return F.when(i == 0, s).otherwise(_bind(_valid_length(behind), lambda n: F.when(n.isNull(), s).otherwise(F.concat(F.lit(START), F.char(n + 32), s))))
+
+        return F.array_join(F.transform(begun, begin), "")
+
+    # What stands behind a place: the next ones follow after two characters or more.
+    coded = _bind(begun, lambda b: _bind(F.transform(b, lambda s: F.left(s, F.lit(LONGEST + 1))), lambda near: placed(b, near)))
+    taken = "|".join(rf"{START}\x{{{n + 32:x}}}(?:(?:{START}.)?[^{START}]){{{n}}}" for n in range(SHORTEST, LONGEST + 1))
+    found = F.regexp_replace(F.regexp_replace(coded, taken, f"{OPEN}$0{CLOSE}"), f"{START}.", "")
+    return F.regexp_replace(found, f"{OPEN}([^{CLOSE}]*){CLOSE}|({OTHERS})", f"{OPEN}$1$2{CLOSE}")
+
+
 def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """docs with the text's values replaced, and for each kind the number replaced: n_email, n_secret, ..."""
     source = F.col(f"`{text}`")
-    safe = F.when(source.rlike("[\ue000-\ue002]"), _swap(source, _ESCAPES)).otherwise(source)
+    safe = F.when(source.rlike("[\ue000-\ue003]"), _swap(source, _ESCAPES)).otherwise(source)
     marked = F.when(source.rlike(HINT), F.regexp_replace(safe, ANY, f"{OPEN}$0{CLOSE}")).otherwise(F.lit(""))
-    pieces = F.when(marked.contains(OPEN), F.split(marked, f"[{OPEN}{CLOSE}]"))
+    at_marks = lambda s: F.split(s, f"[{OPEN}{CLOSE}]")
+    hides = lambda ps: F.exists(F.transform(ps, lambda s, i: (i % 2 == 1) & _failing(s)), lambda x: x)
+    pieces = F.when(marked.contains(OPEN), _bind(at_marks(marked), lambda ps: F.when(hides(ps), at_marks(_marked_anew(ps))).otherwise(ps)))
 
     def made(s: Column) -> Column:
         """What becomes of a marked piece: kind and text; a value that its check rejects is left as it is."""

@@ -227,6 +227,23 @@ def test_values_in_bare_texts(spark):
         assert a[f"n_{kind}"] == 1 and value not in a["text"] and b["text"] == a["text"] + ": 00", (kind, value)
 
 
+def test_values_beside_other_words(spark):
+    """A valid card or IBAN is replaced, as it is alone, whatever words stand beside it; what it is beside of is searched as well."""
+    card, iban, amex = "4111 1111 1111 1111", "ES9121000418450200051332", "3782 822463 10005"
+    alone = {v: masked(spark, [f"{v}."])[0]["text"][:-1] for v in (card, iban, amex)}
+    assert all(v != w for v, w in alone.items())
+    behind = {card: (" 12/27", " 123", " 12/27 123", "-12", " 1 2 3", " 12 EUR"), amex: (" 12/27", " 1234"), iban: (" EUR 5", " EUR", " FROM US", " PAYMENT", " 100", " 1234 567", " DE")}
+    cases = [(v, "", b) for v, bs in behind.items() for b in bs] + [(card, "12 ", ""), (card, "Order 77-", " 12/27"), (iban, "AB12 ", " EUR")]
+    for (v, a, b), got in zip(cases, masked(spark, [f"x {a}{v}{b}, y" for v, a, b in cases]), strict=True):
+        assert got["text"] == f"x {a}{alone[v]}{b}, y" and got["n_card"] + got["n_iban"] == 1, (v, a, b, got)
+    several = masked(spark, [f"{card} 12 {amex} 10 {iban} EUR {card} 123", f"\ue003- {card} 12/27 \ue003"])
+    assert several[0]["text"] == f"{alone[card]} 12 {alone[amex]} 10 {alone[iban]} EUR {alone[card]} 123" and (several[0]["n_card"], several[0]["n_iban"]) == (3, 1)
+    assert several[1]["text"] == f"\ue003- {alone[card]} 12/27 \ue003"
+    hidden = masked(spark, [f"{card} 192.168.1.1", "1234567890123 555-234-4567", f"{iban} {card}"])
+    assert (hidden[0]["n_card"], hidden[0]["n_ipv4"], hidden[1]["n_phone"], hidden[2]["n_iban"], hidden[2]["n_card"]) == (1, 1, 1, 1, 1)
+    assert hidden[2]["text"] == f"{alone[iban]} {alone[card]}" and "192.168.1.1" not in hidden[0]["text"] and hidden[1]["text"].startswith("1234567890123 ")
+
+
 def test_phones_outside_the_plan(spark):
     a, b = masked(spark, ["+1 (017) 555-7713 +1 (226) 155-7713", "017-555-7713"])
     assert re.fullmatch(r"\+1 \([01]\d\d\) \d{3}-\d{4} \+1 \([2-9]\d\d\) [01]\d\d-\d{4}", a["text"]) and a["n_phone"] == 2 and b["n_phone"] == 0
