@@ -34,9 +34,9 @@ def session_list(spark, sf_dir):
 
 @register(f"WITH {MSG_SQL}, s AS (SELECT range AS session_id FROM range(0, 120)) SELECT s.session_id, count(msg.seq) AS message_count FROM s LEFT JOIN msg USING (session_id) GROUP BY ALL")
 def session_message_count(spark, sf_dir):
-    """Sessions without messages count as 0."""
+    """All sessions of the messages, and those of the first 120 that have none: they count as 0."""
     counts = messages(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n"))
-    return spark.range(0, 120).withColumnRenamed("id", "session_id").join(counts, "session_id", "left").select("session_id", F.coalesce("n", F.lit(0)).alias("message_count"))
+    return spark.range(0, 120).withColumnRenamed("id", "session_id").join(counts, "session_id", "full").select("session_id", F.coalesce("n", F.lit(0)).alias("message_count"))
 
 
 @register(f"WITH {MSG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, role, content) AS back FROM msg) SELECT session_id, seq, role, left(content, 80) AS head, back FROM r WHERE back <= 12")
