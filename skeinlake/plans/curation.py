@@ -152,7 +152,7 @@ def quota_topup_fill(spark, sf_dir):
     sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(6)
     sold = sold.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "k")).cast("long"))  # six rows
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("long").alias("position"))
-    return C.quota_fill([sold, part.where("k <= 5"), part.where("k <= 50")], "k", 10)
+    return C.quota_fill([sold, part.where("k <= 5"), part], "k", 10)
 
 
 @register("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
