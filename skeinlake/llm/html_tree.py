@@ -6,19 +6,20 @@ by the kind of child. As the DOM is a tree, sum-product messages passed upward a
 marginals; blocks whose marginal reaches a half are kept, in page order. The pages of a batch are passed together, level by level.
 
 The weights are trained here, by gradient ascent on the exact likelihood (expected counts come from the same messages), from
-labelled pages which `training_pages` writes: articles in different wrappings among menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments.
+labelled pages which `training_pages` writes: articles in different wrappings, with headings, bylines and figures in headers of
+their own or without, of one paragraph or many, among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
 Text of scripts, styles and other raw elements and comments never becomes a node's. Character references are decoded as HTML5 says.
 White space within a block becomes one blank; blocks are joined by one blank.
 
 Defined results: null, empty and tag-free pages: the text of a page without any tag is its own content; a page without content gives an empty text; equal
-pages give equal texts; repeated rows are extracted each; an empty table gives no rows; other columns are not read.
+pages give equal texts; a very long page is one tree of its own, whole; repeated rows are extracted each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,13 +41,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video noembed noframes".split())
 #: What a start tag closes, up to the elements that hold such tags apart.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: Elements open at once; deeper ones become siblings, so that no page costs more than in proportion to its length.
+DEEPEST = 512
 _HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 _KEEPS_P = frozenset("html head body title label button select option textarea legend caption thead tbody tfoot tr td th li dt dd summary figcaption".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _OPENS = re.compile(r"</?[a-zA-Z]")
+#: These run to their end tag or the page's end, whatever slash their start tag ends in.
+_SCRIPTS = frozenset(("script", "style"))
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-_HREF = re.compile(r"\s(?:hidden\b|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
+_LINK = re.compile(r"\shref\b", re.IGNORECASE)
+_HIDDEN = re.compile(r"\s(?:hidden\b|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
 
 #: Groups of words that names of classes, ids and roles are made of.
 WORDS = {
@@ -58,17 +64,23 @@ WORDS = {
     "notice": ("cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "paywall", "newsletter", "subscribe", "disclaimer"),
     "comment": ("comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "responses", "respond"),
     "form": ("form", "search", "login", "signup", "register", "contact", "subscription"),
-    "share": ("share", "sharing", "social", "follow", "tags", "meta", "byline", "author"),
+    "share": ("share", "sharing", "social", "follow", "tags"),
+    "byline": ("byline", "author", "meta", "date", "published", "dateline", "lead", "summary", "subtitle", "caption", "standfirst"),
     "content": ("article", "content", "post", "entry", "story", "body", "text", "main", "blog", "page", "prose"),
 }
 _WORD = {w: i for i, ws in enumerate(WORDS.values()) for w in ws}
 _TAGS = ("html", "head", "title", "body", "article", "main", "section", "div", "p", "heading", "list", "li", "table", "quote", "nav", "header", "footer", "aside", "form", "control", "figure", "dialog", "other")
 _TAG_GROUP = {t: t for t in _TAGS} | {f"h{i}": "heading" for i in range(1, 7)} | dict.fromkeys(("ul", "ol", "menu", "dl"), "list") | dict.fromkeys(("dt", "dd"), "li") | dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot", "caption"), "table") | dict.fromkeys(("blockquote", "pre"), "quote") | dict.fromkeys(("label", "button", "select", "option", "textarea", "fieldset", "legend"), "control") | {"figcaption": "figure"}
 _TAG_NUMBER = {t: _TAGS.index(_TAG_GROUP.get(t, "other")) for t in BLOCKS}
-#: Tags, words of names, then: own text, link share of own text, link share below, text below, sentence ends, depth, place, hidden, bias.
-FEATURES = len(_TAGS) + len(WORDS) + 9
-#: Kinds of child for edge potentials: plain blocks, sections, page parts, headings and items.
-_KIND = {"p": 0, "quote": 0, "table": 0, "figure": 0, "article": 1, "main": 1, "section": 1, "div": 1, "body": 1, "html": 1, "nav": 2, "header": 2, "footer": 2, "aside": 2, "form": 2, "control": 2, "dialog": 2, "head": 2, "title": 2}
+#: Tags, words of names, then: own text, link share of own text, link share below, text below, sentence ends, depth, place, hidden, bias,
+#: characters below, those of them that are sentences, a main heading below, inside an article or main element, a header or footer there.
+_REST = 16
+FEATURES = len(_TAGS) + len(WORDS) + _REST
+_ARTICLES = tuple(_TAGS.index(t) for t in ("article", "main"))
+_HEADER, _FOOTER = _TAGS.index("header"), _TAGS.index("footer")
+#: Kinds of child for edge potentials: plain blocks, sections, page parts, headings and items, headers.
+KINDS = 5
+_KIND = {"p": 0, "quote": 0, "table": 0, "figure": 0, "article": 1, "main": 1, "section": 1, "div": 1, "body": 1, "html": 1, "nav": 2, "header": 4, "footer": 2, "aside": 2, "form": 2, "control": 2, "dialog": 2, "head": 2, "title": 2}
 _KIND_NUMBER = [_KIND.get(t, 3) for t in _TAGS]
 
 
@@ -80,11 +92,17 @@ class Tree:
     tag: list[int] = field(default_factory=lambda: [_TAGS.index("other")])
     named: list[int] = field(default_factory=lambda: [0])  # bits of WORDS' groups
     hidden: list[bool] = field(default_factory=lambda: [False])
+    main_heading: list[bool] = field(default_factory=lambda: [False])
     linked: list[int] = field(default_factory=lambda: [0])  # characters inside links
     runs: list[tuple[int, str]] = field(default_factory=list)
     marks: dict[int, str] = field(default_factory=dict)  # labels of training pages, by node
 
 
+@lru_cache(maxsize=None)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE)
+
+
 def _names(attributes: str) -> int:
     bits = 0
     for m in _NAMED.finditer(attributes):
@@ -101,6 +119,7 @@ def parse(page: str, mark: str | None = None) -> Tree:
     pieces: list[str] = []
     links = at = 0
     end = len(page)
+    endless: set[str] = set()  # raw elements that have no end tag any more
 
     def say(text: str) -> None:
         pieces.append(html.unescape(text) if "&" in text else text)
@@ -153,7 +172,7 @@ def parse(page: str, mark: str | None = None) -> Tree:
         at, name = m.end(), m[2].lower()
         if m[1]:
             if name == "a":
-                links = max(0, links - 1)
+                links = 0
             elif name in BLOCKS:
                 # An end tag of any heading closes the heading that is open.
                 ends = stack[-1][0] if name in _HEADINGS and stack[-1][0] in _HEADINGS else name
@@ -166,11 +185,16 @@ def parse(page: str, mark: str | None = None) -> Tree:
         if name == "br" or name == "hr":
             pieces.append("\n")
         elif name == "a":
-            links += not m[3].endswith("/")
+            links = int(bool(_LINK.search(m[3])))  # a link within a link ends it
         elif name in RAW:
-            if not m[3].endswith("/"):
-                closing = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-                at = closing.end() if closing else end
+            # Without an end tag, or closed by a slash, other raw elements hide nothing.
+            closed = name in endless or m[3].endswith("/") and name not in _SCRIPTS
+            if closing := None if closed else _raw_end(name).search(page, at):
+                at = closing.end()
+            elif name in _SCRIPTS:
+                at = end
+            elif not closed:
+                endless.add(name)
         elif name in BLOCKS:
             if name not in _KEEPS_P:
                 close({"p"}, {"td", "th", "li", "button", "body", "div", "article", "section", "blockquote"})
@@ -178,12 +202,14 @@ def parse(page: str, mark: str | None = None) -> Tree:
                 close(*_CLOSES[name])
             cut()
             links = 0
+            del stack[DEEPEST:]
             number = len(tree.parent)
             tree.parent.append(stack[-1][1])
             tree.tag.append(_TAG_NUMBER[name])
             tree.named.append(_names(m[3]) if m[3] else 0)
-            tree.hidden.append(bool(m[3]) and bool(_HREF.search(m[3])))
+            tree.hidden.append(bool(m[3]) and bool(_HIDDEN.search(m[3])))
             tree.linked.append(0)
+            tree.main_heading.append(name == "h1")
             if mark and (got := re.search(rf'{mark}="(\d)"', m[3])):
                 tree.marks[number] = got[1]
             stack.append((name, number))
@@ -213,19 +239,20 @@ def forest_of(trees: list[Tree]) -> Forest:
     linked = np.concatenate([np.array(t.linked, float) for t in trees])
     hidden = np.concatenate([np.array(t.hidden, float) for t in trees])
     n = len(parent)
-    own, ends, place, said = np.zeros(n), np.zeros(n), np.zeros(n), np.ones(len(trees))
+    headed = np.concatenate([np.array(t.main_heading, bool) for t in trees])
+    own, ends, said, prose = np.zeros(n), np.zeros(n), np.ones(len(trees)), np.zeros(n)
     for i, t in enumerate(trees):
         at = 0
         for node, text in t.runs:
             k = node + first[i]
             own[k] += len(text)
-            ends[k] += text[-1] in ".!?…:"
+            if text[-1] in ".!?…:":
+                ends[k] += 1
+                prose[k] += len(text)
             at += len(text)
         said[i] = max(1, at)
     depth = np.zeros(n, np.int64)
     levels = [np.flatnonzero(parent < 0)]
-    up = parent
-    alive = np.flatnonzero(up >= 0)
     # Parents come before children, so depths settle level by level.
     order = np.argsort(parent, kind="stable")
     sorted_parents = parent[order]
@@ -238,17 +265,23 @@ def forest_of(trees: list[Tree]) -> Forest:
         children = order[starts + np.arange(total)]
         depth[children] = len(levels)
         levels.append(children)
-    below, linked_below, count = own.copy(), linked.copy(), np.ones(n)
+    below, linked_below, prose_below = own.copy(), linked.copy(), prose * (linked <= own / 2)
     for level in reversed(levels[1:]):
         np.add.at(below, parent[level], below[level])
         np.add.at(linked_below, parent[level], linked_below[level])
+        np.add.at(prose_below, parent[level], prose_below[level])
+        np.logical_or.at(headed, parent[level], headed[level])
+    inside = np.isin(tag, _ARTICLES)
+    for level in levels[1:]:
+        inside[level] |= inside[parent[level]]
     place = (np.arange(n) - first[page]) / np.maximum(1, sizes[page])
     x = np.zeros((n, FEATURES), np.float32)
     x[np.arange(n), tag] = 1
     for g in range(len(WORDS)):
         x[:, len(_TAGS) + g] = named >> g & 1
-    rest = (np.log1p(own) / 5, linked / np.maximum(1, own), linked_below / np.maximum(1, below), below / said[page], np.minimum(1, ends), np.minimum(depth, 12) / 6, place, hidden, count)
-    x[:, -9:] = np.stack(rest, axis=1)
+    rest = (np.log1p(own) / 5, linked / np.maximum(1, own), linked_below / np.maximum(1, below), below / said[page], np.minimum(1, ends), np.minimum(depth, 12) / 6, place, hidden, np.ones(n))
+    rest += (np.log1p(below) / 7, np.log1p(prose_below) / 7, headed, inside, inside & headed, inside & (tag == _HEADER), inside & (tag == _FOOTER))
+    x[:, -_REST:] = np.stack(rest, axis=1)
     return Forest(parent, np.array(_KIND_NUMBER)[tag], levels, x, first)
 
 
@@ -294,74 +327,105 @@ def fit(trees: list[Tree], rounds: int = 150, rate: float = 0.15, l2: float = 1e
     for i, t in enumerate(trees):
         for k in range(1, len(t.parent)):
             y[f.first[i] + k] = int(t.marks[k]) if k in t.marks else y[f.first[i] + t.parent[k]]
-    model = Model(np.zeros(FEATURES), np.zeros((4, 2, 2)))
+    model = Model(np.zeros(FEATURES), np.zeros((KINDS, 2, 2)))
     child = np.flatnonzero(f.parent >= 0)
-    seen_edges = np.zeros((4, 2, 2))
+    seen_edges = np.zeros((KINDS, 2, 2))
     np.add.at(seen_edges, (f.kind[child], y[f.parent[child]], y[child]), 1)
     seen = f.x.T @ y
     n = len(trees)
-    theta = np.zeros(FEATURES + 16)
+    theta = np.zeros(FEATURES + 4 * KINDS)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         nodes, edges, _ = sum_product(model, f)
-        want = np.zeros((4, 2, 2))
+        want = np.zeros((KINDS, 2, 2))
         np.add.at(want, f.kind[child], np.exp(edges[child]))
         g = np.append((seen - f.x.T @ np.exp(nodes[:, 1])) / n, ((seen_edges - want) / n).ravel()) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        model = Model(theta[:FEATURES].copy(), theta[FEATURES:].reshape(4, 2, 2).copy())
+        model = Model(theta[:FEATURES].copy(), theta[FEATURES:].reshape(KINDS, 2, 2).copy())
     return model
 
 
-def training_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
+def training_pages(n: int = 800, seed: int = 11) -> Iterator[str]:
     """Pages whose elements carry data-y="1" where content begins and data-y="0" where it ends; children inherit it."""
-    rng = np.random.default_rng(seed)
-    letters = list("etaoinshrdlucmfwygpbvk")
+    rng = random.Random(seed)
+    letters = "etaoinshrdlucmfwygpbvk"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(4000)]
 
-    def pick(*options: str) -> str:
-        return options[rng.integers(len(options))]
+    def pick(*options):
+        return rng.choice(options)
 
     def maybe(p: float) -> bool:
         return rng.random() < p
 
     def words(a: int, b: int) -> str:
-        return " ".join("".join(rng.choice(letters, rng.integers(1, 10))) for _ in range(rng.integers(a, b + 1)))
+        return " ".join(rng.choices(vocabulary, k=rng.randint(a, b)))
 
     def sentence(a: int = 1, b: int = 25) -> str:
         return words(a, b).capitalize() + pick(".", ".", ".", "?", "!")
 
     def prose(most: int = 8) -> str:
-        return " ".join(sentence() for _ in range(rng.integers(1, most + 1)))
+        return " ".join(sentence() for _ in range(rng.randrange(1, most + 1)))
 
     def links(a: int, b: int) -> str:
-        return "".join(f'<li><a href="/{words(1, 1)}">{words(1, 3)}</a></li>' for _ in range(rng.integers(a, b + 1)))
+        return "".join(f'<li><a href="/{words(1, 1)}">{words(1, 3)}</a></li>' for _ in range(rng.randrange(a, b + 1)))
 
     def name(group: str) -> str:
         w = pick(*WORDS[group])
         w = pick(w, w, f"{words(1, 1)}-{w}", f"{w}-{words(1, 1)}", f"{w}_{words(1, 1)}")
         return pick(f' class="{w}"', f' id="{w}"', f' class="{words(1, 1)} {w}"')
 
-    def block(out: list[str]) -> None:
-        """A piece of an article: sometimes unclosed, emphasised, or a list, table or quotation."""
+    def figure() -> str:
+        caption = pick("", f"<figcaption>{pick(words(1, 8), sentence(2, 14))}</figcaption>")
+        return f'<figure><img src="{words(1, 1)}.jpg">{caption}</figure>'
+
+    def block(out: list[str], plain: str) -> None:
+        """A piece of an article: sometimes unclosed, emphasised, or a list, table, quotation, figure, code or section."""
         k = rng.random()
-        if k < 0.62:
-            out.append(f"<p>{prose()}" + ("</p>" if maybe(0.85) else ""))
-        elif k < 0.72:
+        if k < 0.58:
+            out.append(f"<{plain}>{prose()}" + (f"</{plain}>" if plain == "div" or maybe(0.85) else ""))
+        elif k < 0.66:
             out.append(f"<p><b>{sentence()}" + ("</b></p>" if maybe(0.5) else "<br>"))
-        elif k < 0.8:
+        elif k < 0.74:
             tag = pick("h2", "h3", "h4")
             out.append(f"<{tag}>{words(1, 8)}</{tag}>")
+        elif k < 0.81:
+            tag = pick("ul", "ul", "ol")
+            item = pick(lambda: sentence(2, 14), lambda: words(1, 8))
+            out.append(f"<{tag}>" + "".join(f"<li>{item()}</li>" for _ in range(rng.randrange(2, 6))) + f"</{tag}>")
+        elif k < 0.85:
+            out.append(f"<blockquote><p>{prose(3)}</p></blockquote>")
         elif k < 0.88:
-            out.append("<ul>" + "".join(f"<li>{sentence(2, 14)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>")
+            out.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr>" for _ in range(rng.randrange(2, 5))) + "</table>")
+        elif k < 0.91:
+            out.append(figure())
         elif k < 0.93:
-            out.append(f"<blockquote><p>{prose(3)}</p></blockquote>")
+            out.append(f"<pre><code>{words(1, 12)}</code></pre>")
         elif k < 0.96:
-            out.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr>" for _ in range(rng.integers(2, 5))) + "</table>")
+            out.append(f"<section><h2>{words(1, 6)}</h2><p>{prose()}</p>{pick('', f'<p>{prose()}</p>')}</section>")
         else:
             out.append(f"<div>{prose()}</div>")
 
+    def top() -> str:
+        """How an article begins: its heading, alone or in a header of its own, with byline, date, lead or figure."""
+        if maybe(0.2):
+            return ""
+        tag = pick("h1", "h1", "h1", "h2")
+        heading = f"<{tag}>{words(1, 12)}</{tag}>"
+        by = pick(f"<p{name('byline')}>{words(1, 5)}</p>", f"<div{name('byline')}>{words(1, 6)}</div>", f"<time>{words(1, 3)}</time>", f"<p>{words(1, 5)}</p>", f"<p{name('byline')}>{sentence(2, 20)}</p>")
+        k = rng.random()
+        if k < 0.45:
+            return heading
+        if k < 0.6:
+            return f"<header>{heading}</header>"
+        if k < 0.75:
+            return f"<header{pick('', name('head'))}>{pick(heading + by, by + heading, heading + by + figure())}</header>"
+        if k < 0.85:
+            return f"<hgroup>{heading}<p>{words(2, 10)}</p></hgroup>"
+        return heading + by
+
     def noise(inside: bool = False) -> str:
-        k = rng.integers(7)
+        k = rng.randrange(8)
         if k == 0:
             return f'<div data-y="0"{name("advert")}>{pick(prose(2), words(2, 6))}</div>'
         if k == 1:
@@ -372,38 +436,52 @@ def training_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
         if k == 3:
             return f'<form data-y="0"{pick("", name("form"))}><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>{pick("", f"<p>{sentence()}</p>")}</form>'
         if k == 4:
-            return f'<aside data-y="0"{pick("", name("side"))}><h3>{words(1, 4)}</h3>{pick(f"<ul>{links(2, 7)}</ul>", f"<p>{prose(3)}</p>")}</aside>'
+            return f'<aside data-y="0"{pick("", name("side"), name("notice"))}>{pick("", f"<h3>{words(1, 4)}</h3>")}{pick(f"<ul>{links(2, 7)}</ul>", f"<p>{prose(3)}</p>", sentence())}</aside>'
         if k == 5:
             return f'<div data-y="0"{name("side")}><h4>{words(1, 3)}</h4><ul>{links(3, 7)}</ul></div>'
+        if k == 6:
+            return f'<section data-y="0"{name("side")}><h2>{words(1, 3)}</h2>' + "".join(f'<div><h3><a href="/{words(1, 1)}">{words(2, 8)}</a></h3></div>' for _ in range(rng.randrange(2, 5))) + "</section>"
         return "" if inside else f'<nav data-y="0"><ul>{links(3, 9)}</ul></nav>'
 
     def comments() -> str:
-        each = "".join(pick(f'<div class="comment"><p>{prose(3)}</p></div>', f'<li class="comment"><b>{words(1, 2)}</b> {prose(3)}</li>', f"<article><p>{prose(3)}</p></article>") for _ in range(rng.integers(1, 7)))
+        each = "".join(pick(f'<div class="comment"><p>{prose(3)}</p></div>', f'<li class="comment"><b>{words(1, 2)}</b> {prose(3)}</li>', f"<article><p>{prose(3)}</p></article>", f"<li>{prose(3)}</li>") for _ in range(rng.randrange(1, 7)))
         tag = pick("section", "div", "div", "ol")
         return f'<{tag} data-y="0"{name("comment")}>{pick("", f"<h3>{words(1, 3)}</h3>")}{each}</{tag}>'
 
+    #: Wrappings of an article; {y}: its label, {c}: a name that says so.
+    wrappings = (
+        ("<article{y}{c}>", "</article>"), ("<article{y}>", "</article>"), ("<article{y}>", "</article>"), ("<main{y}>", "</main>"), ("<main{y}{c}>", "</main>"), ("<div{y}{c}>", "</div>"), ("<div{y}>", "</div>"),
+        ("<section{y}{c}>", "</section>"), ("<main{y}><article>", "</article></main>"), ("<main{y}><div{c}>", "</div></main>"), ("<div{c}><article{y}>", "</article></div>"), ("<div><div><main{y}>", "</main></div></div>"), ('<div role="main"{y}>', "</div>"),
+    )
     for i in range(n):
-        article: list[str] = [f"<h1>{words(2, 12)}</h1>"] if maybe(0.85) else []
+        plain = "div" if maybe(0.1) else "p"
+        article = [top()]
         if maybe(0.15):
             article.append(pick(f"<p><b>{words(1, 12)}<br>", f"<p>{words(1, 12)}", f"<p>{sentence(1, 12)}</p>"))
-        for _ in range(rng.integers(1, 14) if len(article) < 2 or maybe(0.3) else 0):
-            block(article)
-            if maybe(0.06):
-                article.append(noise(inside=True))
-        opening, closing = [("<article{y}{c}>", "</article>"), ("<article{y}>", "</article>"), ("<article{y}>", "</article>"), ("<main{y}>", "</main>"), ("<div{y}{c}>", "</div>"), ("<div{y}>", "</div>"), ("<section{y}{c}>", "</section>"), ("<main><article{y}>", "</article></main>"), ("<main><div{y}{c}>", "</div></main>")][rng.integers(9)]
+        if maybe(0.15):
+            article.append(f"<{plain}>{prose(3)}</{plain}>")  # one paragraph, at most behind what precedes
+        else:
+            for _ in range(rng.randrange(1, 14) if article == [""] or maybe(0.9) else 0):
+                block(article, plain)
+                if maybe(0.06):
+                    article.append(noise(inside=True))
+        if maybe(0.1):
+            article.append(f'<footer data-y="0">{pick(f"<ul>{links(1, 4)}</ul>", words(1, 6), sentence())}</footer>')
+        opening, closing = wrappings[rng.randrange(len(wrappings))]
         body = opening.format(y=' data-y="1"', c=name("content")) + "".join(article)
         tail = comments() if maybe(0.35) else ""
         body += tail + closing if maybe(0.3) else closing + tail
         before = [f'<nav data-y="0"{pick("", name("menu"))}><ul>{links(2, 9)}</ul></nav>'] if maybe(0.7) else []
         if maybe(0.5):
             tag = pick("h1", "div", "p")
-            before.insert(rng.integers(len(before) + 1), f'<header data-y="0"{pick("", name("head"))}><{tag}>{words(1, 4)}</{tag}></header>')
+            inner = f'<nav><ul>{links(2, 6)}</ul></nav>' if maybe(0.3) else ""
+            before.insert(rng.randrange(len(before) + 1), f'<header data-y="0"{pick("", name("head"))}><{tag}>{words(1, 4)}</{tag}>{inner}</header>')
         elif maybe(0.4):
             before.append(f'<div data-y="0"{name(pick("menu", "head"))}>{pick(f"<ul>{links(2, 8)}</ul>", words(1, 6), f"<p>{sentence()}</p>")}</div>')
-        before += [noise() for _ in range(rng.integers(3))]
-        after = [noise() for _ in range(rng.integers(3))]
+        before += [noise() for _ in range(rng.randrange(3))]
+        after = [noise() for _ in range(rng.randrange(3))]
         if maybe(0.85):
-            after.append(f'<footer data-y="0"{pick("", name("foot"))}>{pick(sentence(), f"<p>&copy; {words(2, 6)}</p>", f"<ul>{links(2, 6)}</ul>")}</footer>')
+            after.append(f'<footer data-y="0"{pick("", name("foot"))}>{pick(sentence(), f"<p>&copy; {words(2, 6)}</p>", f"<ul>{links(2, 6)}</ul>", f"<h4>{words(1, 3)}</h4><p>{prose(3)}</p><ul>{links(2, 5)}</ul>")}</footer>')
         elif maybe(0.7):
             after.append(f'<div data-y="0"{name("foot")}>{pick(sentence(), f"<ul>{links(2, 6)}</ul>")}</div>')
         middle = "".join(before) + body + "".join(after)
@@ -414,7 +492,7 @@ def training_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 400, seed: int = 11) -> Model:
+def trained(n: int = 800, seed: int = 11) -> Model:
     return fit([parse(p, "data-y") for p in training_pages(n, seed)])
 
 
