@@ -7,13 +7,16 @@ the cue points. Packets are byte ranges of the file: nothing is decoded or copie
 The writer stores a payload losslessly as 8-bit PCM: one audio track, laced simple blocks in clusters, a cue for each cluster.
 
 Defined results: a null or empty file, or one without an EBML head, has no packets; a file that is cut off or
-damaged gives the packets read so far, and `error` says what is wrong; a null text is an empty text (64 zero bytes of payload); equal
-bytes give equal files; empty tables give no rows; other columns are not read.
+damaged, or in whose blocks numbers go beyond 64 bits, gives the packets read so far, and `error` says what is wrong; a bad
+number in what describes segment, tracks or cues is named there as well, and all packets are read; a null text is an empty text (64 zero bytes of payload); equal
+bytes give equal files; a very long text is one file, made and read in one piece (some ten times its bytes at once); repeated
+rows are stored each; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -118,12 +121,33 @@ def _children(data, at: int, end: int) -> Iterator[tuple[int, int, int]]:
         at = stop
 
 
+#: The greatest number that a table's column of 64 bits holds.
+_MOST = (1 << 63) - 1
+
+
+def _bounded(value: int) -> int:
+    if not -_MOST <= value <= _MOST:
+        raise BadMedia("a number is out of range")
+    return value
+
+
 def _uint(data, a: int, b: int) -> int:
-    return int.from_bytes(data[a:b], "big")
+    if b - a > 8:
+        raise BadMedia("a number is too long")
+    return _bounded(int.from_bytes(data[a:b], "big"))
 
 
 def _float(data, a: int, b: int) -> float:
-    return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b - a in (4, 8) else 0.0
+    value = struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b - a in (4, 8) else 0.0
+    if not math.isfinite(value):
+        raise BadMedia("a number isn't finite")
+    return value
+
+
+def _rounded(value: float) -> int:
+    if not math.isfinite(value):
+        raise BadMedia("a number isn't finite")
+    return round(value)
 
 
 def unlace(data, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
@@ -175,7 +199,21 @@ def _block(data, at: int, end: int, media: Media, base: int, scale: int, cluster
     lacing = flags >> 1 & 3
     step = next((t.frame_ns for t in media.tracks if t.number == track), 0)
     for k, (start, size) in enumerate(unlace(data, at + 3, end, lacing)):
-        media.packets.append(Packet(track or 0, (base + ticks) * scale + k * step, start, size, bool(flags & 0x80) if simple else key, cluster, lacing))
+        media.packets.append(Packet(track or 0, _bounded((base + ticks) * scale + k * step), start, size, bool(flags & 0x80) if simple else key, cluster, lacing))
+
+
+def _described(media: Media, ident: int, data, at: int, stop: int, scale: int, segment: int) -> int:
+    """Reads what the segment says of itself, its tracks or its cues; the time scale that holds from here on."""
+    for i, a, b in _children(data, at, stop):
+        if ident == INFO and i == SCALE:
+            scale = _uint(data, a, b)
+        elif ident == INFO and i == DURATION:
+            media.duration_ns = _bounded(_rounded(_float(data, a, b) * scale))
+        elif ident == TRACKS and i == ENTRY:
+            media.tracks.append(_track(data, a, b))
+        elif ident == CUES and i == POINT:
+            media.cues += _cue(data, a, b, scale, segment)
+    return scale
 
 
 def parse(data: bytes | None) -> Media:
@@ -202,16 +240,11 @@ def parse(data: bytes | None) -> Media:
                     levels.append((stop, end))
                     end = stop
                     continue
-                if ident == INFO:
-                    for i, a, b in _children(data, at, stop):
-                        if i == SCALE:
-                            scale = _uint(data, a, b)
-                        elif i == DURATION:
-                            media.duration_ns = round(_float(data, a, b) * scale)
-                elif ident == TRACKS:
-                    for i, a, b in _children(data, at, stop):
-                        if i == ENTRY:
-                            media.tracks.append(_track(data, a, b))
+                if ident in (INFO, TRACKS, CUES):
+                    try:
+                        scale = _described(media, ident, data, at, stop, scale, segment)
+                    except BadMedia as e:
+                        media.error = str(e)  # the packets can be read without it
                 elif ident == CLUSTER:
                     number += 1
                     clusters[begin] = number
@@ -236,10 +269,6 @@ def parse(data: bytes | None) -> Media:
                                 if x == BLOCK:
                                     _block(data, c, d, media, base, scale, number, False, key)
                         inner = b
-                elif ident == CUES:
-                    for i, a, b in _children(data, at, stop):
-                        if i == POINT:
-                            media.cues += _cue(data, a, b, scale, segment)
                 at = stop
         if not segment:
             raise BadMedia("no segment")
@@ -274,10 +303,10 @@ def _cue(data, at: int, end: int, scale: int, segment: int) -> list[tuple[int, i
     time, out = 0, []
     for i, a, b in _children(data, at, end):
         if i == CUE_TIME:
-            time = _uint(data, a, b) * scale
+            time = _bounded(_uint(data, a, b) * scale)
         elif i == POSITIONS:
             got = {j: _uint(data, c, d) for j, c, d in _children(data, a, b)}
-            out.append((time, got.get(CUE_TRACK, 0), segment + got.get(CUE_CLUSTER, 0)))
+            out.append((time, got.get(CUE_TRACK, 0), _bounded(segment + got.get(CUE_CLUSTER, 0))))
     return out
 
 

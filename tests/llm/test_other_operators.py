@@ -102,6 +102,33 @@ def test_damaged_media():
         matroska.parse(bytes(broken))
 
 
+def test_media_with_any_numbers(spark):
+    """Durations, scales, times and lengths of any bytes, and files cut anywhere: packets or an error, and always a table."""
+    plain = matroska.mux(matroska.padded(bytes(range(256)) * 20))
+    at = plain.index(b"\x44\x89\x88") + 3
+    files = [plain[:at] + struct.pack(">d", x) + plain[at + 8 :] for x in (float("nan"), float("inf"), float("-inf"), 1e308, -1.0)]
+    for f in files[:4]:
+        media = matroska.parse(f)
+        assert media.error and matroska.demux(f, media) == matroska.demux(plain, matroska.parse(plain))
+    element, unsigned = matroska.element, matroska.unsigned
+    block = element(matroska.SIMPLE, matroska.sized(1) + struct.pack(">hB", 5, 0x80) + b"x")
+    head = element(matroska.EBML, b"")
+    rng = np.random.default_rng(9)
+    for wide in (*[bytes([255]) * n for n in range(1, 12)], *[rng.bytes(8) for _ in range(40)]):
+        info = element(matroska.INFO, element(matroska.SCALE, wide))
+        track = element(matroska.TRACKS, element(matroska.ENTRY, element(matroska.NUMBER, wide) + element(matroska.DEFAULT_DURATION, wide) + element(matroska.AUDIO, element(matroska.RATE, wide))))
+        cue = element(matroska.CUES, element(matroska.POINT, element(matroska.CUE_TIME, wide) + element(matroska.POSITIONS, element(matroska.CUE_CLUSTER, wide))))
+        files += [head + element(matroska.SEGMENT, part + element(matroska.CLUSTER, time + block) + cue) for part in (b"", info, track) for time in (unsigned(matroska.TIME, 3), element(matroska.TIME, wide))]
+    files += [plain[: int(n)] for n in rng.integers(0, len(plain), 60)]
+    for _ in range(200):
+        broken = bytearray(plain)
+        for i in rng.integers(0, 400, 4):
+            broken[i] = int(rng.integers(256))
+        files.append(bytes(broken))
+    rows = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "doc_id long, media binary")
+    assert matroska.packet_table(rows, "doc_id", "media").count() == sum(len(matroska.parse(f).packets) for f in files) > 500
+
+
 def test_media_rows(spark):
     rows = spark.createDataFrame([(1, "abc", 0), (2, None, 0), (3, "", 0), (3, "abc", 0), (None, "é" * 1000, 0)], "doc_id long, text string, media int")
     got = matroska.store_texts(rows)
