@@ -7,16 +7,20 @@ documents and the pseudonym still parses:
 
 * card: all digits but the last are permuted, the last is made anew;
 * iban: the digits of the account part are permuted, the check digits made anew; country and letters stay;
-* phone (+1 or ten digits of the North American plan): area and exchange stay within 200-999, and numbers outside the plan outside
-  it in the same way; other international numbers:
-  the digits behind the country code's first two are permuted;
+* phone (+1 or ten digits in the North American plan's groups): area and exchange stay within 200-999, and an exchange below that
+  stays below; an area below 200 counts only behind + or in brackets; other international numbers: the digits behind the country
+  code's first two are permuted;
 * date (year 1900 to 2099): the day's number is permuted among the 73,049 days of those years;
-* ipv4: both halves are permuted; ssn: area, group and serial stay within their ranges.
+* ipv4: both halves are permuted; ipv6: the network's half is permuted, and under it the host's; ssn: area, group and serial stay
+  within their ranges.
 
 The network adds a keyed digest of one half to the other, modulo that half's size, `ROUNDS` times in turn; each step can be
 undone, so the whole is a permutation, for halves of any two sizes. Emails and secrets (access keys, token and password
 values) have no such format: a keyed digest replaces the local part and host, or as many characters as the secret had.
 
+The key is the caller's: whoever has it can undo the permutations. Without one the session's setting `SETTING` holds, and if that
+is unset it is drawn at random and kept there, so that values stay linked within the session and under no published key.
+
 A pattern marks what it finds; texts are split at the marks; only marked pieces are looked at again. Texts without a mark
 pass through as they are. A mark of a card or IBAN that fails its check may have taken in what stands before or behind a valid
 value (an expiry, a currency): such marks are lifted, IBANs and cards in customary groups are looked for from each of the
@@ -25,38 +29,46 @@ one in ten runs of numbers has a part that passes Luhn's check.
 
 Defined results: null text stays null, empty text empty; the characters U+E000 to U+E003 of the private use area, which
 serve as marks, are kept (they are escaped and restored); equal rows give equal rows; empty tables give
-none; other columns pass through unchanged, unless named as the counts are (they are then replaced).
+none; very long texts are searched whole; other columns pass through unchanged, unless counts are wanted and they are named as those are (they are then replaced).
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-KEY = "skeinlake"
+#: The session's key; Spark keeps settings that are called secret out of its pages and logs.
+SETTING = "spark.skeinlake.pii.secret"
 OPEN, CLOSE = "\ue000", "\ue001"
 #: Stands where a card or IBAN may begin.
 START = "\ue003"
 #: Stand for the marks where a text has them itself: in turn, so that nothing is lost.
 _ESCAPES = (("\ue002", "\ue002a"), (OPEN, "\ue002b"), (CLOSE, "\ue002c"), (START, "\ue002d"))
 
+_SAID, _VALUE = "(?i:password|passwd|pwd|secret|token|api[_-]?key)", "[A-Za-z0-9/+_-]"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: In order: where two could match at one place, the first counts.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?)[A-Za-z0-9/+_-]{8,}",
+    "secret": rf"AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])|{_SAID}\s?[=:]\s?[\"']?(?:{_VALUE}{{8,}}(?:\.{_VALUE}{{2,}}){{0,4}}|(?=[A-Za-z/+_-]{{0,6}}[0-9]){_VALUE}{{3,7}})|{_SAID}=[\"']?{_VALUE}{{3,7}}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])",
+    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z])",
+    "ipv6": rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,39}}[0-9])(?:{_HEX}(?::{_HEX}){{0,5}})?::{_HEX}(?::{_HEX}){{0,5}})(?![0-9A-Za-z:])(?!\.[0-9])",
     "ipv4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9](?:[ .-]?\(?[0-9]\)?){7,13}(?![0-9A-Za-z])",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
+    "ssn": r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4})(?![0-9A-Za-z])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
 #: All in one, behind nothing that continues a word or number. Repeats are bounded: no text, however long, backtracks far.
-_BEHIND = {"email": "(?<![A-Za-z0-9_.%+-])", "ipv4": r"(?<![A-Za-z0-9])(?<![0-9]\.)"}
+#: Four digits and a separator may begin a card behind letters as well.
+_BEHIND = {"email": "(?<![A-Za-z0-9_.%+-])", "ipv4": r"(?<![A-Za-z0-9])(?<![0-9]\.)", "ipv6": "(?<![A-Za-z0-9:.])", "card": "(?:(?<![A-Za-z0-9])|(?<=[A-Za-z])(?=[0-9]{4}[ -][0-9]{4,6}[ -]))"}
+
+
 def _any(kinds) -> str:
     return "|".join(_BEHIND.get(k, "(?<![A-Za-z0-9])") + f"(?:{PATTERNS[k]})" for k in kinds)
 
@@ -77,14 +89,15 @@ def _digest(key: str, tag: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, tag: str) -> Column:
-    """A keyed permutation of the pairs 0 <= a < size_a, 0 <= b < size_b: struct(a, b). Null sizes or values give nulls."""
+def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, tag: str, *under: Column) -> Column:
+    """A keyed permutation of the pairs 0 <= a < size_a, 0 <= b < size_b: struct(a, b), another for each value of `under`. Null sizes
+    or values give nulls."""
     state = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
-        moved_a = F.when(even, (s["a"] + F.pmod(_digest(key, tag, i, s["b"], size_b), size_a)) % size_a).otherwise(s["a"])
-        moved_b = F.when(even, s["b"]).otherwise((s["b"] + F.pmod(_digest(key, tag, i, s["a"], size_a), size_b)) % size_b)
+        moved_a = F.when(even, (s["a"] + F.pmod(_digest(key, tag, i, s["b"], size_b, *under), size_a)) % size_a).otherwise(s["a"])
+        moved_b = F.when(even, s["b"]).otherwise((s["b"] + F.pmod(_digest(key, tag, i, s["a"], size_a, *under), size_b)) % size_b)
         return F.struct(moved_a.alias("a"), moved_b.alias("b"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, step)
@@ -177,25 +190,44 @@ _DAYS, _WEST = (229, 319), "1900-01-01"
 
 
 def _date(s: Column, key: str) -> Column:
+    parts = F.split(s, "[-/.]")
     year_first = s.rlike("^[0-9]{4}")
-    d = _digits(s)
-    ymd = F.when(year_first, d).when(s.contains("."), F.concat(F.substring(d, 5, 4), F.substring(d, 3, 2), F.substring(d, 1, 2)))
-    # Day first unless that is no date and month first is.
-    day_first = F.concat(F.substring(d, 5, 4), F.substring(d, 3, 2), F.substring(d, 1, 2))
-    month_first = F.concat(F.substring(d, 5, 4), F.substring(d, 1, 2), F.substring(d, 3, 2))
+    part = lambda i, n: F.lpad(F.get(parts, F.lit(i)), n, "0")
+    in_order = lambda y, m, d: F.concat(part(y, 4), part(m, 2), part(d, 2))
+    day_first, month_first = in_order(2, 1, 0), in_order(2, 0, 1)
     parse = lambda x: F.try_to_timestamp(x, F.lit("yyyyMMdd")).cast("date")
+    # Slashed dates have the day first unless that is no date and month first is.
     swapped = s.contains("/") & ~year_first & parse(day_first).isNull()
-    day = parse(F.coalesce(ymd, F.when(swapped, month_first).otherwise(day_first)))
+    day = parse(F.when(year_first, in_order(0, 1, 2)).when(swapped, month_first).otherwise(day_first))
     number = F.date_diff(day, F.lit(_WEST).cast("date"))
     valid = number.between(0, _DAYS[0] * _DAYS[1] - 1)
+    mark = F.regexp_extract(s, "[-/.]", 0)
+    bare = ~s.rlike("^[0-9]{2}[-/.][0-9]{2}[-/.]") & ~year_first  # a day or month of one digit: written without zeros
 
     def written(g: Column) -> Column:
         new = F.date_add(F.lit(_WEST).cast("date"), (g["a"] * _DAYS[1] + g["b"]).cast("int"))
-        # Slashed day-first dates above the 12th could be read no other way; the others keep their order as well.
-        order = F.when(year_first, F.date_format(new, "yyyyMMdd")).when(swapped, F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy"))
-        return _refill(s, order)
-
-    return F.when(valid, _bind(feistel(F.floor(number / _DAYS[1]), number % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date"), written))
+        small = lambda full, short: F.when(bare, F.date_format(new, short)).otherwise(F.date_format(new, full))
+        y, m, d = F.date_format(new, "yyyy"), small("MM", "M"), small("dd", "d")
+        return F.when(year_first, F.concat_ws("\x00", y, m, d)).when(swapped, F.concat_ws("\x00", m, d, y)).otherwise(F.concat_ws("\x00", d, m, y))
+
+    return F.when(valid, F.replace(_bind(feistel(F.floor(number / _DAYS[1]), number % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date"), written), F.lit("\x00"), mark))
+
+
+def _ipv6(s: Column, key: str) -> Column:
+    """Written in full: eight groups of four."""
+    sides = F.split(s, "::")
+    groups = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    gap = 8 - F.size(left) - F.size(right)
+    valid = F.when(F.size(sides) == 1, gap == 0).otherwise(gap >= 1)
+    zeros = F.when(gap > 0, F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>"))
+    digits = F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    number = lambda i: F.conv(F.substring(digits, i, 8), 16, 10).cast("long")
+    size = F.lit(1 << 32)
+    word = lambda x: F.lpad(F.lower(F.conv(x.cast("string"), 10, 16)), 8, "0")
+    network = feistel(number(1), number(9), size, size, key, "ipv6")
+    both = lambda n: _bind(feistel(number(17), number(25), size, size, key, "ipv6-host", n["a"], n["b"]), lambda h: F.concat(*[word(x) for x in (n["a"], n["b"], h["a"], h["b"])]))
+    return F.when(valid, F.regexp_replace(_bind(network, both), "(.{4})(?=.)", "$1:"))
 
 
 def _ipv4(s: Column, key: str) -> Column:
@@ -212,12 +244,12 @@ def _phone(s: Column, key: str) -> Column:
     plus = s.startswith("+")
     nanp = (F.length(d) == 10) & ~plus | (F.length(d) == 11) & d.startswith("1")
     area, exchange, line = (F.substring(ten, i, n).cast("long") for i, n in ((1, 3), (4, 3), (7, 4)))
-    # Area and exchange from 200 on are valid. Numbers outside the plan are permuted among their like if they are written as phone numbers.
+    # Area and exchange from 200 on are valid; others are permuted among their like.
     low_area, low_exchange = area < 200, exchange < 200
     first = F.when(low_area, F.lit(0)).otherwise(F.lit(200))
     second = F.when(low_area | low_exchange, F.lit(0)).otherwise(F.lit(200))
     sizes = F.when(low_area, 200).otherwise(800), F.when(low_area, 10_000_000).when(low_exchange, 2_000_000).otherwise(8_000_000)
-    meant = nanp & (~(low_area | low_exchange) | plus | s.contains("("))
+    meant = nanp & (~low_area | plus | s.contains("("))
     got = feistel(area - first, (exchange - second) * 10_000 + line, *sizes, key, "phone")
     head = F.substr(d, F.lit(1), F.length(d) - 10)
     padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
@@ -245,13 +277,13 @@ def _email(s: Column, key: str) -> Column:
 
 
 def _secret(s: Column, key: str) -> Column:
-    named = r"^((?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?)"
+    named = rf"^({_SAID}\s?[=:]\s?[\"']?)"
     head = F.regexp_extract(s, named, 1)
     value = F.substr(s, F.length(head) + 1)
     return F.concat(head, F.substr(F.repeat(_hexed(value, key, "secret"), 64), F.lit(1), F.length(value)))
 
 
-_MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ipv4": _ipv4, "phone": _phone, "ssn": _ssn, "card": _card}
+_MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ipv6": _ipv6, "ipv4": _ipv4, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
 def _swap(s: Column, pairs) -> Column:
@@ -294,7 +326,7 @@ def _marked_anew(pieces: Column) -> Column:
     """
     lifted = F.array_join(F.transform(pieces, lambda s, i: F.when((i % 2 == 0) | _failing(s), s).otherwise(F.concat(F.lit(OPEN), s, F.lit(CLOSE)))), "")
     begins = f"(?:{GROUPED})(?![0-9A-Za-z])|{PATTERNS['iban']}"
-    begun = F.split(F.regexp_replace(lifted, f"{OPEN}[^{CLOSE}]*{CLOSE}|(?<![A-Za-z0-9])(?={begins})", f"$0{START}"), START)
+    begun = F.split(F.regexp_replace(lifted, f"{OPEN}[^{CLOSE}]*{CLOSE}|(?:(?<![A-Za-z0-9])|(?<=[A-Za-z])(?=[0-9]{{4}}[ -][0-9]{{4,6}}[ -]))(?={begins})", f"$0{START}"), START)
 
     def placed(begun: Column, near: Column) -> Column:
         def begin(s: Column, i: Column) -> Column:
@@ -310,8 +342,19 @@ def _marked_anew(pieces: Column) -> Column:
     return F.regexp_replace(found, f"{OPEN}([^{CLOSE}]*){CLOSE}|({OTHERS})", f"{OPEN}$1$2{CLOSE}")
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with the text's values replaced, and for each kind the number replaced: n_email, n_secret, ..."""
+def session_key(spark: SparkSession) -> str:
+    """The session's key; drawn now if it has none."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(SETTING, key)
+    return key
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None, text: str = "text", counts: bool = True) -> DataFrame:
+    """docs with the text's values replaced under the key (none: the session's), and, if wanted, for each kind the number replaced:
+    n_email, n_secret, ..."""
+    key = key or session_key(docs.sparkSession)
     source = F.col(f"`{text}`")
     safe = F.when(source.rlike("[\ue000-\ue003]"), _swap(source, _ESCAPES)).otherwise(source)
     marked = F.when(source.rlike(HINT), F.regexp_replace(safe, ANY, f"{OPEN}$0{CLOSE}")).otherwise(F.lit(""))
@@ -332,5 +375,5 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
         held += "_"
     out = docs.withColumn(held, parts)
     done = F.col(held)
-    counts = {f"n_{k}": F.when(done.isNull(), 0).otherwise(_count(done, k)) for k in KINDS}
-    return out.withColumns({text: F.when(done.isNull(), source).otherwise(_swap(F.array_join(F.transform(done, lambda p: p["text"]), ""), [(b, a) for a, b in reversed(_ESCAPES)]))} | counts).drop(held)
+    numbers = {f"n_{k}": F.when(done.isNull(), 0).otherwise(_count(done, k)) for k in KINDS} if counts else {}
+    return out.withColumns({text: F.when(done.isNull(), source).otherwise(_swap(F.array_join(F.transform(done, lambda p: p["text"]), ""), [(b, a) for a, b in reversed(_ESCAPES)]))} | numbers).drop(held)
