@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and gives the
 table read again to the next stage. All but the last return the columns of docs. Classifiers learn from the labels of the documents they are given.
+
+Defined results, stage by stage. Null texts count as empty: quality and toxicity judge them as such, all documents of null or
+empty text are copies of one another, and personal data leaves null null. Null keys and repeated rows are judged each; of
+rows that repeat a key and text one stays behind the near-duplicates. Very long texts are worked on whole. Columns of any
+name beside doc_id and text pass through as they are, but for n_chars, which follows the text. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -37,9 +42,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and secrets replaced; n_chars follows the new text."""
-    masked = pii.pseudonymize(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    """Documents with personal data and secrets replaced; n_chars, where there is such a column, follows the new text."""
+    masked = pii.pseudonymize(docs, counts=False)
+    kinds = dict(docs.dtypes)
+    return masked.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else masked
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
