@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
+#: Fixed value: a fenced block.
 FENCED = r"(?s)```[\w+#.-]*[ \t]*\n.*?```"
 #: What tells languages apart, first match wins.
 LANGUAGES = (
@@ -40,13 +41,17 @@ def normalize_language(name: Column) -> Column:
     return out.otherwise(F.nullif(plain, F.lit("")))
 
 
+#: A Python function, an indented line; signals of code that count up to twice, and once.
+PYTHON_FUNCTION, INDENTED = r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\(", r"^\s{2,}\S"
+TWICE, ONCE = (r"\{", r"\}", ";"), (r"\b(?:for|while|if|return|class|def|fn|function)\b", r"(?:\+\+|--|==|->|::|\[\w*\])")
+
+
 def looks_like_code(text: Column) -> Column:
     """A Python function with two indented lines, or four signals of code, each kind capped."""
-    count = lambda p: F.least(F.regexp_count(text, F.lit(p)), F.lit(2))
     lines = F.split(text, r"\n")
-    indented = F.size(F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda s: s.rlike(r"^\s{2,}\S")))
-    python = text.rlike(r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\(") & (indented >= 2)
-    signals = count(r"\{") + count(r"\}") + count(";") + text.rlike(r"\b(?:for|while|if|return|class|def|fn|function)\b").cast("int") + text.rlike(r"(?:\+\+|--|==|->|::|\[\w*\])").cast("int")
+    indented = F.size(F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda s: s.rlike(INDENTED)))
+    python = text.rlike(PYTHON_FUNCTION) & (indented >= 2)
+    signals = sum([F.least(F.regexp_count(text, F.lit(p)), F.lit(2)) for p in TWICE] + [text.rlike(p).cast("int") for p in ONCE])
     return python | (signals >= 4)
 
 

@@ -1,9 +1,13 @@
-"""Column functions on text: tokens, aliases, URLs, hashes, citations, excerpts. No Python runs on the rows."""
+"""Column functions on text: tokens, aliases, URLs, hashes, citations, excerpts. Python runs on the rows for fingerprints alone."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .markdown import normal_form
 
 #: Chinese terms and the English words that a query or record which holds them also gets.
 ALIASES = {
@@ -183,9 +187,16 @@ def html_to_text(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """For exact duplicates: without a heading in the first line, lower case, without white space."""
-    body = F.when(text.rlike(r"^[ \t]*#"), F.regexp_replace(text, r"^[^\n]*\n?", "")).otherwise(text)
-    return F.regexp_replace(F.lower(body), r"\s+", "")
+    """For duplicates, as markdown.normal_form has it: without a heading in the first line, compatibility-composed, lower case, without
+    white space. Only texts with letters beyond ASCII go through Python: Spark has no composition."""
+    white = r"[ \t\n\x0B\f\r\x1c-\x1f]"
+    body = F.when(text.rlike(rf"^(?:(?!\n){white})*#"), F.regexp_replace(text, r"^[^\n]*\n?", "")).otherwise(text)
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.regexp_replace(F.lower(body), f"{white}+", ""))
+
+
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(normal_form, na_action="ignore")
 
 
 def suffix(array: Column, n: int) -> Column:

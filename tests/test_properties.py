@@ -69,3 +69,18 @@ def test_budget_and_eviction(spark):
     messages = spark.createDataFrame([(1, 0, "system", 50), (1, 1, "user", 50), (1, 2, "assistant", 50), (1, 3, "user", 50)], "session_id int, seq int, role string, tokens int")
     assert [r["seq"] for r in S.evict(messages, hard=110, base=0).orderBy("seq").collect()] == [0, 3]
     assert S.evict(messages, hard=0, base=0).count() == 1
+
+
+def test_width_variants_are_duplicates(spark):
+    """Compatibility forms, case, white space and a heading make no other text; long accented texts stay apart."""
+    base = "ABC def 123 " * 30
+    wide = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in base)
+    rows = [(1, base), (2, wide), (3, f"# Title\n{base.lower()}"), (4, "é" * 300), (5, "é" * 300), (6, "e" * 300), (7, base.replace(" ", "\x1c "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["duplicate"]: r["canonical"] for r in C.exact_duplicates(docs).collect()}
+    assert got[1] == got[2] == got[3] and got[4] == 5 and 6 not in got and {1, 2, 3, 7} - set(got) == {got[1]}
+    from skeinlake.functions import markdown as M
+    from skeinlake.functions import text as T
+
+    for r in docs.select("text", T.fingerprint(F.col("text")).alias("f")).collect():
+        assert r["f"] == M.normal_form(r["text"])
