@@ -11,10 +11,12 @@ provably belong to some best packing:
 Both repeat until no rule fires for any length; fixing a pair shrinks the instance, so lengths are looked at again. What remains is packed best-fit, longest
 first; as equal lengths are interchangeable, whole runs of equal sequences are handled at once. Each run of a length's ranks
 then belongs to a slot (first sequence, offset), and pieces find their slot by their rank within their length. Ranks come
-from windows over (length, salt) and counts of those groups, so that no task gets all pieces of one length.
+from windows over (length, salt) and counts of those groups; a length has a salt for each `RANKED` of its pieces, so that no
+task gets more, however frequent a length or key is. Pieces that fill a sequence, which most are in a corpus of long documents, need no rank: the
+number of their row names their sequence.
 
-Defined results: null text is an empty text (the end id alone); repeated keys and rows are packed each; an empty table packs
-to no rows; columns beside key and text are not read.
+Defined results: null text is an empty text (the end id alone); repeated keys and rows are packed each; a very long text is
+encoded whole and cut; an empty table packs to no rows; columns beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import plain_text, slices, staged, texts_sizes
 from .tokens import KEEP, encoder
 
-#: Groups into which the pieces of one length are dealt while they are ranked.
-SALTS = 64
+#: Pieces of one length that are ranked together, about.
+RANKED = 250_000
 
 
 @dataclass
@@ -184,17 +186,19 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end
     return rows.mapInArrow(encode, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, key: str = "doc_id") -> DataFrame:
-    """The pieces (a table that may be read again: key, piece, length, ...) with sequence_id and offset."""
-    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).alias("salt")
-    groups = pieces.groupBy("length", salt).agg(F.count("*").alias("n"))
-    known = staged(groups, "lengths")  # at most capacity x SALTS rows
-    counts = {r["length"]: r["n"] for r in known.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = slots(plan(counts, capacity))
+def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+    """The pieces (any columns, among them length), stored once in the shared folder, with sequence_id and offset."""
+    columns = pieces.columns
+    row, salt, home, group, before = (_free(n, columns) for n in ("row", "salt", "home", "group", "before"))
+    rows = staged(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    part = rows.where(F.col("length") < capacity)
+    counts = {r["length"]: r["n"] for r in part.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer than capacity rows
+    runs = plan(counts, capacity)
+    table = slots(runs)
     lengths, firsts = table["length"].to_numpy(), table["first"].to_numpy()
     places = table[["sequence", "offset"]].to_numpy()
     span = int(max(counts.values(), default=0)) + 1
-    shared = pieces.sparkSession.sparkContext.broadcast((lengths * span + firsts, places, span))
+    shared = pieces.sparkSession.sparkContext.broadcast((lengths * span + firsts, places, span))  # bounded by the plan's runs
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -204,14 +208,27 @@ def pack(pieces: DataFrame, capacity: int = 1024, key: str = "doc_id") -> DataFr
         first = starts[at] % span
         return pd.DataFrame({"sequence_id": places[at, 0] + ranks - first, "offset": places[at, 1]})
 
-    before = known.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "salt", "before")
-    own = Window.partitionBy("length", "salt").orderBy(key, "piece")
-    ranked = pieces.withColumn("salt", salt).withColumn("own", F.row_number().over(own) - 1)
-    # At most capacity x SALTS rows of three numbers: a proven bound, of 1.6 MB at 1024.
-    placed = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("place", place("length", F.col("own") + F.col("before")))
-    return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
+    salts = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // RANKED))) for n in range(capacity)])
+    dealt = part.withColumn(salt, F.pmod(F.xxhash64(row), F.get(salts, F.col("length").cast("int"))))
+    groups = dealt.groupBy("length", salt).agg(F.count("*").alias("n"))  # a row for each length, and for each `RANKED` of its pieces
+    so_far = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    told = groups.select(F.col("length").alias(home), F.col(salt).alias(group), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias(before))
+    ranked = dealt.withColumn(row, F.row_number().over(Window.partitionBy("length", salt).orderBy(row)) - 1)
+    met = ranked.join(told, (F.col("length") == F.col(home)) & (F.col(salt) == F.col(group)))
+    placed = met.withColumn(home, place("length", F.col(row) + F.col(before))).select(*columns, f"{home}.sequence_id", f"{home}.offset")
+    others = sum(r.count for r in runs)  # their sequences are numbered from 0 on
+    full = rows.where(F.col("length") >= capacity).select(*columns, (F.col(row) + others).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """A column's name that isn't taken."""
+    name = f"__{name}"
+    while name in columns:
+        name += "_"
+    return name
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", keep_ids: bool = True, keep_pieces: int = KEEP) -> DataFrame:
-    """Tokenized pieces, stored once in the shared folder, with their place: sequence_id, offset. keep_pieces: of the encoder."""
-    return pack(staged(token_pieces(docs, tokenizer_file, capacity, end_id, key, text, keep_ids, keep_pieces), "pieces"), capacity, key)
+    """Tokenized pieces with their place: sequence_id, offset. keep_pieces: of the encoder."""
+    return pack(token_pieces(docs, tokenizer_file, capacity, end_id, key, text, keep_ids, keep_pieces), capacity)

@@ -1,13 +1,14 @@
 """Token-ID / binary output: Arrow files of fixed-size-list batches, for zero-copy random access to equal-length sequences and masks.
 
-Documents in ascending order of their key are range-partitioned; each partition writes one Arrow file whose record batches
-hold the same number of sequences (the last may hold fewer). A sequence is a fixed-size list of `length` ids, its mask a
+Documents in ascending order of their key are range-partitioned, into as many partitions as their texts' bytes ask for; each writes
+one Arrow file whose record batches hold the same number of sequences (the last may hold fewer). A sequence is a fixed-size list of `length` ids, its mask a
 fixed-size list of as many booleans; only a file's last sequence is padded. Beside it lies a small Arrow file of the
-documents in it: key, first id, number of ids. Sequence k of a file is row k % rows of batch k // rows: a reader maps the
+documents in it: key, first id, number of ids. Both are written batch by batch: a task holds a record batch, whatever its partition. Sequence k of a file is row k % rows of batch k // rows: a reader maps the
 file and takes views, without decoding.
 
 Defined results: null text is an empty text (the end id alone); a null key sorts first; rows with equal keys are ordered by
-text and all kept; an empty table writes no files and reads back no rows; columns beside key and text are not read.
+their text's first letters (`TIE`) and all kept, however many: they may fill many files, and within one they are in order of
+their whole texts; a very long text is encoded whole, and may cross record batches; an empty table writes no files and reads back no rows; columns beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from .common import fresh_path, plain_text, slices, staged, texts_sizes
 from .tokens import KEEP, encoder
 
 
+#: Bytes of text to a file, and the letters of a text that order rows of one key.
+FILE_BYTES, TIE = 256 << 20, 16
+
+
 @dataclass(frozen=True)
 class Layout:
     """length: ids in a sequence; rows: sequences in a record batch; end_id: what follows each document."""
@@ -43,7 +48,7 @@ def _open(path: str):
 
 
 class _Writer:
-    def __init__(self, path: str, dtype: np.dtype, layout: Layout):
+    def __init__(self, path: str, dtype: np.dtype, layout: Layout, key: pa.DataType):
         self.uri = path
         self.fs, self.path = _open(path)
         self.fs.create_dir(self.path.rpartition("/")[0])
@@ -52,17 +57,26 @@ class _Writer:
         self.schema = pa.schema([("ids", pa.list_(kind, layout.length)), ("mask", pa.list_(pa.bool_(), layout.length))])
         self.stream = self.fs.open_output_stream(f"{self.path}.writing")
         self.sink = pa.ipc.new_file(self.stream, self.schema)
+        self.index_stream = self.fs.open_output_stream(f"{self.path}.docs")
+        self.index_schema = pa.schema([("key", key), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        self.index = pa.ipc.new_file(self.index_stream, self.index_schema)
         self.waiting: list[bytes] = []
-        self.held = self.total = 0
-
-    def add(self, ids: bytes) -> tuple[int, int]:
-        start, n = self.total, len(ids) // self.dtype.itemsize
-        self.waiting.append(ids)
-        self.held += n
-        self.total += n
-        if self.held >= self.layout.length * self.layout.rows:
-            self._flush(whole=True)
-        return start, n
+        self.held = self.total = self.docs = 0
+
+    def add(self, keys: pa.Array, documents: Iterator[bytes]) -> None:
+        """Documents' ids, and their keys."""
+        starts, sizes = [], []
+        for ids in documents:
+            n = len(ids) // self.dtype.itemsize
+            starts.append(self.total)
+            sizes.append(n)
+            self.waiting.append(ids)
+            self.held += n
+            self.total += n
+            if self.held >= self.layout.length * self.layout.rows:
+                self._flush(whole=True)
+        self.index.write_batch(pa.record_batch([keys, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=self.index_schema))
+        self.docs += len(sizes)
 
     def _flush(self, whole: bool) -> None:
         ids = np.frombuffer(b"".join(self.waiting), self.dtype)
@@ -77,40 +91,40 @@ class _Writer:
             self.sink.write_batch(pa.record_batch(lists, schema=self.schema))
         self.waiting, self.held = [ids[stop:].tobytes()], len(ids) - stop
 
-    def close(self, index: pa.Table) -> None:
-        """The documents' file goes first, so that whoever sees the ids' file finds both."""
+    def close(self) -> None:
+        """The ids' file gets its name last, so that whoever sees it finds both."""
         self._flush(whole=False)
-        self.sink.close()
-        self.stream.close()
-        with self.fs.open_output_stream(f"{self.path}.docs") as out, pa.ipc.new_file(out, index.schema) as sink:
-            sink.write_table(index)
+        for sink in (self.index, self.index_stream, self.sink, self.stream):
+            sink.close()
         self.fs.move(f"{self.path}.writing", self.path)
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, layout: Layout = Layout(), key: str = "doc_id", text: str = "text", folder: str | None = None, files: int | None = None) -> DataFrame:
     """Writes the files under folder (by default in the shared folder) and returns their manifest, a row for each file:
     part, file, first (ids in all files before it), n_tokens, n_docs. A task that runs again writes files of new names; the
-    manifest lists those of the attempts that counted. files: the number of range partitions (by default Spark's)."""
+    manifest lists those of the attempts that counted. files: the number of range partitions (by default one for each
+    `FILE_BYTES` of text, and at least Spark's number of shuffle partitions)."""
     folder = folder or fresh_path(docs.sparkSession, "tokens")
     rows = plain_text(docs, key, text=text).withColumnRenamed(key, "key")
-    parts = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    if files is None:
+        told = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-told // FILE_BYTES))
+    # Rows of one key go to several partitions by what their texts begin with, and equal rows by where they stand.
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(files, "key", F.left("text", F.lit(TIE)), "at")
+    rows = rows.sortWithinPartitions("key", "text").select("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sink, keys, spans = encoder(tokenizer_file, KEEP), None, [], []
+        tokens, sink = encoder(tokenizer_file, KEEP), None
         part = TaskContext.get().partitionId()
         end = np.array([layout.end_id], tokens.dtype).tobytes()
         for batch in batches:
-            texts = batch.column("text")
+            texts, keys = batch.column("text"), batch.column("key")
             for a, b in slices(texts_sizes(texts)):
-                sink = sink or _Writer(f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}.arrow", tokens.dtype, layout)
-                spans += [sink.add(tokens.encode(x) + end) for x in texts.slice(a, b - a).to_pylist()]
-            keys.append(batch.column("key"))
+                sink = sink or _Writer(f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}.arrow", tokens.dtype, layout, keys.type)
+                sink.add(keys.slice(a, b - a), (tokens.encode(x) + end for x in texts.slice(a, b - a).to_pylist()))
         if sink:
-            starts, sizes = zip(*spans, strict=True)
-            index = pa.table({"key": pa.chunked_array(keys), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
-            sink.close(index)
-            yield pa.record_batch({"part": pa.array([part], pa.int32()), "file": [sink.uri], "n_tokens": pa.array([sink.total], pa.int64()), "n_docs": pa.array([len(spans)], pa.int64())})
+            sink.close()
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "file": [sink.uri], "n_tokens": pa.array([sink.total], pa.int64()), "n_docs": pa.array([sink.docs], pa.int64())})
 
     found = staged(rows.mapInArrow(write, "part int, file string, n_tokens long, n_docs long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
