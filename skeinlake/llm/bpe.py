@@ -222,7 +222,7 @@ class Bpe:
     def split(self, text: str) -> tuple[list[str], bool]:
         """The text's pieces in order, added tokens among them as themselves; whether there are any."""
         find = _PIECE.findall if _ODD.search(text) else str.split
-        if "<|" not in text or not self.special.search(text):
+        if not self.special.search(text):
             return find(text), False
         out, at = [], 0
         for m in self.special.finditer(text):

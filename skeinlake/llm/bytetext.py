@@ -27,21 +27,53 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: Bytes whose prefix sums are held at once.
+BLOCK = 4 << 20
+
+
 class Hasher:
-    """Hashes of any spans of a buffer, from one pass of prefix sums: equal bytes, equal hash, wherever they stand."""
+    """Hashes of any spans of a buffer, from prefix sums of a block of it at a time: equal bytes, equal hash, wherever they stand."""
 
     def __init__(self, buf: np.ndarray):
-        self.up, self.down = _powers(1 << max(22, int(len(buf)).bit_length()))
-        self.sums = np.empty(len(buf) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.up[: len(buf)], out=self.sums[1:])
+        self.buf = buf
+        self.sums = self._sums(0, len(buf)) if len(buf) <= BLOCK else None
+
+    def _sums(self, lo: int, hi: int) -> np.ndarray:
+        sums = np.empty(hi - lo + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((self.buf[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers(BLOCK + 1)[0][: hi - lo], out=sums[1:])
+        return sums
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        """starts and ends: both ascending."""
+        down = _powers(BLOCK + 1)[1]
+        if self.sums is not None:
+            h = (self.sums[ends] - self.sums[starts]) * down[starts]
+        else:
+            h = np.empty(len(starts), np.uint64)
+            at = 0
+            while at < len(starts):
+                lo = int(starts[at])
+                stop = int(np.searchsorted(ends[at:], lo + BLOCK, side="right")) + at  # ends ascend as starts do
+                if stop == at:
+                    h[at] = self._long(lo, int(ends[at]))
+                    at += 1
+                    continue
+                sums = self._sums(lo, int(ends[stop - 1]))
+                a, z = starts[at:stop] - lo, ends[at:stop] - lo
+                h[at:stop] = (sums[z] - sums[a]) * down[a]
+                at = stop
         h ^= h >> np.uint64(29)
         h *= _MIX
         return h
 
+    def _long(self, lo: int, hi: int) -> int:
+        """A span that is longer than a block, block by block."""
+        total = 0
+        for a in range(lo, hi, BLOCK):
+            total += int(self._sums(a, min(a + BLOCK, hi))[-1]) * pow(_BASE, a - lo, 1 << 64)
+        return total % (1 << 64)
+
 
 def lookup(members: bytes) -> np.ndarray:
     """A table of 256 truth values."""

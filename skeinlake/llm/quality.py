@@ -6,11 +6,13 @@ learned layer. Gated attention, softmax(w . (tanh(V h) * sigmoid(U h))), weighs
 logistic in the weighted passage representation. Encoder, attention and classifier are trained together from document labels
 (Adam on the log-likelihood, gradients written out below), so that a document is judged by the passages that tell.
 
-Training takes at most `Settings.sample` labelled documents of each class (by a hash of their key; of at most
-`Settings.longest` bytes each), on the driver; classes are weighted to their shares among all labelled rows. Scoring covers every whole text.
+Training takes at most `Settings.sample` labelled documents of each class, by a hash of their key among those of at most
+`Settings.longest` bytes, on the driver; classes are weighted to their shares among all labelled rows. Scoring covers every whole
+text: longer ones than `SEGMENT` bytes have their passages encoded a segment at a time, with `AROUND` bytes beside it, within
+which words and their repeats are seen whole.
 
 Defined results: null and empty texts are one empty passage; equal texts score alike; repeated rows are scored each;
-contradictory labels of a key count as 1; labels or keys that are null are not learned from; with one class or none in the labels every score is that
+contradictory labels of a key count as 1; of a key's several texts one is learned from; labels or keys that are null are not learned from; with one class or none in the labels every score is that
 class, or 0.5; an empty table gives no rows; other columns are not read.
 """
 
@@ -52,8 +54,21 @@ class Settings:
     seed: int = 7
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of one text that are encoded at once, and those around them that are looked at: whole passages.
+SEGMENT, AROUND = 2 << 20, 64 << 10
+
+
+def passages(texts: list[bytes], size: int = SEGMENT, around: int = AROUND) -> tuple[np.ndarray, np.ndarray]:
     """Features of each passage, and where each text's passages start (and the end)."""
+    if len(texts) == 1 and len(texts[0]) > size:
+        text, parts = texts[0], []
+        for a in range(0, len(text), size):
+            lo = max(0, a - around)
+            x, _ = passages([text[lo : a + size + around]], size + 2 * around)
+            # What the last passage of a segment's surroundings ends in isn't the text's end: only whole ones count.
+            parts.append(x[(a - lo) // PASSAGE :][: -(-(min(len(text), a + size) - a) // PASSAGE)])
+        x = np.concatenate(parts)
+        return x, np.array([0, len(x)])
     buf, at = joined(texts)
     sizes = np.diff(at) - 1
     each = np.maximum(1, -(-sizes // PASSAGE))

@@ -10,11 +10,12 @@ gets a group for each pair of its blocks, so that no group holds more than about
 Each group reports a spanning forest of its links, never all pairs, and components come from the forests.
 
 Defined results: null, empty and blank texts have fingerprint zero, which links like any other; fewer than three words are
-one shingle; repeated rows and keys are one node each; an empty table gives no rows; columns beside key and text are not read.
+one shingle; a very long text is read in portions, whole; repeated rows and keys are one node each; an empty table gives no rows; columns beside key and text are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -27,24 +28,53 @@ from pyspark.sql import functions as F
 from .common import connected_components, forest, plain_text, slices, staged, texts_sizes
 
 BITS, HALF, DISTANCE, SEED = 64, 32, 3, 42
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 #: Fingerprints compared with one another in one go.
 BLOCK = 4096
 
 
-def fingerprint(text: bytes, size: int = 3) -> int:
+#: Bytes of one text whose words are held at once.
+PORTION = 4 << 20
+
+
+def portions(text: bytes, most: int = PORTION) -> Iterator[bytes]:
+    """The text in parts that end before white space."""
+    at = 0
+    while len(text) - at > most:
+        gap = _GAP.search(text, at + most)
+        stop = gap.start() if gap else len(text)
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
+def fingerprint(text: bytes, size: int = 3, most: int = PORTION) -> int:
     """Of UTF-8. bytes.split() cuts at exactly the blank and the bytes 9 to 13, bytes.lower() changes A-Z alone."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    ends = list(accumulate([len(w) + 1 for w in words]))
-    joined, many = b" ".join(words), max(1, len(words) - size + 1)
+    total, many = np.zeros(BITS, np.int64), 0
     digest = xxhash.xxh64_intdigest
-    starts = [0, *ends][:many]
-    hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[min(size, len(words)) - 1 :], strict=True)), np.uint64, many)
+    words: list[bytes] = []  # the last ones before a portion, which begin shingles that end in it
+    for part in portions(text, most):
+        words += part.lower().split()
+        n = len(words) - size + 1
+        if n < 1:
+            continue
+        ends = list(accumulate([len(w) + 1 for w in words]))
+        joined = b" ".join(words)
+        hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[size - 1 :], strict=False)), np.uint64, n)
+        total += _votes(hashes)
+        many += n
+        words = words[len(words) - size + 1 :]
+    if not many and words:
+        many, total = 1, _votes(np.array([digest(b" ".join(words), SEED)], np.uint64))
+    return int(np.packbits(total * 2 > many, bitorder="little").view(np.uint64)[0])
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     total = np.zeros(BITS, np.int64)
-    for at in range(0, many, 8192):
+    for at in range(0, len(hashes), 8192):
         total += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > many, bitorder="little").view(np.uint64)[0])
+    return total
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

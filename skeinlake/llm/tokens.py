@@ -39,6 +39,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Whether a text holds one of the file's added tokens; those with white space would be cut apart.
+        self.added = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        self.whole = any(_OTHER.search(s) or " " in s or "\n" in s for s in special)
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.keep, self.known, self.older = keep, {}, {}
@@ -71,7 +75,7 @@ class ChunkEncoder:
                 parts = [first, *(f"\n{r}" for r in rest.split("\n"))] if first and rest and "\n\n" not in p and rest[-1] != "\n" else None
             else:
                 word = p.rstrip(_MARKS)
-                parts = [word, p[len(word) :]] if word != p and word[-1:] in _LETTERS and "<|" not in p else None
+                parts = [word, p[len(word) :]] if word != p and word[-1:] in _LETTERS and not self.added(p) else None
             if parts is None:
                 ask.append(p)
             elif end:
@@ -97,6 +101,8 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         if len(self.known) * 2 > self.keep:
             self.older, self.known = self.known, {}
+        if self.whole:
+            return self._one(text)
         if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text):
             found = _CHUNK.findall(text)
             if found and found[0][0] != " ":

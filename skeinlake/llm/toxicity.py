@@ -6,11 +6,13 @@ share what they have in common. A document is toxic unless every sentence is cle
 under this noisy-or is maximised directly, which tells the guilty sentences from their neighbours without sentence labels;
 they are then located as character spans.
 
-Training takes at most `Settings.sample` labelled documents of each class (by a hash of their key; of at most
-`Settings.longest` bytes each), on the driver; classes are weighted to their shares among all labelled rows. Scoring covers every whole text.
+Training takes at most `Settings.sample` labelled documents of each class, by a hash of their key among those of at most
+`Settings.longest` bytes, on the driver; classes are weighted to their shares among all labelled rows. Scoring covers every whole
+text: longer ones than `SEGMENT` bytes are read in segments that end where a sentence does, and one without an end is added up
+over its segments, so that memory stays bounded.
 
 Defined results: null and empty texts, and texts without words, have no sentence and score 0.0; equal texts score alike;
-repeated rows are scored each; contradictory labels of a key count as 1; labels or keys that are null are not learned from; without both
+repeated rows are scored each; contradictory labels of a key count as 1; of a key's several texts one is learned from; labels or keys that are null are not learned from; without both
 classes all scores are 0.0; an empty table gives no rows; other columns are not read.
 """
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import WORD, Hasher, joined, lookup, words
@@ -97,6 +99,57 @@ def sentence_scores(model: Model, b: Bags) -> np.ndarray:
     return _sigmoid(np.bincount(b.sentence, model.weights[b.bucket], len(b.document)) + model.bias)
 
 
+#: Bytes of one text that are read at once.
+SEGMENT = 2 << 20
+
+
+def segments(raw: bytes, size: int) -> Iterator[tuple[int, int, bool]]:
+    """Where segments of a text start and end, and whether a sentence ends there: each is cut at its last sentence end, without one
+    behind its last byte that is of no word, and where all are, behind the word."""
+    at = 0
+    while at < len(raw):
+        stop, whole = at + size, True
+        if stop < len(raw):
+            some = np.frombuffer(raw, np.uint8, size, at)
+            if len(ends := np.flatnonzero(_BREAK[some])):
+                stop = at + int(ends[-1]) + 1
+            elif len(gaps := np.flatnonzero(~WORD[some])):
+                stop, whole = at + int(gaps[-1]) + 1, False
+            else:
+                while stop < len(raw) and WORD[raw[stop]]:
+                    stop += 1
+                whole = False
+        yield at, min(stop, len(raw)), whole
+        at = stop
+
+
+def sentences(model: Model, raw: list[bytes], size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sentence with words: its score, document, and start and end byte."""
+    if len(raw) != 1 or len(raw[0]) <= size:
+        b = bags(raw)
+        return sentence_scores(model, b), b.document, b.start, b.end
+    sums, starts, ends = [], [], []
+    known = False  # whether the last sentence found goes on in the next segment
+    for a, z, whole in segments(raw[0], size):
+        b = bags([raw[0][a:z]])
+        own = np.bincount(b.sentence, model.weights[b.bucket], len(b.document))
+        joins = known and len(own) > 0 and b.start[0] == 0
+        if joins:
+            sums[-1][-1] += own[0]
+            ends[-1][-1] = a + b.end[0]
+        skip = int(joins)
+        if len(own) > skip:
+            sums.append(own[skip:])
+            starts.append(a + b.start[skip:])
+            ends.append(a + b.end[skip:])
+        known = not whole and (known or len(own) > 0)  # without a sentence's end, a segment is part of one sentence
+    if not sums:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0), none, none, none
+    each = _sigmoid(np.concatenate(sums) + model.bias)
+    return each, np.zeros(len(each), np.int64), np.concatenate(starts), np.concatenate(ends)
+
+
 def noisy_or(scores: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
     return 0.0 - np.expm1(np.bincount(document, np.log1p(-np.minimum(scores, 1 - 1e-12)), n))
 
@@ -151,21 +204,18 @@ def fold(key: str, parts: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int, longest: int, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most `sample` labelled documents of each class, chosen by a hash of their key."""
+    """Texts, labels and weights of at most `sample` labelled documents of each class, chosen by a hash of their key among those that have a
+    text of at most `longest` bytes; of a key's texts the first by hash."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & learn).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     rows = plain_text(docs, key, text=text).where(F.octet_length("text") <= longest)
-    texts: list[str] = []
-    ys: list[int] = []
-    weights: list[float] = []
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    for y, n in sorted(shares.items()):
-        some = known.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(sample).select(key)
-        # At most `sample` keys: a documented bound.
-        got = [r["text"] for r in rows.join(F.broadcast(some), key).orderBy(F.xxhash64(key), "text").limit(2 * sample).select("text").collect()]
-        texts += got
-        ys += [y] * len(got)
-        weights += [n / max(1, len(got))] * len(got)
-    return texts, np.array(ys, np.int64), np.array(weights)
+    hashed = Window.partitionBy("y").orderBy(F.xxhash64(key), key)
+    chosen = known.join(rows.select(key), key, "left_semi").withColumn("place", F.row_number().over(hashed)).where(F.col("place") <= sample).select(key, "y")
+    # At most `sample` keys a class: a documented bound.
+    got = rows.join(F.broadcast(chosen), key).groupBy(key, "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("y", F.xxhash64(key), key).collect()
+    ys = np.array([r["y"] for r in got], np.int64)
+    many = np.bincount(ys, minlength=2)
+    return [r["text"] for r in got], ys, np.array([shares[y] / many[y] for y in ys.tolist()])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -186,17 +236,20 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, sentence_thresh
             texts = batch.column("text")
             for a, b in slices(texts_sizes(texts)):
                 raw = [lowered(x) for x in texts.slice(a, b - a).to_pylist()]
-                part = bags(raw)
-                each = sentence_scores(model, part)
-                total = noisy_or(each, part.document, len(raw))
+                each, document, start, end = sentences(model, raw)
+                total = noisy_or(each, document, len(raw))
                 found: list[list[dict]] = [[] for _ in raw]
-                bounds = np.searchsorted(part.document, np.arange(len(raw) + 1))
+                bounds = np.searchsorted(document, np.arange(len(raw) + 1))
                 for d in np.flatnonzero(total >= threshold):
                     own = slice(bounds[d], bounds[d + 1])
                     least = min(sentence_threshold, each[own].max())
+                    at = begun = 0
                     for s in np.flatnonzero(each[own] >= least) + bounds[d]:
-                        begin = len(raw[d][: part.start[s]].decode())
-                        found[d].append({"start": begin, "end": begin + len(raw[d][part.start[s] : part.end[s]].decode()), "score": float(each[s])})
+                        begun += len(raw[d][at : start[s]].decode())
+                        at = int(end[s])
+                        stop = begun + len(raw[d][start[s] : at].decode())
+                        found[d].append({"start": begun, "end": stop, "score": float(each[s])})
+                        begun = stop
                 yield pa.record_batch({key: batch.column(key).slice(a, b - a), "score": pa.array(total), "offending": pa.array(found, pa.list_(span))})
 
     return rows.mapInArrow(made, f"`{key}` {dict(rows.dtypes)[key]}, score double, offending array<struct<start:int,end:int,score:double>>")
@@ -207,7 +260,7 @@ def select(docs: DataFrame, model: Model, passes: Callable[[np.ndarray], np.ndar
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(texts: list[str]) -> np.ndarray:
-        part = bags([lowered(x) for x in texts])
-        return passes(noisy_or(sentence_scores(shared.value, part), part.document, len(texts)))
+        each, document, _, _ = sentences(shared.value, [lowered(x) for x in texts])
+        return passes(noisy_or(each, document, len(texts)))
 
     return keep_rows(docs, judged, text)

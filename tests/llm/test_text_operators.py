@@ -392,3 +392,24 @@ def test_bpe_rows(spark, docs, empty):
     for r, d in zip(got.collect(), docs.collect(), strict=True):
         ids = lib.encode(plain(d["text"]), add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["n_tokens"] == len(ids)
+
+
+# Hot keys and lengths
+
+
+def test_one_key_and_length_for_all_rows(spark, monkeypatch):
+    """A key, length or text that all rows share is dealt to many tasks, and each row has its place."""
+    monkeypatch.setattr(packing, "RANKED", 50)
+    rows = spark.createDataFrame([(None, "same words here", 1)] * 700 + [(i, "x " * 200, 2) for i in range(5)], "doc_id long, text string, __row int").repartition(3)
+    got = packing.pack_documents(rows, BYTE, capacity=32).collect()
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    for (s, a, n), (t, b, _) in zip(places, places[1:], strict=False):
+        assert b == (a + n if s == t else 0) and a + n <= 32
+    assert len(got) == 700 + 5 * len(packing.cut(201, 32)) and len({s for s, _, _ in places}) <= -(-sum(n for _, _, n in places) // 32) + 6
+    manifest = token_files.write_token_files(rows, BYTE, token_files.Layout(length=16, rows=4), files=6)
+    docs = sorted(r["n_docs"] for r in manifest.collect())
+    assert sum(docs) == 705 and docs[-1] < 300
+    back = token_files.read_documents(manifest).orderBy("start").collect()
+    assert [r["key"] for r in back] == [None] * 700 + list(range(5)) and len({r["ids_crc32"] for r in back}) == 2
+    monkeypatch.setattr(token_files, "FILE_BYTES", 500)
+    assert token_files.write_token_files(rows, BYTE).count() > 8
