@@ -5,7 +5,7 @@ table read again to the next stage. All but the last return the columns of docs.
 
 Defined results, stage by stage. Null texts count as empty: quality and toxicity judge them as such, all documents of null or
 empty text are copies of one another, and personal data leaves null null. Null keys and repeated rows are judged each; of
-rows that repeat a key and text one stays behind the near-duplicates. Very long texts are worked on whole. Columns of any
+rows that repeat a key and text one stays behind the near-duplicates, and all that have no key. Very long texts are worked on whole. Columns of any
 name beside doc_id and text pass through as they are, but for n_chars, which follows the text. Empty tables give empty tables.
 """
 
