@@ -128,6 +128,15 @@ def first_heading(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?m)^[ \t]*# (.*)$", 1), F.lit(""))
 
 
+def problem_section(page: Column, slug: Column) -> Column:
+    """A problem's statement in a rendered page: from the link that names it up to the comments; null if that is shorter than 200 letters."""
+    shown = strip(F.split_part(page, F.lit("评论 ("), F.lit(1)))
+    link = F.concat(F.lit(r"\[[^\]]+\]\(https://leetcode\.cn/problems/"), F.regexp_replace(slug, r"([^0-9A-Za-z])", r"\\$1"), F.lit(r"/?\)"))
+    at = F.regexp_instr(shown, link)
+    own = F.when(at > 0, F.substr(shown, at)).otherwise(shown)
+    return F.when(F.length(own) >= 200, own)
+
+
 def compact_title(title: Column) -> Column:
     """What stands before the first " | ", trimmed, at most 500 letters."""
     return F.left(F.trim(F.substring_index(title, " | ", 1)), F.lit(500))

@@ -66,15 +66,16 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def resolve_aliases(aliases: DataFrame, rounds: int = 20) -> DataFrame:
     """Each alias (src, dst) with the end of its chain; a chain that returns to itself stops where it would repeat. Chains are
     doubled each round, so 20 rounds follow a million steps."""
-    from skeinlake.sources.tables import staged
+    from skeinlake.sources.tables import discard, staged
 
-    step = aliases.select("src", "dst")
+    stored, step = None, aliases.select("src", "dst")
     again = F.col("beyond").isNotNull() & (F.col("beyond") != F.col("src"))
     for _ in range(rounds):
         far = step.select(F.col("src").alias("dst"), F.col("dst").alias("beyond"))
         moved = step.join(far, "dst", "left").select("src", F.when(again, F.col("beyond")).otherwise(F.col("dst")).alias("dst"), again.alias("moved"))
         moved = staged(moved, "aliases")  # else each round would repeat all before it, twice
-        step = moved.select("src", "dst")
+        discard(stored)
+        stored, step = moved, moved.select("src", "dst")
         if moved.where("moved").isEmpty():
             break
     return step
@@ -89,13 +90,26 @@ def verdict(errors: DataFrame, *by: str) -> DataFrame:
 def merge_evidence(target: DataFrame, incoming: DataFrame, prefix: str) -> DataFrame:
     """Evidence (pos, evidence_id, collection, source_url, title) of target and then of incoming, first wins on (collection, URL, title),
     nulls equal; new rows are numbered on from the target's rows of that prefix."""
+    from skeinlake.sources.tables import running_total
+
     both = target.withColumn("side", F.lit(0)).unionByName(incoming.withColumn("side", F.lit(1)))
     same = Window.partitionBy("collection", "source_url", "title").orderBy("side", "pos")
     kept = both.withColumn("__n", F.row_number().over(same)).where((F.col("__n") == 1) | (F.col("side") == 0)).drop("__n")
     start = target.agg(F.count_if(F.col("evidence_id").startswith(prefix)).alias("start"))
-    number = F.row_number().over(Window.partitionBy("side").orderBy("pos")) + F.col("start")
-    out = kept.crossJoin(F.broadcast(start)).withColumn("evidence_id", F.when(F.col("side") == 1, F.concat(F.lit(prefix), number)).otherwise(F.col("evidence_id")))
-    return out.drop("start")
+    new = running_total(kept.where("side = 1"), "__number", F.col("pos"))
+    named = new.crossJoin(F.broadcast(start)).withColumn("evidence_id", F.concat(F.lit(prefix), F.col("__number") + F.col("start"))).drop("__number", "start")  # one row
+    return kept.where("side = 0").unionByName(named)
+
+
+def plan_fingerprint(rows: DataFrame, by: str, key: str, sha: str) -> DataFrame:
+    """by, fingerprint: the hash of a group's buckets' hashes, in order; a bucket's hash is of its key:sha lines, in order. There are 65,536 buckets, by
+    the first digits of the key's hash, so that neither they nor their lines are ever a group's whole."""
+    line = F.concat_ws(":", F.col(key).cast("string"), F.col(sha))
+    bucket = F.left(F.sha2(F.col(key).cast("string"), 256), F.lit(4))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("l")))), lambda s: s["l"])
+    inner = rows.groupBy(by, bucket.alias("bucket")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("h"))
+    hashes = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda s: s["h"])
+    return inner.groupBy(by).agg(F.sha2(F.array_join(hashes, "\n"), 256).alias("fingerprint"))
 
 
 def running_budget(rows: DataFrame, by: str, budget: int, text: str, *order: Column) -> DataFrame:

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Strings that may be looked for at once: they go to every task.
-MOST_PATTERNS = 1_000_000
+from skeinlake.sources.tables import running_total
+
+#: Strings that may be looked for at once, and their bytes: they go to every task.
+MOST_PATTERNS, MOST_BYTES = 1_000_000, 64 << 20
 
 
 def holders(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -17,14 +20,17 @@ def holders(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str
     automaton over each text, however many strings; empty strings are held by none."""
     import ahocorasick
 
-    given = patterns.where(F.col("pattern") != "").limit(MOST_PATTERNS + 1).collect()
-    if len(given) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns: look for them in portions")
+    given = patterns.where(F.col("pattern") != "")
+    n, size = given.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
+    if n > MOST_PATTERNS or size > MOST_BYTES:
+        raise ValueError(f"{n} patterns of {size} bytes, more than {MOST_PATTERNS} or {MOST_BYTES}: look for them in portions")
+    given = given.collect()
     by_text: dict[str, list] = {}
     for r in given:
         by_text.setdefault(r["pattern"], []).append(r["pattern_id"])
     shared = docs.sparkSession.sparkContext.broadcast(by_text)
-    kind = patterns.schema["pattern_id"].dataType.simpleString()
+    kind = patterns.schema["pattern_id"].dataType
+    id_type = to_arrow_type(kind)
     rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,9 +44,9 @@ def holders(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str
                 for p in {p for _, ids in machine.iter(t) for p in ids}:
                     out_ids.append(p)
                     out_rows.append(i)
-            yield pa.record_batch({"pattern_id": pa.array(out_ids, pa.int64() if kind in ("bigint", "int") else pa.string()), key: batch.column(key).take(pa.array(out_rows, pa.int64()))})
+            yield pa.record_batch({"pattern_id": pa.array(out_ids, id_type), key: batch.column(key).take(pa.array(out_rows, pa.int64()))})
 
-    return rows.mapInArrow(find, f"pattern_id {'long' if kind in ('bigint', 'int') else 'string'}, {key} {dict(docs.dtypes)[key]}")
+    return rows.mapInArrow(find, f"pattern_id {kind.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}")
 
 
 def case_metrics(cases: DataFrame, ranking: DataFrame, relevance: DataFrame, ks: list[int]) -> DataFrame:
@@ -84,8 +90,15 @@ def filtered(ranking: DataFrame, candidate_k: Column | int) -> DataFrame:
 
 
 def latency(calls: DataFrame, value: str, *by: str) -> DataFrame:
-    """min, median, p95 (the value at place max(1, round(0.95 n)), half to even) and max."""
-    w = Window.partitionBy(*by)
-    placed = calls.where(F.col(value).isNotNull()).withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(value)))
-    at = F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(0.95)).cast("long"))
-    return placed.groupBy(*by).agg(F.count("*").alias("calls"), F.min(value).alias("min"), F.median(value).alias("median"), F.max(F.when(F.col("__i") == at, F.col(value))).alias("p95"), F.max(value).alias("max"))
+    """min, median, p95 (the value at place max(1, round(0.95 n)), half to even) and max. Calls are counted by value, and the counts added up
+    in order over ranges of values: no task gets a group's calls, or even all its values."""
+    counts = calls.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    upto = running_total(counts, "__upto", *[F.col(b) for b in by], F.col(value), amount=F.col("__n"))
+    whole = counts.groupBy(*by).agg(F.sum("__n").alias("calls"), F.min(value).alias("min"), F.max(value).alias("max"))
+    first = upto.groupBy(*by).agg(F.min(F.col("__upto") - F.col("__n")).alias("__before"))
+    placed = upto.join(whole.join(first, [*by]), [*by]).withColumn("__upto", F.col("__upto") - F.col("__before"))
+    holds = lambda place: (F.col("__upto") - F.col("__n") < place) & (place <= F.col("__upto"))
+    n = F.col("calls")
+    at = F.greatest(F.lit(1), F.bround(n * F.lit(0.95)).cast("long"))
+    low, high, p95 = (F.max(F.when(holds(place), F.col(value))) for place in (F.floor((n + 1) / 2), F.floor(n / 2) + 1, at))
+    return placed.groupBy(*by, "calls", "min", "max").agg(((low + high) / 2).alias("median"), p95.alias("p95")).select(*by, "calls", "min", "median", "max", "p95")

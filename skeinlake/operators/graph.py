@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.sources.tables import staged
+from skeinlake.sources.tables import discard, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,10 +21,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ends = links.select(F.col("b").alias("node"), F.col("a").alias("up")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("up")))
         up = staged(ends.groupBy("node").agg(F.min("up").alias("up")), "hooks")
         for _ in range(2):
-            up = staged(_follow(up, up), "hooks")
-        chains = up if chains is None else staged(_follow(chains, up), "roots")
+            up, before = staged(_follow(up, up), "hooks"), up
+            discard(before)
+        first = chains is None
+        chains, before = (up, None) if first else (staged(_follow(chains, up), "roots"), chains)
         moved = links.join(up.select(F.col("node").alias("a"), F.col("up").alias("na")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("nb")), "b")
-        links = staged(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).where("a < b").distinct(), "edges")
+        links, left = staged(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).where("a < b").distinct(), "edges"), links
+        discard(before, left, None if first else up)
     if chains is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     return chains.select("node", F.col("up").alias("component"))

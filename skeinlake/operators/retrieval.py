@@ -6,20 +6,22 @@ Each takes a DataFrame of queries and returns (query_id, document..., score, ran
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 
 from skeinlake.functions import text as T
-from skeinlake.sources.tables import staged
+
+from .evaluation import holders
 
 K1, B, RRF_K = 1.5, 0.75, 60
-#: Queries whose vectors go to each task at once.
-QUERY_BLOCK = 2048
+#: Queries whose vectors go to a task at once, and vectors that they meet there.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
 
 
 def ranked(scores: DataFrame, per: str, *order: Column, limit: int | None = None, rank: str = "rank") -> DataFrame:
@@ -34,9 +36,39 @@ def records(docs: DataFrame, key: str, title: Column, content: Column, metadata:
     return own.withColumn("len", F.size("tokens"))
 
 
-def stored(index: DataFrame) -> DataFrame:
-    """The index as a table: tokenized once, then read for lengths, frequencies and postings, each by its own columns."""
-    return staged(index, "index")
+@dataclass(frozen=True)
+class Index:
+    """What BM25 reads. postings: term, chunk_id, document_id, len, tf; stats: one row of n_docs, avg_len."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+#: Folders over which a stored index deals its terms: a query's terms read those alone.
+TERM_FOLDERS = 256
+
+
+def write_index(records_: DataFrame, path: str) -> Index:
+    """The index as a table: tokenized and counted once, laid out by terms, each folder sorted by them, so that queries read only the folders
+    and row groups of their terms. A term in all documents is spread over many files."""
+    spark = records_.sparkSession
+    counted = _postings(records_.select("chunk_id", "document_id", "len", F.explode("tokens").alias("term"))).withColumn("folder", _folder(F.col("term")))
+    dealt = counted.repartition("folder", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).sortWithinPartitions("folder", "term", "chunk_id")
+    dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    corpus_stats(records_).write.mode("overwrite").parquet(f"{path}/stats")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+
+
+def _folder(term: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(TERM_FOLDERS)).cast("int")
+
+
+def _postings(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("term", "chunk_id", "document_id", "len").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
@@ -52,19 +84,25 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
-    """query_id, chunk_id, document_id, score (rounded), for each pair with a common term; queries: query_id, tokens.
+def bm25(index: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+    """query_id, chunk_id, document_id, score (rounded), for each pair with a common term; queries: query_id, tokens; index: a stored
+    one, or records, which are then counted as they are read and not written.
 
     Only terms that some query has leave the corpus scan: tokens are semi-joined with the query vocabulary before anything is
     counted, counts are combined before the shuffle, and one row of corpus statistics is joined to all.
     """
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = index.select("chunk_id", "document_id", "len", F.explode("tokens").alias("term"))
-    tf = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "chunk_id", "document_id", "len").agg(F.count("*").alias("tf"))
+    words = asked.select("term").distinct()
+    if isinstance(index, Index):
+        tf = index.postings.join(words.withColumn("folder", _folder(F.col("term"))), ["folder", "term"], "left_semi").drop("folder")
+        stats = index.stats
+    else:
+        tf = _postings(index.select("chunk_id", "document_id", "len", F.explode("tokens").alias("term")).join(words, "term", "left_semi"))
+        stats = corpus_stats(index)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     norm = k1 * (1.0 - b + b * F.col("len") / F.col("avg_len"))
     part = F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)
-    pairs = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_stats(index)))  # one row
+    pairs = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row
     return pairs.groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
 
 
@@ -74,7 +112,7 @@ def one_chunk_each(ranking: DataFrame, limit: int, rank: str = "rank") -> DataFr
     return ranked(first.withColumnRenamed(rank, "__old"), "query_id", F.col("__old"), F.col("chunk_id"), limit=limit, rank=rank).drop("__old")
 
 
-def bm25_ranking(index: DataFrame, queries: DataFrame, fetch: int = 60, keep: int = 20) -> DataFrame:
+def bm25_ranking(index: DataFrame | Index, queries: DataFrame, fetch: int = 60, keep: int = 20) -> DataFrame:
     """The first `fetch` chunks of each query by score, then chunk_id; of those one for each document, the first `keep`."""
     best = ranked(bm25(index, queries), "query_id", F.col("score").desc(), F.col("chunk_id"), limit=fetch)
     return one_chunk_each(best, keep)
@@ -87,54 +125,78 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """query_id, key, score, rank: the k vectors of greatest cosine for each query; queries: query_id, vector.
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6, by: str | None = None) -> DataFrame:
+    """query_id, key, score, rank (and by): the k vectors of greatest cosine for each query; queries: query_id, vector. by: a column of both;
+    queries then search the vectors of their own value alone.
 
-    Queries are a batch; blocks of them go to every task, which multiplies matrices and keeps k a query and Arrow batch, so only
-    those are shuffled. Vectors that are null, not finite, of length zero or another dimension match nothing.
+    A batch of up to `QUERY_BLOCK` queries goes to every task. Of larger ones, blocks of queries meet blocks of vectors (of each
+    value of by), each pair of blocks in a task of its own. Either way matrices are multiplied, and k a query and block are shuffled.
+    Vectors that are null, not finite, of length zero or another dimension match nothing.
     """
-    asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).where("v is not null").collect()  # the batch of queries
-    out = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        some = _dense_block(vectors, asked[at : at + QUERY_BLOCK], k, key, vector, digits, queries.schema["query_id"].dataType)
-        out = some if out is None else out.unionByName(some)
+    own = [by] if by else []
+    rows = vectors.select(key, *own, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    asked = queries.select("query_id", *own, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    types = {n: queries.schema["query_id"].dataType if n == "query_id" else vectors.schema[n].dataType for n in ("query_id", *own, key)}
+    schema = ", ".join(f"`{n}` {t.simpleString()}" for n, t in types.items()) + ", score double"
+    kinds = pa.schema([(n, to_arrow_type(t)) for n, t in types.items()] + [("score", pa.float64())])
+    if len(few) <= QUERY_BLOCK:
+        groups: dict = {}
+        for r in few:
+            groups.setdefault((r[by] if by else None, len(r["v"])), []).append(r)
+        ready = {at: ([r["query_id"] for r in rs], np.array([r["v"] for r in rs], np.float64)) for at, rs in groups.items()}
+        shared = vectors.sparkSession.sparkContext.broadcast(ready)  # at most QUERY_BLOCK vectors
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for (value, n), (names, q) in shared.value.items():
+                    some = batch.filter(pc.equal(batch.column(by), pa.scalar(value, batch.schema.field(by).type))) if by else batch
+                    yield _best(names, q, some, n, k, key, digits, kinds, value)
+
+        out = rows.mapInArrow(best, schema)
+    else:
+        tiles = asked.groupBy(*own).agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("__qs"))
+        tiles = tiles.join(rows.groupBy(*own).agg(F.ceil(F.count("*") / F.lit(VECTOR_BLOCK)).cast("int").alias("__vs")), own or F.lit(True))
+        met = lambda df, name, mine, other, n: df.join(tiles, own or F.lit(True)).withColumn(mine, F.pmod(F.xxhash64(name), F.col(n[0])).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n[1]) - 1)))
+        cell = [*own, "__q", "__v"]
+        left = met(asked, "query_id", "__q", "__v", ("__qs", "__vs")).select("query_id", "v", *cell)
+        right = met(rows, key, "__v", "__q", ("__vs", "__qs")).select(key, "v", *cell)
+
+        def meet(ask: pa.Table, have: pa.Table) -> pa.Table:
+            value = have.column(by)[0].as_py() if by and have.num_rows else None
+            sizes = ask.column("v").combine_chunks().value_lengths()
+            batch = have.combine_chunks().to_batches()
+            out = []
+            for n in pc.unique(sizes).to_pylist():
+                some = ask.filter(pc.equal(sizes, n))
+                q = some.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, n)
+                out += [_best(some.column("query_id").to_pylist(), q, b, n, k, key, digits, kinds, value) for b in batch]
+            return pa.Table.from_batches(out, kinds)
+
+        out = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, schema)
     return ranked(out, "query_id", F.col("score").desc(), F.col(key), limit=k)
 
 
-def _dense_block(vectors: DataFrame, asked: list, k: int, key: str, vector: str, digits: int, kind: DataType) -> DataFrame:
-    by_size: dict[int, list] = {}
-    for r in asked:
-        by_size.setdefault(len(r["v"]), []).append(r)
-    ready = {}
-    for n, rs in by_size.items():
-        m = np.array([r["v"] for r in rs], np.float64)
-        norm = np.linalg.norm(m, axis=1)
-        good = np.isfinite(norm) & (norm > 0)
-        ready[n] = ([r["query_id"] for r, g in zip(rs, good, strict=True) if g], m[good] / norm[good, None])
-    shared = vectors.sparkSession.sparkContext.broadcast(ready)  # at most QUERY_BLOCK vectors
-    rows = vectors.select(key, F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull()))
-    id_type = to_arrow_type(kind)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, ids = batch.column("v"), batch.column(key)
-            sizes = np.asarray(lists.value_lengths().fill_null(0))
-            for n, (names, q) in shared.value.items():
-                own = np.flatnonzero(sizes == n)
-                if not len(own) or not len(q):
-                    continue
-                m = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), n)
-                norm = np.linalg.norm(m, axis=1)
-                good = np.isfinite(norm) & (norm > 0)
-                own, m = own[good], m[good] / norm[good, None]
-                keys = ids.take(pa.array(own))
-                place = np.argsort(np.asarray(keys), kind="stable")
-                scores = np.round(q @ m.T, digits)[:, place]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                flat = top.ravel()
-                yield pa.record_batch({"query_id": pa.array(np.repeat(np.array(names, object), top.shape[1]).tolist(), id_type), key: keys.take(pa.array(place[flat])), "score": pa.array(np.take_along_axis(scores, top, axis=1).ravel())})
-
-    return rows.mapInArrow(best, f"query_id {kind.simpleString()}, {key} {dict(vectors.dtypes)[key]}, score double")
+def _best(names: list, q: np.ndarray, batch: pa.RecordBatch, n: int, k: int, key: str, digits: int, kinds: pa.Schema, value) -> pa.RecordBatch:
+    """The k best of a batch's vectors (key, v) of n components for each query vector."""
+    lists, ids = batch.column("v"), batch.column(key)
+    own = np.flatnonzero(np.asarray(lists.value_lengths()) == n)
+    norm = np.linalg.norm(q, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    names, q = [x for x, g in zip(names, good, strict=True) if g], q[good] / norm[good, None]
+    m = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), n)
+    norm = np.linalg.norm(m, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    own, m = own[good], m[good] / norm[good, None]
+    if not len(own) or not names:
+        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in kinds], schema=kinds)
+    keys = ids.take(pa.array(own))
+    place = np.argsort(np.asarray(keys), kind="stable")
+    scores = np.round(q @ m.T, digits)[:, place]
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    flat = top.ravel()
+    columns = {"query_id": pa.array(np.repeat(np.array(names, object), top.shape[1]).tolist(), kinds.field("query_id").type), key: keys.take(pa.array(place[flat])).cast(kinds.field(key).type), "score": pa.array(np.take_along_axis(scores, top, axis=1).ravel())}
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.array([value] * len(flat), f.type) for f in kinds], schema=kinds)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, limit: int = 20, k: int = RRF_K, digits: int = 8) -> DataFrame:
@@ -168,15 +230,20 @@ def evidence_score(rerank_score: Column, rrf_score: Column) -> Column:
 
 
 def lexical_ranking(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The fallback: query_id, document_id, score, rank by lexical score, then input place; queries: query_id, query (a small batch,
-    whose tokens are looked up); docs: document_id, search_text, input_pos.
+    """The fallback: query_id, document_id, score, rank by lexical score, then input place; queries: query_id, query (a batch, whose strings are
+    looked for in one pass); docs: document_id, search_text, input_pos.
 
-    Documents without any common token can still hold the query as a string only if they hold its tokens, so candidates come
-    from an equi-join on tokens.
+    The parts of the score are found apart and added: tokens that both have, by an equi-join with the queries' tokens, and the
+    documents that hold a whole query, by an automaton. No pair without either is ever made.
     """
     asked = queries.select("query_id", T.expand_aliases(F.col("query")).alias("query"))
-    terms = asked.select("query_id", F.explode(T.lexical_tokens(F.col("query"))).alias("token"))
-    own = docs.select("document_id", F.explode(T.lexical_tokens(F.lower("search_text"))).alias("token"))
-    pairs = own.join(terms, "token").select("query_id", "document_id").distinct()
-    scored = pairs.join(asked, "query_id").join(docs, "document_id").select("query_id", "document_id", "input_pos", F.round(T.lexical_score(F.col("query"), F.col("search_text")), 6).alias("score"))
+    tokens = asked.select("query_id", T.lexical_tokens(F.col("query")).alias("tokens"))
+    terms = tokens.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("token"))
+    own = docs.select("document_id", "input_pos", F.explode(T.lexical_tokens(F.lower("search_text"))).alias("token"))
+    weight = F.when(F.length("token") > 2, 2.0).otherwise(1.0)
+    common = own.join(terms, "token").groupBy("query_id", "document_id", "input_pos").agg((F.sum(weight) + 4.0 * F.count("*") / F.first("asked")).alias("part"))
+    patterns = asked.select(F.col("query_id").alias("pattern_id"), T.squeeze(F.lower("query")).alias("pattern"))
+    placed = docs.select(F.struct("document_id", "input_pos").alias("at"), F.lower("search_text").alias("text"))
+    found = holders(placed, patterns, "at", "text").select(F.col("pattern_id").alias("query_id"), "at.document_id", "at.input_pos", F.lit(12.0).alias("part"))
+    scored = common.unionByName(found).groupBy("query_id", "document_id", "input_pos").agg(F.round(F.sum("part"), 6).alias("score"))
     return ranked(scored.where("score > 0"), "query_id", F.col("score").desc(), F.col("input_pos"), limit=k)

@@ -52,6 +52,26 @@ def merge_unique(arrays: list[Column], limit: int) -> Column:
     return T.suffix(F.array_distinct(F.filter(F.concat(*arrays), lambda x: x.isNotNull() & (x != ""))), limit)
 
 
+#: The kinds of memory that each list of a snapshot holds, and how many entries.
+SNAPSHOT = {
+    "long_term": (("user_profile", "long_term_goal", "decision", "learned_fact"), 16),
+    "preferences": (("preference",), 12),
+    "constraints": (("constraint",), 12),
+    "open_questions": (("unfinished_task",), 10),
+}
+
+
+def snapshot(memories: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """user_id, session_id and the lists of SNAPSHOT: what is active (the same columns, arrays), then the memories of each scope, most important first;
+    each entry once, the last ones where a list is full."""
+    by = ["user_id", "session_id"]
+    own = {n: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("place", "content")))), lambda s: s["content"]).alias(f"__{n}") for n, (kinds, _) in SNAPSHOT.items()}
+    got = memories.groupBy(*by).agg(*own.values())
+    none = F.array().cast("array<string>")
+    both = got.withColumns({n: none for n in SNAPSHOT}) if active is None else active.join(got, by, "full")
+    return both.select(*by, *[merge_unique([F.coalesce(n, none), F.coalesce(f"__{n}", none)], cap).alias(n) for n, (_, cap) in SNAPSHOT.items()])
+
+
 def durable(text: Column) -> Column:
     low = F.lower(text)
     out = F.lit(False)

@@ -21,20 +21,31 @@ def _long(*names):
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
-#: Events as a decision trace: ten users in one session each.
-TRACE_SQL = """tr AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, (props->>'k')::INT AS k, event_type,
-CASE event_type WHEN 'view' THEN 'retrieve_rag' WHEN 'click' THEN 'search_web' WHEN 'purchase' THEN 'finish' WHEN 'signup' THEN CASE WHEN (props->>'k')::INT % 2 = 0 THEN 'get_current_time' ELSE 'switch_to_native_reasoning' END ELSE 'delegate' END AS action FROM events),
-t AS (SELECT *, 'c' || (k % 3) AS collection, CASE WHEN k % 2 = 0 THEN 'Q  ' ELSE 'q ' END || (k % 5) AS query, CASE WHEN action = 'delegate' THEN CASE k % 4 WHEN 0 THEN 'verification_agent' WHEN 1 THEN 'implementation_agent' WHEN 2 THEN 'strategy_agent' END END AS agent, session_id % 2 = 0 AS needs_rag FROM tr)"""
+#: Events as a decision trace: a user is a session; what happens and what the tools say goes by kind, number and k.
+TRACE_SQL = """tr AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, (props->>'k')::INT AS k, event_type FROM events),
+ac AS (SELECT *, CASE event_type WHEN 'view' THEN 'retrieve_rag' WHEN 'click' THEN 'search_web' WHEN 'purchase' THEN CASE k % 5 WHEN 0 THEN 'persist_memory' WHEN 1 THEN 'ask_clarification' ELSE 'finish' END WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 'get_current_time' ELSE 'switch_to_native_reasoning' END ELSE CASE WHEN k % 6 = 4 THEN 'execute_code_tests' ELSE 'delegate' END END AS action FROM tr),
+ag AS (SELECT *, CASE WHEN action = 'delegate' THEN CASE k % 4 WHEN 0 THEN 'verification_agent' WHEN 1 THEN 'implementation_agent' WHEN 2 THEN 'strategy_agent' END END AS agent FROM ac),
+t AS (SELECT *, 'c' || (k % 3) AS collection, CASE WHEN k % 19 = 0 THEN NULL ELSE CASE WHEN k % 2 = 0 THEN 'Q  ' ELSE 'q ' END || (k % 5) END AS query, session_id % 2 = 0 AND session_id % 7 <> 0 AS needs_rag, session_id % 7 = 0 AS native_only, session_id % 3 <> 0 AS must_verify, session_id % 5 = 0 AS open_reference,
+CASE WHEN k % 13 <> 0 THEN 'because' END AS why, CASE WHEN k % 11 <> 0 THEN 'do it' ELSE ' ' END AS instruction, CASE WHEN k % 7 <> 0 THEN 'which?' END AS question, k % 3 AS updates, k % 17 <> 0 AS web_up, CASE WHEN k % 10 < 3 THEN 'miss' ELSE 'hit' END AS rag_status,
+CASE WHEN agent = 'implementation_agent' THEN sha256('code' || (k % 3)) END AS code_hash, CASE WHEN action = 'execute_code_tests' THEN sha256('code' || (k % 3)) END AS tested_hash, CASE WHEN k % 4 = 0 THEN 'failed' ELSE 'passed' END AS test_status, k % 9 = 0 AS follow_up FROM ag)"""
 
 
 def trace(spark, sf_dir):
-    kind = F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("int")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"), k.alias("k"), "event_type")
-    rows = rows.withColumn("action", F.when(kind == "view", "retrieve_rag").when(kind == "click", "search_web").when(kind == "purchase", "finish").when(kind == "signup", F.when(F.col("k") % 2 == 0, "get_current_time").otherwise("switch_to_native_reasoning")).otherwise("delegate"))
-    agent = F.when(F.col("action") == "delegate", F.when(F.col("k") % 4 == 0, "verification_agent").when(F.col("k") % 4 == 1, "implementation_agent").when(F.col("k") % 4 == 2, "strategy_agent"))
-    query = F.concat(F.when(F.col("k") % 2 == 0, "Q  ").otherwise("q "), F.col("k") % 5)
-    return rows.select("*", F.concat(F.lit("c"), F.col("k") % 3).alias("collection"), query.alias("query"), agent.alias("agent"), (F.col("session_id") % 2 == 0).alias("needs_rag"))
+    kind, k, session = F.col("event_type"), F.col("k"), F.col("session_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"), F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type")
+    bought = F.when(k % 5 == 0, "persist_memory").when(k % 5 == 1, "ask_clarification").otherwise("finish")
+    signed = F.when(k % 2 == 0, "get_current_time").otherwise("switch_to_native_reasoning")
+    failed = F.when(k % 6 == 4, "execute_code_tests").otherwise("delegate")
+    rows = rows.withColumn("action", F.when(kind == "view", "retrieve_rag").when(kind == "click", "search_web").when(kind == "purchase", bought).when(kind == "signup", signed).otherwise(failed))
+    rows = rows.withColumn("agent", F.when(F.col("action") == "delegate", F.when(k % 4 == 0, "verification_agent").when(k % 4 == 1, "implementation_agent").when(k % 4 == 2, "strategy_agent")))
+    query = F.when(k % 19 != 0, F.concat(F.when(k % 2 == 0, "Q  ").otherwise("q "), k % 5))
+    code = F.sha2(F.concat(F.lit("code"), k % 3), 256)
+    return rows.withColumns({
+        "collection": F.concat(F.lit("c"), k % 3), "query": query, "needs_rag": (session % 2 == 0) & (session % 7 != 0), "native_only": session % 7 == 0, "must_verify": session % 3 != 0, "open_reference": session % 5 == 0,
+        "why": F.when(k % 13 != 0, "because"), "instruction": F.when(k % 11 != 0, "do it").otherwise(" "), "question": F.when(k % 7 != 0, "which?"), "updates": k % 3, "web_up": k % 17 != 0,
+        "rag_status": F.when(k % 10 < 3, "miss").otherwise("hit"), "code_hash": F.when(F.col("agent") == "implementation_agent", code), "tested_hash": F.when(F.col("action") == "execute_code_tests", code),
+        "test_status": F.when(k % 4 == 0, "failed").otherwise("passed"), "follow_up": k % 9 == 0,
+    })
 
 
 _SOLVER_SQL = "('" + "', '".join(A.SOLVERS) + "')"
@@ -55,26 +66,56 @@ def _seen(c: str) -> str:
     return f"coalesce(max(CASE WHEN {c} THEN 1 END) {_PAST}, 0) = 1"
 
 
+def _newest(value: str, c: str) -> str:
+    return f"last_value(CASE WHEN {c} THEN {value} END IGNORE NULLS) {_PAST}"
+
+
+_NATIVE = _seen("action = 'switch_to_native_reasoning'")
+_VERIFIED = _seen("agent = 'verification_agent'")
 _RULES = {
     "time_read_twice": f"action = 'get_current_time' AND {_seen("action = 'get_current_time'")}",
     "evidence_first": f"needs_rag AND NOT {_seen("action = 'retrieve_rag'")} AND action NOT IN ('get_current_time', 'retrieve_rag')",
-    "evidence_after_switch": f"action = 'retrieve_rag' AND {_seen("action = 'switch_to_native_reasoning'")}",
+    "native_only": "native_only AND action IN ('retrieve_rag', 'search_web')",
+    "evidence_without_query": "action = 'retrieve_rag' AND query IS NULL",
+    "evidence_after_switch": f"action = 'retrieve_rag' AND {_NATIVE}",
     "same_evidence_query": f"action = 'retrieve_rag' AND {_SAME}",
     "switch_before_evidence": f"action = 'switch_to_native_reasoning' AND NOT {_seen("action = 'retrieve_rag'")}",
-    "switch_twice": f"action = 'switch_to_native_reasoning' AND {_seen("action = 'switch_to_native_reasoning'")}",
+    "switch_twice": f"action = 'switch_to_native_reasoning' AND {_NATIVE}",
+    "no_switch_after_miss": f"needs_rag AND coalesce({_newest('rag_status', "action = 'retrieve_rag'")} = 'miss', false) AND NOT {_NATIVE} AND action <> 'switch_to_native_reasoning'",
+    "web_without_query_or_reason": "action = 'search_web' AND (query IS NULL OR why IS NULL)",
+    "web_is_down": "action = 'search_web' AND NOT web_up",
     "same_web_query": f"action = 'search_web' AND {_SAME}",
-    "third_native_web_search": f"action = 'search_web' AND {_seen("action = 'switch_to_native_reasoning'")} AND coalesce(sum(CASE WHEN action = 'search_web' THEN 1 ELSE 0 END) {_PAST}, 0) >= 2",
-    "finish_without_work": f"action = 'finish' AND NOT {_seen("action = 'delegate'")}",
-    "finish_unverified": f"action = 'finish' AND {_seen(f'agent IN {_SOLVER_SQL}')} AND coalesce(max(CASE WHEN agent = 'verification_agent' THEN step END) {_PAST}, -1) < coalesce(max(CASE WHEN agent IN {_SOLVER_SQL} THEN step END) {_PAST}, -1)",
+    "third_native_web_search": f"action = 'search_web' AND {_NATIVE} AND coalesce(sum(CASE WHEN action = 'search_web' THEN 1 ELSE 0 END) {_PAST}, 0) >= 2",
+    "test_without_code": "action = 'execute_code_tests' AND code IS NULL",
+    "tested_again": "action = 'execute_code_tests' AND code IS NOT NULL AND tests > 0",
     "delegate_without_agent": "action = 'delegate' AND agent IS NULL",
+    "delegate_without_instruction": "action = 'delegate' AND trim(instruction) = ''",
+    "code_not_tested": "code IS NOT NULL AND tests = 0 AND action <> 'execute_code_tests'",
+    "test_failed": "coalesce(status = 'failed', false) AND (action = 'finish' OR coalesce(agent = 'verification_agent', false))",
+    "reference_not_searched": f"open_reference AND action IN ('delegate', 'finish') AND NOT {_seen("action = 'search_web'")}",
+    "memory_without_updates": "action = 'persist_memory' AND updates = 0",
+    "clarification_without_question": "action = 'ask_clarification' AND question IS NULL",
+    "finish_without_reason": "action = 'finish' AND why IS NULL",
+    "finish_without_work": f"action = 'finish' AND NOT {_seen("action = 'delegate'")}",
+    "finish_with_open_work": f"action = 'finish' AND coalesce({_newest('follow_up', "action = 'delegate'")}, false)",
+    "finish_without_test": "action = 'finish' AND code IS NOT NULL AND tests = 0",
+    "finish_without_verification": f"action = 'finish' AND must_verify AND NOT {_VERIFIED}",
+    "finish_without_solution": f"action = 'finish' AND must_verify AND {_VERIFIED} AND NOT {_seen(f'agent IN {_SOLVER_SQL}')}",
+    "finish_unverified": f"action = 'finish' AND must_verify AND {_VERIFIED} AND {_seen(f'agent IN {_SOLVER_SQL}')} AND coalesce(max(CASE WHEN agent = 'verification_agent' THEN step END) {_PAST}, -1) < coalesce(max(CASE WHEN agent IN {_SOLVER_SQL} THEN step END) {_PAST}, -1)",
 }
 
 
-@register(f"WITH {TRACE_SQL}, v AS (SELECT session_id, step, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULES.items()) + ") AS rules FROM t) SELECT * FROM v WHERE rules <> ''")
+@register(f"WITH {TRACE_SQL}, c AS (SELECT *, last_value(code_hash IGNORE NULLS) {_PAST} AS code FROM t), x AS (SELECT c.session_id, c.step, count(*) AS tests, arg_max(r.test_status, r.step) AS status FROM c JOIN t r ON r.session_id = c.session_id AND r.tested_hash = c.code AND r.step < c.step GROUP BY ALL), a AS (SELECT c.*, coalesce(x.tests, 0) AS tests, x.status FROM c LEFT JOIN x ON x.session_id = c.session_id AND x.step = c.step), v AS (SELECT session_id, step, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULES.items()) + ") AS rules FROM a) SELECT * FROM v WHERE rules <> ''")
 def decision_legality(spark, sf_dir):
     return A.violations(trace(spark, sf_dir)).select("session_id", *_long("step"), "rules")
 
 
+@register(f"WITH {TRACE_SQL}, e AS (SELECT session_id, min(step) FILTER (action IN ('ask_clarification', 'finish')) AS e, arg_min(action, step) FILTER (action IN ('ask_clarification', 'finish')) AS what, max(step) AS last FROM t GROUP BY session_id), g AS (SELECT *, coalesce(e <= 8, false) AS own FROM e) SELECT session_id, CASE WHEN own THEN CASE what WHEN 'finish' THEN 'finish' ELSE 'clarify' END WHEN last >= 8 THEN 'limit' ELSE 'open' END AS terminal, CASE WHEN own THEN e ELSE least(last, 8) END AS at, last - CASE WHEN own THEN e ELSE least(last, 8) END AS beyond FROM g")
+def decision_terminals(spark, sf_dir):
+    """Eight steps at most: how each session's loop ends."""
+    return A.terminals(trace(spark, sf_dir)).select("session_id", "terminal", *_long("at", "beyond"))
+
+
 @register(f"WITH {TRACE_SQL} SELECT session_id, coalesce(max(step) FILTER (agent IN {_SOLVER_SQL}), -1) >= 0 AND coalesce(max(step) FILTER (agent = 'verification_agent'), -1) < coalesce(max(step) FILTER (agent IN {_SOLVER_SQL}), -1) AS needed FROM t GROUP BY session_id")
 def verification_after_solution(spark, sf_dir):
     return A.needs_verification(trace(spark, sf_dir))
@@ -127,6 +168,75 @@ def answer_form_preserved(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, a string, b string").select("id", A.preserved(F.col("a"), F.col("b")).alias("kept"))
 
 
+#: Turns of conversations as answers: before, and after a change that goes by turn.
+ANSWER_SQL = "an AS (SELECT conv_id, turn, text, text || ' [R' || (turn % 4 + 1) || '] http://a.b/' || conv_id || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' AS before FROM conversations)"
+
+
+def answers(spark, sf_dir):
+    before = F.concat("text", F.lit(" [R"), F.col("turn") % 4 + 1, F.lit("] http://a.b/"), "conv_id", F.lit("\n```\nx = 1\n```"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("before"))
+
+
+@register(f"WITH {ANSWER_SQL} SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'citations' WHEN 2 THEN 'urls_made_up' WHEN 3 THEN 'code' ELSE 'claims,blank,citations,urls_lost,code' END AS errors FROM an")
+def format_preservation(spark, sf_dir):
+    k, b = F.col("turn") % 5, F.col("before")
+    after = F.when(k == 0, F.concat(F.lit("**"), b, F.lit("** http://ref.org"))).when(k == 1, F.concat(b, F.lit(" [W9]"))).when(k == 2, F.concat(b, F.lit(" http://made.up"))).when(k == 3, F.replace(b, F.lit("x = 1"), F.lit("x = 2"))).otherwise(F.lit(" \n"))
+    added = F.when(k == 4, F.array(F.lit("a claim"))).otherwise(F.array().cast("array<string>"))
+    return answers(spark, sf_dir).select("conv_id", "turn", A.format_errors(b, after, F.array(F.lit("http://ref.org")), added).alias("errors"))
+
+
+@register(f"WITH {ANSWER_SQL} SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'citations' ELSE 'claims' END AS errors FROM an")
+def polish_preservation(spark, sf_dir):
+    k, b = F.col("turn") % 3, F.col("before")
+    final = F.when(k == 1, F.replace(b, F.lit("[R"), F.lit("(R"))).otherwise(F.concat(b, F.lit(" [W1]")))
+    return answers(spark, sf_dir).select("conv_id", "turn", A.polish_errors(b, final, F.when(k == 2, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))).alias("errors"))
+
+
+@register("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN 'letters' WHEN 2 THEN 'shape,analysis' ELSE 'meaning' END AS errors FROM conversations")
+def lossless_organisation(spark, sf_dir):
+    """Inputs organised by line ends for blanks; one in four has a letter more."""
+    k = F.col("turn") % 4
+    organised = F.concat(F.replace("text", F.lit(" "), F.lit(" \n")), F.when(k == 1, "x").otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.organised_errors(F.col("text"), organised, F.when(k == 2, "prose").otherwise("text"), k != 3, k == 2).alias("errors"))
+
+
+@register("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'dimensions' WHEN 2 THEN 'approved_with_issues' ELSE 'nothing_to_revise' END AS errors FROM orders")
+def test_plan_review(spark, sf_dir):
+    k, none = F.col("o_orderkey") % 4, F.array().cast("array<string>")
+    all_ = F.array(*[F.lit(d) for d in A.DIMENSIONS])
+    verdict = F.when(k == 3, "revise").otherwise("approved")
+    return table(spark, sf_dir, "orders").select("o_orderkey", A.review_errors(F.when(k == 1, F.slice(all_, 1, 7)).otherwise(all_), verdict, F.when(k == 2, F.array(F.lit("an issue"))).otherwise(none), none).alias("errors"))
+
+
+# Fallbacks
+
+
+@register(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, turn % 3 AS k FROM conversations) SELECT conv_id, turn, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'mixed' ELSE 'code' END AS input_type, CASE k WHEN 2 THEN '用户提供了所附 Python 代码，但未说明希望执行的操作。' ELSE s END AS formatted, k <> 2 AS actionable, k > 0 AS contains_code, CASE WHEN k > 0 THEN 'Python' END AS language FROM t""")
+def rewrite_fallback(spark, sf_dir):
+    """Inputs of text, of text and code, and of code alone."""
+    k, code = F.col("turn") % 3, F.lit("```py\nprint(1)\n```")
+    raw = F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", F.lit("\n"), code)).otherwise(code)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.rewritten(raw).alias("r")).select("conv_id", "turn", "r.input_type", "r.formatted", "r.actionable", "r.contains_code", "r.language")
+
+
+@register(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') || CASE turn % 4 WHEN 0 THEN ' 继续给出 C++ 实现' WHEN 1 THEN ' 上一题的代码' ELSE '' END AS s, turn % 4 AS k FROM conversations) SELECT conv_id, turn, s AS request, '为上一轮列出的每道题提供' || CASE WHEN regexp_matches(s, '(?i)c\+\+|cpp') THEN 'C++' ELSE '完整' END || '代码实现' AS goal FROM t WHERE regexp_matches(s, '(?i)c\+\+|cpp|代码|实现|code') AND regexp_matches(s, '每道题|每一题|这些题|上述题|上一题|上一轮|刚才|继续') AND turn > 0""")
+def continuation_fallback(spark, sf_dir):
+    """Turns that go on with the session's problems and ask for their code."""
+    k = F.col("turn") % 4
+    said = F.concat(T.strip(F.col("text")), F.when(k == 0, " 继续给出 C++ 实现").when(k == 1, " 上一题的代码").otherwise(""))
+    got = table(spark, sf_dir, "conversations").select("conv_id", "turn", A.continued(said, F.lit(""), F.col("turn") > 0).alias("t")).where("t IS NOT NULL")
+    return got.select("conv_id", "turn", "t.request", "t.goal")
+
+
+@register(r"""WITH m AS (SELECT conv_id, role, text || CASE WHEN turn % 3 = 1 THEN chr(10) || '```py' || chr(10) || 'print(1)' || chr(10) || '```' ELSE '' END AS content, text, turn % 3 = 1 AS code, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations),
+l AS (SELECT *, role || ': ' || left(CASE WHEN code THEN '[代码工件：Python，8 字符；说明：' || regexp_replace(text, '^\s+|\s+$', '', 'g') || ']' ELSE content END, 240) AS line FROM m)
+SELECT conv_id AS session_id, string_agg(line, '；' ORDER BY place) FILTER (back <= 4) AS summary, coalesce(string_agg(place::VARCHAR, ',' ORDER BY place) FILTER (code), '') AS artifacts FROM l GROUP BY conv_id""")
+def compression_fallback(spark, sf_dir):
+    content = F.concat("text", F.when(F.col("turn") % 3 == 1, "\n```py\nprint(1)\n```").otherwise(""))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", content.alias("content"))
+    return A.summary_without_model(rows)
+
+
 # Projections
 
 
@@ -159,10 +269,25 @@ def inclusion_predicate(spark, sf_dir):
     return docs.join(dup, "doc_id", "left").select("doc_id", why.alias("excluded"), (why.isNull() & F.col("dup").isNull()).alias("included"))
 
 
-@register("WITH p AS (SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1))) AS links, length(html) AS n FROM pages) SELECT page_id, concat_ws(',', CASE WHEN links >= 6 THEN 'listing' END, CASE WHEN n < 900 THEN 'short' END) AS rejects FROM p")
+@register("WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'cases' WHEN 1 THEN 'concepts' ELSE 'problems' END AS library, doc_id % 7 AS links, length(text) + CASE WHEN doc_id % 4 = 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 8 ELSE 0 END AS n FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN library = 'cases' AND links >= 5 THEN 'listing' END, CASE WHEN n < 200 AND doc_id % 8 <> 0 THEN 'short' END, CASE WHEN doc_id % 4 = 0 THEN 'fences' END, CASE WHEN doc_id % 5 = 0 AND library = 'concepts' THEN 'noise' END) AS rejects FROM d")
 def hard_rejects(spark, sf_dir):
-    links = F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))))
-    return table(spark, sf_dir, "pages").select("page_id", F.concat_ws(",", F.when(links >= 6, "listing"), F.when(F.length("html") < 900, "short")).alias("rejects"))
+    """Documents of three libraries with up to six links to solutions; some have a fence that isn't closed, some a comment heading left."""
+    from skeinlake.functions import markdown as M
+
+    k = F.col("doc_id")
+    links = F.transform(F.sequence(F.lit(0), k % 7), lambda i: F.concat(F.lit("https://leetcode.cn/problems/p/solutions/"), i, F.lit("/x")))
+    cleaned = F.concat("text", F.when(k % 4 == 0, "\n```").otherwise(""), F.when(k % 5 == 0, "\n### 评论").otherwise(""))
+    library = F.when(k % 3 == 0, "cases").when(k % 3 == 1, "concepts").otherwise("problems")
+    closes = F.pandas_udf(lambda texts: texts.map(M.balanced), "boolean")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(links, 1, (k % 7).cast("int")).alias("links"), cleaned.alias("cleaned"), library.alias("library"), (k % 8 == 0).alias("forced"))
+    return rows.select("doc_id", A.reject_reasons(F.col("links"), F.col("cleaned"), closes("cleaned"), F.col("library"), F.col("forced")).alias("rejects"))
+
+
+@register("WITH p AS (SELECT doc_id, '[' || source || '](https://leetcode.cn/problems/' || source || '/) ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s, text FROM documents) SELECT doc_id, CASE WHEN length(s) >= 200 THEN md5(s) END AS digest FROM p")
+def problem_section(spark, sf_dir):
+    """Rendered pages: navigation, the problem under its own link, comments."""
+    page = F.concat(F.lit("[other](https://leetcode.cn/problems/other/) menu\n["), "source", F.lit("](https://leetcode.cn/problems/"), "source", F.lit("/) "), T.strip(F.col("text")), F.lit("\n评论 (12)\nnice [x](https://leetcode.cn/problems/x/)"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.problem_section(page, F.col("source"))).alias("digest"))
 
 
 @register("WITH l AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS l FROM events GROUP BY user_id) SELECT user_id, array_to_string(list_slice(l, greatest(len(l) - 11, 1), len(l)), ',') AS last12 FROM l")
@@ -279,9 +404,9 @@ def url_allow_list(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, u string").select("id", A.allowed_url(F.col("u"), ("example.com",)).alias("ok"))
 
 
-@register("SELECT doc_id, replace(replace(left(text, 200), '|', '\\|'), chr(10), ' ') AS cell, printf('%.2f%%', n_chars / 7e0) AS share FROM documents")
+@register("SELECT doc_id, replace(replace(text, '|', '\\|'), chr(10), ' ') AS cell, printf('%.2f%%', n_chars / 7e0) AS share FROM documents")
 def markdown_cells(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", A.escaped_cell(F.left("text", F.lit(200))).alias("cell"), A.percent(F.col("n_chars") / 700.0).alias("share"))
+    return table(spark, sf_dir, "documents").select("doc_id", A.escaped_cell(F.col("text")).alias("cell"), A.percent(F.col("n_chars") / 700.0).alias("share"))
 
 
 @register("SELECT * FROM (VALUES (1, 'https://leetcode.cn/problems/two-sum/solutions/1/a', 'T.1', 'Ann', 'ann', 1200, 30000, 5), (1, 'https://leetcode.cn/problems/two-sum/solutions/2/b', 'U', 'Bob', 'bob', NULL, NULL, NULL)) AS t(id, post_url, title, author, author_slug, likes, views, comments)")
@@ -291,14 +416,17 @@ def solution_cards(spark, sf_dir):
     return got.select("id", "post_url", "title", "author", "author_slug", *[F.col(c).cast("int").alias(c) for c in ("likes", "views", "comments")])
 
 
-@register("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) AS t(id, found)")
+@register("SELECT doc_id, CASE WHEN length(t) + length(source) + 5 >= 300 AND doc_id % 5 <> 4 THEN sha256('## ' || source || chr(10) || chr(10) || t || chr(10)) END AS post_sha256 FROM (SELECT doc_id, source, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
 def post_extraction(spark, sf_dir):
-    body = "<h2>My Title</h2><p>" + "solution text " * 40 + "</p><script>x</script><a href='/n'>下一篇题解</a>"
-    rows = [(1, f"<div class='post main'>{body}</div>"), (2, "<div class='post main'>short</div>"), (3, f"<div class='post main'>{body}<p>评论 (3)</p></div>")]
-    pages = spark.createDataFrame(rows, "id int, html string")
+    """Documents as posts in a page; every fifth has reader comments in it, and is none."""
     from skeinlake.operators.documents import each
 
-    return each(pages, "id", ["html"], lambda r: [{"found": A.post_text(r[1], {"post", "main"}, "My Title", "") is not None}], "id int, found boolean")
+    text = F.replace(F.replace(T.squeeze(F.col("text")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    leak = F.when(F.col("doc_id") % 5 == 4, "<p>评论 (3)</p>").otherwise("")
+    page = F.concat(F.lit("<div class='page'><div class='post main wide'><h2>"), "source", F.lit("</h2><p>"), text, F.lit("</p><script>x</script><a href='/n'>下一篇题解</a>"), leak, F.lit("</div><div class='post'>other</div></div>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", page.alias("html"))
+    posts = each(rows, "doc_id", ["source", "html"], lambda r: [{"post": A.post_text(r[2], {"post", "main"}, r[1], "")}], "doc_id long, post string")
+    return posts.select("doc_id", F.sha2("post", 256).alias("post_sha256"))
 
 
 @register("SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1))) >= 5 AS listing FROM pages")
@@ -428,8 +556,34 @@ def contest_payload(spark, sf_dir):
     return A.contest_questions(spark.createDataFrame([(1, payload), (2, "{}")], "id int, p string"), "id", "p")
 
 
-@register("SELECT conv_id, array_to_string(list(left(text, 20) ORDER BY turn)[1:100], '|') AS seen FROM conversations GROUP BY conv_id")
+@register("SELECT conv_id, array_to_string(list(text ORDER BY turn, text)[1:100], '|') AS seen, '{\"intent\":\"ask\",\"input_artifacts\":{\"language\":\"Python\"}}' AS task FROM conversations GROUP BY conv_id")
 def observer_projection(spark, sf_dir):
-    """What an observer of a session gets to see: the first hundred items, in order."""
-    items = F.slice(F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(20)).alias("t")))), 1, 100)
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(items, lambda s: s["t"]), "|").alias("seen"))
+    """What an observer of a session gets to see: the first hundred items, whole and in order, and the task without its code."""
+    items = F.slice(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t")))), 1, 100)
+    got = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(items, lambda s: s["t"]), "|").alias("seen"), F.max("text").alias("code"))
+    task = F.struct(F.lit("ask").alias("intent"), F.struct(F.lit("Python").alias("language"), F.col("code")).alias("input_artifacts"))
+    return got.select("conv_id", "seen", F.to_json(task.dropFields("input_artifacts.code")).alias("task"))
+
+
+#: Whole JSON files: a state file that holds anything but a list counts as an empty one.
+@register("SELECT * FROM (VALUES ('good', 2), ('damaged', 0), ('missing', 0), ('object', 0)) AS t(file, n)")
+def state_list_or_empty(spark, sf_dir):
+    out = None
+    for name, text in (("good", '[{"id": 1}, {"id": 2}]'), ("damaged", '[{"id": 1'), ("missing", None), ("object", '{"id": 1}')):
+        path = f"{Src.fresh_path(spark, 'state')}/{name}.json"
+        if text:
+            Src.write_text(spark, text, path)
+        own = Src.read_list_or_empty(spark, path, "id long").agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("file"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@register("SELECT page_id, CASE WHEN length(html) = 0 THEN NULL ELSE length(html) END AS chars, sha256(html) AS sha256 FROM pages")
+def crawl_records(spark, sf_dir):
+    """Each page saved as Markdown and raw JSON under a name from its URL, and read back by its manifest."""
+    root = Src.fresh_path(spark, "crawl")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit("-"), F.regexp_replace(T.safe_path(F.col("url")), r"\.md$", "")).alias("name"), F.col("html").alias("text"), F.to_json(F.struct("page_id", "url")).alias("raw"))
+    manifest = Src.save_records(pages, root)
+    back = Src.read_bodies(spark, f"{root}/markdown").select(F.regexp_extract("path", r"/markdown/(.*)$", 1).alias("at"), "body")
+    met = manifest.join(back, F.concat(F.lit("markdown/"), "at") == F.col("markdown_file"))
+    return met.select(F.regexp_extract("name", "^([0-9]+)", 1).cast("long").alias("page_id"), F.nullif("chars", F.lit(0)).alias("chars"), F.sha2("body", 256).alias("sha256"))

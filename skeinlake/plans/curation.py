@@ -9,6 +9,7 @@ from skeinlake.functions import code as K
 from skeinlake.functions import text as T
 from skeinlake.operators import curation as C
 from skeinlake.operators import retrieval as R
+from skeinlake.sources.tables import running_total
 
 from . import sqltext as S
 from .registry import Registry, table, values
@@ -78,11 +79,11 @@ def canonical_by_length(spark, sf_dir):
     return C.exact_duplicates(docs).select("canonical").distinct().join(docs.select(F.col("doc_id").alias("canonical"), F.length("text").cast("long").alias("n")), "canonical")
 
 
-@register("""WITH RECURSIVE a AS (SELECT doc_id AS src, doc_id // 3 AS dst FROM documents WHERE doc_id > 0 AND doc_id % 2 = 0),
+@register("""WITH RECURSIVE a AS (SELECT doc_id AS src, doc_id // 3 AS dst FROM documents WHERE doc_id > 0 AND lang <> 'en'),
 w AS (SELECT src, dst FROM a UNION ALL SELECT w.src, a.dst FROM w JOIN a ON a.src = w.dst WHERE a.dst <> w.src) SELECT src, dst FROM w WHERE dst NOT IN (SELECT src FROM a)""")
 def alias_resolution(spark, sf_dir):
-    """Even documents as aliases of a third of their number."""
-    own = table(spark, sf_dir, "documents").where("doc_id > 0 AND doc_id % 2 = 0").select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 3).cast("long").alias("dst"))
+    """Documents in other languages than English as aliases of a third of their number."""
+    own = table(spark, sf_dir, "documents").where("doc_id > 0 AND lang <> 'en'").select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 3).cast("long").alias("dst"))
     return C.resolve_aliases(own)
 
 
@@ -144,7 +145,7 @@ def top3_per_group(spark, sf_dir):
 
 
 @register("""WITH f AS (SELECT l_partkey AS k, row_number() OVER (ORDER BY count(*) DESC, l_partkey) AS position FROM lineitem GROUP BY l_partkey QUALIFY position <= 6),
-g AS (SELECT p_partkey AS k, p_partkey AS position FROM part WHERE p_partkey <= 5), h AS (SELECT p_partkey AS k, p_partkey AS position FROM part WHERE p_partkey <= 50),
+g AS (SELECT p_partkey AS k, p_partkey AS position FROM part WHERE p_partkey <= 5), h AS (SELECT p_partkey AS k, p_partkey AS position FROM part),
 u AS (SELECT k, position, 0 AS source FROM f UNION ALL SELECT k, position, 1 FROM g UNION ALL SELECT k, position, 2 FROM h), b AS (SELECT k, min(struct_pack(source := source, position := position)) AS b FROM u GROUP BY k)
 SELECT k, b.source AS source, b.position AS position FROM b ORDER BY source, position, k LIMIT 10""")
 def quota_topup_fill(spark, sf_dir):
@@ -162,12 +163,12 @@ def paired_selection(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(own("o_totalprice > 300000"), "c_custkey", "left_semi").join(own("o_orderstatus = 'F'"), "c_custkey", "left_semi")
 
 
-@register("WITH r AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 4 = 0 THEN p_size END AS rank FROM part) SELECT p_partkey, row_number() OVER (ORDER BY coalesce(rank, 1000000000), p_name, p_partkey) AS place FROM r ORDER BY place LIMIT 100")
+@register("WITH r AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 4 = 0 THEN p_size END AS rank FROM part) SELECT p_partkey, row_number() OVER (ORDER BY coalesce(rank, 1000000000), p_name, p_partkey) AS place FROM r")
 def catalog_order(spark, sf_dir):
-    """The first hundred of the catalogue: by plan rank (those without last), then name."""
+    """The catalogue's order: by plan rank (those without last), then name."""
     rank = F.coalesce(F.when(F.col("p_partkey") % 4 == 0, F.col("p_size")), F.lit(1_000_000_000))
-    first = table(spark, sf_dir, "part").select("p_partkey", rank.alias("r"), "p_name").orderBy("r", "p_name", "p_partkey").limit(100)
-    return first.select("p_partkey", F.row_number().over(Window.orderBy("r", "p_name", "p_partkey")).cast("long").alias("place"))  # a hundred rows
+    rows = table(spark, sf_dir, "part").select("p_partkey", rank.alias("r"), "p_name")
+    return running_total(rows, "place", F.col("r"), F.col("p_name"), F.col("p_partkey")).select("p_partkey", "place")
 
 
 @register("""WITH c AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders), top AS (SELECT * FROM c WHERE n = 1 AND o_totalprice >= 200000),
@@ -348,11 +349,21 @@ def histogram_scale(spark, sf_dir):
     return n.crossJoin(F.broadcast(n.agg(F.greatest(F.lit(1), F.max("n")).alias("scale"))))
 
 
-@register("SELECT lang, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY lang")
+_PLAN_SQL = "l AS (SELECT lang, doc_id, doc_id || ':' || sha256(text) AS line FROM documents)"
+
+
+@register(f"WITH {_PLAN_SQL}, b AS (SELECT lang, left(sha256(doc_id::VARCHAR), 4) AS bucket, sha256(string_agg(line, chr(10) ORDER BY doc_id, line)) AS h FROM l GROUP BY ALL) SELECT lang, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS fingerprint FROM b GROUP BY lang")
 def plan_fingerprint(spark, sf_dir):
-    """One hash of each library's documents in order: of hashes, so that the ordered list stays small."""
-    items = F.sort_array(F.collect_list(F.struct("doc_id", F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("h"))))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sha2(F.array_join(F.transform(items, lambda s: s["h"]), "\n"), 256).alias("fingerprint"))
+    """One hash of each library's documents: of the hashes of 65,536 buckets by the documents' ids, each of its lines in order, so that no
+    list grows with the library."""
+    return C.plan_fingerprint(table(spark, sf_dir, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("sha")), "lang", "doc_id", "sha")
+
+
+@register("SELECT conv_id, sha256(string_agg(turn || ':' || sha256(text), chr(10) ORDER BY turn, text)) AS fingerprint FROM conversations GROUP BY conv_id")
+def ordered_fingerprint(spark, sf_dir):
+    """The hash of a group's id:hash lines, joined in order by line ends: of groups that a row can hold, here a conversation's turns."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat_ws(":", s["turn"].cast("string"), F.sha2(s["text"], 256)))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
 
 
 # Evidence and payloads
@@ -364,14 +375,16 @@ def evidence_budget_12000(spark, sf_dir):
     return got.select("source", F.concat(F.lit("R"), "number").alias("evidence_id"), "doc_id", F.length("text").cast("long").alias("n"))
 
 
-@register("""WITH t AS (SELECT doc_id AS pos, 'W' || row_number() OVER (ORDER BY doc_id) AS evidence_id, lang AS collection, source AS source_url, left(text, 8) AS title FROM documents WHERE doc_id < 20),
-i AS (SELECT doc_id AS pos, lang AS collection, source AS source_url, left(text, 8) AS title FROM documents WHERE doc_id BETWEEN 10 AND 60),
+@register("""WITH t AS (SELECT doc_id AS pos, 'W' || row_number() OVER (ORDER BY doc_id) AS evidence_id, lang AS collection, source AS source_url, text AS title FROM documents WHERE n_chars % 2 = 0),
+i AS (SELECT doc_id AS pos, lang AS collection, source AS source_url, text AS title FROM documents),
 k AS (SELECT *, row_number() OVER (PARTITION BY collection, source_url, title ORDER BY pos) AS n FROM i WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.collection = i.collection AND t.source_url = i.source_url AND t.title = i.title))
-SELECT pos, evidence_id FROM t UNION ALL SELECT pos, 'W' || (20 + row_number() OVER (ORDER BY pos)) FROM k WHERE n = 1""")
+SELECT pos, evidence_id FROM t UNION ALL SELECT pos, 'W' || ((SELECT count(*) FROM t) + row_number() OVER (ORDER BY pos)) FROM k WHERE n = 1""")
 def evidence_merge_renumber(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("lang").alias("collection"), F.col("source").alias("source_url"), F.left("text", F.lit(8)).alias("title"))
-    target = docs.where("pos < 20").withColumn("evidence_id", F.concat(F.lit("W"), F.row_number().over(Window.orderBy("pos"))))  # twenty rows
-    incoming = docs.where("pos BETWEEN 10 AND 60").withColumn("evidence_id", F.lit(None).cast("string"))
+    """All documents come in to those of even length: whole titles decide what is the same."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("lang").alias("collection"), F.col("source").alias("source_url"), F.col("text").alias("title"), "n_chars")
+    given = running_total(docs.where("n_chars % 2 = 0"), "number", F.col("pos"))
+    target = given.withColumn("evidence_id", F.concat(F.lit("W"), "number")).drop("n_chars", "number")
+    incoming = docs.drop("n_chars").withColumn("evidence_id", F.lit(None).cast("string"))
     return C.merge_evidence(target, incoming, "W").select("pos", "evidence_id")
 
 

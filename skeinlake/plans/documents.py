@@ -127,19 +127,15 @@ def first_heading(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_heading(F.concat(F.lit("# "), "source", F.lit("\n"), "text")).alias("heading"))
 
 
-_LEN_SQL = "f AS (SELECT doc_id, length(regexp_replace(lower(text), '\\s+', '', 'g')) AS n FROM documents WHERE source = (SELECT min(source) FROM documents))"
+_LEN_SQL = "f AS (SELECT doc_id, length(regexp_replace(lower(text), '\\s+', '', 'g')) AS n FROM documents), c AS (SELECT n, count(*) AS docs FROM f WHERE n > 0 GROUP BY n)"
 
 
-@register(f"WITH {_LEN_SQL} SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(least(a.n, b.n)::DOUBLE / greatest(a.n, b.n, 1), 6) AS length_ratio FROM f a JOIN f b ON a.doc_id < b.doc_id AND least(a.n, b.n)::DOUBLE / greatest(a.n, b.n, 1) >= 94e-2 WHERE a.n > 0 AND b.n > 0")
+@register(f"WITH {_LEN_SQL}, l AS (SELECT a.n, sum(b.docs)::BIGINT - 1 AS n_links, min(b.n) AS least, max(b.n) AS most FROM c a JOIN c b ON least(a.n, b.n)::DOUBLE / greatest(a.n, b.n) >= 94e-2 GROUP BY a.n) SELECT doc_id, f.n AS class_id, n_links, least, most FROM f JOIN l USING (n)")
 def near_dup_length_pairs(spark, sf_dir):
-    """Pairs of one source whose lengths lie within a factor of 0.94: an equi-join on classes of log length and their neighbours."""
-    docs = table(spark, sf_dir, "documents")
-    f = docs.join(F.broadcast(docs.agg(F.min("source").alias("source"))), "source").select("doc_id", F.length(F.regexp_replace(F.lower("text"), r"\s+", "")).alias("n")).where("n > 0")
-    f = f.withColumn("cls", F.floor(F.log("n") / -F.log(F.lit(D.LENGTH))).cast("int"))
-    left = f.select(F.col("doc_id").alias("left_id"), F.col("n").alias("nl"), F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"))
-    ratio = F.least("nl", "nr") / F.greatest("nl", "nr")
-    pairs = left.join(f.select(F.col("doc_id").alias("right_id"), F.col("n").alias("nr"), "cls"), "cls").where((F.col("left_id") < F.col("right_id")) & (ratio >= D.LENGTH))
-    return pairs.select("left_id", "right_id", F.round(ratio, 6).alias("length_ratio"))
+    """For each document those whose lengths lie within a factor of 0.94: how many, and the least and greatest of their lengths. Documents of one length are
+    a class; classes meet by an equi-join on classes of log length and their neighbours, with counts for their members."""
+    f = table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace(F.lower("text"), r"\s+", "")).alias("n")).where("n > 0")
+    return D.length_links(f, "doc_id").select("doc_id", F.col("n").cast("long").alias("class_id"), "n_links", F.col("least").cast("long").alias("least"), F.col("most").cast("long").alias("most"))
 
 
 @register()

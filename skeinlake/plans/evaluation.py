@@ -15,8 +15,8 @@ KS = [1, 3, 5, 10]
 
 
 def judged(spark, sf_dir):
-    """Documents that hold the first sixty letters of a benchmark text, at grade 3."""
-    patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.left("text", F.lit(60)).alias("pattern"))
+    """Documents that hold a benchmark text, at grade 3."""
+    patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
     return E.holders(table(spark, sf_dir, "documents"), patterns).select(F.col("pattern_id").alias("case_id"), F.col("doc_id").alias("document_id"), F.lit(3).alias("grade"))
 
 
@@ -25,7 +25,7 @@ def ranking(spark, sf_dir, keep=10):
     return best.select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("document_id"), "rank", "score")
 
 
-JUDGED_SQL = "rel AS (SELECT item_id AS case_id, doc_id AS document_id, 3 AS grade FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
+JUDGED_SQL = "rel AS (SELECT item_id AS case_id, doc_id AS document_id, 3 AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 RANKING_SQL = "rk AS (SELECT query_id AS case_id, chunk_id AS document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)"
 GRID_SQL = """ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
 seen AS (SELECT rk.case_id, rank, coalesce(grade, 0) AS grade, CASE WHEN grade IS NULL THEN 0 ELSE 1 END AS hit FROM rk LEFT JOIN rel USING (case_id, document_id) WHERE rank <= 10),

@@ -18,13 +18,12 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: title := source, metadata := the language as JSON."""
     docs = texts(spark, sf_dir)
     meta = F.concat(F.lit('{"lang": "'), F.col("lang"), F.lit('"}'))
-    return R.stored(R.records(docs, "doc_id", F.col("source"), F.col("text"), meta, F.lit(None).cast("long"), F.col("doc_id").cast("string")))
+    return R.records(docs, "doc_id", F.col("source"), F.col("text"), meta, F.lit(None).cast("long"), F.col("doc_id").cast("string"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words of each benchmark text."""
-    short = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), short.alias("query"))
+    """Each benchmark text is a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def tokens_of(queries: DataFrame) -> DataFrame:
@@ -33,7 +32,7 @@ def tokens_of(queries: DataFrame) -> DataFrame:
 
 _RECORD = "list_concat(" + S.ranking_tokens("concat_ws(' ', source, source, source, '{\"lang\": \"' || lang || '\"}', text)") + ", list_transform(range(4), lambda i: 'doc-id-' || doc_id))"
 INDEX_SQL = f"idx AS (SELECT doc_id AS chunk_id, doc_id::VARCHAR AS document_id, {_RECORD} AS tokens FROM documents)"
-ASKED_SQL = "asked AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS query FROM benchmark)"
+ASKED_SQL = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 #: Benchmark queries name no problem numbers at their start; the pattern stays for those that do.
 _NUMBERS = "list_concat(regexp_extract_all(query, '(?i)(?:leetcode|力扣|lc|题号)\\s*[#第]?\\s*([0-9]{1,6})', 1), regexp_extract_all(query, '(?i)^\\s*#?([0-9]{1,6})(?:\\s|[.、：:])', 1))"
 _EXPANDED = f"concat_ws(' ', {S.expand_aliases('query')}, nullif(array_to_string(flatten(list_transform({_NUMBERS}, lambda n: list_transform(range(8), lambda i: 'lc-id-' || n))), ' '), ''))"
@@ -89,19 +88,22 @@ def bm25_identifier_boost(spark, sf_dir):
     return scored.select("chunk_id", "document_id", "len", "score")
 
 
-_LEX_SCORE = f"""CASE WHEN {S.squeeze('q')} <> '' AND contains(c, {S.squeeze('q')}) THEN 12e0 ELSE 0e0 END
-  + CASE WHEN len({S.lexical_tokens('q')}) > 0 AND len({S.lexical_tokens('c')}) > 0 THEN
-      coalesce(list_sum(list_transform(list_intersect({S.lexical_tokens('q')}, {S.lexical_tokens('c')}), lambda t: CASE WHEN length(t) > 2 THEN 2e0 ELSE 1e0 END)), 0e0)
-      + 4e0 * len(list_intersect({S.lexical_tokens('q')}, {S.lexical_tokens('c')})) / len({S.lexical_tokens('q')}) ELSE 0e0 END"""
+#: Tokens of queries (lt) and documents (dt), and the score of pairs of q and c.
+_LEX_TOKENS = f"qs AS (SELECT query_id, {S.expand_aliases('query')} AS q FROM asked), lt AS (SELECT query_id, q, {S.squeeze('lower(q)')} AS compact, {S.lexical_tokens('q')} AS tokens FROM qs), dt AS (SELECT doc_id, lower(concat_ws(' ', source, text)) AS c, {S.lexical_tokens("lower(concat_ws(' ', source, text))")} AS words FROM documents)"
+_LEX_SCORE = """CASE WHEN compact <> '' AND contains(c, compact) THEN 12e0 ELSE 0e0 END
+  + CASE WHEN len(list_intersect(tokens, words)) > 0 THEN list_sum(list_transform(list_intersect(tokens, words), lambda t: CASE WHEN length(t) > 2 THEN 2e0 ELSE 1e0 END)) + 4e0 * len(list_intersect(tokens, words)) / len(tokens) ELSE 0e0 END"""
 
 
-@register(f"""WITH {ASKED_SQL}, p AS (SELECT query_id, doc_id, {S.expand_aliases('query')} AS q, lower(concat_ws(' ', source, left(text, 200))) AS c FROM asked, documents WHERE query_id < 10),
-s AS (SELECT query_id, doc_id, round({_LEX_SCORE}, 6) AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+def searched(spark, sf_dir):
+    """Documents as the fallback's index has them: title and whole text."""
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.concat_ws(" ", "source", "text").alias("search_text"), F.col("doc_id").alias("input_pos"))
+
+
+@register(f"""WITH {ASKED_SQL}, {_LEX_TOKENS}, s AS (SELECT query_id, doc_id, round({_LEX_SCORE}, 6) AS score FROM lt, dt), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, doc_id AS document_id, score, rank FROM r WHERE rank <= 5""")
 def lexical_fallback_topk(spark, sf_dir):
-    """Ten benchmark queries against titles and heads of documents, as the fallback's index has them."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws(" ", "source", F.left("text", F.lit(200))).alias("search_text"), F.col("doc_id").alias("input_pos"))
-    best = R.lexical_ranking(docs, asked(spark, sf_dir).where("query_id < 10"), 5)
+    """All benchmark queries against whole documents."""
+    best = R.lexical_ranking(searched(spark, sf_dir), asked(spark, sf_dir), 5)
     return best.select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -127,30 +129,28 @@ def query_identifier_expand(spark, sf_dir):
     return values(spark, _NUMBERED).select("id", T.expand_query(F.col("query")).alias("expanded"))
 
 
-_COS = "list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda x: x * x)) * list_sum(list_transform(b.embedding::DOUBLE[], lambda x: x * x)))"
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
 def _probes(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    """The stated query set: every vector whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
-@register(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")
+@register(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")
 def dense_topk_cosine(spark, sf_dir):
     best = R.dense_topk(table(spark, sf_dir, "embeddings"), _probes(spark, sf_dir), 10)
     return best.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@register(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS library, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, library, vec_id, score, rank FROM r WHERE rank <= 5")
+@register(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS library, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, library, vec_id, score, rank FROM r WHERE rank <= 5")
 def dense_topk_per_library(spark, sf_dir):
-    """Each probe searches its own library (label): an equi-join on the library, cosine as an expression."""
-    probes = _probes(spark, sf_dir).withColumnRenamed("embedding", "probe")
-    pairs = table(spark, sf_dir, "embeddings").join(F.broadcast(probes), "label")  # twenty probes
-    best = R.ranked(pairs.select("query_id", F.col("label").alias("library"), "vec_id", F.round(R.cosine(F.col("probe"), F.col("embedding")), 6).alias("score")), "query_id", F.col("score").desc(), F.col("vec_id"), limit=5)
-    return best.select("query_id", "library", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    """Each probe searches its own library (label)."""
+    best = R.dense_topk(table(spark, sf_dir, "embeddings"), _probes(spark, sf_dir), 5, by="label")
+    return best.select("query_id", F.col("label").alias("library"), "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@register(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), k AS (SELECT query_id, 1e0 - count(DISTINCT label) / count(*) AS rate FROM r WHERE rank <= 30 GROUP BY query_id) SELECT query_id, round(rate, 8) AS duplicate_rate FROM k")
+@register(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), k AS (SELECT query_id, 1e0 - count(DISTINCT label) / count(*) AS rate FROM r WHERE rank <= 30 GROUP BY query_id) SELECT query_id, round(rate, 8) AS duplicate_rate FROM k")
 def dense_raw_duplicate_rate(spark, sf_dir):
     """Documents := labels: the share of repeats among the first 30 chunks of each probe."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -209,8 +209,7 @@ def hybrid_evidence(spark, sf_dir):
 
 
 @register(f"""WITH {BM25_SQL}, h AS (SELECT * FROM (SELECT query_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored WHERE score >= 40) WHERE rank <= 3),
-p AS (SELECT query_id, doc_id, {S.expand_aliases('query')} AS q, lower(concat_ws(' ', source, left(text, 200))) AS c FROM asked, documents WHERE query_id NOT IN (SELECT query_id FROM h)),
-s AS (SELECT query_id, doc_id, round({_LEX_SCORE}, 6) AS score FROM p), l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+{_LEX_TOKENS}, s AS (SELECT query_id, doc_id, round({_LEX_SCORE}, 6) AS score FROM lt, dt WHERE query_id NOT IN (SELECT query_id FROM h)), l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, document_id, score, rank, 'hybrid' AS stage FROM h UNION ALL SELECT query_id, doc_id::VARCHAR, score, rank, 'lexical' FROM l WHERE rank <= 3""")
 def hybrid_with_fallback(spark, sf_dir):
     """Queries that the index answers (score 40 or more) keep its answer; the others get the lexical one."""
@@ -218,7 +217,7 @@ def hybrid_with_fallback(spark, sf_dir):
     scored = R.bm25(index(spark, sf_dir), tokens_of(queries)).where("score >= 40")
     found = R.ranked(scored, "query_id", F.col("score").desc(), F.col("chunk_id"), limit=3).select("query_id", "document_id", "score", "rank", F.lit("hybrid").alias("stage"))
     open_ = queries.join(scored.select("query_id").distinct(), "query_id", "left_anti")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat_ws(" ", "source", F.left("text", F.lit(200))).alias("search_text"), F.col("doc_id").alias("input_pos"))
+    docs = searched(spark, sf_dir).withColumn("document_id", F.col("document_id").cast("string"))
     rest = R.lexical_ranking(docs, open_, 3).select("query_id", "document_id", "score", "rank", F.lit("lexical").alias("stage"))
     return found.unionByName(rest).withColumn("rank", F.col("rank").cast("long"))
 

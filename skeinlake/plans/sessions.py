@@ -17,9 +17,10 @@ register = Registry()
 MSG_SQL = "msg AS (SELECT conv_id AS session_id, turn AS seq, role, text AS content, TIMESTAMP '2024-01-01' + to_minutes((conv_id * 10 + turn)::INT) AS ts FROM conversations)"
 
 
-def messages(spark, sf_dir):
+def messages(spark, sf_dir, rows=None):
     start = F.lit("2024-01-01").cast("timestamp")
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"), (start + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("conv_id") * 10 + F.col("turn")).cast("int"))).alias("ts"))
+    rows = table(spark, sf_dir, "conversations") if rows is None else rows
+    return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"), (start + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("conv_id") * 10 + F.col("turn")).cast("int"))).alias("ts"))
 
 
 def _ntz(c):
@@ -32,18 +33,18 @@ def session_list(spark, sf_dir):
     return got.select("session_id", "messages", _ntz("created_at"), _ntz("updated_at"))
 
 
-@register(f"WITH {MSG_SQL}, s AS (SELECT range AS session_id FROM range(0, 120)) SELECT s.session_id, count(msg.seq) AS message_count FROM s LEFT JOIN msg USING (session_id) GROUP BY ALL")
+@register(f"WITH {MSG_SQL}, s AS (SELECT range AS session_id FROM range(0, 120)), c AS (SELECT session_id, count(*) AS n FROM msg GROUP BY session_id) SELECT coalesce(s.session_id, c.session_id) AS session_id, coalesce(n, 0) AS message_count FROM s FULL JOIN c ON c.session_id = s.session_id")
 def session_message_count(spark, sf_dir):
     """All sessions of the messages, and those of the first 120 that have none: they count as 0."""
     counts = messages(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n"))
     return spark.range(0, 120).withColumnRenamed("id", "session_id").join(counts, "session_id", "full").select("session_id", F.coalesce("n", F.lit(0)).alias("message_count"))
 
 
-@register(f"WITH {MSG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, role, content) AS back FROM msg) SELECT session_id, seq, role, left(content, 80) AS head, back FROM r WHERE back <= 12")
+@register(f"WITH {MSG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, role, content) AS back FROM msg) SELECT session_id, seq, role, content, back FROM r WHERE back <= 12")
 def conversation_history(spark, sf_dir):
     """The last twelve messages of each session."""
     w = Window.partitionBy("session_id").orderBy(F.desc("seq"), "role", "content")
-    return messages(spark, sf_dir).withColumn("back", F.row_number().over(w).cast("long")).where("back <= 12").select("session_id", "seq", "role", F.left("content", F.lit(80)).alias("head"), "back")
+    return messages(spark, sf_dir).withColumn("back", F.row_number().over(w).cast("long")).where("back <= 12").select("session_id", "seq", "role", "content", "back")
 
 
 @register(f"WITH {MSG_SQL}, a AS (SELECT session_id, seq, CASE WHEN length(content) % 3 = 0 THEN '' ELSE sha256(content) END AS snapshot FROM msg WHERE role = 'assistant'), l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, snapshot) AS r FROM a) SELECT session_id, seq, snapshot FROM l WHERE r = 1 AND snapshot <> ''")
@@ -96,15 +97,15 @@ def token_estimate(spark, sf_dir):
     return messages(spark, sf_dir).select("session_id", "seq", T.token_estimate(F.col("content")).alias("tokens"))
 
 
-_KINDS = "['preference', 'fact', 'constraint', 'task', 'long_term_goal', 'decision', 'skill']"
+_KINDS = "['preference', 'learned_fact', 'constraint', 'unfinished_task', 'long_term_goal', 'decision', 'user_profile']"
 #: Messages as memory updates: a user for ten sessions; kind and importance by number.
 UPD_SQL = f"upd AS (SELECT session_id % 10 AS user_id, session_id, seq, ({_KINDS})[1 + (session_id + seq) % 7] AS kind, ' ' || left(content, 40 + 20 * (seq % 2)) || ' ' AS content, ((session_id * 3 + seq * 7) % 10) / 10e0 AS importance, ts FROM msg)"
 MEM_SQL = f"good AS (SELECT *, lower({S.squeeze('content')}) AS norm, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS c FROM upd WHERE importance >= 55e-2 AND regexp_replace(content, '^\\s+|\\s+$', '', 'g') <> ''), fold AS (SELECT user_id, session_id, kind, norm, arg_min(c, seq) AS content, max(importance) AS importance, min(ts) AS created_at, max(ts) AS updated_at FROM good GROUP BY ALL), mem AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY importance DESC, updated_at DESC, norm) AS place, 'mem_' || left(sha256(concat_ws(':', user_id, session_id, kind, norm)), 20) AS memory_id FROM fold)"
 
 
-def updates(spark, sf_dir):
-    own = messages(spark, sf_dir)
-    kinds = F.array(*[F.lit(k) for k in ("preference", "fact", "constraint", "task", "long_term_goal", "decision", "skill")])
+def updates(spark, sf_dir, rows=None):
+    own = messages(spark, sf_dir, rows)
+    kinds = F.array(*[F.lit(k) for k in ("preference", "learned_fact", "constraint", "unfinished_task", "long_term_goal", "decision", "user_profile")])
     return own.select((F.col("session_id") % 10).alias("user_id"), "session_id", "seq", F.get(kinds, ((F.col("session_id") + F.col("seq")) % 7).cast("int")).alias("kind"), F.concat(F.lit(" "), F.left("content", (40 + 20 * (F.col("seq") % 2)).cast("int")), F.lit(" ")).alias("content"), (((F.col("session_id") * 3 + F.col("seq") * 7) % 10) / 10.0).alias("importance"), "ts")
 
 
@@ -127,18 +128,25 @@ def memory_recall_topk(spark, sf_dir):
     return O.recall(O.memory(updates(spark, sf_dir)), queries).select("query_id", "memory_id", F.col("overlap").cast("long").alias("overlap"), F.col("rank").cast("long").alias("rank"))
 
 
-@register(f"WITH {MSG_SQL}, {UPD_SQL}, {MEM_SQL} SELECT user_id, session_id, array_to_string(list(content ORDER BY place) FILTER (kind = 'preference' AND place <= 16), '|') AS preferences, array_to_string(list(content ORDER BY place) FILTER (kind = 'constraint' AND place <= 12), '|') AS constraints FROM mem GROUP BY ALL")
+def _listed(name: str) -> str:
+    kinds, cap = O.SNAPSHOT[name]
+    own = f"list(content ORDER BY place) FILTER (kind IN ({', '.join(repr(k) for k in kinds)}))"
+    once = f"list_filter({own}, lambda x, i: list_position({own}, x) = i)"
+    return f"coalesce(array_to_string(list_slice({once}, greatest(len({once}) - {cap - 1}, 1), len({once})), '|'), '') AS {name}"
+
+
+@register(f"WITH {MSG_SQL}, {UPD_SQL}, {MEM_SQL} SELECT user_id, session_id, {', '.join(map(_listed, O.SNAPSHOT))} FROM mem GROUP BY ALL")
 def memory_snapshot_merge(spark, sf_dir):
-    """Memories of a kind, most important first, as the snapshot has them."""
-    of = lambda kind, n: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & (F.col("place") <= n), F.struct("place", "content")))), lambda s: s["content"]), "|")
-    got = O.memory(updates(spark, sf_dir)).groupBy("user_id", "session_id").agg(of("preference", 16).alias("preferences"), of("constraint", 12).alias("constraints"))
-    return got.select("user_id", "session_id", F.nullif("preferences", F.lit("")).alias("preferences"), F.nullif("constraints", F.lit("")).alias("constraints"))
+    """Memories as the snapshot's four lists have them."""
+    got = O.snapshot(O.memory(updates(spark, sf_dir)))
+    return got.select("user_id", "session_id", *[F.array_join(n, "|").alias(n) for n in O.SNAPSHOT])
 
 
-@register(f"WITH {MSG_SQL}, w AS (SELECT session_id, list_concat(list(left(content, 5) ORDER BY seq), list(right(content, 5) ORDER BY seq)) AS l FROM msg GROUP BY session_id), u AS (SELECT session_id, list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i) AS u FROM w) SELECT session_id, array_to_string(list_slice(u, greatest(len(u) - 3, 1), len(u)), '|') AS merged FROM u")
+@register(f"WITH {MSG_SQL}, w AS (SELECT session_id, list_concat(list(content ORDER BY seq, content), list(reverse(content) ORDER BY seq, content)) AS l FROM msg GROUP BY session_id), u AS (SELECT session_id, list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i) AS u FROM w) SELECT session_id, array_to_string(list_slice(u, greatest(len(u) - 3, 1), len(u)), '|') AS merged FROM u")
 def unique_merge_last_n(spark, sf_dir):
-    parts = lambda f: F.transform(F.sort_array(F.collect_list(F.struct("seq", f.alias("x")))), lambda s: s["x"])
-    got = messages(spark, sf_dir).groupBy("session_id").agg(parts(F.left("content", F.lit(5))).alias("a"), parts(F.right("content", F.lit(5))).alias("b"))
+    """A session's messages, and them read backwards: in order, each once, the last four."""
+    said = F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda s: s["content"])
+    got = messages(spark, sf_dir).groupBy("session_id").agg(said.alias("a")).withColumn("b", F.transform("a", F.reverse))
     return got.select("session_id", F.array_join(O.merge_unique([F.col("a"), F.col("b")], 4), "|").alias("merged"))
 
 

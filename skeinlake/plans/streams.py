@@ -110,6 +110,17 @@ def stream_learner(spark, sf_dir):
     return St.finished(St.stream_mastery(outcomes(_stream(spark, sf_dir, "events"))), "stream-learner")
 
 
+@register()
+def stream_memory(spark, sf_dir):
+    """Memory updates as a stream, a batch a file."""
+    from skeinlake.operators.sessions import normalised
+
+    from .sessions import updates
+
+    own = updates(spark, sf_dir, _stream(spark, sf_dir, "conversations"))
+    return St.finished(St.stream_memory(own.withColumn("norm", normalised(F.col("content")))), "stream-memory")
+
+
 @register()
 def stream_windows(spark, sf_dir):
     """Daily counts with a watermark: windows come out once they are over."""
