@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,16 +60,24 @@ def looks_like_code(text: Column) -> Column:
 def code_artifact(message: Column) -> Column:
     """struct(code, language, instruction): the longest fenced block (the first of several), else what starts at the first line
     that looks like code; null without any."""
-    blocks = F.regexp_extract_all(message, F.lit(FENCED), F.lit(0))
-    inner = F.transform(blocks, lambda b: F.struct(F.length(F.regexp_extract(b, r"(?s)^```[\w+#.-]*[ \t]*\n(.*?)```$", 1)).alias("n"), F.regexp_extract(b, r"^```([\w+#.-]*)", 1).alias("tag"), F.regexp_extract(b, r"(?s)^```[\w+#.-]*[ \t]*\n(.*?)```$", 1).alias("code")))
-    longest = F.get(F.filter(inner, lambda s: s["n"] == F.array_max(F.transform(inner, lambda t: t["n"]))), F.lit(0))
-    fenced = F.struct(T.strip(longest["code"]).alias("code"), F.coalesce(normalize_language(longest["tag"]), detect_language(T.strip(longest["code"]))).alias("language"), T.strip(F.regexp_replace(message, FENCED, " ")).alias("instruction"))
-    lines = F.split(T.strip(message), r"\n")
-    start = F.array_position(F.transform(lines, lambda s: s.rlike(CODE_START)), True)
-    tail = T.strip(F.array_join(F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), F.size(lines)), "\n"))
-    head = T.strip(F.array_join(F.slice(lines, F.lit(1), F.greatest(start - 1, F.lit(0)).cast("int")), "\n"))
-    bare = F.when((start > 0) & looks_like_code(tail), F.struct(tail.alias("code"), detect_language(tail).alias("language"), head.alias("instruction")))
-    return F.when(F.size(blocks) > 0, fenced).otherwise(bare)
+
+    def fenced(blocks: Column) -> Column:
+        parts = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"^```([\w+#.-]*)", 1).alias("tag"), F.regexp_extract(b, r"(?s)^```[\w+#.-]*[ \t]*\n(.*?)```$", 1).alias("code")))
+        longest = F.reduce(parts, F.get(parts, F.lit(0)), lambda best, p: F.when(F.length(p["code"]) > F.length(best["code"]), p).otherwise(best))
+        return _bind(longest, lambda p: _bind(T.strip(p["code"]), lambda code: F.struct(code.alias("code"), F.coalesce(normalize_language(p["tag"]), detect_language(code)).alias("language"), T.strip(F.regexp_replace(message, FENCED, " ")).alias("instruction"))))
+
+    def bare(lines: Column) -> Column:
+        start = F.array_position(F.transform(lines, lambda s: s.rlike(CODE_START)), True)
+        tail = T.strip(F.array_join(F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), F.size(lines)), "\n"))
+        head = T.strip(F.array_join(F.slice(lines, F.lit(1), F.greatest(start - 1, F.lit(0)).cast("int")), "\n"))
+        return F.when(start > 0, _bind(tail, lambda code: F.when(looks_like_code(code), F.struct(code.alias("code"), detect_language(code).alias("language"), head.alias("instruction")))))
+
+    return _bind(F.regexp_extract_all(message, F.lit(FENCED), F.lit(0)), lambda blocks: F.when(F.size(blocks) > 0, fenced(blocks)).otherwise(_bind(F.split(T.strip(message), r"\n"), bare)))
+
+
+def _bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def test_report(log: Column, planned: Column, accepted: Column) -> Column:

@@ -134,8 +134,9 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     Vectors that are null, not finite, of length zero or another dimension match nothing.
     """
     own = [by] if by else []
-    rows = vectors.select(key, *own, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
-    asked = queries.select("query_id", *own, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    named = [F.col(n).alias(n) for n in own]  # columns of its own on each side: both may come from one table
+    rows = vectors.select(key, *named, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    asked = queries.select("query_id", *named, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     few = asked.limit(QUERY_BLOCK + 1).collect()
     types = {n: queries.schema["query_id"].dataType if n == "query_id" else vectors.schema[n].dataType for n in ("query_id", *own, key)}
     schema = ", ".join(f"`{n}` {t.simpleString()}" for n, t in types.items()) + ", score double"

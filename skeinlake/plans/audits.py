@@ -12,7 +12,7 @@ from skeinlake.operators import curation as C
 from skeinlake.sources import tables as Src
 
 from . import sqltext as S
-from .registry import Registry, table, values
+from .registry import Registry, said, said_sql, table
 
 register = Registry()
 
@@ -128,29 +128,38 @@ def latest_report_asof(spark, sf_dir):
     return A.latest_reports(rows.where("event_type = 'purchase'"), reports).select("session_id", "hash", "report")
 
 
-_GROUND = "SELECT * FROM (VALUES (1, 'native_reasoning', 'miss', false, 0, 1), (2, 'native_reasoning', 'hit', false, 1, 0), (3, 'native_reasoning', 'miss', true, 1, 0), (4, 'rag_assisted', 'hit', true, 1, 0), (5, 'rag_assisted', 'miss', false, 0, 0), (6, 'rag_assisted', 'hit', false, 0, 2)) AS t(id, mode, status, required, rag, web)"
+_GROUND = "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'native_reasoning' ELSE 'rag_assisted' END AS mode, (['hit', 'miss', 'insufficient', 'candidate_found', 'error'])[1 + user_id % 5] AS status, event_id % 3 = 0 AS required, event_id % 5 // 2 AS rag, event_id % 7 // 3 AS web FROM events"
 
 
-@register(f"WITH t AS ({_GROUND}) SELECT id, CASE WHEN mode = 'native_reasoning' THEN CASE WHEN web > 0 OR status IN ('candidate_found', 'insufficient', 'hit') THEN 'prefer_rag' ELSE 'no_rag' END WHEN required THEN 'require_rag' WHEN rag > 0 OR web > 0 THEN 'prefer_rag' ELSE 'no_rag' END AS policy FROM t")
+@register(f"WITH t AS ({_GROUND}) SELECT event_id, CASE WHEN mode = 'native_reasoning' THEN CASE WHEN web > 0 OR status IN ('candidate_found', 'insufficient', 'hit') THEN 'prefer_rag' ELSE 'no_rag' END WHEN required THEN 'require_rag' WHEN rag > 0 OR web > 0 THEN 'prefer_rag' ELSE 'no_rag' END AS policy FROM t")
 def grounding_policy(spark, sf_dir):
-    return values(spark, _GROUND).select("id", A.grounding(*[F.col(c) for c in ("mode", "status", "required", "rag", "web")]).alias("policy"))
+    k = F.col("event_id")
+    status = F.get(F.array(*[F.lit(x) for x in ("hit", "miss", "insufficient", "candidate_found", "error")]), (F.col("user_id") % 5).cast("int"))
+    policy = A.grounding(F.when(k % 2 == 0, "native_reasoning").otherwise("rag_assisted"), status, k % 3 == 0, F.floor(k % 5 / 2), F.floor(k % 7 / 3))
+    return table(spark, sf_dir, "events").select("event_id", policy.alias("policy"))
 
 
-_GIVEN = "SELECT * FROM (VALUES (1, repeat('p', 80), NULL, NULL, 0, 0), (2, repeat('p', 30), NULL, NULL, 0, 1), (3, NULL, repeat('c', 20), NULL, 0, 0), (4, NULL, NULL, 'a long error', 1, 0), (5, 'short', ' c ', 'a long error', 0, 0), (6, 'short', NULL, NULL, 9, 9)) AS t(id, problem, code, error, tests, constraints)"
+_GIVEN = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN source END AS problem, CASE WHEN doc_id % 4 = 1 THEN ' ' || source || ' ' WHEN doc_id % 4 = 2 THEN text END AS code, CASE WHEN doc_id % 2 = 0 THEN lang || ' a long error' ELSE lang END AS error, doc_id % 5 // 3 AS tests, doc_id % 7 // 5 AS constraints FROM documents"
 
 
-@register(f"WITH t AS ({_GIVEN}) SELECT id, length(trim(coalesce(code, ''))) >= 20 OR length(trim(coalesce(problem, ''))) >= 80 OR (length(trim(coalesce(problem, ''))) >= 30 AND (tests > 0 OR constraints > 0)) OR (length(trim(coalesce(error, ''))) >= 10 AND (length(trim(coalesce(code, ''))) > 0 OR tests > 0)) AS enough FROM t")
+@register(f"WITH t AS ({_GIVEN}), n AS (SELECT *, length(regexp_replace(coalesce(code, ''), '^\\s+|\\s+$', '', 'g')) AS c, length(regexp_replace(coalesce(problem, ''), '^\\s+|\\s+$', '', 'g')) AS p FROM t) SELECT doc_id, c >= 20 OR p >= 80 OR (p >= 30 AND (tests > 0 OR constraints > 0)) OR (length(trim(error)) >= 10 AND (c > 0 OR tests > 0)) AS enough FROM n")
 def grounding_sufficiency(spark, sf_dir):
-    return values(spark, _GIVEN).select("id", A.grounded(*[F.col(c) for c in ("problem", "code", "error", "tests", "constraints")]).alias("enough"))
+    k = F.col("doc_id")
+    problem = F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, F.col("source"))
+    code = F.when(k % 4 == 1, F.concat(F.lit(" "), "source", F.lit(" "))).when(k % 4 == 2, F.col("text"))
+    error = F.when(k % 2 == 0, F.concat("lang", F.lit(" a long error"))).otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", A.grounded(problem, code, error, F.floor(k % 5 / 3), F.floor(k % 7 / 5)).alias("enough"))
 
 
-_ASKS = "SELECT * FROM (VALUES (1, '请不走RAG 直接做', 'problem_solving', true), (2, 'solve it', 'problem_solving', true), (3, 'No RAG please', 'code_generation', true), (4, 'hi', 'chitchat', false), (5, 'hint', 'guided_hint', false)) AS t(id, s, intent, given)"
+_ASKS = ["请不走RAG 直接做", "solve it", "No RAG please", "hi", "hint"]
+_ASK_INTENTS = ["problem_solving", "problem_solving", "code_generation", "chitchat", "guided_hint"]
 
 
-@register(f"WITH t AS ({_ASKS}), n AS (SELECT *, " + " OR ".join(f"contains(lower(s), '{w}')" for w in A.NATIVE_ONLY) + " AS native FROM t) SELECT id, native, NOT native AND given AND intent IN ('" + "', '".join(A.NEED_EVIDENCE) + "') AS evidence_first, intent IN ('" + "', '".join(A.NEED_VERIFICATION) + "') AS verify FROM n")
+@register(f"WITH t AS ({said_sql(_ASKS, f", ({_ASK_INTENTS!r})[i + 1] AS intent, turn % 2 = 0 AS given")}), n AS (SELECT *, " + " OR ".join(f"contains(lower(s), '{w}')" for w in A.NATIVE_ONLY) + " AS native FROM t) SELECT conv_id, turn, native, NOT native AND given AND intent IN ('" + "', '".join(A.NEED_EVIDENCE) + "') AS evidence_first, intent IN ('" + "', '".join(A.NEED_VERIFICATION) + "') AS verify FROM n")
 def task_predicates(spark, sf_dir):
     native = A.any_in(F.lower("s"), A.NATIVE_ONLY)
-    return values(spark, _ASKS).select("id", native.alias("native"), (~native & F.col("given") & F.col("intent").isin(*A.NEED_EVIDENCE)).alias("evidence_first"), F.col("intent").isin(*A.NEED_VERIFICATION).alias("verify"))
+    intent = F.get(F.array(*[F.lit(x) for x in _ASK_INTENTS]), F.col("i"))
+    return said(spark, sf_dir, _ASKS).select("conv_id", "turn", native.alias("native"), (~native & (F.col("turn") % 2 == 0) & intent.isin(*A.NEED_EVIDENCE)).alias("evidence_first"), intent.isin(*A.NEED_VERIFICATION).alias("verify"))
 
 
 @register("SELECT * FROM (VALUES (1, ''), (2, 'intent,term'), (3, 'forbidden')) AS t(id, failures)")
@@ -162,12 +171,6 @@ def intent_assertions(spark, sf_dir):
     return got.select("id", F.array_join(fails, ",").alias("failures"))
 
 
-@register("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true)) AS t(id, kept)")
-def answer_form_preserved(spark, sf_dir):
-    rows = [(1, "see http://a.b [R1]", "**see** http://a.b [R1]"), (2, "see http://a.b", "see"), (3, "```\nx\n```", "```\ny\n```"), (4, "", "")]
-    return spark.createDataFrame(rows, "id int, a string, b string").select("id", A.preserved(F.col("a"), F.col("b")).alias("kept"))
-
-
 #: Turns of conversations as answers: before, and after a change that goes by turn.
 ANSWER_SQL = "an AS (SELECT conv_id, turn, text, text || ' [R' || (turn % 4 + 1) || '] http://a.b/' || conv_id || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' AS before FROM conversations)"
 
@@ -177,6 +180,13 @@ def answers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("before"))
 
 
+@register(f"WITH {ANSWER_SQL} SELECT conv_id, turn, turn % 3 = 0 AS kept FROM an")
+def answer_form_preserved(spark, sf_dir):
+    k, b = F.col("turn") % 3, F.col("before")
+    after = F.when(k == 0, F.concat(F.lit("**"), b, F.lit("**"))).when(k == 1, F.replace(b, F.lit("http://a.b/"), F.lit("a.b/"))).otherwise(F.replace(b, F.lit("x = 1"), F.lit("y = 1")))
+    return answers(spark, sf_dir).select("conv_id", "turn", A.preserved(b, after).alias("kept"))
+
+
 @register(f"WITH {ANSWER_SQL} SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'citations' WHEN 2 THEN 'urls_made_up' WHEN 3 THEN 'code' ELSE 'claims,blank,citations,urls_lost,code' END AS errors FROM an")
 def format_preservation(spark, sf_dir):
     k, b = F.col("turn") % 5, F.col("before")
@@ -380,28 +390,34 @@ def delete_sessions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").join(F.broadcast(gone), "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
-@register("SELECT * FROM (VALUES ('concepts', true, true), ('problems', false, true), ('cases', false, false)) AS t(library, ready, available)")
+@register("SELECT source AS library, source <> (SELECT min(source) FROM documents) AND count(l.doc_id) > 0 AS ready, (source <> (SELECT min(source) FROM documents) AND count(l.doc_id) > 0) OR sum(n_chars) > 20000 AS available FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY source")
 def collection_availability(spark, sf_dir):
-    """Ready: the import report names the same collection and has rows; available: ready, or a manifest to fall back on."""
-    report = spark.createDataFrame([("concepts", "c1", 5), ("problems", "p0", 5)], "library string, collection string, rows int")
-    wanted = spark.createDataFrame([("concepts", "c1", 9), ("problems", "p1", 4), ("cases", "x1", 0)], "library string, wanted string, manifest_rows int")
+    """Ready: the import report names the same collection and has rows (here labelled documents; the first source's report names another); available:
+    ready, or a manifest to fall back on."""
+    docs = table(spark, sf_dir, "documents")
+    first = docs.agg(F.min("source").alias("first"))
+    report = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").groupBy(F.col("source").alias("library")).agg(F.count("*").alias("rows")).crossJoin(F.broadcast(first)).withColumn("collection", F.when(F.col("library") != F.col("first"), F.concat(F.lit("c-"), "library")).otherwise("old"))  # one row
+    wanted = docs.groupBy(F.col("source").alias("library")).agg(F.sum("n_chars").alias("manifest")).withColumn("wanted", F.concat(F.lit("c-"), "library"))
     ready = F.coalesce((F.col("collection") == F.col("wanted")) & (F.col("rows") > 0), F.lit(False))
-    return wanted.join(report, "library", "left").select("library", ready.alias("ready"), (ready | (F.col("manifest_rows") > 0)).alias("available"))
+    return wanted.join(report, "library", "left").select("library", ready.alias("ready"), (ready | (F.col("manifest") > 20_000)).alias("available"))
 
 
 # Scalars and parsers
 
 
-@register("SELECT * FROM (VALUES (1, 'two sum'), (2, 'site:bilibili.community x'), (3, 'dp')) AS t(id, q)")
+_VIDEO = ["two sum site:bilibili.com", "site:bilibili.community x", "SITE:bilibili.com dp"]
+
+
+@register(rf"WITH t AS ({said_sql(_VIDEO)}), u AS (SELECT *, regexp_replace(text, '\s+$', '') AS e FROM t) SELECT conv_id, turn, CASE i WHEN 0 THEN regexp_replace('two sum  ' || e, '\s+$', '') WHEN 1 THEN 'site:bilibili.community x ' || e ELSE 'dp ' || e END AS q FROM u")
 def video_keyword(spark, sf_dir):
-    rows = [(1, "two sum site:bilibili.com"), (2, "site:bilibili.community x"), (3, "SITE:bilibili.com dp")]
-    return spark.createDataFrame(rows, "id int, q string").select("id", A.site_free(F.col("q")).alias("q"))
+    return said(spark, sf_dir, _VIDEO).select("conv_id", "turn", A.site_free(F.col("s")).alias("q"))
 
 
-@register("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false)) AS t(id, ok)")
+@register("WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://', 'https://') WHEN 2 THEN regexp_replace(url, '^https?://', 'https://u:p@') ELSE regexp_replace(url, '^https?://([^/]+)', 'https://\\1.evil.org') END AS u FROM pages) SELECT page_id, regexp_matches(u, '^https://([^/?#:@]+\\.)?example\\.(org|net)(:[0-9]+)?([/?#]|$)') AS ok FROM t")
 def url_allow_list(spark, sf_dir):
-    rows = [(1, "https://api.example.com/v1"), (2, "http://api.example.com"), (3, "https://example.com.evil.org/"), (4, "https://example.com:443/x"), (5, "https://u:p@example.com/")]
-    return spark.createDataFrame(rows, "id int, u string").select("id", A.allowed_url(F.col("u"), ("example.com",)).alias("ok"))
+    k, u = F.col("page_id") % 4, F.col("url")
+    told = F.when(k == 0, u).when(k == 1, F.regexp_replace(u, "^https?://", "https://")).when(k == 2, F.regexp_replace(u, "^https?://", "https://u:p@")).otherwise(F.regexp_replace(u, "^https?://([^/]+)", "https://$1.evil.org"))
+    return table(spark, sf_dir, "pages").select("page_id", A.allowed_url(told, ("example.org", "example.net")).alias("ok"))
 
 
 @register("SELECT doc_id, replace(replace(text, '|', '\\|'), chr(10), ' ') AS cell, printf('%.2f%%', n_chars / 7e0) AS share FROM documents")
@@ -409,11 +425,14 @@ def markdown_cells(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", A.escaped_cell(F.col("text")).alias("cell"), A.percent(F.col("n_chars") / 700.0).alias("share"))
 
 
-@register("SELECT * FROM (VALUES (1, 'https://leetcode.cn/problems/two-sum/solutions/1/a', 'T.1', 'Ann', 'ann', 1200, 30000, 5), (1, 'https://leetcode.cn/problems/two-sum/solutions/2/b', 'U', 'Bob', 'bob', NULL, NULL, NULL)) AS t(id, post_url, title, author, author_slug, likes, views, comments)")
+@register("SELECT doc_id, 'https://leetcode.cn/problems/two-sum/solutions/' || doc_id || '/a' AS post_url, source || '.1' AS title, 'Ann' AS author, 'ann' || (doc_id % 9) AS author_slug, 1200::BIGINT AS likes, 30000::BIGINT AS views, n_chars AS comments FROM documents UNION ALL SELECT doc_id, 'https://leetcode.cn/problems/two-sum/solutions/0/b', 'U', 'Bob', 'bob', NULL, NULL, NULL FROM documents WHERE doc_id % 2 = 0")
 def solution_cards(spark, sf_dir):
-    page = "登录并分享题解\n[Ann](https://leetcode.cn/u/ann/)\n[T\\.1](https://leetcode.cn/problems/two-sum/solutions/1/a/?x=1)\n1.2K\n3万\n5\n[Bob](https://leetcode.cn/u/bob/)\n[U](https://leetcode.cn/problems/two-sum/solutions/2/b/)\n7\n[Cy](https://leetcode.cn/u/cy/)\n[V](https://leetcode.cn/problems/3sum/solutions/3/c/)\n"
-    got = A.cards(spark.createDataFrame([(1, "two-sum", page), (2, "x", "no listing")], "id int, slug string, md string"), "id", "slug", "md")
-    return got.select("id", "post_url", "title", "author", "author_slug", *[F.col(c).cast("int").alias(c) for c in ("likes", "views", "comments")])
+    """A listing page for each document: a post with its figures, the same again, in every second one a post without, and one of another problem."""
+    post = F.concat(F.lit("[Ann](https://leetcode.cn/u/ann"), F.col("doc_id") % 9, F.lit("/)\n["), "source", F.lit("\\.1](https://leetcode.cn/problems/two-sum/solutions/"), "doc_id", F.lit("/a/?x=1)\n77\n1.2K\n3万\n"), "n_chars", F.lit("\n"))
+    other = F.when(F.col("doc_id") % 2 == 0, "[Bob](https://leetcode.cn/u/bob/)\n[U](https://leetcode.cn/problems/two-sum/solutions/0/b/)\n7\n").otherwise("")
+    page = F.concat(F.lit("[Eve](https://leetcode.cn/u/eve/)\n[V](https://leetcode.cn/problems/two-sum/solutions/9/z/)\n登录并分享题解\n"), post, post, other, F.lit("[Cy](https://leetcode.cn/u/cy/)\n[V](https://leetcode.cn/problems/3sum/solutions/3/c/)\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("two-sum").alias("slug"), page.alias("md"))
+    return A.cards(rows, "doc_id", "slug", "md")
 
 
 @register("SELECT doc_id, CASE WHEN length(t) + length(source) + 5 >= 300 AND doc_id % 5 <> 4 THEN sha256('## ' || source || chr(10) || chr(10) || t || chr(10)) END AS post_sha256 FROM (SELECT doc_id, source, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
@@ -435,17 +454,20 @@ def listing_detection(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.size(links) >= 5).alias("listing"))
 
 
-@register("SELECT * FROM (VALUES (1, '[code Python, 2 lines, 9 characters]'), (2, 'no code')) AS t(id, said)")
+@register("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[code Python, 2 lines, ' || (8 + length(turn::VARCHAR)) || ' characters]' ELSE text END AS said FROM conversations")
 def code_descriptor(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "```py\nx=1\nprint\n```"), (2, "no code")], "id int, s string").withColumn("a", K.code_artifact(F.col("s")))
+    message = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit("\n```py\nx="), "turn", F.lit("\nprint\n```"))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", message.alias("s")).withColumn("a", K.code_artifact(F.col("s")))
     told = F.format_string("[code %s, %d lines, %d characters]", F.col("a.language"), F.size(F.split("a.code", "\n")), F.length("a.code"))
-    return rows.select("id", F.when(F.col("a").isNull(), F.col("s")).otherwise(told).alias("said"))
+    return rows.select("conv_id", "turn", F.when(F.col("a").isNull(), F.col("s")).otherwise(told).alias("said"))
 
 
-@register("SELECT * FROM (VALUES (1, 'x'), (2, NULL), (3, 'y')) AS t(id, a)")
+@register("SELECT conv_id, turn, CASE WHEN turn % 3 <> 1 THEN text END AS a FROM conversations")
 def model_json(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '```json\n{"a": "x"}\n```'), (2, "nothing"), (3, 'so: {"a": "y", "b": {}} ok')], "id int, s string")
-    return rows.select("id", F.get_json_object(K.model_json(F.col("s")), "$.a").alias("a"))
+    """Answers with an object in a fence, none, and one between words."""
+    js, k = F.to_json(F.struct(F.col("text").alias("a"), F.struct(F.lit(1).alias("c")).alias("b"))), F.col("turn") % 3
+    answer = F.when(k == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).when(k == 1, "nothing").otherwise(F.concat(F.lit("so: "), js, F.lit(" ok")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get_json_object(K.model_json(answer), "$.a").alias("a"))
 
 
 @register("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') AS local_datetime, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS local_date, dayname(ts + INTERVAL 8 HOUR) AS weekday FROM events")
@@ -466,27 +488,36 @@ def epoch_date(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 3600), "yyyy-MM-dd").alias("day"))
 
 
-@register("SELECT * FROM (VALUES (1, 1, 'A & B', 'https://www.bilibili.com/video/BV1', '作者=u；d', '2023-11-14'), (1, 2, 'C', 'https://www.bilibili.com/video/BV3', 'C', NULL)) AS t(id, rank, title, url, snippet, published)")
+@register("WITH v AS (SELECT doc_id, source || ' & ' || lang AS title, 'https://www.bilibili.com/video/BV' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '作者=' || lang || '；' END || CASE WHEN doc_id % 2 = 0 THEN source ELSE source || ' & ' || lang END AS snippet, CASE WHEN doc_id % 5 > 0 THEN strftime(make_timestamp((1700000000 + doc_id * 3600) * 1000000), '%Y-%m-%d') END AS published FROM documents) SELECT doc_id, 1 AS rank, title, url, snippet, published FROM v UNION ALL SELECT doc_id, 2, 'C', 'https://www.bilibili.com/video/BVx', 'C', NULL FROM v")
 def video_payload(spark, sf_dir):
-    payload = '{"data":{"result":[{"title":"<em>A</em> &amp; B","description":"d","bvid":"BV1","author":"u","pubdate":1700000000},{"title":"","bvid":"BV2"},{"title":"C","description":"","bvid":"BV3","author":"","pubdate":0}]}}'
-    return A.videos(spark.createDataFrame([(1, payload)], "id int, p string"), "id", "p")
+    """A search payload for each document: its video, one without a title, and one that says nothing more."""
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    one = lambda title, about, bvid, author, day: F.struct(title.alias("title"), about.alias("description"), bvid.alias("bvid"), author.alias("author"), day.cast("long").alias("pubdate"))
+    own = one(F.concat(F.lit("<em>"), "source", F.lit("</em> &amp; "), "lang"), F.when(k % 2 == 0, F.col("source")).otherwise(""), F.concat(F.lit("BV"), k), F.when(k % 3 == 0, "").otherwise(F.col("lang")), F.when(k % 5 > 0, F.lit(1_700_000_000) + k * 3600).otherwise(0))
+    results = F.array(own, one(F.lit(""), none, F.lit("BVy"), none, F.lit(0)), one(F.lit("C"), F.lit(""), F.lit("BVx"), F.lit(""), F.lit(0)))
+    payloads = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.struct(results.alias("result")).alias("data"))).alias("p"))
+    return A.videos(payloads, "doc_id", "p")
 
 
-@register("SELECT * FROM (VALUES (1, 'array hash', 'array,hash'), (2, '', '')) AS t(id, names, csv)")
+@register("SELECT p_partkey, p_name || ' ' || p_type AS names, p_name || ',' || p_type AS csv FROM part")
 def tag_join(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [("array", None), (None, "hash"), (None, None)]), (2, [])], "id int, tags array<struct<name:string,slug:string>>")
-    names = F.filter(F.transform("tags", lambda t: T.first_truthy(t["name"], t["slug"])), lambda s: s.isNotNull())
-    return rows.select("id", F.array_join(names, " ").alias("names"), F.array_join(names, ",").alias("csv"))
+    """A part's tags: by name, else by slug; without either they go."""
+    tag = lambda name, slug: F.struct(name.alias("name"), slug.alias("slug"))
+    none = F.lit(None).cast("string")
+    tags = F.array(tag(F.col("p_name"), F.col("p_brand")), tag(F.lit(""), F.col("p_type")), tag(none, none))
+    names = F.filter(F.transform(tags, lambda t: T.first_truthy(t["name"], t["slug"])), lambda s: s.isNotNull())
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names, " ").alias("names"), F.array_join(names, ",").alias("csv"))
 
 
-@register("SELECT * FROM (VALUES (1, 'k=v,tokens=7'), (2, 'tokens=8'), (3, 'tokens=9')) AS t(id, m)")
+@register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'k=' || (props->>'k') || ',' ELSE '' END || 'tokens=' || user_id AS m FROM events")
 def metadata_json(spark, sf_dir):
     """An object's fields as a map, with the chunk's own over them; anything else counts as none."""
-    rows = spark.createDataFrame([(1, '{"k":"v","tokens":"1"}', 7), (2, "[1]", 8), (3, None, 9)], "id int, js string, tokens int")
-    parsed = F.when(F.ltrim("js").startswith("{"), F.from_json("js", "map<string,string>"))
+    k = F.col("event_id") % 3
+    js = F.when(k == 0, F.regexp_replace("props", r"\}$", ', "tokens": "0"}')).when(k == 1, "[1]")
+    parsed = F.when(F.ltrim(js).startswith("{"), F.from_json(js, "map<string,string>"))
     base = F.map_filter(F.coalesce(parsed, F.create_map().cast("map<string,string>")), lambda k, v: k != "tokens")
-    m = F.map_concat(base, F.create_map(F.lit("tokens"), F.col("tokens").cast("string")))
-    return rows.select("id", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("m"))
+    m = F.map_concat(base, F.create_map(F.lit("tokens"), F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("m"))
 
 
 # Order and rates
@@ -528,18 +559,23 @@ def whole_json_or_empty(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@register("SELECT * FROM (VALUES (1, ''), (2, 'source,harness'), (3, 'mark,categories')) AS t(id, errors)")
+@register("SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 2 = 1 THEN 'source' END, CASE WHEN o_orderkey % 3 = 1 THEN 'harness' END, CASE WHEN o_orderkey % 5 = 1 THEN 'mark' END, CASE WHEN o_orderkey % 7 = 1 THEN 'categories' END) AS errors FROM orders")
 def test_plan_validation(spark, sf_dir):
-    rows = [(1, "h", "h", " f() ", "x f() y", "ALL_TESTS_PASSED 3/3\n", 3, ["a", "b"]), (2, "h", "g", "f()", "g()", "ALL_TESTS_PASSED 3/3\n", 3, ["a", "b"]), (3, "h", "h", "f()", "f()", "ok", 3, ["a"])]
-    got = spark.createDataFrame(rows, "id int, source string, bound string, code string, harness string, output string, tests int, categories array<string>")
-    return got.select("id", A.test_plan_errors(*[F.col(c) for c in got.columns[1:]]).alias("errors"))
+    k = F.col("o_orderkey")
+    code = F.concat(F.lit(" f("), k, F.lit(") "))
+    own, n = F.sha2(code, 256), (k % 9 + 1).cast("int")
+    harness = F.when(k % 3 == 1, "other()").otherwise(F.concat(F.lit("x f("), k, F.lit(") y")))
+    mark = F.format_string("ALL_TESTS_PASSED %d/%d\n", F.when(k % 5 == 1, n + 1).otherwise(n), n)
+    kinds = F.when(k % 7 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", A.test_plan_errors(own, F.when(k % 2 == 1, "other").otherwise(own), code, harness, mark, n, kinds).alias("errors"))
 
 
-@register("SELECT * FROM (VALUES (1, ''), (2, 'no_trace,no_count'), (3, 'no_report'), (4, 'no_limits'), (5, '')) AS t(id, errors)")
+@register("WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'passed' WHEN 2 THEN 'unavailable' ELSE 'failed' END AS status, o_orderkey % 3 AS a FROM orders) SELECT o_orderkey, concat_ws(',', CASE WHEN status IS NULL THEN 'no_report' END, CASE WHEN status IS NOT NULL AND a = 2 THEN 'no_trace' END, CASE WHEN status = 'passed' AND a <> 0 THEN 'no_count' END, CASE WHEN status = 'unavailable' AND a <> 1 THEN 'no_limits' END) AS errors FROM t")
 def execution_claims(spark, sf_dir):
-    rows = [(1, "Judge0: 5/5", "passed", 5, 5), (2, "all fine", "passed", 5, 5), (3, "fine", None, None, None), (4, "judge0", "unavailable", 0, 5), (5, "judge0 不可用", "unavailable", 0, 5)]
-    got = spark.createDataFrame(rows, "id int, answer string, status string, passed int, total int")
-    return got.select("id", A.execution_claim_errors(*[F.col(c) for c in got.columns[1:]]).alias("errors"))
+    k = F.col("o_orderkey")
+    status = F.when(k % 4 == 1, "passed").when(k % 4 == 2, "unavailable").when(k % 4 == 3, "failed")
+    answer = F.when(k % 3 == 0, F.concat(F.lit("Judge0: "), k, F.lit("/"), k)).when(k % 3 == 1, "judge0 不可用").otherwise("all fine")
+    return table(spark, sf_dir, "orders").select("o_orderkey", A.execution_claim_errors(answer, status, k.cast("int"), k.cast("int")).alias("errors"))
 
 
 @register("SELECT doc_id, doc_id % 4 <> 3 AS ok FROM documents")

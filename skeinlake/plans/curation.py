@@ -12,7 +12,7 @@ from skeinlake.operators import retrieval as R
 from skeinlake.sources.tables import running_total
 
 from . import sqltext as S
-from .registry import Registry, table, values
+from .registry import Registry, said, said_sql, table
 
 register = Registry()
 
@@ -238,12 +238,13 @@ def upsert_latest(spark, sf_dir):
 
 # Text and code values
 
-_METRICS = "SELECT * FROM (VALUES (1, '1.2K'), (2, '3M'), (3, '5万'), (4, '1,234'), (5, 'abc'), (6, ' 42 '), (7, '0.5k'), (8, '')) AS t(id, s)"
-
-
-@register(f"WITH t AS ({_METRICS}), p AS (SELECT id, replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), ',', '') AS s FROM t), v AS (SELECT id, nullif(regexp_extract(s, '^([0-9]+(?:\\.[0-9]+)?)[KkMm万]?$', 1), '') AS v, upper(regexp_extract(s, '([KkMm万])$', 1)) AS u FROM p) SELECT id, floor(v::DOUBLE * CASE u WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN '万' THEN 1e4 ELSE 1e0 END + 1e-6)::BIGINT AS value FROM v")
+@register("SELECT event_id, CASE event_id % 6 WHEN 0 THEN floor(round(value, 1) * 1e3 + 1e-6) WHEN 1 THEN floor(value) * 10000 WHEN 2 THEN floor(value * 100) WHEN 3 THEN floor(value) WHEN 4 THEN floor(floor(value) * 1e6 + 1e-6) END::BIGINT AS value FROM events")
 def metric_value_parse(spark, sf_dir):
-    return values(spark, _METRICS).select("id", T.metric_value(F.col("s")).alias("value"))
+    """Values as people write them: 1.2K, 5万, 1,234, with blanks around, 3m, and words that are none."""
+    k, v = F.col("event_id") % 6, F.col("value")
+    whole = F.floor(v).cast("string")
+    told = F.when(k == 0, F.concat(F.format_string("%.1f", F.round(v, 1)), F.lit("K"))).when(k == 1, F.concat(whole, F.lit("万"))).when(k == 2, F.format_number(F.floor(v * 100), 0)).when(k == 3, F.concat(F.lit(" "), whole, F.lit(" "))).when(k == 4, F.concat(whole, F.lit("m"))).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", T.metric_value(told).alias("value"))
 
 
 @register("SELECT page_id, left(trim(split_part(regexp_extract(html, '<title>([^<]*)', 1), ' | ', 1)), 500) AS title FROM pages")
@@ -276,34 +277,36 @@ def stable_hash(spark, sf_dir):
 
 
 _CODE = ["#include <vector>\nint main() { return 0; }", "public class A { void f() { System.out.println(1); } }", "def f(x):\n    return x\n    # two", "fn main() { let mut x = 1; }", "interface A { x: number }", "const a = () => 1;", "package main\nfunc main() {}", "plain words only"]
-_CODE_VALUES = "SELECT * FROM (VALUES " + ", ".join("({}, {})".format(i, "concat_ws(chr(10), " + ", ".join("'" + x.replace("'", "''") + "'" for x in c.split("\n")) + ")") for i, c in enumerate(_CODE)) + ") AS t(id, s)"
-
-
 def _java(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-@register(f"WITH t AS ({_CODE_VALUES}) SELECT id, CASE " + " ".join(f"WHEN regexp_matches(s, '{_java(p)}') THEN '{n}'" for n, p in K.LANGUAGES) + " END AS language FROM t")
+@register(f"WITH t AS ({said_sql(_CODE)}) SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(s, '{_java(p)}') THEN '{n}'" for n, p in K.LANGUAGES) + " END AS language FROM t")
 def language_detect(spark, sf_dir):
-    return values(spark, _CODE_VALUES).select("id", K.detect_language(F.col("s")).alias("language"))
+    return said(spark, sf_dir, _CODE).select("conv_id", "turn", K.detect_language(F.col("s")).alias("language"))
 
 
-_MSG = [(1, "fix this\n```py\nprint(1)\n```\nand\n```cpp\nint main() { return 0; }\n```"), (2, "hello there"), (3, "why\ndef f(x):\n    y = x\n    return y"), (4, "```\nplain\n```")]
+_FENCES = ("\n```py\nprint(1)\n```\nand\n```cpp\nint main() { return 0; }\n```", "", "\n```\nplain\n```")
 
 
-@register("SELECT * FROM (VALUES (1, 'int main() { return 0; }', 'C++', 'fix this' || chr(10) || ' ' || chr(10) || 'and'), (3, 'def f(x):' || chr(10) || '    y = x' || chr(10) || '    return y', 'Python', 'why'), (4, 'plain', NULL, '')) AS t(id, code, language, instruction)")
+@register(r"""WITH m AS (SELECT conv_id, turn, turn % 3 AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations) SELECT conv_id, turn, CASE k WHEN 0 THEN 'int main() { return 0; }' ELSE 'plain' END AS code, CASE k WHEN 0 THEN 'C++' END AS language, CASE k WHEN 0 THEN t || chr(10) || ' ' || chr(10) || 'and' ELSE t END AS instruction FROM m WHERE k <> 1""")
 def code_artifact(spark, sf_dir):
-    got = spark.createDataFrame(_MSG, "id int, s string").select("id", K.code_artifact(F.col("s")).alias("a")).where("a IS NOT NULL")
-    return got.select("id", "a.code", "a.language", "a.instruction")
+    """Messages with two fenced blocks, none, and one in no language."""
+    k = F.col("turn") % 3
+    fences = F.when(k == 0, _FENCES[0]).when(k == 1, _FENCES[1]).otherwise(_FENCES[2])
+    got = table(spark, sf_dir, "conversations").select("conv_id", "turn", K.code_artifact(F.concat(T.strip(F.col("text")), fences)).alias("a")).where("a IS NOT NULL")
+    return got.select("conv_id", "turn", "a.code", "a.language", "a.instruction")
 
 
-_LOGS = "SELECT * FROM (VALUES (1, 'ALL_TESTS_PASSED 5/5', 5, true), (2, 'TESTS_FAILED 3/7', 5, true), (3, 'ALL_TESTS_PASSED 4/5', 5, true), (4, '', 5, false), (5, 'TESTS_FAILED 9/2', 5, false)) AS t(id, log, planned, accepted)"
+_LOGS = "SELECT o_orderkey AS id, o_orderkey % 9 + 1 AS planned, o_custkey % 3 <> 0 AS accepted, CASE o_orderkey % 5 WHEN 0 THEN 'ok' || chr(10) || 'ALL_TESTS_PASSED ' || (o_orderkey % 9 + 1) || '/' || (o_orderkey % 9 + 1) WHEN 1 THEN 'TESTS_FAILED ' || (o_custkey % 12) || '/7' WHEN 2 THEN 'ALL_TESTS_PASSED 4/5' WHEN 3 THEN '' ELSE 'TESTS_FAILED  9/2 x' END AS log FROM orders"
 
 
 @register(f"WITH t AS ({_LOGS}), m AS (SELECT *, nullif(regexp_extract(log, 'ALL_TESTS_PASSED\\s+([0-9]+)/([0-9]+)', 1), '')::BIGINT AS a, nullif(regexp_extract(log, 'ALL_TESTS_PASSED\\s+([0-9]+)/([0-9]+)', 2), '')::BIGINT AS b, nullif(regexp_extract(log, 'TESTS_FAILED\\s+([0-9]+)/([0-9]+)', 1), '')::BIGINT AS c, nullif(regexp_extract(log, 'TESTS_FAILED\\s+([0-9]+)/([0-9]+)', 2), '')::BIGINT AS d FROM t), p AS (SELECT *, coalesce(accepted AND a = planned AND b = planned, false) AS good FROM m) SELECT id, CASE WHEN good THEN 'passed' ELSE 'failed' END AS status, CASE WHEN c IS NOT NULL THEN least(c, planned) WHEN good THEN planned ELSE 0 END::BIGINT AS passed, CASE WHEN c IS NOT NULL THEN greatest(d, planned) ELSE planned END::BIGINT AS total FROM p")
 def test_log_parse(spark, sf_dir):
-    r = K.test_report(F.col("log"), F.col("planned").cast("long"), F.col("accepted"))
-    return values(spark, _LOGS).select("id", r.alias("r")).select("id", "r.*")
+    k, n = F.col("o_orderkey"), (F.col("o_orderkey") % 9 + 1).cast("string")
+    log = F.when(k % 5 == 0, F.concat(F.lit("ok\nALL_TESTS_PASSED "), n, F.lit("/"), n)).when(k % 5 == 1, F.concat(F.lit("TESTS_FAILED "), F.col("o_custkey") % 12, F.lit("/7"))).when(k % 5 == 2, "ALL_TESTS_PASSED 4/5").when(k % 5 == 3, "").otherwise("TESTS_FAILED  9/2 x")
+    r = K.test_report(log, (k % 9 + 1).cast("long"), F.col("o_custkey") % 3 != 0)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), r.alias("r")).select("id", "r.*")
 
 
 # Dashboards
@@ -394,14 +397,22 @@ def web_rank_score(spark, sf_dir):
     return got.select("source", "doc_id", F.col("place").cast("long").alias("rank"), F.round(F.greatest(F.lit(0.0), 1.0 - 0.1 * (F.col("place") - 1)), 6).alias("score"))
 
 
-_PAYLOAD = '{"answer_box":{"title":"A","link":"http://a","answer":"42"},"knowledge_graph":{"title":"K","type":"T","description":"D"},"organic_results":[{"title":"One","link":"http://1","snippet":" s1 ","position":1},{"title":"No","link":"http://2"},"odd",{"title":"Dup","link":"http://1","snippet":"x"},{"title":null,"link":"http://3","snippet":"s3","position":3}]}'
-
-
-@register("SELECT * FROM (VALUES (1, 'A', 'http://a', '42', 'answer_box'), (2, 'K', NULL, 'T；D', 'knowledge_graph'), (3, 'One', 'http://1', 's1', 'organic_results'), (4, 'http://3', 'http://3', 's3', 'organic_results')) AS t(rank, title, url, snippet, source_type)")
+@register(r"""WITH d AS (SELECT doc_id, source, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), r AS (
+SELECT doc_id, 1 AS p, source AS title, 'http://a/' || doc_id AS url, lang AS snippet, 'answer_box' AS source_type FROM d UNION ALL SELECT doc_id, 2, 'K', NULL, 'T；' || lang, 'knowledge_graph' FROM d
+UNION ALL SELECT doc_id, 3, CASE WHEN t = '' THEN 'again' ELSE 'One' END, 'http://d/' || doc_id, CASE WHEN t = '' THEN 'x' ELSE t END, 'organic_results' FROM d UNION ALL SELECT doc_id, 4, 'http://e', 'http://e', source, 'organic_results' FROM d)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS rank, title, url, md5(snippet) AS digest, source_type FROM r""")
 def search_payload_flatten(spark, sf_dir):
+    """A payload for each document: an answer box, a knowledge panel, and results of which one repeats a URL, one has no snippet, and one no title."""
     from skeinlake.operators.payloads import search_results
 
-    return search_results(spark.createDataFrame([(1, _PAYLOAD)], "id int, payload string"), "id", "payload").select("rank", "title", "url", "snippet", "source_type")
+    text = lambda c: c.cast("string")
+    item = lambda title, link, snippet: F.struct(text(title).alias("title"), link.alias("link"), snippet.alias("snippet"))
+    own = F.concat(F.lit("http://d/"), "doc_id")
+    results = F.array(item(F.lit("One"), own, F.concat(F.lit(" "), "text", F.lit(" "))), item(F.lit("No"), F.lit("http://n"), F.lit(None).cast("string")), item(F.lit("again"), own, F.lit("x")), item(F.lit(None), F.lit("http://e"), F.col("source")))
+    box = F.struct(F.col("source").alias("title"), F.concat(F.lit("http://a/"), "doc_id").alias("link"), F.col("lang").alias("answer"))
+    graph = F.struct(F.lit("K").alias("title"), F.lit("T").alias("type"), F.col("lang").alias("description"))
+    payloads = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(box.alias("answer_box"), graph.alias("knowledge_graph"), results.alias("organic_results"))).alias("payload"))
+    return search_results(payloads, "doc_id", "payload").select("doc_id", F.col("rank").cast("long").alias("rank"), "title", "url", F.md5("snippet").alias("digest"), "source_type")
 
 
 @register("SELECT event_type, user_id % 10 AS bucket, count(*) AS n FROM events GROUP BY ALL")
@@ -418,21 +429,25 @@ def json_props_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-_CONTESTS = "SELECT * FROM (VALUES (1, 'Weekly Contest 480', DATE '2026-01-04', DATE '2026-01-04'), (2, 'Weekly Contest 480', DATE '2026-01-04', DATE '2025-12-21'), (3, 'Weekly Contest 480', DATE '2026-01-04', DATE '2025-11-01'), (4, 'Weekly Contest 480', DATE '2026-01-04', NULL), (5, 'Biweekly Contest 9', DATE '2026-01-04', NULL), (6, 'Weekly Contest 480', DATE '2026-01-04', DATE '2026-01-01')) AS t(id, title, upcoming, target)"
+_CONTESTS = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'Biweekly Contest ' ELSE 'Weekly Contest ' END || (o_custkey % 400 + 100) AS title, o_orderdate::DATE AS upcoming, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE - ((o_orderkey % 45)::INT - 3) END AS target FROM orders"
 
 
 @register(f"WITH t AS ({_CONTESTS}), d AS (SELECT *, upcoming - target AS days FROM t) SELECT id, CASE WHEN NOT starts_with(lower(title), 'weekly contest') THEN NULL WHEN target IS NULL THEN regexp_extract(title, '([0-9]+)$', 1)::INT WHEN days < -1 OR days > 35 THEN NULL ELSE regexp_extract(title, '([0-9]+)$', 1)::INT - greatest(0, round_even(days / 7, 0)::INT) END AS number FROM d")
 def contest_number(spark, sf_dir):
+    """Contests ahead, and dates up to six weeks before or three days behind them."""
     from skeinlake.operators.payloads import contest_number as number
 
-    return values(spark, _CONTESTS).select("id", number(F.col("title"), F.col("upcoming"), F.col("target")).alias("number"))
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    title = F.concat(F.when(k % 7 == 0, "Biweekly Contest ").otherwise("Weekly Contest "), F.col("o_custkey") % 400 + 100)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), number(title, day, F.when(k % 5 > 0, F.date_sub(day, (k % 45 - 3).cast("int")))).alias("number"))
 
 
 _INTENTS = {"problem_solving": "problem_solving_agent", "guided_hint": "problem_solving_agent", "solution_comparison": "problem_solving_agent", "mock_interview": "problem_solving_agent", "code_generation": "implementation_agent", "code_diagnosis": "code_analysis_agent", "complexity_analysis": "code_analysis_agent", "review_planning": "learning_planning_agent", "learning_consultation": "learning_planning_agent", "concept_explanation": "tutoring_agent", "visual_explanation": "tutoring_agent"}
-_INTENT_VALUES = "SELECT * FROM (VALUES " + ", ".join(f"('{k}')" for k in [*_INTENTS, "chitchat"]) + ") AS t(intent)"
+_INTENT_NAMES = [*_INTENTS, "chitchat"]
 
 
-@register(f"WITH t AS ({_INTENT_VALUES}) SELECT intent, CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _INTENTS.items()) + " ELSE 'conversation_agent' END AS agent FROM t")
+@register(f"SELECT event_id, CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _INTENTS.items()) + f" ELSE 'conversation_agent' END AS agent FROM (SELECT event_id, ({_INTENT_NAMES!r})[1 + event_id % {len(_INTENT_NAMES)}] AS intent FROM events)")
 def intent_routing(spark, sf_dir):
     routes = F.create_map(*[F.lit(x) for kv in _INTENTS.items() for x in kv])
-    return values(spark, _INTENT_VALUES).select("intent", F.coalesce(F.try_element_at(routes, F.col("intent")), F.lit("conversation_agent")).alias("agent"))
+    intent = F.get(F.array(*[F.lit(x) for x in _INTENT_NAMES]), (F.col("event_id") % len(_INTENT_NAMES)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(routes, intent), F.lit("conversation_agent")).alias("agent"))

@@ -183,9 +183,14 @@ def embedding_checkpoint_upsert(spark, sf_dir):
     return S.upsert(rows, rows.where("vec_id % 3 = 0").withColumn("label", F.lit(-1).cast("long")), "vec_id").select("vec_id", F.col("label").cast("int").alias("label"))
 
 
-@register("SELECT * FROM (VALUES (0, 'status', 'a' || chr(10) || 'b'), (1, 'message', 'c')) AS t(pos, event, data)")
+@register("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, CASE WHEN turn % 2 = 0 THEN role ELSE 'message' END AS event, text AS data FROM conversations WHERE text <> ''")
 def event_stream_frames(spark, sf_dir):
-    return S.event_frames(spark.createDataFrame([("event: status\r\ndata: a\r\ndata: b\r\n\r\ndata: c\n\nevent: rest\ndata: d",)], "value string"))
+    """Each conversation as a stream: a frame a turn, every second one without a name, and one at the end that isn't finished."""
+    lines = F.concat(F.lit("data: "), F.replace("text", F.lit("\n"), F.lit("\r\ndata: ")))
+    frame = F.concat(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("event: "), "role", F.lit("\n"))).otherwise(""), lines, F.lit("\r\n\n"))
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text", frame.alias("frame")))), lambda s: s["frame"])
+    streams = table(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(F.concat(F.array_join(turns, ""), F.lit("event: rest\ndata: d")).alias("value"))
+    return S.event_frames(streams, "value", "conv_id").select("conv_id", F.col("pos").cast("long").alias("pos"), "event", "data")
 
 
 @register("SELECT * FROM (VALUES ('a', 'body of a'), ('b', 'B' || chr(10) || 'k: v' || chr(10) || 'source: http://b'), ('c', 'C' || chr(10) || 'k: v')) AS t(id, content)")

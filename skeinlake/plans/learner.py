@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skeinlake.operators import learner as L
 from skeinlake.operators import retrieval as R
 
-from .registry import Registry, table, values
+from .registry import Registry, said, said_sql, table
 
 register = Registry()
 
@@ -93,7 +93,7 @@ def target_difficulty(spark, sf_dir):
     return L.fold_ability(observations(spark, sf_dir)).select("user_id", L.target_difficulty(F.col("theta")).alias("target"))
 
 
-_SAID = "SELECT * FROM (VALUES (1, '我刚刚独立做对了一道中等难度的二分查找题，没有看提示。'), (2, '打家劫舍没做出来'), (3, '滑动窗口题我不会，请先只给我提示。'), (4, '解释一下二分查找为什么是 O(log n)。'), (5, '复习了 dp 和 KMP'), (6, '看了题解，hard heap problem'), (7, 'adps bfsx')) AS t(id, s)"
+_SAID = ["我刚刚独立做对了一道中等难度的二分查找题，没有看提示。", "打家劫舍没做出来", "滑动窗口题我不会，请先只给我提示。", "解释一下二分查找为什么是 O(log n)。", "复习了 dp 和 KMP", "看了题解，hard heap problem", "adps bfsx"]
 _SIG_SQL = {
     "correct": "(regexp_matches(s, '(?i)独立.{0,10}(做对|通过|ac)') OR regexp_matches(s, '(?i)(^|[^没未])(做对了|通过了|ac了|解决了)') OR regexp_matches(s, '(?i)没有.{0,6}(提示|题解).{0,8}(做对|通过)'))",
 } | {k: f"regexp_matches(s, '{L.SIGNALS[k]}')" for k in ("incorrect", "hinted", "solution_viewed", "reviewed")}
@@ -106,7 +106,7 @@ def _concept_sql(words: tuple[str, ...]) -> str:
 _CONCEPTS_SQL = "list_slice(list_filter([" + ", ".join(f"CASE WHEN {_concept_sql(ws)} THEN '{c}' END" for c, ws in L.CONCEPTS.items()) + "], lambda x: x IS NOT NULL), 1, 3)"
 
 
-@register(f"WITH t AS ({_SAID}) SELECT id, array_to_string({_CONCEPTS_SQL}, ',') AS concepts, CASE WHEN {_SIG_SQL['correct']} AND NOT {_SIG_SQL['incorrect']} THEN 'correct' WHEN {_SIG_SQL['solution_viewed']} THEN 'solution_viewed' WHEN {_SIG_SQL['hinted']} THEN 'hinted' WHEN {_SIG_SQL['incorrect']} THEN 'incorrect' WHEN {_SIG_SQL['reviewed']} THEN 'reviewed' END AS outcome, CASE WHEN regexp_matches(lower(s), '困难|hard|难题') THEN 'hard' WHEN regexp_matches(lower(s), '简单|easy|入门') THEN 'easy' WHEN regexp_matches(lower(s), '中等|medium') THEN 'medium' ELSE 'unknown' END AS difficulty FROM t")
+@register(f"WITH t AS ({said_sql(_SAID)}) SELECT conv_id, turn, array_to_string({_CONCEPTS_SQL}, ',') AS concepts, CASE WHEN {_SIG_SQL['correct']} AND NOT {_SIG_SQL['incorrect']} THEN 'correct' WHEN {_SIG_SQL['solution_viewed']} THEN 'solution_viewed' WHEN {_SIG_SQL['hinted']} THEN 'hinted' WHEN {_SIG_SQL['incorrect']} THEN 'incorrect' WHEN {_SIG_SQL['reviewed']} THEN 'reviewed' END AS outcome, CASE WHEN regexp_matches(lower(s), '困难|hard|难题') THEN 'hard' WHEN regexp_matches(lower(s), '简单|easy|入门') THEN 'easy' WHEN regexp_matches(lower(s), '中等|medium') THEN 'medium' ELSE 'unknown' END AS difficulty FROM t")
 def learning_signal_detect(spark, sf_dir):
     s = F.col("s")
-    return values(spark, _SAID).select("id", F.array_join(L.detect_concepts(s), ",").alias("concepts"), L.detect_outcome(s).alias("outcome"), L.detect_difficulty(s).alias("difficulty"))
+    return said(spark, sf_dir, _SAID).select("conv_id", "turn", F.array_join(L.detect_concepts(s), ",").alias("concepts"), L.detect_outcome(s).alias("outcome"), L.detect_difficulty(s).alias("difficulty"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skeinlake.sources.tables import spread
 
@@ -37,6 +38,18 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spread(table(spark, sf_dir, name))
 
 
+def said_sql(phrases: list[str], more: str = "") -> str:
+    """Messages, each behind one of the phrases by its number, as DuckDB has them: conv_id, turn, role, text, i (the phrase's place), s."""
+    listed = ", ".join("'" + p.replace("'", "''") + "'" for p in phrases)
+    return f"SELECT *, ([{listed}])[i + 1] || ' ' || text AS s{more} FROM (SELECT *, (conv_id + turn) % {len(phrases)} AS i FROM conversations)"
+
+
+def said(spark: SparkSession, sf_dir: str, phrases: list[str]) -> DataFrame:
+    """The same messages."""
+    rows = table(spark, sf_dir, "conversations").withColumn("i", ((F.col("conv_id") + F.col("turn")) % len(phrases)).cast("int"))
+    return rows.withColumn("s", F.concat(F.get(F.array(*[F.lit(p) for p in phrases]), F.col("i")), F.lit(" "), "text"))
+
+
 def values(spark: SparkSession, sql: str) -> DataFrame:
     """Rows given in SQL that both engines read: SELECT ... UNION ALL, or VALUES with column names."""
     return spark.sql(sql)

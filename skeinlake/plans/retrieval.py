@@ -9,7 +9,7 @@ from skeinlake.functions import text as T
 from skeinlake.operators import retrieval as R
 
 from . import sqltext as S
-from .registry import Registry, table, texts, values
+from .registry import Registry, said, said_sql, table, texts, values
 
 register = Registry()
 
@@ -107,26 +107,26 @@ def lexical_fallback_topk(spark, sf_dir):
     return best.select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-_ZH = "SELECT * FROM (VALUES (1, '动态规划 dp 树 C++ two-sum'), (2, '链表 和 二叉树 Array'), (3, 'plain text'), (4, '二分查找两数之和'), (5, '')) AS t(id, s)"
+_ZH = ["动态规划 dp 树 C++ two-sum", "链表 和 二叉树 Array", "plain text", "二分查找两数之和", ""]
 
 
-@register(f"WITH t AS ({_ZH}) SELECT id, {S.expand_aliases('s')} AS expanded FROM t")
+@register(f"WITH t AS ({said_sql(_ZH)}) SELECT conv_id, turn, {S.expand_aliases('s')} AS expanded FROM t")
 def alias_expand(spark, sf_dir):
-    return values(spark, _ZH).select("id", T.expand_aliases(F.col("s")).alias("expanded"))
+    return said(spark, sf_dir, _ZH).select("conv_id", "turn", T.expand_aliases(F.col("s")).alias("expanded"))
 
 
-@register(f"WITH t AS ({_ZH}) SELECT id, array_to_string({S.ranking_tokens('s')}, ' ') AS ranking, array_to_string(list_sort({S.lexical_tokens('s')}), ' ') AS lexical FROM t")
+@register(f"WITH t AS ({said_sql(_ZH)}) SELECT conv_id, turn, array_to_string({S.ranking_tokens('s')}, ' ') AS ranking, array_to_string(list_sort({S.lexical_tokens('s')}), ' ') AS lexical FROM t")
 def cjk_bigrams(spark, sf_dir):
     s = F.col("s")
-    return values(spark, _ZH).select("id", F.array_join(T.ranking_tokens(s), " ").alias("ranking"), F.array_join(F.array_sort(T.lexical_tokens(s)), " ").alias("lexical"))
+    return said(spark, sf_dir, _ZH).select("conv_id", "turn", F.array_join(T.ranking_tokens(s), " ").alias("ranking"), F.array_join(F.array_sort(T.lexical_tokens(s)), " ").alias("lexical"))
 
 
-_NUMBERED = "SELECT * FROM (VALUES (1, 'LeetCode 15 three sum'), (2, '力扣第 3 题'), (3, '42. trapping rain water'), (4, 'no number'), (5, 'lc #7')) AS t(id, query)"
+_NUMBERED = ["LeetCode 15 three sum", "力扣第 3 题", "42. trapping rain water", "no number", "lc #7"]
 
 
-@register(f"WITH t AS ({_NUMBERED}) SELECT id, {_EXPANDED} AS expanded FROM t")
+@register(f"WITH t AS (SELECT conv_id, turn, s AS query FROM ({said_sql(_NUMBERED)})) SELECT conv_id, turn, {_EXPANDED} AS expanded FROM t")
 def query_identifier_expand(spark, sf_dir):
-    return values(spark, _NUMBERED).select("id", T.expand_query(F.col("query")).alias("expanded"))
+    return said(spark, sf_dir, _NUMBERED).select("conv_id", "turn", T.expand_query(F.col("s")).alias("expanded"))
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -230,9 +230,7 @@ def rerank_by_score(spark, sf_dir):
     return R.rerank(ranking, scores, 3).select("query_id", "document_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
 
-_STAGES = "SELECT * FROM (VALUES (1, true, true, true), (2, true, false, false), (3, false, true, true), (4, false, false, false)) AS t(id, d, s, r)"
-
-
-@register(f"WITH t AS ({_STAGES}) SELECT id, concat_ws('+', CASE WHEN d THEN 'dense' END, CASE WHEN s THEN 'bm25' END, CASE WHEN d OR s THEN 'rrf' END, CASE WHEN r THEN 'rerank' END) AS label FROM t")
+@register("SELECT event_id, concat_ws('+', CASE WHEN d THEN 'dense' END, CASE WHEN s THEN 'bm25' END, CASE WHEN d OR s THEN 'rrf' END, CASE WHEN r THEN 'rerank' END) AS label FROM (SELECT event_id, event_id % 2 = 0 AS d, event_id % 3 = 0 AS s, event_id % 5 = 0 AS r FROM events)")
 def provider_label(spark, sf_dir):
-    return values(spark, _STAGES).select("id", R.provider_label(F.col("d"), F.col("s"), F.col("r")).alias("label"))
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", R.provider_label(k % 2 == 0, k % 3 == 0, k % 5 == 0).alias("label"))

@@ -9,7 +9,7 @@ from skeinlake.functions import text as T
 from skeinlake.operators import sessions as O
 
 from . import sqltext as S
-from .registry import Registry, table
+from .registry import Registry, said, said_sql, table
 
 register = Registry()
 
@@ -150,13 +150,16 @@ def unique_merge_last_n(spark, sf_dir):
     return got.select("session_id", F.array_join(O.merge_unique([F.col("a"), F.col("b")], 4), "|").alias("merged"))
 
 
-@register("SELECT * FROM (VALUES (1, true), (2, false), (3, true)) AS t(id, durable)")
+_ASKED = ["以后都用 Python", "这次快一点", "Always explain", "Remember the default"]
+
+
+@register(f"WITH t AS ({said_sql(_ASKED)}) SELECT conv_id, turn, " + " OR ".join(f"contains(lower(s), '{m}')" for m in O.DURABLE) + " AS durable FROM t")
 def durable_constraints(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "以后都用 Python"), (2, "这次快一点"), (3, "Always explain")], "id int, s string")
-    return rows.select("id", O.durable(F.col("s")).alias("durable"))
+    return said(spark, sf_dir, _ASKED).select("conv_id", "turn", O.durable(F.col("s")).alias("durable"))
 
 
-@register("SELECT * FROM (VALUES (1, '答案'), (2, '答案 ========== 上下文审查 ========== x')) AS t(id, content)")
+@register(rf"""WITH m AS (SELECT conv_id, turn, role, text || CASE WHEN turn % 2 = 1 THEN ' ' || chr(10) || '{O.AUDIT_MARK} x' ELSE '' END AS c, text FROM conversations) SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN regexp_replace(text, '\s+$', '') ELSE c END AS content FROM m""")
 def audit_stripping(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "assistant", f"答案 \n{O.AUDIT_MARK} x"), (2, "user", f"答案 {O.AUDIT_MARK} x")], "id int, role string, content string")
-    return rows.select("id", O.without_audit(F.col("role"), F.col("content")).alias("content"))
+    """Messages with an audit behind every second one: answers lose it."""
+    content = F.concat("text", F.when(F.col("turn") % 2 == 1, f" \n{O.AUDIT_MARK} x").otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", O.without_audit(F.col("role"), content).alias("content"))

@@ -140,16 +140,16 @@ def with_bodies(manifest: DataFrame, bodies: DataFrame, root: str) -> DataFrame:
     return manifest.withColumn("path", key).join(bodies, "path", "left").withColumn("content", F.coalesce("body", told)).drop("body", "path")
 
 
-def event_frames(text: DataFrame, column: str = "value") -> DataFrame:
-    """pos, event, data of each complete frame of an event stream's text: frames end at a blank line, data lines are joined; an
+def event_frames(text: DataFrame, column: str = "value", *keys: str) -> DataFrame:
+    """keys, pos, event, data of each complete frame of an event stream's text: frames end at a blank line, data lines are joined; an
     unfinished rest is left out."""
     plain = F.replace(F.col(column), F.lit("\r\n"), F.lit("\n"))
     parts = F.split(plain, r"\n\n")
     whole = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    frames = text.select(F.posexplode(whole).alias("pos", "frame"))
+    frames = text.select(*keys, F.posexplode(whole).alias("pos", "frame"))
     lines = F.split("frame", r"\n")
     of = lambda name: F.transform(F.filter(lines, lambda s: s.startswith(f"{name}:")), lambda s: F.regexp_replace(s, f"^{name}: ?", ""))
-    return frames.select("pos", F.coalesce(F.get(of("event"), F.lit(0)), F.lit("message")).alias("event"), F.array_join(of("data"), "\n").alias("data")).where("data <> ''")
+    return frames.select(*keys, "pos", F.coalesce(F.get(of("event"), F.lit(0)), F.lit("message")).alias("event"), F.array_join(of("data"), "\n").alias("data")).where("data <> ''")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
