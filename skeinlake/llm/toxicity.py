@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import WORD, Hasher, joined, lookup, words
-from .common import keep_rows, plain_text, slices, texts_sizes
+from .common import keep_rows, plain_text, slices, staged, texts_sizes
 
 BUCKET_BITS = 18
 PIECE = 5
@@ -154,6 +154,17 @@ def noisy_or(scores: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
     return 0.0 - np.expm1(np.bincount(document, np.log1p(-np.minimum(scores, 1 - 1e-12)), n))
 
 
+def gradient(theta: np.ndarray, feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of the weighted log-likelihood of document labels under the noisy-or of their sentences, with respect to the weights and the bias (last).
+    feature, sentence: of each feature's occurrence; document: of each sentence."""
+    p = _sigmoid(np.bincount(sentence, theta[feature], len(document)) + theta[-1])
+    clean = np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of the probability that all are clean
+    q = np.clip(-np.expm1(clean), 1e-6, 1.0)
+    # By a sentence's logit: (y - q) / q * p, for the noisy-or of logistic scores.
+    pull = (weight * (y - q) / q)[document] * p
+    return np.append(np.bincount(feature, pull[sentence], len(theta) - 1), pull.sum())
+
+
 def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, settings: Settings = Settings()) -> Model:
     """weight: of each document. Features that hardly tell the classes apart stay at weight zero."""
     model = Model(np.zeros(1 << BUCKET_BITS, np.float32), -np.inf)
@@ -186,12 +197,8 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, settings: Sett
     weight = weight / weight.sum()
     y = labels.astype(float)
     for t in range(1, settings.rounds + 1):
-        p = _sigmoid(np.bincount(sentence, theta[feature], many) + theta[-1])
-        clean = np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of the probability that all are clean
-        q = np.clip(-np.expm1(clean), 1e-6, 1.0)
-        # d loglik / d sentence logit: (y - q) / q * p, for the noisy-or of logistic scores
-        pull = (weight * (y - q) / q)[document] * p
-        grad = np.append(np.bincount(feature, pull[sentence], len(kept)) - settings.l2 * theta[:-1], pull.sum())
+        grad = gradient(theta, feature, sentence, document, y, weight)
+        grad[:-1] -= settings.l2 * theta[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta += settings.rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     model.weights[kept], model.bias = theta[:-1], float(theta[-1])
@@ -209,8 +216,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & learn).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     rows = plain_text(docs, key, text=text).where(F.octet_length("text") <= longest)
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    hashed = Window.partitionBy("y").orderBy(F.xxhash64(key), key)
-    chosen = known.join(rows.select(key), key, "left_semi").withColumn("place", F.row_number().over(hashed)).where(F.col("place") <= sample).select(key, "y")
+    fit_for = staged(known.join(rows.select(key).hint("merge"), key, "left_semi").withColumn("h", F.xxhash64(key)), "learnable")
+    chosen = None
+    for r in fit_for.groupBy("y").agg(F.count("*").alias("n")).collect():
+        of = fit_for.where(F.col("y") == r["y"])
+        # The least hashes: of those below a bound under which lie a few more than wanted, so that tasks hand on few.
+        share, bound = 1.2 * sample / r["n"] + 64 / r["n"], None
+        while share < 1 and (bound := int((2 * share - 1) * 2**63)) and of.where(F.col("h") < bound).count() < sample:
+            share *= 2
+        some = (of.where(F.col("h") < bound) if share < 1 else of).orderBy("h", key).limit(sample).select(key, "y")
+        chosen = some if chosen is None else chosen.unionByName(some)
+    if chosen is None:
+        return [], np.zeros(0, np.int64), np.zeros(0)
     # At most `sample` keys a class: a documented bound.
     got = rows.join(F.broadcast(chosen), key).groupBy(key, "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("y", F.xxhash64(key), key).collect()
     ys = np.array([r["y"] for r in got], np.int64)

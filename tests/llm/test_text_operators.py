@@ -394,6 +394,64 @@ def test_bpe_rows(spark, docs, empty):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["n_tokens"] == len(ids)
 
 
+# Classifiers by brute force
+
+
+def test_noisy_or_gradient_by_differences():
+    rng = np.random.default_rng(8)
+    feature, sentence = rng.integers(0, 6, 60), np.sort(rng.integers(0, 15, 60))
+    document, y, weight = np.sort(rng.integers(0, 5, 15)), np.array([0.0, 1, 1, 0, 1]), rng.random(5)
+    theta = rng.normal(0, 1, 7)
+
+    def likelihood(theta):
+        total = 0.0
+        for d in range(5):
+            clean = 1.0
+            for s in np.flatnonzero(document == d):
+                clean *= 1 - 1 / (1 + np.exp(-(theta[feature[sentence == s]].sum() + theta[-1])))
+            q = 1 - clean
+            total += weight[d] * (np.log(q) if y[d] else np.log(clean)) if (document == d).any() else 0.0
+        return total
+
+    weight[[d for d in range(5) if not (document == d).any()]] = 0
+    got = toxicity.gradient(theta, feature, sentence, document, y, weight)
+    for i in range(7):
+        step = np.zeros(7)
+        step[i] = 1e-6
+        assert got[i] == pytest.approx((likelihood(theta + step) - likelihood(theta - step)) / 2e-6, rel=1e-4, abs=1e-7)
+
+
+def test_scores_by_brute_force():
+    """Both classifiers against plain loops over words, pieces, sentences and passages."""
+    rng = np.random.default_rng(9)
+    texts = [t.lower() for t in ("One two! Three-four five's\nsix. Seven eight nine", "a. b? c", "", "no end " * 120, "zwölf Äpfel, été.")]
+    weights = rng.normal(0, 1, 1 << toxicity.BUCKET_BITS).astype(np.float32)
+    model = toxicity.Model(weights, -1.5)
+    bucket = lambda b, word: int(((toxicity.Hasher(np.frombuffer(b, np.uint8)).spans(np.array([0]), np.array([len(b)])) ^ np.uint64((1 << 63) * word)) >> np.uint64(64 - toxicity.BUCKET_BITS))[0])
+    each, document, _, _ = toxicity.sentences(model, [t.encode() for t in texts])
+    got = toxicity.noisy_or(each, document, len(texts))
+    for t, p in zip(texts, got, strict=True):
+        clean = 1.0
+        for s in re.split(rb"(?<=[.!?\n])", t.encode()):
+            words = re.findall(rb"[0-9A-Za-z'\x80-\xff]+", s)
+            if words:
+                total = sum(float(weights[bucket(w, 1)]) for w in words) + sum(float(weights[bucket(w[i : i + 5], 0)]) for w in words for i in range(len(w) - 4))
+                clean *= 1 - 1 / (1 + np.exp(-(total - 1.5)))
+        assert p == pytest.approx(1 - clean, abs=1e-6)
+    k, g = 4, 3
+    draw = lambda *shape: rng.normal(0, 0.5, shape)
+    w = {"W": draw(quality.FEATURES, k), "b": draw(k), "V": draw(k, g), "U": draw(k, g), "a": draw(g), "c": draw(k), "d": draw(1)}
+    model = quality.Model(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), w)
+    got, _ = quality.scores(model, [t.encode() for t in texts])
+    for t, p in zip(texts, got, strict=True):
+        x = model.standard(quality.passages([t.encode()])[0])
+        assert len(x) == max(1, -(-len(t.encode()) // quality.PASSAGE))
+        h = [np.tanh(r @ w["W"] + w["b"]) for r in x]
+        e = np.array([(np.tanh(v @ w["V"]) / (1 + np.exp(-(v @ w["U"])))) @ w["a"] for v in h])
+        z = sum(a * v for a, v in zip(np.exp(e) / np.exp(e).sum(), h, strict=True))
+        assert p == pytest.approx(1 / (1 + np.exp(-(z @ w["c"] + w["d"][0]))), abs=1e-5)
+
+
 # Hot keys and lengths
 
 
