@@ -10,7 +10,8 @@ Windows of sorted lines are kept as bitmaps: a bitmap of the first 64 c vectors
 look-ups (rounded outwards to 64 places, which loses nothing), and bit-sliced counters add the windows of all lines, 64 vectors a
 machine word. So pairs are counted, not listed. Equal vectors are one class first. Classes are dealt to blocks of about `BLOCK`;
 each pair of blocks is one group, which reports for each class its number of links and one step of a spanning forest, never pairs.
-The work is quadratic in the number of classes, at under two nanoseconds a pair; rows moved grow by the number of blocks.
+The work is quadratic in the number of classes, at some three nanoseconds a pair; rows moved grow by the number of blocks. (Ranges of one
+projection prune no pair of blocks in 64 dimensions: the distance at the threshold, 0.32, spans most of a projection.)
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different
 length link with nothing of another length; rows that share an id are one node, whose links add up; null ids form their own
