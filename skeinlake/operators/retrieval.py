@@ -5,7 +5,7 @@ Each takes a DataFrame of queries and returns (query_id, document..., score, ran
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -221,6 +221,38 @@ def rerank(candidates: DataFrame, scores: DataFrame, top_k: int) -> DataFrame:
     return ranked(candidates.drop("rank").join(scores, ["query_id", "document_id"]), "query_id", F.col("rerank_score").desc(), F.col("document_id"), limit=top_k)
 
 
+def embedded(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], text: str = "text", instruct: str = "", batch: int = 96) -> DataFrame:
+    """rows with embedding, from a provider that is given up to `batch` texts at once (queries may get an instruction before them). The provider runs in
+    the tasks: whatever it needs must be there. One that returns another number of vectors is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [instruct + (t or "") for t in b.column(text).to_pylist()]
+            vectors: list[list[float]] = []
+            for at in range(0, len(texts), batch):
+                vectors += (got := provider(texts[at : at + batch]))
+                if len(got) != len(texts[at : at + batch]):
+                    raise ValueError(f"{len(got)} vectors for {len(texts[at : at + batch])} texts")
+            yield b.append_column("embedding", pa.array(vectors, pa.list_(pa.float64())))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", embedding array<double>"
+    return rows.mapInArrow(run, schema)
+
+
+def reranked(candidates: DataFrame, provider: Callable[[list[tuple[str, str]]], list[float]], top_k: int, query: str = "query", text: str = "text", width: int = 1600) -> DataFrame:
+    """The top_k candidates (query_id, document_id, query, text) of each query by a provider's scores of (query, text) pairs, the texts cut to what a
+    reranker reads. The provider runs in the tasks; pairs that it scores None go."""
+    rows = candidates.withColumn("__text", F.left(text, F.lit(width))).drop("rank")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = list(zip(b.column(query).to_pylist(), b.column("__text").to_pylist(), strict=True))
+            yield b.append_column("rerank_score", pa.array(provider(pairs) if pairs else [], pa.float64()))
+
+    scored = rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", rerank_score double").drop("__text")
+    return ranked(scored.where("rerank_score IS NOT NULL"), "query_id", F.col("rerank_score").desc(), F.col("document_id"), limit=top_k)
+
+
 def provider_label(dense: Column, sparse: Column, reranked: Column) -> Column:
     """Which stages gave rows, joined by +."""
     return F.concat_ws("+", F.when(dense, "dense"), F.when(sparse, "bm25"), F.when(dense | sparse, "rrf"), F.when(reranked, "rerank"))

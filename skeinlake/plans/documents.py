@@ -177,6 +177,14 @@ def vector_store_verified(spark, sf_dir):
     return spark.read.parquet(path).groupBy(F.col("library").cast("int").alias("library")).agg(F.count("*").alias("n")).withColumn("library", F.col("library").cast(dict(table(spark, sf_dir, "embeddings").dtypes)["label"]))
 
 
+@register("SELECT vec_id, label FROM embeddings")
+def collection_scan(spark, sf_dir):
+    """All rows of a stored collection, by some of its columns: the scan reads those alone."""
+    path = S.fresh_path(spark, "collection")
+    n = S.write_verified(table(spark, sf_dir, "embeddings"), path)
+    return spark.read.parquet(path).select("vec_id", "label").limit(max(1, n))
+
+
 @register("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label FROM embeddings")
 def embedding_checkpoint_upsert(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))

@@ -230,6 +230,23 @@ def rerank_by_score(spark, sf_dir):
     return R.rerank(ranking, scores, 3).select("query_id", "document_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
 
+@register(f"WITH {BM25_SQL}, {SPARSE_SQL}, c AS (SELECT s.query_id, s.document_id, (length(left(d.text, 1600)) % 997 + length(a.query)) / 4e0 AS rerank_score FROM sparse s JOIN documents d ON d.doc_id = s.chunk_id JOIN asked a USING (query_id) WHERE length(left(d.text, 1600)) % 7 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, document_id) AS rank FROM c) SELECT query_id, document_id, rerank_score, rank FROM r WHERE rank <= 4")
+def rerank_by_provider(spark, sf_dir):
+    """A provider that is called with pairs of texts; this one goes by their lengths, and has no score for some."""
+    queries = asked(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = R.bm25_ranking(index(spark, sf_dir), tokens_of(queries)).join(queries, "query_id").join(docs, "chunk_id")
+    best = R.reranked(found, lambda pairs: [None if len(t) % 7 == 0 else (len(t) % 997 + len(q)) / 4 for q, t in pairs], 4)
+    return best.select("query_id", "document_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
+
+
+@register("SELECT item_id, [length('q: ' || text)::DOUBLE, len(string_split('q: ' || text, ' '))::DOUBLE] AS embedding FROM benchmark")
+def embed_by_provider(spark, sf_dir):
+    """A provider that is called with batches of texts behind an instruction; this one counts letters and words."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return R.embedded(rows, lambda texts: [[float(len(t)), float(t.count(" ") + 1)] for t in texts], instruct="q: ").select("item_id", "embedding")
+
+
 @register("SELECT event_id, concat_ws('+', CASE WHEN d THEN 'dense' END, CASE WHEN s THEN 'bm25' END, CASE WHEN d OR s THEN 'rrf' END, CASE WHEN r THEN 'rerank' END) AS label FROM (SELECT event_id, event_id % 2 = 0 AS d, event_id % 3 = 0 AS s, event_id % 5 = 0 AS r FROM events)")
 def provider_label(spark, sf_dir):
     k = F.col("event_id")
