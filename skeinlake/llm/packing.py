@@ -11,8 +11,8 @@ provably belong to some best packing:
 Both repeat until no rule fires for any length; fixing a pair shrinks the instance, so lengths are looked at again. What remains is packed best-fit, longest
 first; as equal lengths are interchangeable, whole runs of equal sequences are handled at once. Each run of a length's ranks
 then belongs to a slot (first sequence, offset), and pieces find their slot by their rank within their length. Ranks come
-from windows over (length, salt) and counts of those groups; a length has a salt for each `RANKED` of its pieces, so that no
-task gets more, however frequent a length or key is. Pieces that fill a sequence, which most are in a corpus of long documents, need no rank: the
+from windows over (length, salt) and counts of those groups; a length has salts in proportion to its pieces, so that no task
+gets more than `RANKED` or a small share of all, however frequent a length or key is. Pieces that fill a sequence, which most are in a corpus of long documents, need no rank: the
 number of their row names their sequence.
 
 Defined results: null text is an empty text (the end id alone); repeated keys and rows are packed each; a very long text is
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import plain_text, slices, staged, texts_sizes
 from .tokens import KEEP, encoder
 
-#: Pieces of one length that are ranked together, about.
-RANKED = 250_000
+#: Pieces of one length that are ranked together are about so many at most, and at most such a share of all.
+RANKED, SHARES = 250_000, 256
 
 
 @dataclass
@@ -208,9 +208,10 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         first = starts[at] % span
         return pd.DataFrame({"sequence_id": places[at, 0] + ranks - first, "offset": places[at, 1]})
 
-    salts = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // RANKED))) for n in range(capacity)])
+    together = max(1, min(RANKED, sum(counts.values()) // SHARES))
+    salts = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // together))) for n in range(capacity)])
     dealt = part.withColumn(salt, F.pmod(F.xxhash64(row), F.get(salts, F.col("length").cast("int"))))
-    groups = dealt.groupBy("length", salt).agg(F.count("*").alias("n"))  # a row for each length, and for each `RANKED` of its pieces
+    groups = dealt.groupBy("length", salt).agg(F.count("*").alias("n"))  # a row for each length, and for each of the shares of its pieces
     so_far = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
     told = groups.select(F.col("length").alias(home), F.col(salt).alias(group), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias(before))
     ranked = dealt.withColumn(row, F.row_number().over(Window.partitionBy("length", salt).orderBy(row)) - 1)
