@@ -71,13 +71,28 @@ def expand_query(text: Column) -> Column:
 
 def record_tokens(title: Column, metadata: Column, content: Column, document: Column, problem: Column) -> Column:
     """A record's tokens: its title three times, metadata and content; eight identifier tokens of a problem, four of the document."""
-    plain = ranking_tokens(F.concat_ws(" ", title, title, title, metadata, content))
-    slug = F.regexp_replace(F.regexp_replace(F.lower(document), "[^a-z0-9_-]+", "-"), "^-+|-+$", "")
+    plain, slug = ranking_tokens(_record(title, metadata, content)), _slug(document)
     none = F.array().cast("array<string>")
     boosts = F.when(problem.isNotNull(), F.array_repeat(F.concat(F.lit("lc-id-"), problem.cast("string")), 8)).otherwise(none)
     return F.concat(plain, boosts, F.when(slug != "", F.array_repeat(F.concat(F.lit("doc-id-"), slug), 4)).otherwise(none))
 
 
+def _record(title: Column, metadata: Column, content: Column) -> Column:
+    return F.concat_ws(" ", title, title, title, metadata, content)
+
+
+def _slug(document: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(document), "[^a-z0-9_-]+", "-"), "^-+|-+$", "")
+
+
+def record_length(title: Column, metadata: Column, content: Column, document: Column, problem: Column) -> Column:
+    """How many tokens a record has, counted without making them."""
+    text = _record(title, metadata, content)
+    runs = F.transform(_found(text, HAN), lambda r: F.when(F.length(r) > 2, F.length(r)).otherwise(1))
+    han = F.when(text.rlike(HAN), F.aggregate(runs, F.lit(0), lambda s, n: s + n)).otherwise(0)
+    return F.regexp_count(F.lower(text), F.lit(LATIN)) + han + F.when(problem.isNotNull(), 8).otherwise(0) + F.when(_slug(document) != "", 4).otherwise(0)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space as one blank, trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

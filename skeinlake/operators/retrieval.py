@@ -20,6 +20,8 @@ from skeinlake.functions import text as T
 from .evaluation import holders
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Terms of queries that go to every task (some 10 MB).
+MOST_TERMS = 200_000
 #: Queries whose vectors go to a task at once, and vectors that they meet there.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
 
@@ -31,9 +33,9 @@ def ranked(scores: DataFrame, per: str, *order: Column, limit: int | None = None
 
 
 def records(docs: DataFrame, key: str, title: Column, content: Column, metadata: Column, problem: Column, document: Column) -> DataFrame:
-    """chunk_id, document_id, tokens, len: what BM25 counts."""
-    own = docs.select(F.col(key).alias("chunk_id"), document.alias("document_id"), T.record_tokens(title, metadata, content, document, problem).alias("tokens"))
-    return own.withColumn("len", F.size("tokens"))
+    """chunk_id, document_id, tokens, len: what BM25 counts. Plans that need the lengths alone make no tokens."""
+    parts = (title, metadata, content, document, problem)
+    return docs.select(F.col(key).alias("chunk_id"), document.alias("document_id"), T.record_tokens(*parts).alias("tokens"), T.record_length(*parts).alias("len"))
 
 
 @dataclass(frozen=True)
@@ -89,7 +91,8 @@ def bm25(index: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float
     one, or records, which are then counted as they are read and not written.
 
     Only terms that some query has leave the corpus scan: tokens are semi-joined with the query vocabulary before anything is
-    counted, counts are combined before the shuffle, and one row of corpus statistics is joined to all.
+    counted, and counts are combined before the shuffle. They are then dealt by chunk, so that no term is a hot key and a chunk's scores
+    are added up where its counts are; up to `MOST_TERMS` weighted terms of queries go to all tasks, more meet the counts by a shuffle.
     """
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = asked.select("term").distinct()
@@ -99,10 +102,13 @@ def bm25(index: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float
     else:
         tf = _postings(index.select("chunk_id", "document_id", "len", F.explode("tokens").alias("term")).join(words, "term", "left_semi"))
         stats = corpus_stats(index)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # by tf, so that both uses share one shuffle of the counts
+    weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "query_id", "avg_len", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))  # one row
     norm = k1 * (1.0 - b + b * F.col("len") / F.col("avg_len"))
-    part = F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)
-    pairs = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row
+    part = F.col("weight") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)
+    if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        tf, weights = tf.repartition("chunk_id"), F.broadcast(weights)
+    pairs = tf.join(weights, "term")
     return pairs.groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
 
 
