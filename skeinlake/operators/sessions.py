@@ -90,20 +90,14 @@ def window_state(used: Column) -> Column:
 
 
 def evict(messages: DataFrame, hard: int, base: int = PROMPT, key: str = "session_id") -> DataFrame:
-    """Messages (key, seq, role, tokens) that stay: the oldest that isn't the system's goes until all fits or one is left."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        used, left, gone = base + int(pdf["tokens"].sum()), len(pdf), set()
-        for i, role, tokens in zip(pdf.index, pdf["role"], pdf["tokens"], strict=True):
-            if left <= 1 or used <= hard:
-                break
-            if role != "system":
-                gone.add(i)
-                used, left = used - int(tokens), left - 1
-        return pdf.drop(index=list(gone))
-
-    return messages.groupBy(key).applyInPandas(fold, messages.schema)
+    """Messages (key, seq, role, tokens) that stay: the oldest that isn't the system's goes until all fits or one is left. Those that go are the
+    first of their kind, so sums over what came before say which."""
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("seq", "role", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    other = F.col("role") != "system"
+    gone = lambda what: F.coalesce(F.sum(F.when(other, what)).over(before), F.lit(0))
+    used, left = base + F.sum("tokens").over(whole) - gone(F.col("tokens")), F.count("*").over(whole) - gone(F.lit(1))
+    return messages.withColumn("__goes", other & (used > hard) & (left > 1)).where("NOT __goes").drop("__goes")
 
 
 def compaction(messages: DataFrame, safe: int, summary_tokens: int = 200, base: int = PROMPT, key: str = "session_id") -> DataFrame:
@@ -112,7 +106,7 @@ def compaction(messages: DataFrame, safe: int, summary_tokens: int = 200, base:
     (messages in it), compacted (before, at commit or none)."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
+        pdf = pdf.sort_values(["seq", "role", "tokens"])
         rows, held, checkpoint, n = [], 0, 0, 0
         for seq, role, tokens in zip(pdf["seq"], pdf["role"], pdf["tokens"], strict=True):
             did = "none"

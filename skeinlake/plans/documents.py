@@ -70,7 +70,7 @@ def noise_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(F.slice(lines, F.lit(1), F.when(at > 0, at - 1).otherwise(F.size(lines)).cast("int")), "\n")).alias("digest"))
 
 
-@register()
+@register(f"SELECT doc_id, 'a' || {NL} || 'b' || chr(9) || 'c' || {NL} || '中😀' || {NL} || '\\x' || source AS decoded FROM documents")
 def escape_decode(spark, sf_dir):
     text = F.concat(F.lit('a\\nb\\tc\\n\\u4e2d\\ud83d\\ude00\\n\\x'), F.col("source"))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))

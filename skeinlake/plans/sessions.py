@@ -80,13 +80,17 @@ def window_status(spark, sf_dir):
     return used.select("session_id", "used", F.greatest(F.lit(0), O.WINDOW - u).alias("remaining"), F.round(u / O.WINDOW, 4).alias("usage_ratio"), F.greatest(F.lit(0), min(O.SOFT, O.WINDOW - O.RESERVE) - u).alias("safe_remaining"), O.window_state(u).alias("state"))
 
 
-@register()
+@register(f"WITH {MSG_SQL}, m AS (SELECT session_id, seq, role, content, {_TOKENS} + 4 AS tokens FROM msg), w AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id) AS total, count(*) OVER (PARTITION BY session_id) AS n, coalesce(sum(CASE WHEN role <> 'system' THEN tokens END) OVER p, 0) AS gone, coalesce(sum(CASE WHEN role <> 'system' THEN 1 END) OVER p, 0) AS went FROM m WINDOW p AS (PARTITION BY session_id ORDER BY seq, role, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT session_id, seq, role, tokens FROM w WHERE role = 'system' OR 3500 + total - gone <= 3900 OR n - went <= 1")
 def hard_limit_evict(spark, sf_dir):
     own = messages(spark, sf_dir).select("session_id", "seq", "role", O.message_tokens(F.col("content")).alias("tokens"))
     return O.evict(own, hard=3_900)
 
 
-@register()
+@register(f"""WITH RECURSIVE {MSG_SQL}, m AS (SELECT session_id, seq, role, {_TOKENS} + 4 AS tokens FROM msg), o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, role, tokens) AS i FROM m),
+c AS (SELECT session_id, 0::BIGINT AS i, 0::BIGINT AS seq, 0::BIGINT AS held, 0::BIGINT AS checkpoint, 'none' AS did FROM o GROUP BY session_id UNION ALL
+SELECT session_id, i, seq, CASE did WHEN 'commit' THEN 200 ELSE h END, CASE did WHEN 'commit' THEN i WHEN 'before' THEN i - 1 ELSE checkpoint END, did FROM (SELECT *, CASE WHEN early THEN 'before' WHEN role = 'assistant' AND 3500 + h > 3900 THEN 'commit' ELSE 'none' END AS did
+FROM (SELECT *, CASE WHEN early THEN 200 ELSE held END + tokens AS h FROM (SELECT c.session_id, o.i, o.seq, o.role, o.tokens, held, checkpoint, o.role = 'user' AND o.i - 1 > checkpoint AND 3500 + held + o.tokens > 3900 AS early FROM c JOIN o ON o.session_id = c.session_id AND o.i = c.i + 1))))
+SELECT session_id, seq, 3500 + held AS context_tokens, checkpoint, did AS compacted FROM c WHERE i > 0""")
 def context_compaction(spark, sf_dir):
     own = messages(spark, sf_dir).select("session_id", "seq", "role", O.message_tokens(F.col("content")).alias("tokens"))
     return O.compaction(own, safe=3_900)

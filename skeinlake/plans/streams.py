@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinlake.functions import text as T
+from skeinlake.operators.sessions import normalised
 from skeinlake.streaming import stateful as St
 
-from .learner import observations
+from . import sqltext as S
+from .learner import MASTERY_SQL, OBS_SQL, outcomes
 from .registry import Registry, table
+from .sessions import MSG_SQL, UPD_SQL, updates
 
 register = Registry()
 
@@ -91,45 +94,42 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
-@register()
+@register("SELECT event_id, user_id FROM events")
 def stream_dedup_watermark(spark, sf_dir):
     rows = _stream(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     doubled = rows.select("event_id", "user_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     return St.finished(doubled.withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id"), "stream-dedup")
 
 
-@register()
+@register(f"WITH {PROG_SQL} SELECT session_id, current::BIGINT AS generation, sequence::BIGINT AS sequence, action, seq FROM num WHERE accepted")
 def stream_progress(spark, sf_dir):
     return St.finished(St.stream_progress(progress_events(spark, sf_dir, _stream(spark, sf_dir, "events"))), "stream-progress")
 
 
-@register()
+@register(f"WITH {OBS_SQL}, {MASTERY_SQL} SELECT user_id, concept, n, round(mastery, 8) AS mastery FROM mast")
 def stream_learner(spark, sf_dir):
-    from .learner import outcomes
+    """Each key's mastery after the last batch that touched it."""
+    got = St.finished(St.stream_mastery(outcomes(_stream(spark, sf_dir, "events")).where("outcome <> 'reviewed'")), "stream-learner")
+    return got.groupBy("user_id", "concept").agg(F.max_by(F.struct("n", "mastery"), "n").alias("s")).select("user_id", "concept", "s.n", F.round("s.mastery", 8).alias("mastery"))
 
-    return St.finished(St.stream_mastery(outcomes(_stream(spark, sf_dir, "events"))), "stream-learner")
 
-
-@register()
+@register(f"WITH {MSG_SQL}, {UPD_SQL} SELECT session_id, kind, lower({S.squeeze('content')}) AS norm, max(importance) AS importance, max(seq) AS last_seq FROM upd WHERE importance >= 55e-2 GROUP BY ALL")
 def stream_memory(spark, sf_dir):
-    """Memory updates as a stream, a batch a file."""
-    from skeinlake.operators.sessions import normalised
-
-    from .sessions import updates
-
+    """Memory updates as a stream: each memory after the last batch that touched it."""
     own = updates(spark, sf_dir, _stream(spark, sf_dir, "conversations"))
-    return St.finished(St.stream_memory(own.withColumn("norm", normalised(F.col("content")))), "stream-memory")
+    got = St.finished(St.stream_memory(own.withColumn("norm", normalised(F.col("content")))), "stream-memory")
+    return got.groupBy("session_id", "kind", "norm").agg(F.max("importance").alias("importance"), F.max("last_seq").alias("last_seq"))
 
 
-@register()
+@register("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_windows(spark, sf_dir):
     """Daily counts with a watermark: windows come out once they are over."""
     rows = _stream(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
     got = rows.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
-    return St.finished(got, "stream-windows")
+    return St.finished(got, "stream-windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@register()
+@register(f"SELECT doc_id, len({S.ranking_tokens('text')})::INT AS n_tokens FROM documents")
 def stream_incremental_index(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents").select("doc_id", "text")
     return St.incremental_index(docs, "doc_id", lambda d: d.select("doc_id", F.size(T.ranking_tokens(F.col("text"))).alias("n_tokens")), "stream-index")
