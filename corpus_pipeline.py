@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.llm import packing, pii, quality, simhash, toxicity
 from skeinlake.llm.common import staged
-from skeinlake.sources.tables import spread
+from skeinlake.sources.tables import discard, spread
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, before = staged(stage(spark, docs, sf_dir), f"pipeline-{name}"), docs
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
