@@ -100,7 +100,7 @@ class _Writer:
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, layout: Layout = Layout(), key: str = "doc_id", text: str = "text", folder: str | None = None, files: int | None = None) -> DataFrame:
-    """Writes the files under folder (by default in the shared folder) and returns their manifest, a row for each file:
+    """Writes the files under folder (by default in the shared folder, until the application ends) and returns their manifest, a row for each file:
     part, file, first (ids in all files before it), n_tokens, n_docs. A task that runs again writes files of new names; the
     manifest lists those of the attempts that counted. files: the number of range partitions (by default one for each
     `FILE_BYTES` of text, and at least Spark's number of shuffle partitions)."""
