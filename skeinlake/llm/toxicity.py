@@ -221,10 +221,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     for r in fit_for.groupBy("y").agg(F.count("*").alias("n")).collect():
         of = fit_for.where(F.col("y") == r["y"])
         # The least hashes: of those below a bound under which lie a few more than wanted, so that tasks hand on few.
-        share, bound = 1.2 * sample / r["n"] + 64 / r["n"], None
-        while share < 1 and (bound := int((2 * share - 1) * 2**63)) and of.where(F.col("h") < bound).count() < sample:
+        share = 1.2 * sample / r["n"] + 64 / r["n"]
+        while share < 0.9:
+            least = of.where(F.col("h") < int((2 * share - 1) * 2**63))
+            if least.count() >= sample:
+                of = least
+                break
             share *= 2
-        some = (of.where(F.col("h") < bound) if share < 1 else of).orderBy("h", key).limit(sample).select(key, "y")
+        some = of.orderBy("h", key).limit(sample).select(key, "y")
         chosen = some if chosen is None else chosen.unionByName(some)
     if chosen is None:
         return [], np.zeros(0, np.int64), np.zeros(0)

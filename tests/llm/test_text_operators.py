@@ -452,6 +452,28 @@ def test_scores_by_brute_force():
         assert p == pytest.approx(1 / (1 + np.exp(-(z @ w["c"] + w["d"][0]))), abs=1e-5)
 
 
+def test_sample_is_that_of_least_hashes(spark):
+    """Of classes of any size, documents that are too long left out before, one text a key."""
+    rows = [(i, "short text") for i in range(3000)] + [(i, "another") for i in range(100)] + [(i, "x" * 500) for i in range(3000, 3400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3400)] + [(None, 1), (9999, 1)], "doc_id long, toxic int")
+    for sample in (1, 20, 150, 5000):
+        texts, ys, weights = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), sample, 100)
+        assert [int((ys == y).sum()) for y in (0, 1)] == [min(sample, 2700), min(sample, 300)] and len(texts) == len(ys) == len(weights)
+        assert weights[ys == 1].sum() == pytest.approx(341) and weights[ys == 0].sum() == pytest.approx(3060)
+    keys = lambda n: {r["doc_id"] for r in toxicity_keys(spark, n)}
+    assert keys(20) <= keys(150)
+
+
+def toxicity_keys(spark, sample):
+    docs = spark.createDataFrame([(i, str(i)) for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id long, toxic int")
+    texts, _, _ = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), sample, 100)
+    least = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    assert {int(t) for t in texts} == {r["doc_id"] for r in least.collect()}
+    return least.collect()
+
+
 # Hot keys and lengths
 
 
