@@ -1,5 +1,6 @@
 """Embeddings, media, pages and the pipeline."""
 
+import hashlib
 import struct
 import zlib
 
@@ -140,6 +141,51 @@ def test_media_rows(spark):
     assert matroska.store_texts(rows.limit(0)).count() == 0
 
 
+def walked(data: bytes) -> tuple[bytes, int]:
+    """The payload of a file's simple blocks, and the greatest end of a frame, by a reader that knows no more of the format than its elements."""
+    payload, furthest = b"", 0
+
+    def number(at: int, keep: bool) -> tuple[int, int]:
+        n = next(i for i in range(8) if data[at] >> 7 - i & 1) + 1
+        raw = int.from_bytes(data[at : at + n], "big")
+        return raw if keep else raw - (1 << 7 * n), at + n
+
+    def walk(at: int, end: int) -> None:
+        nonlocal payload, furthest
+        while at < end:
+            ident, at = number(at, True)
+            size, at = number(at, False)
+            if ident in (0x18538067, 0x1F43B675):
+                walk(at, at + size)
+            elif ident == 0xA3:
+                lacing, body, stop = data[at + 3] >> 1 & 3, at + 4, at + size
+                assert data[at] == 0x81 and lacing in (0, 2, 3)
+                if lacing:
+                    frames, body = data[body] + 1, body + 1
+                    for i in range(frames - 1 if lacing == 3 else 0):
+                        body = number(body, False)[1]
+                    assert lacing == 3 or (stop - body) % frames == 0
+                payload += data[body:stop]
+                furthest = max(furthest, stop)
+            at += size
+
+    walk(0, len(data))
+    return payload, furthest
+
+
+def test_media_by_another_reader(spark):
+    """What is stored, read by plain recursion, is the text and its padding; digests are of exactly that."""
+    rng = np.random.default_rng(12)
+    texts = ["", "a", "é" * 33, *["".join(rng.choice(list("ab é\n東"), int(n))) for n in rng.integers(0, 40_000, 12)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in matroska.store_texts(rows).collect():
+        raw = texts[r["doc_id"]].encode()
+        payload, furthest = walked(bytes(r["media"]))
+        want = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+        assert payload == want and furthest <= len(r["media"]) == r["media_bytes"]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]), hashlib.sha256(r["media"]).hexdigest())
+
+
 # Pages
 
 
