@@ -103,14 +103,14 @@ def token_estimate(spark, sf_dir):
 
 _KINDS = "['preference', 'learned_fact', 'constraint', 'unfinished_task', 'long_term_goal', 'decision', 'user_profile']"
 #: Messages as memory updates: a user for ten sessions; kind and importance by number.
-UPD_SQL = f"upd AS (SELECT session_id % 10 AS user_id, session_id, seq, ({_KINDS})[1 + (session_id + seq) % 7] AS kind, ' ' || left(content, 40 + 20 * (seq % 2)) || ' ' AS content, ((session_id * 3 + seq * 7) % 10) / 10e0 AS importance, ts FROM msg)"
+UPD_SQL = f"upd AS (SELECT session_id % 10 AS user_id, session_id, seq, ({_KINDS})[1 + (session_id + seq) % 7] AS kind, ' ' || content || ' ' AS content, ((session_id * 3 + seq * 7) % 10) / 10e0 AS importance, ts FROM msg)"
 MEM_SQL = f"good AS (SELECT *, lower({S.squeeze('content')}) AS norm, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS c FROM upd WHERE importance >= 55e-2 AND regexp_replace(content, '^\\s+|\\s+$', '', 'g') <> ''), fold AS (SELECT user_id, session_id, kind, norm, arg_min(c, seq) AS content, max(importance) AS importance, min(ts) AS created_at, max(ts) AS updated_at FROM good GROUP BY ALL), mem AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY importance DESC, updated_at DESC, norm) AS place, 'mem_' || left(sha256(concat_ws(':', user_id, session_id, kind, norm)), 20) AS memory_id FROM fold)"
 
 
 def updates(spark, sf_dir, rows=None):
     own = messages(spark, sf_dir, rows)
     kinds = F.array(*[F.lit(k) for k in ("preference", "learned_fact", "constraint", "unfinished_task", "long_term_goal", "decision", "user_profile")])
-    return own.select((F.col("session_id") % 10).alias("user_id"), "session_id", "seq", F.get(kinds, ((F.col("session_id") + F.col("seq")) % 7).cast("int")).alias("kind"), F.concat(F.lit(" "), F.left("content", (40 + 20 * (F.col("seq") % 2)).cast("int")), F.lit(" ")).alias("content"), (((F.col("session_id") * 3 + F.col("seq") * 7) % 10) / 10.0).alias("importance"), "ts")
+    return own.select((F.col("session_id") % 10).alias("user_id"), "session_id", "seq", F.get(kinds, ((F.col("session_id") + F.col("seq")) % 7).cast("int")).alias("kind"), F.concat(F.lit(" "), "content", F.lit(" ")).alias("content"), (((F.col("session_id") * 3 + F.col("seq") * 7) % 10) / 10.0).alias("importance"), "ts")
 
 
 @register(f"WITH {MSG_SQL}, {UPD_SQL}, {MEM_SQL} SELECT memory_id, user_id, session_id, kind, content, importance, created_at, updated_at FROM mem")
