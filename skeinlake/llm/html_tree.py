@@ -73,10 +73,12 @@ _TAGS = ("html", "head", "title", "body", "article", "main", "section", "div", "
 _TAG_GROUP = {t: t for t in _TAGS} | {f"h{i}": "heading" for i in range(1, 7)} | dict.fromkeys(("ul", "ol", "menu", "dl"), "list") | dict.fromkeys(("dt", "dd"), "li") | dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot", "caption"), "table") | dict.fromkeys(("blockquote", "pre"), "quote") | dict.fromkeys(("label", "button", "select", "option", "textarea", "fieldset", "legend"), "control") | {"figcaption": "figure"}
 _TAG_NUMBER = {t: _TAGS.index(_TAG_GROUP.get(t, "other")) for t in BLOCKS}
 #: Tags, words of names, then: own text, link share of own text, link share below, text below, sentence ends, depth, place, hidden, bias,
-#: characters below, those of them that are sentences, a main heading below, inside an article or main element, a header or footer there.
-_REST = 16
+#: a heading before an article, characters below, those of them that are sentences, a main heading below, inside an article or main
+#: element, a header or footer there.
+_REST = 17
 FEATURES = len(_TAGS) + len(WORDS) + _REST
 _ARTICLES = tuple(_TAGS.index(t) for t in ("article", "main"))
+_HEADING = _TAGS.index("heading")
 _HEADER, _FOOTER = _TAGS.index("header"), _TAGS.index("footer")
 #: Kinds of child for edge potentials: plain blocks, sections, page parts, headings and items, headers.
 KINDS = 5
@@ -224,6 +226,7 @@ class Forest:
     parent: np.ndarray
     kind: np.ndarray
     levels: list[np.ndarray]
+    heads: list[tuple[np.ndarray, np.ndarray]]  # of each level: the nodes' parents, each once, and where its children begin
     x: np.ndarray
     first: np.ndarray
 
@@ -253,6 +256,7 @@ def forest_of(trees: list[Tree]) -> Forest:
         said[i] = max(1, at)
     depth = np.zeros(n, np.int64)
     levels = [np.flatnonzero(parent < 0)]
+    heads = [(levels[0][:0], levels[0][:0])]
     # Parents come before children, so depths settle level by level.
     order = np.argsort(parent, kind="stable")
     sorted_parents = parent[order]
@@ -261,16 +265,17 @@ def forest_of(trees: list[Tree]) -> Forest:
         total = int((b - a).sum())
         if not total:
             break
-        starts = np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a)
+        begin = np.append(0, np.cumsum(b - a)[:-1])
+        heads.append((alive[b > a], begin[b > a]))
+        starts = np.repeat(a - begin, b - a)
         children = order[starts + np.arange(total)]
         depth[children] = len(levels)
         levels.append(children)
     below, linked_below, prose_below = own.copy(), linked.copy(), prose * (linked <= own / 2)
-    for level in reversed(levels[1:]):
-        np.add.at(below, parent[level], below[level])
-        np.add.at(linked_below, parent[level], linked_below[level])
-        np.add.at(prose_below, parent[level], prose_below[level])
-        np.logical_or.at(headed, parent[level], headed[level])
+    for level, (heads_of, begin) in zip(levels[:0:-1], heads[:0:-1], strict=True):
+        for sums in (below, linked_below, prose_below):
+            sums[heads_of] += np.add.reduceat(sums[level], begin)
+        headed[heads_of] |= np.logical_or.reduceat(headed[level], begin)
     inside = np.isin(tag, _ARTICLES)
     for level in levels[1:]:
         inside[level] |= inside[parent[level]]
@@ -280,9 +285,12 @@ def forest_of(trees: list[Tree]) -> Forest:
     for g in range(len(WORDS)):
         x[:, len(_TAGS) + g] = named >> g & 1
     rest = (np.log1p(own) / 5, linked / np.maximum(1, own), linked_below / np.maximum(1, below), below / said[page], np.minimum(1, ends), np.minimum(depth, 12) / 6, place, hidden, np.ones(n))
-    rest += (np.log1p(below) / 7, np.log1p(prose_below) / 7, headed, inside, inside & headed, inside & (tag == _HEADER), inside & (tag == _FOOTER))
+    before = np.zeros(n, bool)  # a heading whose next sibling is an article or main element
+    same = sorted_parents[1:] == sorted_parents[:-1]
+    before[order[:-1][same]] = np.isin(tag[order[1:][same]], _ARTICLES)
+    rest += (before & (tag == _HEADING), np.log1p(below) / 7, np.log1p(prose_below) / 7, headed, inside, inside & headed, inside & (tag == _HEADER), inside & (tag == _FOOTER))
     x[:, -_REST:] = np.stack(rest, axis=1)
-    return Forest(parent, np.array(_KIND_NUMBER)[tag], levels, x, first)
+    return Forest(parent, np.array(_KIND_NUMBER)[tag], levels, heads, x, first)
 
 
 @dataclass
@@ -298,10 +306,10 @@ def sum_product(model: Model, f: Forest) -> tuple[np.ndarray, np.ndarray, np.nda
     psi = model.edge[f.kind]  # of the edge above each node
     inward = phi.copy()
     sent = np.zeros_like(phi)
-    for level in reversed(f.levels[1:]):
+    for level, (heads, begin) in zip(f.levels[:0:-1], f.heads[:0:-1], strict=True):
         m = np.logaddexp(psi[level, :, 0] + inward[level, None, 0], psi[level, :, 1] + inward[level, None, 1])
         sent[level] = m
-        np.add.at(inward, f.parent[level], m)
+        inward[heads] += np.add.reduceat(m, begin)
     total = inward.copy()
     root = f.levels[0]
     z = np.logaddexp(total[root, 0], total[root, 1])
@@ -320,7 +328,7 @@ def sum_product(model: Model, f: Forest) -> tuple[np.ndarray, np.ndarray, np.nda
     return nodes, edges, z
 
 
-def fit(trees: list[Tree], rounds: int = 150, rate: float = 0.15, l2: float = 1e-3) -> Model:
+def fit(trees: list[Tree], rounds: int = 200, rate: float = 0.15, l2: float = 1e-3) -> Model:
     """Gradient ascent (Adam) on the likelihood of the trees' labels; a node without a mark has its parent's."""
     f = forest_of(trees)
     y = np.zeros(len(f.parent), np.int64)
@@ -331,14 +339,16 @@ def fit(trees: list[Tree], rounds: int = 150, rate: float = 0.15, l2: float = 1e
     child = np.flatnonzero(f.parent >= 0)
     seen_edges = np.zeros((KINDS, 2, 2))
     np.add.at(seen_edges, (f.kind[child], y[f.parent[child]], y[child]), 1)
-    seen = f.x.T @ y
+    seen, kinds = f.x.T @ y, f.kind[child]
     n = len(trees)
     theta = np.zeros(FEATURES + 4 * KINDS)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         nodes, edges, _ = sum_product(model, f)
         want = np.zeros((KINDS, 2, 2))
-        np.add.at(want, f.kind[child], np.exp(edges[child]))
+        odds = np.exp(edges[child])
+        for k in range(KINDS):
+            want[k] = odds[kinds == k].sum(axis=0)
         g = np.append((seen - f.x.T @ np.exp(nodes[:, 1])) / n, ((seen_edges - want) / n).ravel()) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -346,7 +356,7 @@ def fit(trees: list[Tree], rounds: int = 150, rate: float = 0.15, l2: float = 1e
     return model
 
 
-def training_pages(n: int = 800, seed: int = 11) -> Iterator[str]:
+def training_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
     """Pages whose elements carry data-y="1" where content begins and data-y="0" where it ends; children inherit it."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwygpbvk"
@@ -471,6 +481,8 @@ def training_pages(n: int = 800, seed: int = 11) -> Iterator[str]:
         body = opening.format(y=' data-y="1"', c=name("content")) + "".join(article)
         tail = comments() if maybe(0.35) else ""
         body += tail + closing if maybe(0.3) else closing + tail
+        if not article[0] and opening.startswith(("<article", "<main")) and maybe(0.6):
+            body = f'<h1 data-y="1">{words(1, 12)}</h1>' + body  # the heading stands before the article
         before = [f'<nav data-y="0"{pick("", name("menu"))}><ul>{links(2, 9)}</ul></nav>'] if maybe(0.7) else []
         if maybe(0.5):
             tag = pick("h1", "div", "p")
@@ -492,7 +504,7 @@ def training_pages(n: int = 800, seed: int = 11) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 800, seed: int = 11) -> Model:
+def trained(n: int = 600, seed: int = 11) -> Model:
     return fit([parse(p, "data-y") for p in training_pages(n, seed)])
 
 
