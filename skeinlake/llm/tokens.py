@@ -19,6 +19,11 @@ _OTHER = re.compile(f"[{_WHITE.replace(chr(32), '').replace('\t-\r', '\t\x0b-\r'
 _WHITES = frozenset(["", *"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"])
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Letters before this one have been letters in all versions of Unicode that are in use.
+_LATIN_END = "\u0250"
+#: The characters that byte-level vocabularies write bytes as: printable ones as they are, the others from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Pieces whose ids a worker keeps: about 350 MB at most.
 KEEP = 2_000_000
 
@@ -47,6 +52,8 @@ class ChunkEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.keep, self.known, self.older = keep, {}, {}
         self.tail: dict[str, bytes] = {}
+        self.model = self._plain_model(special)
+        self.line = self._one("\n")
 
     def _all(self, pieces: list[str]) -> list[bytes]:
         """The ids of a blank and each piece behind it; new pieces are encoded together."""
@@ -67,9 +74,12 @@ class ChunkEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Adds pieces' ids. Lines, and marks behind a letter at the end, are words of their own: such a piece is put together from
-        parts if those are known. A part behind a line end stands under its own text with that line end."""
+        parts. A part behind a line end stands under its own text with that line end."""
         known, older, ask, late = self.known, self.older, [], []
         for p in pieces:
+            if (ids := self._word(p)) is not None:
+                known[p] = ids
+                continue
             first, end, rest = p.partition("\n")
             if end:
                 parts = [first, *(f"\n{r}" for r in rest.split("\n"))] if first and rest and "\n\n" not in p and rest[-1] != "\n" else None
@@ -79,9 +89,14 @@ class ChunkEncoder:
             if parts is None:
                 ask.append(p)
             elif end:
-                ask += [x for x in parts if x not in known and x not in older]
+                for x in parts:
+                    if x not in known and x not in older:
+                        if (ids := self._word(x)) is not None:
+                            known[x] = ids
+                        else:
+                            ask.append(x)
                 late.append((p, parts))
-            elif (ids := known.get(parts[0]) or older.get(parts[0])) is not None:
+            elif (ids := known.get(parts[0]) or older.get(parts[0]) or self._word(parts[0])) is not None:
                 if (tail := self.tail.get(parts[1])) is None:
                     tail = self._one(parts[1])
                     if len(self.tail) < 10_000:
@@ -95,6 +110,30 @@ class ChunkEncoder:
         for p, parts in late:
             known[p] = b"".join([known[x] if x in known else older[x] for x in parts])
 
+    def _word(self, piece: str) -> bytes | None:
+        """The ids of a blank (or of the line end that is the piece's first character) and Latin letters behind it, which the pattern
+        takes as one word: the library's model gets it at once, without pattern and added tokens. None for other pieces."""
+        if self.model is None:
+            return None
+        line = piece[:1] == "\n"
+        word = piece[1:] if line else piece
+        if word.isascii():
+            if not word.isalpha():
+                return None
+        elif word.isalpha() and max(word) < _LATIN_END:
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        else:
+            return None
+        return (self.line if line else b"") + array(self.code, [t.id for t in self.model.tokenize(word if line else f"\u0120{word}")]).tobytes()
+
+    def _plain_model(self, special: list[str]):
+        """The library's model, if the file cuts words of letters as byte-level files do, normalizes nothing, and no added token can stand in such a word."""
+        cutter = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer is not None or cutter is None or any(not (x := s.strip("\n")) or x.isalpha() for s in special):
+            return None
+        words = [w for w, _ in cutter.pre_tokenize_str("ab \u00e9\u010da\nZz q")]
+        return self.tokenizer.model if words == ["ab", "\u0120" + "\u00e9\u010da".encode().decode("latin-1").translate(_BYTES), "\u010a", "Zz", "\u0120q"] else None
+
     def _one(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

@@ -1,8 +1,10 @@
 """Very long texts, in each operator and in pieces; odd rows through every stage of the pipeline."""
 
 import hashlib
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -165,8 +167,6 @@ def test_stages_without_optional_columns(spark):
 
 def test_added_tokens_of_any_spelling(tmp_path):
     """Added tokens are what the file says, not what they look like."""
-    import json
-
     with open(BYTE) as f:
         model = json.load(f)
     like = dict(model["added_tokens"][0])
@@ -177,3 +177,21 @@ def test_added_tokens_of_any_spelling(tmp_path):
         lib, own = Tokenizer.from_file(str(path)), tokens.ChunkEncoder(str(path))
         for text in ("abc. xabc. abc.y abc", "the end of text here", "end of  text.", "abc abc abc.", "xabc. xabc xabc."):
             assert np.frombuffer(own.encode(text), own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, (name, text)
+
+
+def test_words_of_letters_as_the_library_has_them(tmp_path):
+    """Words that the model gets directly: Latin letters of all kinds, behind blanks and line ends, with marks, and beside added tokens of letters."""
+    rng = random.Random(11)
+    latin = [chr(c) for c in range(33, 0x260)] + list("'sdtm\n\n  \u4e2d\u0301\u0660")
+    texts = ["".join(rng.choices(latin, k=rng.randint(1, 60))) for _ in range(2000)]
+    texts += [" ".join("".join(rng.choices("abz\u00e9\u00df\u010d\u01bb\u024f", k=rng.randint(1, 14))) + rng.choice(["", ".", "\n", "'s", "\u0250"]) for _ in range(30)) for _ in range(200)]
+    model = json.loads(Path(BYTE).read_text())
+    for i, extra in enumerate(([], ["ab"], ["\n"], ["\nza"])):
+        like = dict(model["added_tokens"][0])
+        named = {**model, "added_tokens": [like, *({**like, "id": 50257 + k, "content": c} for k, c in enumerate(extra))]}
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(named))
+        lib, own = Tokenizer.from_file(str(path)), tokens.ChunkEncoder(str(path), keep=500)
+        assert (own.model is None) == bool(extra)
+        for text in texts:
+            assert np.frombuffer(own.encode(text), own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, (extra, text)
