@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -98,3 +99,18 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = WORD[buf].view(np.int8)
     step = np.diff(inside, prepend=np.int8(0))
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True. The last value is False."""
+    step = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """An id for each of the buffer's spans (at least one, ascending, apart), the same for the same bytes, and what the ids stand for."""
+    cuts = np.empty(2 * len(starts), np.int64)
+    cuts[0::2], cuts[1::2] = starts, ends
+    both = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(buf)])  # spans and what lies between
+    coded = both.dictionary_encode()
+    return coded.indices.to_numpy()[0::2], coded.dictionary

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.sources.tables import spread
 
-from . import bpe, collisions, html_tree, matroska, packing, pii, quality, simhash, token_files, toxicity
+from . import bpe, collisions, collocations, html_tree, licenses, matroska, packing, pii, quality, simhash, token_files, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_token_files, op4_embedding_near_dedup, op5_best_fit_packing, op6_pii, op7_matroska, op8_quality, op9_html_extraction, op10_bpe)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_token_files, op4_embedding_near_dedup, op5_best_fit_packing, op6_pii, op7_matroska, op8_quality, op9_html_extraction, op10_bpe, op11_embedding_whitening, op12_license_scan, op13_collocations)}
 
 #: DuckDB SQL where it can express the operator. The tokenizers, XXH64, trained models, files and look-behind are beyond it.
 ORACLES: dict[str, str] = {
@@ -72,4 +84,15 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT a AS n, b AS m FROM l UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a), c AS (SELECT n AS vec_id, min(m) AS m FROM r GROUP BY n)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.m, vec_id)) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
+    "op12_license_scan": licenses.sql(),
+    "op13_collocations": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0B\f\r]')) AS piece FROM d)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM s), (VALUES (1), (2), (3), (4)) AS z(k) WHERE i + k - 1 <= len(w)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f::HUGEINT + r.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ') JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longest FROM c, (VALUES (2), (3)) AS y(m), (VALUES (1), (2), (3)) AS z(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+own AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM own) JOIN n USING (lang) WHERE rank <= 2000""".replace("\\\\", "\\"),
 }
