@@ -142,7 +142,7 @@ def frequencies(rows: DataFrame, templates: tuple[Template, ...]) -> dict[bytes,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_set, total = pa.array(wanted, pa.large_binary()), np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for _, buf, starts, ends, _ in _portions(batch.column("text"), 0):
+            for _, buf, starts, ends, *_ in _portions(batch.column("text"), 0):
                 ids, spelling = spelled(buf, starts, ends)
                 known = pc.index_in(spelling, value_set=value_set).take(pa.array(ids)).drop_null().to_numpy()
                 total += np.bincount(known, minlength=len(total))
@@ -153,9 +153,9 @@ def frequencies(rows: DataFrame, templates: tuple[Template, ...]) -> dict[bytes,
     return {wanted[r["word"]]: r["n"] for r in got}
 
 
-def _portions(texts: pa.Array, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _portions(texts: pa.Array, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """Words of slices of the texts: the number of the text that each is of, the slice's bytes, each word's start and end there, and its number in its
-    text. With a step, portions of a long text overlap by two blocks' words, and begin where a block does."""
+    text; and the number from which on blocks are left to the next portion. With a step, portions of a long text begin where a block does and overlap by a block."""
     for a, b in slices(texts_sizes(texts)):
         data = b"\n".join(texts.slice(a, b - a).cast(pa.binary()).to_pylist()).lower() + b"\n"
         buf = np.frombuffer(data, np.uint8)
@@ -168,7 +168,7 @@ def _portions(texts: pa.Array, step: int) -> Iterator[tuple[np.ndarray, np.ndarr
         stride = PORTION - PORTION % step if step else PORTION
         for lo in range(0, len(starts), stride if b - a == 1 else len(starts)):
             hi = lo + stride + 2 * step if b - a == 1 else len(starts)
-            yield of[lo:hi] + a, buf, starts[lo:hi], ends[lo:hi], number[lo:hi]
+            yield of[lo:hi] + a, buf, starts[lo:hi], ends[lo:hi], number[lo:hi], lo + stride if hi < len(starts) else len(starts)
 
 
 def _found(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
@@ -176,7 +176,7 @@ def _found(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, i
     other templates that of the block's."""
     n_words, out = np.zeros(len(texts), np.int64), set()
     step = index.step
-    for of, buf, starts, ends, number in _portions(texts, step):
+    for of, buf, starts, ends, number, end in _portions(texts, step):
         np.maximum.at(n_words, of, number + 1)
         ids, spelling = spelled(buf, starts, ends)
         rank = index.ranks(spelling)[ids]
@@ -186,9 +186,9 @@ def _found(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, i
         # blocks of the portion, numbered by text and place; a word is in the block that begins last before it and in the one before that
         base, most = int(of[0]), int(number.max()) // step + 2
         block = (of[known] - base) * most + number[known] // step
-        both = np.concatenate([block, block[number[known] >= step] - 1])
-        ranks = np.concatenate([rank[known], rank[known][number[known] >= step]])
-        blocks, templates, common = index.contained(both, ranks)
+        later, sooner = block % most * step < end, number[known] // step > number[0] // step
+        sooner &= (block % most - 1) * step < end
+        blocks, templates, common = index.contained(np.concatenate([block[later], block[sooner] - 1]), np.concatenate([rank[known[later]], rank[known[sooner]]]))
         for block, t, n in zip(blocks.tolist(), templates.tolist(), common.tolist(), strict=True):
             text, begin = base + block // most, block % most * step
             if not index.templates[t].phrase:
