@@ -22,7 +22,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, forest, plain_text, slices, staged, texts_sizes
@@ -77,17 +77,23 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp: the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+    """key, fp: the fingerprint's bits as a long; with digests also __digest, that of the text."""
     rows = plain_text(docs, key, text=text)
+    rows = rows.withColumn("__digest", _digest("text")) if digests else rows
+    names = [key, "__digest"] if digests else [key]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             fps = [fingerprint(x.encode()) for a, b in slices(texts_sizes(texts)) for x in texts.slice(a, b - a).to_pylist()]
-            yield pa.record_batch({key: batch.column(key), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
+            yield pa.record_batch({n: batch.column(n) for n in names} | {"fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
 
-    return rows.mapInArrow(made, f"`{key}` {dict(rows.dtypes)[key]}, fp long")
+    return rows.mapInArrow(made, ", ".join(f"`{n}` {dict(rows.dtypes)[n]}" for n in names) + ", fp long")
+
+
+def _digest(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
@@ -198,9 +204,9 @@ def _groups(sig: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield _rows(tree[:, 0], tree[:, 1], None)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stored tables: each row's key and fp; each fp's component_id (the least key reachable over links) and least key."""
-    prints = staged(fingerprints(docs, key, text), "fingerprints")
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: each row's key and fp (with digests also __digest); each fp's component_id (the least key reachable over links) and least key."""
+    prints = staged(fingerprints(docs, key, text, digests), "fingerprints")
     distinct = staged(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     groups = connected_components(links(distinct.select("fp")))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -215,9 +221,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each group of near-duplicates the rows of docs with its least key, all columns; of rows that share that key, one.
-    Rows without a key are kept: they have no name to be a duplicate under."""
-    _, of = classes(docs, key, text)
-    least = of.where(F.col("least") == F.col("component_id")).select(F.col("least").alias(key))
-    kept = docs.where(F.col(key).isNotNull()).join(least, key, "left_semi").dropDuplicates([key])
+    """Of each group of near-duplicates one row of docs, all columns: of the rows with its least key the one whose text has the least digest; of
+    rows that repeat key and text, one. Texts that share a key are judged each by its own group. Rows without a key are
+    kept: they have no name to be a duplicate under."""
+    prints, of = classes(docs, key, text, digests=True)
+    named = prints.where(F.col(key).isNotNull()).join(of.select("fp", "component_id"), "fp")
+    chosen = named.groupBy("component_id").agg(F.min(F.struct(key, "__digest")).alias("first")).select("first.*")
+    kept = docs.where(F.col(key).isNotNull()).withColumn("__digest", _digest(text)).join(chosen, [key, "__digest"], "left_semi").dropDuplicates([key, "__digest"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

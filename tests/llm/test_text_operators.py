@@ -193,6 +193,16 @@ def test_simhash_odd_rows(spark, docs, empty):
     assert ids.count(None) == 1 and ids.count(3) == 1 and 5 not in ids and 4 in ids
 
 
+def test_texts_that_share_a_key_are_judged_each(spark):
+    a, b, near = "alpha beta gamma delta " * 20, "one two three four five " * 20, "one two three four five " * 21
+    rows = [(1, b), (5, b), (5, a), (7, near), (7, b), (9, a), (None, b)]
+    for order in (rows, rows[::-1], sorted(rows, key=str)):
+        got = simhash.representatives(spark.createDataFrame(order, "doc_id int, text string")).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, b), (5, a), (0, b)])
+    twice = simhash.representatives(spark.createDataFrame([(3, b), (3, near), (3, b), (4, b)], "doc_id int, text string")).collect()
+    assert len(twice) == 1 and twice[0]["doc_id"] == 3
+
+
 # Personal data
 
 
