@@ -40,36 +40,18 @@ def records(docs: DataFrame, key: str, title: Column, content: Column, metadata:
 
 @dataclass(frozen=True)
 class Index:
-    """What BM25 reads. postings: term, chunk_id, document_id, len, tf; stats: one row of n_docs, avg_len."""
+    """What BM25 reads. postings: term, chunk_id, document_id, len, tf, and bucket, the folder of the term; stats: one row of n_docs, avg_len."""
 
     postings: DataFrame
     stats: DataFrame
+    folders: int
 
 
-#: Folders over which a stored index deals its terms: a query's terms read those alone.
-TERM_FOLDERS = 256
+def folder_of(term: Column, folders: int) -> Column:
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(folders)).cast("int")
 
 
-def write_index(records_: DataFrame, path: str) -> Index:
-    """The index as a table: tokenized and counted once, laid out by terms, each folder sorted by them, so that queries read only the folders
-    and row groups of their terms. A term in all documents is spread over many files."""
-    spark = records_.sparkSession
-    counted = _postings(records_.select("chunk_id", "document_id", "len", F.explode("tokens").alias("term"))).withColumn("folder", _folder(F.col("term")))
-    dealt = counted.repartition("folder", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).sortWithinPartitions("folder", "term", "chunk_id")
-    dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-    corpus_stats(records_).write.mode("overwrite").parquet(f"{path}/stats")
-    return open_index(spark, path)
-
-
-def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
-
-
-def _folder(term: Column) -> Column:
-    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(TERM_FOLDERS)).cast("int")
-
-
-def _postings(terms: DataFrame) -> DataFrame:
+def counted(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term", "chunk_id", "document_id", "len").agg(F.count("*").alias("tf"))
 
 
@@ -97,10 +79,11 @@ def bm25(index: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = asked.select("term").distinct()
     if isinstance(index, Index):
-        tf = index.postings.join(words.withColumn("folder", _folder(F.col("term"))), ["folder", "term"], "left_semi").drop("folder")
+        own = words.select(folder_of(F.col("term"), index.folders).alias("b")).distinct().collect()  # folders at most
+        tf = index.postings.where(F.col("bucket").isin([r["b"] for r in own])).drop("bucket").join(words, "term", "left_semi")
         stats = index.stats
     else:
-        tf = _postings(index.select("chunk_id", "document_id", "len", F.explode("tokens").alias("term")).join(words, "term", "left_semi"))
+        tf = counted(index.select("chunk_id", "document_id", "len", F.explode("tokens").alias("term")).join(words, "term", "left_semi"))
         stats = corpus_stats(index)
     df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # by tf, so that both uses share one shuffle of the counts
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "query_id", "avg_len", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))  # one row

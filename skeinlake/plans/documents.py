@@ -10,6 +10,7 @@ from skeinlake.functions import text as T
 from skeinlake.operators import curation as C
 from skeinlake.operators import documents as D
 from skeinlake.sources import tables as S
+from skeinlake.sources.commits import Table
 
 from .registry import Registry, table, texts
 
@@ -172,23 +173,28 @@ def jsonl_tolerant(spark, sf_dir):
 
 @register("SELECT label AS library, count(*) AS n FROM embeddings GROUP BY label")
 def vector_store_verified(spark, sf_dir):
-    path = S.fresh_path(spark, "vectors")
-    S.write_verified(table(spark, sf_dir, "embeddings").withColumn("library", F.col("label")), path, "library")
-    return spark.read.parquet(path).groupBy(F.col("library").cast("int").alias("library")).agg(F.count("*").alias("n")).withColumn("library", F.col("library").cast(dict(table(spark, sf_dir, "embeddings").dtypes)["label"]))
+    """Counted as it is read back, and only then committed."""
+    own = Table(spark, S.fresh_path(spark, "vectors"))
+    own.replace(table(spark, sf_dir, "embeddings").withColumn("library", F.col("label")), F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int"))
+    return own.read().groupBy("library").agg(F.count("*").alias("n"))
 
 
 @register("SELECT vec_id, label FROM embeddings")
 def collection_scan(spark, sf_dir):
     """All rows of a stored collection, by some of its columns: the scan reads those alone."""
-    path = S.fresh_path(spark, "collection")
-    n = S.write_verified(table(spark, sf_dir, "embeddings"), path)
-    return spark.read.parquet(path).select("vec_id", "label").limit(max(1, n))
+    own = Table(spark, S.fresh_path(spark, "collection"))
+    n = own.replace(table(spark, sf_dir, "embeddings"))
+    return own.read().select("vec_id", "label").limit(max(1, n))
 
 
 @register("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label FROM embeddings")
 def embedding_checkpoint_upsert(spark, sf_dir):
+    """Rows put in place of others by key: the buckets that they fall into are written anew."""
+    own = Table(spark, S.fresh_path(spark, "checkpoint"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
-    return S.upsert(rows, rows.where("vec_id % 3 = 0").withColumn("label", F.lit(-1).cast("long")), "vec_id").select("vec_id", F.col("label").cast("int").alias("label"))
+    own.upsert(rows, "vec_id", buckets=16)
+    own.upsert(rows.where("vec_id % 3 = 0").withColumn("label", F.lit(-1).cast("long")), "vec_id")
+    return own.read().select("vec_id", F.col("label").cast("int").alias("label"))
 
 
 @register("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, CASE WHEN turn % 2 = 0 THEN role ELSE 'message' END AS event, text AS data FROM conversations WHERE text <> ''")

@@ -8,7 +8,7 @@ from skeinlake.operators import evaluation as E
 from skeinlake.operators import retrieval as R
 
 from .registry import Registry, table
-from .retrieval import ASKED_SQL, BM25_SQL, asked, index, tokens_of
+from .retrieval import ASKED_SQL, BM25_SQL, asked, stored, tokens_of
 
 register = Registry()
 KS = [1, 3, 5, 10]
@@ -21,7 +21,7 @@ def judged(spark, sf_dir):
 
 
 def ranking(spark, sf_dir, keep=10):
-    best = R.bm25_ranking(index(spark, sf_dir), tokens_of(asked(spark, sf_dir)), keep=keep)
+    best = R.bm25_ranking(stored(spark, sf_dir), tokens_of(asked(spark, sf_dir)), keep=keep)
     return best.select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("document_id"), "rank", "score")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skeinlake.functions import text as T
 from skeinlake.operators import retrieval as R
+from skeinlake.operators.postings import Postings, StaleIndex, signature
+from skeinlake.sources.tables import fresh_path
 
 from . import sqltext as S
 from .registry import Registry, said, said_sql, table, texts, values
@@ -16,11 +18,29 @@ register = Registry()
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: title := source, metadata := the language as JSON."""
-    docs = texts(spark, sf_dir)
+    return _records(texts(spark, sf_dir))
+
+
+def _records(docs: DataFrame) -> DataFrame:
     meta = F.concat(F.lit('{"lang": "'), F.col("lang"), F.lit('"}'))
     return R.records(docs, "doc_id", F.col("source"), F.col("text"), meta, F.lit(None).cast("long"), F.col("doc_id").cast("string"))
 
 
+#: Where this application has put the index of a folder's documents.
+_PLACES: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> R.Index:
+    """The documents' index: made once, opened by the queries, made anew once the documents' files are others."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    own = Postings(spark, _PLACES.setdefault(at, fresh_path(spark, "postings")))
+    source = signature(spark, f"{sf_dir}/documents.parquet")
+    try:
+        return own.open(source)
+    except StaleIndex:
+        return own.build(index(spark, sf_dir), source)
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text is a query."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -48,13 +68,28 @@ scored AS (SELECT query_id, chunk_id, document_id, round(sum(qtf * ln(1e0 + (n -
 
 @register(f"WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) SELECT query_id, document_id, score, rank FROM r WHERE rank <= 5")
 def bm25_top5(spark, sf_dir):
-    best = R.bm25_ranking(index(spark, sf_dir), tokens_of(asked(spark, sf_dir)), fetch=60, keep=5)
+    best = R.bm25_ranking(stored(spark, sf_dir), tokens_of(asked(spark, sf_dir)), fetch=60, keep=5)
+    return best.select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_LEFT_SQL = BM25_SQL.replace("FROM documents", "FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 7 = 0 THEN 'amended ' || text ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)")
+
+
+@register(f"WITH {_LEFT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) SELECT query_id, document_id, score, rank FROM r WHERE rank <= 5")
+def bm25_after_changes(spark, sf_dir):
+    """An index of all documents, some of which are then amended and some deleted; opened again, it answers as one of what is left."""
+    own = Postings(spark, fresh_path(spark, "changing"))
+    own.build(index(spark, sf_dir), "all")
+    some = texts(spark, sf_dir).where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("amended "), "text"))
+    own.add(_records(some), "amended")
+    own.delete(table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("chunk_id")), "left")
+    best = R.bm25_ranking(Postings(spark, own.table.path).open("left"), tokens_of(asked(spark, sf_dir)), fetch=60, keep=5)
     return best.select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @register(f"WITH {BM25_SQL} SELECT query_id, document_id, score FROM scored")
 def bm25_score_all(spark, sf_dir):
-    return R.bm25(index(spark, sf_dir), tokens_of(asked(spark, sf_dir))).select("query_id", "document_id", "score")
+    return R.bm25(stored(spark, sf_dir), tokens_of(asked(spark, sf_dir))).select("query_id", "document_id", "score")
 
 
 @register(f"WITH {INDEX_SQL}, t AS (SELECT unnest(tokens) AS term FROM idx) SELECT (SELECT count(*) FROM idx) AS n_docs, round((SELECT avg(len(tokens)) FROM idx), 6) AS avg_len, (SELECT count(DISTINCT term) FROM t) AS n_terms, (SELECT count(*) FROM t) AS n_tokens")
@@ -179,7 +214,7 @@ def hybrid(spark, sf_dir, limit: int = 20) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     probes = queries.join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "embedding")
     dense = R.dense_topk(vectors, probes, 20).select("query_id", F.col("vec_id").cast("string").alias("document_id"), F.col("vec_id").alias("chunk_id"), "score", "rank")
-    sparse = R.bm25_ranking(index(spark, sf_dir), tokens_of(queries))
+    sparse = R.bm25_ranking(stored(spark, sf_dir), tokens_of(queries))
     return R.fuse(dense, sparse.select("query_id", "document_id", "chunk_id", "score", "rank"), limit)
 
 
@@ -214,7 +249,7 @@ SELECT query_id, document_id, score, rank, 'hybrid' AS stage FROM h UNION ALL SE
 def hybrid_with_fallback(spark, sf_dir):
     """Queries that the index answers (score 40 or more) keep its answer; the others get the lexical one."""
     queries = asked(spark, sf_dir)
-    scored = R.bm25(index(spark, sf_dir), tokens_of(queries)).where("score >= 40")
+    scored = R.bm25(stored(spark, sf_dir), tokens_of(queries)).where("score >= 40")
     found = R.ranked(scored, "query_id", F.col("score").desc(), F.col("chunk_id"), limit=3).select("query_id", "document_id", "score", "rank", F.lit("hybrid").alias("stage"))
     open_ = queries.join(scored.select("query_id").distinct(), "query_id", "left_anti")
     docs = searched(spark, sf_dir).withColumn("document_id", F.col("document_id").cast("string"))
@@ -225,7 +260,7 @@ def hybrid_with_fallback(spark, sf_dir):
 @register(f"WITH {BM25_SQL}, {SPARSE_SQL}, c AS (SELECT query_id, document_id, chunk_id, rank AS vector_rank, round((chunk_id * 7919 % 1000) / 1000e0, 6) AS rerank_score FROM sparse WHERE chunk_id % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, document_id) AS rank FROM c) SELECT query_id, document_id, rerank_score, rank FROM r WHERE rank <= 3")
 def rerank_by_score(spark, sf_dir):
     """A stand-in reranker, whose scores come from the document's number and miss every third one."""
-    ranking = R.bm25_ranking(index(spark, sf_dir), tokens_of(asked(spark, sf_dir)))
+    ranking = R.bm25_ranking(stored(spark, sf_dir), tokens_of(asked(spark, sf_dir)))
     scores = ranking.where("chunk_id % 3 <> 0").select("query_id", "document_id", F.round((F.col("chunk_id") * 7919 % 1000) / 1000.0, 6).alias("rerank_score"))
     return R.rerank(ranking, scores, 3).select("query_id", "document_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
@@ -235,7 +270,7 @@ def rerank_by_provider(spark, sf_dir):
     """A provider that is called with pairs of texts; this one goes by their lengths, and has no score for some."""
     queries = asked(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    found = R.bm25_ranking(index(spark, sf_dir), tokens_of(queries)).join(queries, "query_id").join(docs, "chunk_id")
+    found = R.bm25_ranking(stored(spark, sf_dir), tokens_of(queries)).join(queries, "query_id").join(docs, "chunk_id")
     best = R.reranked(found, lambda pairs: [None if len(t) % 7 == 0 else (len(t) % 997 + len(q)) / 4 for q, t in pairs], 4)
     return best.select("query_id", "document_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skeinlake.operators import audit as A
 from skeinlake.operators import documents as D
 from skeinlake.operators import evaluation as E
+from skeinlake.operators import postings as P
 from skeinlake.operators import retrieval as R
 from skeinlake.sources import tables as S
 
@@ -75,13 +76,49 @@ def test_stored_index_answers_alike(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(1, 40)))) for i in range(200)], "id long, text string")
     records = R.records(docs, "id", F.lit("t"), F.col("text"), F.lit(""), F.lit(None).cast("long"), F.col("id").cast("string"))
     queries = spark.createDataFrame([(q, rng.choices(words, k=3)) for q in range(5)], "query_id int, tokens array<string>")
-    index = R.write_index(records, f"file://{tmp_path}/index")
+    own = P.Postings(spark, f"file://{tmp_path}/index", folders=16)
+    index = own.build(records, "a")
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(R.bm25(index, queries)) == rows(R.bm25(records, queries)) != []
-    again = R.open_index(spark, f"file://{tmp_path}/index")
+    again = P.Postings(spark, f"file://{tmp_path}/index").open("a")
     assert rows(R.bm25_ranking(again, queries)) == rows(R.bm25_ranking(records, queries))
-    plan = R.bm25(again, queries)._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan.lower() or "PartitionFilters" in plan
+    plan = R.bm25(again, queries.limit(1))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]
+    with pytest.raises(P.StaleIndex):
+        own.open("b")
+    with pytest.raises(P.StaleIndex):
+        P.Postings(spark, f"file://{tmp_path}/none").open()
+
+
+def test_index_follows_what_is_added_and_deleted(spark, tmp_path):
+    """After each step the index answers as one made from what is left, and its older versions as before."""
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choices([f"w{j}" for j in range(15)], k=rng.randint(1, 30))) for i in range(80)}
+    queries = spark.createDataFrame([(q, rng.choices([f"w{j}" for j in range(15)], k=4)) for q in range(4)], "query_id int, tokens array<string>")
+
+    def made(some):
+        docs = spark.createDataFrame(sorted(some.items()), "id long, text string")
+        return R.records(docs, "id", F.lit("t"), F.col("text"), F.lit(""), F.lit(None).cast("long"), F.col("id").cast("string"))
+
+    rows = lambda index: sorted(tuple(r) for r in R.bm25(index, queries).collect())
+    own = P.Postings(spark, f"file://{tmp_path}/index", folders=4)
+    own.build(made(texts), "0")
+    first = rows(own.open("0"))
+    left = dict(texts)
+    for step in range(4):
+        if step % 2 == 0:
+            new = {i: f"w{i % 15} w3 new{step}" for i in range(40 * step, 40 * step + 100, 7)}
+            left |= new
+            got = own.add(made(new), str(step + 1))
+        else:
+            away = [i for i in left if i % 3 == step % 3] + [10_000]
+            left = {i: t for i, t in left.items() if i not in away}
+            got = own.delete(spark.createDataFrame([(i,) for i in away], "chunk_id long"), str(step + 1))
+        assert rows(got) == rows(made(left))
+    assert rows(own.compact()) == rows(made(left)) and not own.table.snapshot().of("gone")
+    assert rows(own.open(version=0)) == first
+    own.table.vacuum(versions=1, older=0)
+    assert rows(own.open("4")) == rows(made(left))
 
 
 @pytest.mark.parametrize("by", [None, "label"])
