@@ -210,12 +210,19 @@ def html_to_text(text: Column) -> Column:
     return squeeze(bare)
 
 
+#: Ranges of letters that compatibility composition leaves as they are, alone or behind one another: Latin, Cyrillic, kana, Han, Hangul, dashes and quotes.
+STABLE = (
+    r"\x00-\x7F\u00C0-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u01CD-\u01F0\u01F4-\u024F"
+    r"\u0400-\u0482\u048A-\u052F\u2010\u2012-\u2015\u2018-\u201F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
+)
+
+
 def fingerprint(text: Column) -> Column:
     """For duplicates, as markdown.normal_form has it: without a heading in the first line, compatibility-composed, lower case, without
-    white space. Only texts with letters beyond ASCII go through Python: Spark has no composition."""
+    white space. Only texts with letters that composition may change go through Python: Spark has none."""
     white = r"[ \t\n\x0B\f\r\x1c-\x1f]"
     body = F.when(text.rlike(rf"^(?:(?!\n){white})*#"), F.regexp_replace(text, r"^[^\n]*\n?", "")).otherwise(text)
-    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.regexp_replace(F.lower(body), f"{white}+", ""))
+    return F.coalesce(_composed(F.when(text.rlike(f"[^{STABLE}]"), text)), F.regexp_replace(F.lower(body), f"{white}+", ""))
 
 
 @F.pandas_udf(StringType())

@@ -52,6 +52,24 @@ def merge_unique(arrays: list[Column], limit: int) -> Column:
     return T.suffix(F.array_distinct(F.filter(F.concat(*arrays), lambda x: x.isNotNull() & (x != ""))), limit)
 
 
+def some_of_each(rows: DataFrame, key: str, n: int, item: Column, *order: str, newest: bool = False) -> DataFrame:
+    """key, items: of each key's rows the first n in order (newest: the last n, newest first). A window cuts before the shuffle, so that
+    no more than n rows of a key and task are moved, and n are collected."""
+    by = [F.desc(c) if newest else F.asc(c) for c in order]
+    few = rows.withColumn("__item", item).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("__n") <= n)
+    return few.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "__item"))), lambda s: s["__item"]).alias("items"))
+
+
+def last_unique(rows: DataFrame, key: str, item: str, limit: int, *order: str) -> DataFrame:
+    """key, items: of each key's items in order, each at its first place, without blanks, the last `limit`. Repeats fold before the shuffle and a
+    window cuts before it too, so that no history is collected. Keys without an item have an empty list."""
+    first = rows.where(F.col(item).isNotNull() & (F.col(item) != "")).groupBy(key, item).agg(F.min(F.struct(*order)).alias("__at"))
+    back = Window.partitionBy(key).orderBy(F.desc("__at"), F.desc(item))
+    last = first.withColumn("__n", F.row_number().over(back)).where(F.col("__n") <= limit)
+    lists = last.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", item))), lambda s: s[item]).alias("items"))
+    return rows.select(key).distinct().join(lists, key, "left").select(key, F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 #: The kinds of memory that each list of a snapshot holds, and how many entries.
 SNAPSHOT = {
     "long_term": (("user_profile", "long_term_goal", "decision", "learned_fact"), 16),
@@ -107,21 +125,25 @@ def compaction(messages: DataFrame, safe: int, summary_tokens: int = 200, base:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["seq", "role", "tokens"])
-        rows, held, checkpoint, n = [], 0, 0, 0
+        rows, state = [], (0, 0, 0)
         for seq, role, tokens in zip(pdf["seq"], pdf["role"], pdf["tokens"], strict=True):
-            did = "none"
-            if role == "user" and n > checkpoint and base + held + tokens > safe:
-                held, checkpoint, did = summary_tokens, n, "before"
-            held, n = held + int(tokens), n + 1
-            if role == "assistant" and did == "none" and base + held > safe:
-                held, checkpoint, did = summary_tokens, n, "commit"
-            rows.append((pdf[key].iloc[0], seq, base + held, checkpoint, did))
+            state, did = context_step(state, role, int(tokens), safe, summary_tokens, base)
+            rows.append((pdf[key].iloc[0], seq, base + state[0], state[1], did))
         return pd.DataFrame(rows, columns=[key, "seq", "context_tokens", "checkpoint", "compacted"])
 
     kinds = dict(messages.dtypes)
     return messages.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, seq {kinds['seq']}, context_tokens long, checkpoint long, compacted string")
 
 
+def context_step(state: tuple[int, int, int], role: str, tokens: int, safe: int, summary_tokens: int, base: int) -> tuple[tuple[int, int, int], str]:
+    """(tokens held, messages in the checkpoint, messages) after one more message, and whether everything became a checkpoint: before, at commit or none."""
+    held, checkpoint, n = state
+    if role == "user" and n > checkpoint and base + held + tokens > safe:
+        return (summary_tokens + tokens, n, n + 1), "before"
+    held, n = held + tokens, n + 1
+    return ((summary_tokens, n, n), "commit") if role == "assistant" and base + held > safe else ((held, checkpoint, n), "none")
+
+
 def auto_title(content: Column, limit: int = 24) -> Column:
     flat = T.squeeze(content)
     return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("…"))).otherwise(flat)

@@ -9,6 +9,7 @@ from skeinlake.functions import code as K
 from skeinlake.functions import text as T
 from skeinlake.operators import audit as A
 from skeinlake.operators import curation as C
+from skeinlake.operators import sessions as O
 from skeinlake.sources import tables as Src
 
 from . import sqltext as S
@@ -303,8 +304,8 @@ def problem_section(spark, sf_dir):
 @register("WITH l AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS l FROM events GROUP BY user_id) SELECT user_id, array_to_string(list_slice(l, greatest(len(l) - 11, 1), len(l)), ',') AS last12 FROM l")
 def prompt_projection(spark, sf_dir):
     """The last twelve observations; arrays shorter than that stay whole."""
-    items = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda s: s["event_type"])
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(items.alias("l")).select("user_id", F.array_join(T.suffix(F.col("l"), 12), ",").alias("last12"))
+    got = O.some_of_each(table(spark, sf_dir, "events"), "user_id", 12, F.col("event_type"), "ts", "event_id", newest=True)
+    return got.select("user_id", F.array_join(F.reverse("items"), ",").alias("last12"))
 
 
 @register("SELECT conv_id, turn FROM conversations WHERE conv_id % 10 = 3 AND conv_id = 13")
@@ -540,9 +541,8 @@ def rate_limit_schedule(spark, sf_dir):
 @register("SELECT user_id, array_to_string(list('- [' || event_type || '] ' || event_id ORDER BY event_id DESC) [1:5], chr(10)) AS prompt FROM events GROUP BY user_id")
 def memory_prompt(spark, sf_dir):
     """What a prompt shows of a memory: five lines, newest first."""
-    items = F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("event_id", "event_type")))), 1, 5)
-    line = F.transform(items, lambda s: F.concat(F.lit("- ["), s["event_type"], F.lit("] "), s["event_id"]))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(line, "\n").alias("prompt"))
+    line = F.concat(F.lit("- ["), "event_type", F.lit("] "), "event_id")
+    return O.some_of_each(table(spark, sf_dir, "events"), "user_id", 5, line, "event_id", newest=True).select("user_id", F.array_join("items", "\n").alias("prompt"))
 
 
 @register("SELECT * FROM (VALUES ('good', 1), ('damaged', 0), ('missing', 0)) AS t(file, n)")
@@ -595,8 +595,9 @@ def contest_payload(spark, sf_dir):
 @register("SELECT conv_id, array_to_string(list(text ORDER BY turn, text)[1:100], '|') AS seen, '{\"intent\":\"ask\",\"input_artifacts\":{\"language\":\"Python\"}}' AS task FROM conversations GROUP BY conv_id")
 def observer_projection(spark, sf_dir):
     """What an observer of a session gets to see: the first hundred items, whole and in order, and the task without its code."""
-    items = F.slice(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t")))), 1, 100)
-    got = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(items, lambda s: s["t"]), "|").alias("seen"), F.max("text").alias("code"))
+    own = table(spark, sf_dir, "conversations")
+    code = own.groupBy("conv_id").agg(F.max("text").alias("code"))
+    got = O.some_of_each(own, "conv_id", 100, F.col("text"), "turn", "text").join(code, "conv_id").select("conv_id", F.array_join("items", "|").alias("seen"), "code")
     task = F.struct(F.lit("ask").alias("intent"), F.struct(F.lit("Python").alias("language"), F.col("code")).alias("input_artifacts"))
     return got.select("conv_id", "seen", F.to_json(task.dropFields("input_artifacts.code")).alias("task"))
 

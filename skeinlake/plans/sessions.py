@@ -33,11 +33,12 @@ def session_list(spark, sf_dir):
     return got.select("session_id", "messages", _ntz("created_at"), _ntz("updated_at"))
 
 
-@register(f"WITH {MSG_SQL}, s AS (SELECT range AS session_id FROM range(0, 120)), c AS (SELECT session_id, count(*) AS n FROM msg GROUP BY session_id) SELECT coalesce(s.session_id, c.session_id) AS session_id, coalesce(n, 0) AS message_count FROM s FULL JOIN c ON c.session_id = s.session_id")
+@register(f"WITH {MSG_SQL} SELECT session_id, count(*) FILTER (role = 'assistant') AS message_count FROM msg GROUP BY session_id")
 def session_message_count(spark, sf_dir):
-    """All sessions of the messages, and those of the first 120 that have none: they count as 0."""
-    counts = messages(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n"))
-    return spark.range(0, 120).withColumnRenamed("id", "session_id").join(counts, "session_id", "full").select("session_id", F.coalesce("n", F.lit(0)).alias("message_count"))
+    """Answers of each session there is; one without any counts as 0."""
+    sessions = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
+    counts = messages(spark, sf_dir).where("role = 'assistant'").groupBy("session_id").agg(F.count("*").alias("n"))
+    return sessions.join(counts, "session_id", "left").select("session_id", F.coalesce("n", F.lit(0)).alias("message_count"))
 
 
 @register(f"WITH {MSG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, role, content) AS back FROM msg) SELECT session_id, seq, role, content, back FROM r WHERE back <= 12")
@@ -86,11 +87,14 @@ def hard_limit_evict(spark, sf_dir):
     return O.evict(own, hard=3_900)
 
 
-@register(f"""WITH RECURSIVE {MSG_SQL}, m AS (SELECT session_id, seq, role, {_TOKENS} + 4 AS tokens FROM msg), o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, role, tokens) AS i FROM m),
+COMPACTION_SQL = f"""WITH RECURSIVE {MSG_SQL}, m AS (SELECT session_id, seq, role, {_TOKENS} + 4 AS tokens FROM msg), o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, role, tokens) AS i FROM m),
 c AS (SELECT session_id, 0::BIGINT AS i, 0::BIGINT AS seq, 0::BIGINT AS held, 0::BIGINT AS checkpoint, 'none' AS did FROM o GROUP BY session_id UNION ALL
 SELECT session_id, i, seq, CASE did WHEN 'commit' THEN 200 ELSE h END, CASE did WHEN 'commit' THEN i WHEN 'before' THEN i - 1 ELSE checkpoint END, did FROM (SELECT *, CASE WHEN early THEN 'before' WHEN role = 'assistant' AND 3500 + h > 3900 THEN 'commit' ELSE 'none' END AS did
 FROM (SELECT *, CASE WHEN early THEN 200 ELSE held END + tokens AS h FROM (SELECT c.session_id, o.i, o.seq, o.role, o.tokens, held, checkpoint, o.role = 'user' AND o.i - 1 > checkpoint AND 3500 + held + o.tokens > 3900 AS early FROM c JOIN o ON o.session_id = c.session_id AND o.i = c.i + 1))))
-SELECT session_id, seq, 3500 + held AS context_tokens, checkpoint, did AS compacted FROM c WHERE i > 0""")
+SELECT session_id, seq, 3500 + held AS context_tokens, checkpoint, did AS compacted FROM c WHERE i > 0"""
+
+
+@register(COMPACTION_SQL)
 def context_compaction(spark, sf_dir):
     own = messages(spark, sf_dir).select("session_id", "seq", "role", O.message_tokens(F.col("content")).alias("tokens"))
     return O.compaction(own, safe=3_900)
@@ -149,9 +153,11 @@ def memory_snapshot_merge(spark, sf_dir):
 @register(f"WITH {MSG_SQL}, w AS (SELECT session_id, list_concat(list(content ORDER BY seq, content), list(reverse(content) ORDER BY seq, content)) AS l FROM msg GROUP BY session_id), u AS (SELECT session_id, list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i) AS u FROM w) SELECT session_id, array_to_string(list_slice(u, greatest(len(u) - 3, 1), len(u)), '|') AS merged FROM u")
 def unique_merge_last_n(spark, sf_dir):
     """A session's messages, and them read backwards: in order, each once, the last four."""
-    said = F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda s: s["content"])
-    got = messages(spark, sf_dir).groupBy("session_id").agg(said.alias("a")).withColumn("b", F.transform("a", F.reverse))
-    return got.select("session_id", F.array_join(O.merge_unique([F.col("a"), F.col("b")], 4), "|").alias("merged"))
+    own = messages(spark, sf_dir).select("session_id", "seq", "content")
+    both = own.select("session_id", F.lit(0).alias("side"), "seq", "content", F.col("content").alias("item"))
+    both = both.unionByName(own.select("session_id", F.lit(1).alias("side"), "seq", "content", F.reverse("content").alias("item")))
+    got = O.last_unique(both, "session_id", "item", 4, "side", "seq", "content")
+    return got.select("session_id", F.array_join("items", "|").alias("merged"))
 
 
 _ASKED = ["以后都用 Python", "这次快一点", "Always explain", "Remember the default"]

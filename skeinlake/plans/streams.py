@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinlake.functions import text as T
-from skeinlake.operators.sessions import normalised
+from skeinlake.operators.sessions import message_tokens, normalised
+from skeinlake.sources.tables import fresh_path
+from skeinlake.streaming import keyed as K
 from skeinlake.streaming import stateful as St
 
 from . import sqltext as S
 from .learner import MASTERY_SQL, OBS_SQL, outcomes
 from .registry import Registry, table
-from .sessions import MSG_SQL, UPD_SQL, updates
+from .sessions import COMPACTION_SQL, MEM_SQL, MSG_SQL, UPD_SQL, messages, updates
 
 register = Registry()
 
@@ -133,3 +135,48 @@ def stream_windows(spark, sf_dir):
 def stream_incremental_index(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents").select("doc_id", "text")
     return St.incremental_index(docs, "doc_id", lambda d: d.select("doc_id", F.size(T.ranking_tokens(F.col("text"))).alias("n_tokens")), "stream-index")
+
+
+_RESET = "(session_id + seq) % 5 = 3"
+
+
+@register(f"WITH {MSG_SQL}, {UPD_SQL.replace('upd AS', 'every_upd AS', 1)}, since AS (SELECT user_id, session_id, max(seq) AS since FROM every_upd WHERE {_RESET} GROUP BY ALL), upd AS (SELECT u.* FROM every_upd u LEFT JOIN since s USING (user_id, session_id) WHERE since IS NULL OR seq >= since), {MEM_SQL} SELECT memory_id, user_id, session_id, kind, content, importance, created_at, updated_at, place FROM mem WHERE place <= 3")
+def stream_memory_reset(spark, sf_dir):
+    """Memory updates as a stream, some of which begin their scope anew: the three most important memories of each scope after the last batch that touched it."""
+    own = updates(spark, sf_dir, _stream(spark, sf_dir, "conversations")).withColumn("reset", F.expr(_RESET))
+    got = K.run(K.memories(own, cap=3), "stream-memories")
+    last = got.groupBy("user_id", "session_id").agg(F.max("step").alias("step"))
+    now = got.join(last, ["user_id", "session_id", "step"]).where("place > 0")
+    return now.select("memory_id", "user_id", "session_id", "kind", "content", "importance", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")], "place")
+
+
+@register("WITH l AS (SELECT user_id, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) = 1) SELECT user_id, event_id FROM l WHERE epoch_ms(ts) + 86400000 > (SELECT epoch_ms(max(ts)) FROM events)")
+def stream_expiry(spark, sf_dir):
+    """What is set and not removed when the stream has seen all: each key's last event, if it is less than a day older than the newest."""
+    rows = _stream(spark, sf_dir, "events").select("user_id", F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"))
+    got = K.run(K.expiring(rows, "user_id", 86_400), "stream-expiry")
+    return K.still_set(got).select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"))
+
+
+@register(COMPACTION_SQL)
+def stream_compaction(spark, sf_dir):
+    """The context fold over a stream of messages that wait for the watermark."""
+    own = messages(spark, sf_dir, _stream(spark, sf_dir, "conversations"))
+    own = own.select("session_id", "ts", "seq", "role", message_tokens(F.col("content")).alias("tokens"))
+    return K.run(K.contexts(own, safe=3_900), "stream-context")
+
+
+@register("SELECT user_id, event_id AS last_event FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 ORDER BY ts DESC, event_id DESC LIMIT 500")
+def stream_lru(spark, sf_dir):
+    """The 500 keys touched last, kept batch by batch."""
+    rows = _stream(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    path = fresh_path(spark, "stream-lru")
+    return K.recent_keys(rows, "user_id", 500, f"{path}/table", f"{path}/checkpoint", "ts", "event_id").select("user_id", F.col("event_id").alias("last_event"))
+
+
+@register("SELECT user_id, event_id AS stream FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r > 1 OR event_id % 3 = 0")
+def stream_cancel_replace(spark, sf_dir):
+    """Every event starts a stream of its user in place of the one before; every third is cancelled too, twice. Each that is over is told once."""
+    starts = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("stream"))
+    cancels = _stream(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("stream"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return K.run(K.ended_streams(starts, cancels), "stream-ended").select(F.col("key").alias("user_id"), "stream")

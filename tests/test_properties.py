@@ -84,3 +84,20 @@ def test_width_variants_are_duplicates(spark):
 
     for r in docs.select("text", T.fingerprint(F.col("text")).alias("f")).collect():
         assert r["f"] == M.normal_form(r["text"])
+
+
+def test_stable_letters_are_left_by_composition():
+    import re
+    import unicodedata
+
+    from skeinlake.functions.text import STABLE
+
+    inside = re.compile(f"[{STABLE}]")
+    letters = [c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and inside.match(c)]
+    assert len(letters) > 30_000
+    for c in letters:
+        assert unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and not c.isspace() and len(c.lower()) == 1, hex(ord(c))
+    rng = __import__("random").Random(1)
+    for _ in range(2000):
+        t = "".join(rng.choices(letters, k=20))
+        assert unicodedata.normalize("NFKC", t) == t
