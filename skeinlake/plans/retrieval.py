@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.functions import text as T
 from skeinlake.operators import retrieval as R
+from skeinlake.operators.answers import Answers
 from skeinlake.operators.postings import Postings, StaleIndex, signature
 from skeinlake.sources.tables import fresh_path
 
@@ -282,6 +283,16 @@ def embed_by_provider(spark, sf_dir):
     return R.embedded(rows, lambda texts: [[float(len(t)), float(t.count(" ") + 1)] for t in texts], instruct="q: ").select("item_id", "embedding")
 
 
+@register("SELECT doc_id, [length(text)::DOUBLE, len(string_split(text, ' '))::DOUBLE] AS embedding FROM documents")
+def embed_resumed(spark, sf_dir):
+    """Every document's text by a provider whose answers are kept: a first run has those of some languages, the second asks for what is left."""
+    own = Answers(spark, fresh_path(spark, "answers"), "letters and words")
+    provider = lambda texts: [[float(len(t)), float(t.count(" ") + 1)] for t in texts]
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    own.embedded(rows.where("lang <> 'en'"), provider)
+    return own.embedded(rows, provider).select("doc_id", "embedding")
+
+
 @register("SELECT event_id, concat_ws('+', CASE WHEN d THEN 'dense' END, CASE WHEN s THEN 'bm25' END, CASE WHEN d OR s THEN 'rrf' END, CASE WHEN r THEN 'rerank' END) AS label FROM (SELECT event_id, event_id % 2 = 0 AS d, event_id % 3 = 0 AS s, event_id % 5 = 0 AS r FROM events)")
 def provider_label(spark, sf_dir):
     k = F.col("event_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.functions import text as T
 from skeinlake.operators.sessions import message_tokens, normalised
+from skeinlake.sources import event_stream
 from skeinlake.sources.tables import fresh_path
 from skeinlake.streaming import keyed as K
 from skeinlake.streaming import stateful as St
@@ -180,3 +181,14 @@ def stream_cancel_replace(spark, sf_dir):
     starts = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("stream"))
     cancels = _stream(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("stream"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     return K.run(K.ended_streams(starts, cancels), "stream-ended").select(F.col("key").alias("user_id"), "stream")
+
+
+@register("SELECT conv_id || '-' || turn AS id, CASE WHEN turn % 2 = 0 THEN role ELSE 'message' END AS event, text AS data FROM conversations WHERE text <> ''")
+def stream_event_source(spark, sf_dir):
+    """Conversations as event-stream files, a frame a turn, read by the streaming source."""
+    event_stream.register(spark)
+    lines = F.concat(F.lit("data: "), F.replace("text", F.lit("\n"), F.lit("\ndata: ")), F.lit("\n"))
+    named = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("event: "), "role", F.lit("\n"))).otherwise("")
+    path = fresh_path(spark, "event-stream")
+    table(spark, sf_dir, "conversations").where("text <> ''").select(F.concat(F.lit("id: "), "conv_id", F.lit("-"), "turn", F.lit("\n"), named, lines)).write.text(path)
+    return St.finished(spark.readStream.format("event_stream").load(path), "stream-frames").select("id", "event", "data")
