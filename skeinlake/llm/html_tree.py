@@ -1,19 +1,21 @@
 """HTML extraction by a tree-structured graphical model of the DOM.
 
 Every block element of a page is a node with two states, content or not. A node's own potential is log-linear in what it is
-like (tag, words of class, id and role, text and link lengths, place); each parent-child edge has a potential of both states,
+like (tag, words of class, id and role, also of the elements around it, text and link lengths, share of the page's prose, place); each parent-child edge has a potential of both states,
 by the kind of child. As the DOM is a tree, sum-product messages passed upward and downward once give exact content
 marginals; blocks whose marginal reaches a half are kept, in page order. The pages of a batch are passed together, level by level.
 
 The weights are trained here, by gradient ascent on the exact likelihood (expected counts come from the same messages), from
 labelled pages which `training_pages` writes: articles in different wrappings, with headings, bylines and figures in headers of
-their own or without, of one paragraph or many, among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+their own or without, of one paragraph or many, in paragraphs or bare divisions, among menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, or with nothing around them.
 
 Text of scripts, styles and other raw elements and comments never becomes a node's. Character references are decoded as HTML5 says.
 White space within a block becomes one blank; blocks are joined by one blank.
 
 Defined results: null, empty and tag-free pages: the text of a page without any tag is its own content; a page without content gives an empty text; equal
-pages give equal texts; a very long page is one tree of its own, whole; repeated rows are extracted each; an empty table gives no rows; other columns are not read.
+pages give equal texts; a very long page is one tree of its own, whole; elements
+deeper than `DEEPEST` are siblings of one another, with all their text; repeated rows are extracted each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -75,8 +77,8 @@ _TAG_NUMBER = {t: _TAGS.index(_TAG_GROUP.get(t, "other")) for t in BLOCKS}
 #: Tags, words of names, then: own text, link share of own text, link share below, text below, sentence ends, depth, place, hidden, bias,
 #: a heading before an article, characters below, those of them that are sentences, a main heading below, inside an article or main
 #: element, a header or footer there.
-_REST = 17
-FEATURES = len(_TAGS) + len(WORDS) + _REST
+_REST = 18
+FEATURES = len(_TAGS) + 2 * len(WORDS) + _REST
 _ARTICLES = tuple(_TAGS.index(t) for t in ("article", "main"))
 _HEADING = _TAGS.index("heading")
 _HEADER, _FOOTER = _TAGS.index("header"), _TAGS.index("footer")
@@ -276,19 +278,22 @@ def forest_of(trees: list[Tree]) -> Forest:
         for sums in (below, linked_below, prose_below):
             sums[heads_of] += np.add.reduceat(sums[level], begin)
         headed[heads_of] |= np.logical_or.reduceat(headed[level], begin)
-    inside = np.isin(tag, _ARTICLES)
+    inside, above = np.isin(tag, _ARTICLES), np.zeros(n, np.int64)
     for level in levels[1:]:
         inside[level] |= inside[parent[level]]
+        above[level] = named[parent[level]] | above[parent[level]]
     place = (np.arange(n) - first[page]) / np.maximum(1, sizes[page])
     x = np.zeros((n, FEATURES), np.float32)
     x[np.arange(n), tag] = 1
     for g in range(len(WORDS)):
         x[:, len(_TAGS) + g] = named >> g & 1
+        x[:, len(_TAGS) + len(WORDS) + g] = above >> g & 1
+    told = np.maximum(1, prose_below[first[:-1]])[page]  # prose of the whole page
     rest = (np.log1p(own) / 5, linked / np.maximum(1, own), linked_below / np.maximum(1, below), below / said[page], np.minimum(1, ends), np.minimum(depth, 12) / 6, place, hidden, np.ones(n))
     before = np.zeros(n, bool)  # a heading whose next sibling is an article or main element
     same = sorted_parents[1:] == sorted_parents[:-1]
     before[order[:-1][same]] = np.isin(tag[order[1:][same]], _ARTICLES)
-    rest += (before & (tag == _HEADING), np.log1p(below) / 7, np.log1p(prose_below) / 7, headed, inside, inside & headed, inside & (tag == _HEADER), inside & (tag == _FOOTER))
+    rest += (before & (tag == _HEADING), np.log1p(below) / 7, np.log1p(prose_below) / 7, prose_below / told, headed, inside, inside & headed, inside & (tag == _HEADER), inside & (tag == _FOOTER))
     x[:, -_REST:] = np.stack(rest, axis=1)
     return Forest(parent, np.array(_KIND_NUMBER)[tag], levels, heads, x, first)
 
@@ -356,7 +361,7 @@ def fit(trees: list[Tree], rounds: int = 200, rate: float = 0.15, l2: float = 1e
     return model
 
 
-def training_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
+def training_pages(n: int = 800, seed: int = 11) -> Iterator[str]:
     """Pages whose elements carry data-y="1" where content begins and data-y="0" where it ends; children inherit it."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwygpbvk"
@@ -399,7 +404,9 @@ def training_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
         elif k < 0.74:
             tag = pick("h2", "h3", "h4")
             out.append(f"<{tag}>{words(1, 8)}</{tag}>")
-        elif k < 0.81:
+        elif k < 0.77:
+            out.append(f"{pick('', f'<h2>{words(1, 4)}</h2>')}<{pick('ul', 'ol')}>{links(2, 6)}</ul>")  # a reading list
+        elif k < 0.82:
             tag = pick("ul", "ul", "ol")
             item = pick(lambda: sentence(2, 14), lambda: words(1, 8))
             out.append(f"<{tag}>" + "".join(f"<li>{item()}</li>" for _ in range(rng.randrange(2, 6))) + f"</{tag}>")
@@ -418,7 +425,7 @@ def training_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
 
     def top() -> str:
         """How an article begins: its heading, alone or in a header of its own, with byline, date, lead or figure."""
-        if maybe(0.2):
+        if maybe(0.35):
             return ""
         tag = pick("h1", "h1", "h1", "h2")
         heading = f"<{tag}>{words(1, 12)}</{tag}>"
@@ -456,20 +463,23 @@ def training_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
     def comments() -> str:
         each = "".join(pick(f'<div class="comment"><p>{prose(3)}</p></div>', f'<li class="comment"><b>{words(1, 2)}</b> {prose(3)}</li>', f"<article><p>{prose(3)}</p></article>", f"<li>{prose(3)}</li>") for _ in range(rng.randrange(1, 7)))
         tag = pick("section", "div", "div", "ol")
+        if maybe(0.3):
+            each = f"<{pick('ul', 'ol')}>{each}</ul>"
         return f'<{tag} data-y="0"{name("comment")}>{pick("", f"<h3>{words(1, 3)}</h3>")}{each}</{tag}>'
 
     #: Wrappings of an article; {y}: its label, {c}: a name that says so.
     wrappings = (
-        ("<article{y}{c}>", "</article>"), ("<article{y}>", "</article>"), ("<article{y}>", "</article>"), ("<main{y}>", "</main>"), ("<main{y}{c}>", "</main>"), ("<div{y}{c}>", "</div>"), ("<div{y}>", "</div>"),
-        ("<section{y}{c}>", "</section>"), ("<main{y}><article>", "</article></main>"), ("<main{y}><div{c}>", "</div></main>"), ("<div{c}><article{y}>", "</article></div>"), ("<div><div><main{y}>", "</main></div></div>"), ('<div role="main"{y}>', "</div>"),
+        ("<article{y}{c}>", "</article>"), ("<article{y}>", "</article>"), ("<article{y}>", "</article>"), ("<main{y}>", "</main>"), ("<main{y}{c}>", "</main>"), ("<div{y}{c}>", "</div>"), ("<div{y}>", "</div>"), ("<div{y}>", "</div>"), ("<div{y}>", "</div>"),
+        ("<section{y}{c}>", "</section>"), ("<section{y}>", "</section>"), ("<section{y}>", "</section>"), ("<main{y}><article>", "</article></main>"), ("<main{y}><div{c}>", "</div></main>"), ("<div{c}><article{y}>", "</article></div>"), ("<div><div><main{y}>", "</main></div></div>"), ('<div role="main"{y}>', "</div>"),
     )
     for i in range(n):
-        plain = "div" if maybe(0.1) else "p"
-        article = [top()]
-        if maybe(0.15):
+        plain = "div" if maybe(0.3) else "p"
+        brief = maybe(0.12)  # a paragraph or two, and nothing else
+        article = [""] if brief else [top()]
+        if not brief and maybe(0.15):
             article.append(pick(f"<p><b>{words(1, 12)}<br>", f"<p>{words(1, 12)}", f"<p>{sentence(1, 12)}</p>"))
-        if maybe(0.15):
-            article.append(f"<{plain}>{prose(3)}</{plain}>")  # one paragraph, at most behind what precedes
+        if brief or maybe(0.2):
+            article.append("".join(f"<{plain}>{prose(3)}</{plain}>" for _ in range(1 + (brief and maybe(0.3)))))  # one paragraph, at most behind what precedes
         else:
             for _ in range(rng.randrange(1, 14) if article == [""] or maybe(0.9) else 0):
                 block(article, plain)
@@ -483,6 +493,9 @@ def training_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
         body += tail + closing if maybe(0.3) else closing + tail
         if not article[0] and opening.startswith(("<article", "<main")) and maybe(0.6):
             body = f'<h1 data-y="1">{words(1, 12)}</h1>' + body  # the heading stands before the article
+        if maybe(0.2):  # nothing around it
+            yield f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title></head><body>{body}</body></html>"
+            continue
         before = [f'<nav data-y="0"{pick("", name("menu"))}><ul>{links(2, 9)}</ul></nav>'] if maybe(0.7) else []
         if maybe(0.5):
             tag = pick("h1", "div", "p")
@@ -490,6 +503,9 @@ def training_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
             before.insert(rng.randrange(len(before) + 1), f'<header data-y="0"{pick("", name("head"))}><{tag}>{words(1, 4)}</{tag}>{inner}</header>')
         elif maybe(0.4):
             before.append(f'<div data-y="0"{name(pick("menu", "head"))}>{pick(f"<ul>{links(2, 8)}</ul>", words(1, 6), f"<p>{sentence()}</p>")}</div>')
+        if maybe(0.35):  # beside a column
+            column = f'<{(tag := pick("aside", "div"))} data-y="0"{pick("", name("side"))}>{pick("", f"<h3>{words(1, 4)}</h3>")}{pick(f"<ul>{links(2, 7)}</ul>", f"<p>{prose(2)}</p><ul>{links(2, 5)}</ul>")}</{tag}>'
+            body = f'<div class="{pick("row", "columns", "grid", words(1, 1))}">{pick(body + column, column + body)}</div>'
         before += [noise() for _ in range(rng.randrange(3))]
         after = [noise() for _ in range(rng.randrange(3))]
         if maybe(0.85):
@@ -504,7 +520,7 @@ def training_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 600, seed: int = 11) -> Model:
+def trained(n: int = 800, seed: int = 11) -> Model:
     return fit([parse(p, "data-y") for p in training_pages(n, seed)])
 
 

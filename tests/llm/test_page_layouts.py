@@ -83,6 +83,46 @@ OTHERS = {
 NAMED = ("header_in_article", "one_paragraph_main", "main_and_aside", "script_ending_in_slash")
 
 
+#: Wrappings, bodies and surroundings that all go together.
+WRAPPINGS = {"article": "article", "main": "main", "section": "section", "div": "div", "div content": 'div class="content"', "div story": 'div class="story"'}
+EIGHT = [A, B, C, D, B, A, D, C]
+BODIES = {
+    "one p": (f"<p>{A}</p>", [A]), "three p": (f"<p>{A}</p><p>{B}</p><p>{C}</p>", [A, B, C]), "eight divs": ("".join(f"<div>{t}</div>" for t in EIGHT), EIGHT), "headed divs": (f"<h1>Flood</h1><div>{A}</div><div>{B}</div>", ["Flood", A, B]),
+}
+AROUND = {
+    "bare": "{}", "menus": f"{NAV}{{}}{FOOT}", "sidebar": f'<div class="wrapper">{NAV}<div class="row">{{}}<aside class="sidebar"><h3>Popular</h3>{LINKS}</aside></div>{FOOT}</div>',
+}
+
+
+def grid():
+    for w, tag in WRAPPINGS.items():
+        for b, (body, want) in BODIES.items():
+            for a, around in AROUND.items():
+                yield f"{w}, {b}, {a}", page(around.format(f"<{tag}>{body}</{tag.split()[0]}>")), want
+
+
+def test_no_ordinary_article_comes_out_empty():
+    """Every wrapping with every body in every surrounding: none empty or with anything else, and but for a heading in one of 72 whole."""
+    got = [(name, html_tree.contents(html_tree.trained(), [html])[0], want) for name, html, want in grid()]
+    wrong = [(name, out) for name, out, want in got if out != want]
+    assert len(got) == 72 and len(wrong) <= 1, wrong
+    assert all([t for t in want if t != "Flood"] == [t for t in out if t != "Flood"] for _, out, want in got), wrong
+
+
+#: What stands within an article, and what doesn't belong to it.
+WITHIN = {
+    "reading_list": (page(f'{NAV}<article><h1>Flood</h1><p>{A}</p><p>{B}</p><h2>Reading list</h2><ul><li><a href="/b">Rivers of the north</a></li><li><a href="/c">The dam and the town</a></li></ul></article>{FOOT}'), ["Flood", A, B, "Reading list", "Rivers of the north", "The dam and the town"]),
+    "user_comments": (page(f'{NAV}<article><h1>Flood</h1><p>{A}</p><p>{B}</p><section id="user-comments"><ul><li>I saw it from my window.</li><li>Thanks for the report.</li></ul></section></article>{FOOT}'), ["Flood", A, B]),
+    "site_name": (page(f"<header><h1>The Daily Example</h1></header><main><p>{A}</p></main>{FOOT}"), [A]),
+}
+
+
+@pytest.mark.parametrize("name", WITHIN)
+def test_within_articles(name):
+    html, want = WITHIN[name]
+    assert html_tree.contents(html_tree.trained(), [html])[0] == want
+
+
 def extracted(name: str) -> list[str]:
     return html_tree.contents(html_tree.trained(), [LAYOUTS[name][0]])[0]
 
