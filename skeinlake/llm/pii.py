@@ -9,14 +9,14 @@ documents and the pseudonym still parses:
 * iban: the digits of the account part are permuted, the check digits made anew; country and letters stay;
 * phone (+1 or ten digits in the North American plan's groups): area and exchange stay within 200-999, and an exchange below that
   stays below; an area below 200 counts only behind + or in brackets; other international numbers: the digits behind the country
-  code's first two are permuted;
-* date (year 1900 to 2099): the day's number is permuted among the 73,049 days of those years;
+  code's first two are permuted, and so are those behind the first two of 0X XX XX XX XX; ten digits in a row count behind a word like phone or call alone, or as all of a text;
+* date (year 1900 to 2099, by numbers or with an English month): the day's number is permuted among the 73,051 days from 1900-01-01 on;
 * ipv4: both halves are permuted; ipv6: the network's half is permuted, and under it the host's; ssn: area, group and serial stay
   within their ranges.
 
 The network adds a keyed digest of one half to the other, modulo that half's size, `ROUNDS` times in turn; each step can be
-undone, so the whole is a permutation, for halves of any two sizes. Emails and secrets (access keys, token and password
-values) have no such format: a keyed digest replaces the local part and host, or as many characters as the secret had.
+undone, so the whole is a permutation, for halves of any two sizes. Emails and secrets (access keys and tokens by their prefix and length, web tokens,
+private keys whole, values of passwords and the like) have no such format: a keyed digest replaces the local part and host, or as many characters as the secret had.
 
 The key is the caller's: whoever has it can undo the permutations. Without one the session's setting `SETTING` holds, and if that
 is unset it is drawn at random and kept there, so that values stay linked within the session and under no published key.
@@ -51,17 +51,28 @@ _ESCAPES = (("\ue002", "\ue002a"), (OPEN, "\ue002b"), (CLOSE, "\ue002c"), (START
 
 _SAID, _VALUE = "(?i:password|passwd|pwd|secret|token|api[_-]?key)", "[A-Za-z0-9/+_-]"
 _HEX = "[0-9A-Fa-f]{1,4}"
+#: What stands before a secret's value: a name and a sign, or a name and a verb.
+_NAMED = rf"(?:{_SAID}\s?[=:]\s?|(?i:password|passwd|passcode|pwd)\s(?:is|was):?\s)[\"']?"
+# Prefixes and lengths of tokens that services give out.
+_TOKENS = (
+    "AKIA[0-9A-Z]{16}(?![0-9A-Za-z])", "gh[opsur]_[0-9A-Za-z]{36,255}", "github_pat_[0-9A-Za-z_]{22,255}", "sk-[0-9A-Za-z_-]{20,200}", "xox[abprs]-[0-9A-Za-z-]{10,200}",
+    r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", "-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[^-]{1,65536}+-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----",
+)
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = "(?i:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS) + ")"
 #: In order: where two could match at one place, the first counts.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}",
-    "secret": rf"AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])|{_SAID}\s?[=:]\s?[\"']?(?:{_VALUE}{{8,}}(?:\.{_VALUE}{{2,}}){{0,4}}|(?=[A-Za-z/+_-]{{0,6}}[0-9]){_VALUE}{{3,7}})|{_SAID}=[\"']?{_VALUE}{{3,7}}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z])",
+    "secret": "|".join(_TOKENS) + rf"|{_SAID}\s?[=:]\s?[\"']?(?:{_VALUE}{{8,}}(?:\.{_VALUE}{{2,}}){{0,4}}|(?=[A-Za-z/+_-]{{0,6}}[0-9]){_VALUE}{{3,7}})|{_SAID}=[\"']?{_VALUE}{{3,7}}"
+    rf"|(?i:password|passwd|passcode|pwd)\s(?:is|was):?\s[\"']?(?=[A-Za-z/+_-]{{0,12}}[0-9]){_VALUE}{{4,}}",
+    "iban": r"(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}[a-z0-9]{11,30})(?![A-Za-z0-9])",
+    "date": rf"(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}|[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}})(?![0-9A-Za-z])",
     "ipv6": rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,39}}[0-9])(?:{_HEX}(?::{_HEX}){{0,5}})?::{_HEX}(?::{_HEX}){{0,5}})(?![0-9A-Za-z:])(?!\.[0-9])",
     "ipv4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9](?:[ .-]?\(?[0-9]\)?){7,13}(?![0-9A-Za-z])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9](?:[ .-]?\(?[0-9]\)?){7,13}(?![0-9A-Za-z])"
+    r"|\([0-9]{3}\)[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|0[1-9](?:[ .-][0-9]{2}){4}(?![0-9A-Za-z]|[ .-][0-9])|(?:(?<=(?i:phone|mobile|call|tel|fax|cell)[.:]? {0,2})|^(?=[0-9]{10}$))[0-9]{10}(?![0-9A-Za-z])",
     "ssn": r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4})(?![0-9A-Za-z])",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": r"(?:[0-9](?:[ -]?[0-9]){12,18}|[0-9]{4}(?:\.[0-9]{4}){3})(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
 #: All in one, behind nothing that continues a word or number. Repeats are bounded: no text, however long, backtracks far.
@@ -81,7 +92,7 @@ OTHERS = _any(k for k in KINDS if k not in CHECKED)
 GROUPED = r"[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -](?:[0-9]{1,4}|[0-9]{4}[ -][0-9]{1,3})|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{6}[ -][0-9]{13}"
 SHORTEST, LONGEST = 13, 43
 #: A text without one of these can't hold a match: all but emails and secrets have two digits with at most these between them.
-HINT = r"[0-9][ .()-]{0,3}[0-9]|@|AKIA|[=:]"
+HINT = r"[0-9][ .()-]{0,3}[0-9]|@|AKIA|[=:]|gh[opsur]_|github_pat_|\bsk-|xox[abprs]-|eyJ|PRIVATE KEY|(?i:passw|passcode|pwd)"
 
 
 def _digest(key: str, tag: str, *parts: Column) -> Column:
@@ -167,12 +178,12 @@ def _mod97(s: Column) -> Column:
 
 
 def _is_iban(s: Column) -> Column:
-    plain = F.replace(s, F.lit(" "), F.lit(""))
+    plain = F.upper(F.replace(s, F.lit(" "), F.lit("")))
     return F.length(plain).between(15, 34) & (_mod97(F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), plain)) == 1)
 
 
 def _iban(s: Column, key: str) -> Column:
-    plain = F.replace(s, F.lit(" "), F.lit(""))
+    plain = F.upper(F.replace(s, F.lit(" "), F.lit("")))
     account = F.substr(plain, F.lit(5))
     moved = permute_digits(_digits(account), key, "iban")
 
@@ -189,7 +200,32 @@ def _iban(s: Column, key: str) -> Column:
 _DAYS, _WEST = (229, 319), "1900-01-01"
 
 
+def _named_date(s: Column, key: str) -> Column:
+    """A date whose month is written out or by three letters: the pseudonym's is too."""
+    day_first = s.rlike("^[0-9]")
+    words = F.split(F.replace(s, F.lit(","), F.lit("")), " ")
+    at = lambda i, j: F.when(day_first, F.get(words, F.lit(i))).otherwise(F.get(words, F.lit(j)))
+    name, listed = at(1, 0), F.array(*[F.lit(m) for m in _MONTHS])
+    month = F.array_position(F.transform(listed, lambda m: F.left(m, F.lit(3))), F.lower(F.left(name, F.lit(3))))
+    day = F.try_to_timestamp(F.concat(at(2, 2), F.lpad(month.cast("string"), 2, "0"), F.lpad(at(0, 1), 2, "0")), F.lit("yyyyMMdd")).cast("date")
+    number = F.date_diff(day, F.lit(_WEST).cast("date"))
+    valid = number.between(0, _DAYS[0] * _DAYS[1] - 1)
+
+    def written(g: Column) -> Column:
+        new = F.date_add(F.lit(_WEST).cast("date"), (g["a"] * _DAYS[1] + g["b"]).cast("int"))
+        full = F.initcap(F.get(listed, F.month(new) - 1))
+        named = F.when(F.length(name) > 3, full).otherwise(F.left(full, F.lit(3)))
+        d, y = F.dayofmonth(new).cast("string"), F.date_format(new, "yyyy")
+        return F.when(day_first, F.concat_ws(" ", d, named, y)).otherwise(F.concat(named, F.lit(" "), d, F.lit(", "), y))
+
+    return F.when(valid, _bind(feistel(F.floor(number / _DAYS[1]), number % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date"), written))
+
+
 def _date(s: Column, key: str) -> Column:
+    return F.when(s.rlike("[A-Za-z]"), _named_date(s, key)).otherwise(_numeric_date(s, key))
+
+
+def _numeric_date(s: Column, key: str) -> Column:
     parts = F.split(s, "[-/.]")
     year_first = s.rlike("^[0-9]{4}")
     part = lambda i, n: F.lpad(F.get(parts, F.lit(i)), n, "0")
@@ -197,7 +233,7 @@ def _date(s: Column, key: str) -> Column:
     day_first, month_first = in_order(2, 1, 0), in_order(2, 0, 1)
     parse = lambda x: F.try_to_timestamp(x, F.lit("yyyyMMdd")).cast("date")
     # Slashed dates have the day first unless that is no date and month first is.
-    swapped = s.contains("/") & ~year_first & parse(day_first).isNull()
+    swapped = s.rlike("[-/]") & ~year_first & parse(day_first).isNull()
     day = parse(F.when(year_first, in_order(0, 1, 2)).when(swapped, month_first).otherwise(day_first))
     number = F.date_diff(day, F.lit(_WEST).cast("date"))
     valid = number.between(0, _DAYS[0] * _DAYS[1] - 1)
@@ -256,7 +292,8 @@ def _phone(s: Column, key: str) -> Column:
     american = _bind(got, lambda g: _refill(s, F.concat(head, padded(g["a"] + first, 3), padded(F.floor(g["b"] / 10_000) + second, 3), padded(g["b"] % 10_000, 4))))
     abroad = plus & ~nanp & F.length(d).between(8, 15)
     foreign = _refill(s, F.concat(F.substring(d, 1, 2), permute_digits(F.substr(d, F.lit(3)), key, "phone")))
-    return F.when(meant, american).when(abroad, foreign)
+    national = (F.length(d) == 10) & s.rlike("^0[1-9][ .-]")
+    return F.when(abroad | national, foreign).when(meant, american)
 
 
 def _ssn(s: Column, key: str) -> Column:
@@ -277,10 +314,9 @@ def _email(s: Column, key: str) -> Column:
 
 
 def _secret(s: Column, key: str) -> Column:
-    named = rf"^({_SAID}\s?[=:]\s?[\"']?)"
-    head = F.regexp_extract(s, named, 1)
+    head = F.regexp_extract(s, f"^({_NAMED})", 1)
     value = F.substr(s, F.length(head) + 1)
-    return F.concat(head, F.substr(F.repeat(_hexed(value, key, "secret"), 64), F.lit(1), F.length(value)))
+    return F.concat(head, F.substr(F.repeat(_hexed(value, key, "secret"), F.ceil(F.length(value) / 64).cast("int")), F.lit(1), F.length(value)))
 
 
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ipv6": _ipv6, "ipv4": _ipv4, "phone": _phone, "ssn": _ssn, "card": _card}
