@@ -163,13 +163,22 @@ def task_predicates(spark, sf_dir):
     return said(spark, sf_dir, _ASKS).select("conv_id", "turn", native.alias("native"), (~native & (F.col("turn") % 2 == 0) & intent.isin(*A.NEED_EVIDENCE)).alias("evidence_first"), intent.isin(*A.NEED_VERIFICATION).alias("verify"))
 
 
-@register("SELECT * FROM (VALUES (1, ''), (2, 'intent,term'), (3, 'forbidden')) AS t(id, failures)")
+_TIGHT = "regexp_replace(lower({}), '\\s+', '', 'g')".format
+_TERM = "CASE WHEN turn % 2 = 0 THEN substr(text, 5, 6) ELSE substr(text, 38, 6) END"
+
+
+@register(f"""WITH f AS (SELECT conv_id, turn, role, turn % 3 <> 0 AND CASE WHEN turn % 3 = 1 THEN 'assistant' ELSE 'system' END <> role AS intent,
+NOT (contains({_TIGHT("role")}, {_TIGHT(_TERM)}) OR contains({_TIGHT("substr(text, 1, 40)")}, {_TIGHT(_TERM)})) AS term, conv_id % 2 = 0 AND contains(lower(text), 'er.') AS forbidden FROM conversations)
+SELECT conv_id, turn, role, concat_ws(',', CASE WHEN intent THEN 'intent' END, CASE WHEN term THEN 'term' END, CASE WHEN forbidden THEN 'forbidden' END) AS failures FROM f""")
 def intent_assertions(spark, sf_dir):
-    """Expected fields of an analysed request: equality where something is expected, terms without regard to blanks, forbidden words."""
-    rows = [(1, "a", "a", ["use  C++"], "c++", "text", "bad"), (2, "b", "a", ["x"], "y", "text", None), (3, None, "a", ["y"], "Y", "a BAD text", "bad")]
-    got = spark.createDataFrame(rows, "id int, expected string, actual string, constraints array<string>, term string, request string, forbidden string")
-    fails = F.array_compact(F.array(F.when(F.col("expected").isNotNull() & (F.col("expected") != F.col("actual")), "intent"), F.when(~A.has_term(F.col("constraints"), F.col("term")), "term"), F.when(F.lower("request").contains(F.lower("forbidden")), "forbidden")))
-    return got.select("id", F.array_join(fails, ",").alias("failures"))
+    """Expected fields of analysed messages: equality where something is expected, terms without regard to blanks and case, forbidden words."""
+    k = F.col("turn")
+    said = table(spark, sf_dir, "conversations").withColumns({
+        "expected": F.when(k % 3 == 1, "assistant").when(k % 3 == 2, "system"), "constraints": F.array("role", F.upper(F.substr("text", F.lit(1), F.lit(40)))),
+        "term": F.when(k % 2 == 0, F.substr("text", F.lit(5), F.lit(6))).otherwise(F.substr("text", F.lit(38), F.lit(6))), "forbidden": F.when(F.col("conv_id") % 2 == 0, "ER."),
+    })
+    fails = F.array_compact(F.array(F.when(F.col("expected").isNotNull() & (F.col("expected") != F.col("role")), "intent"), F.when(~A.has_term(F.col("constraints"), F.col("term")), "term"), F.when(F.lower("text").contains(F.lower("forbidden")), "forbidden")))
+    return said.select("conv_id", "turn", "role", F.array_join(fails, ",").alias("failures"))
 
 
 #: Turns of conversations as answers: before, and after a change that goes by turn.
@@ -545,18 +554,22 @@ def memory_prompt(spark, sf_dir):
     return O.some_of_each(table(spark, sf_dir, "events"), "user_id", 5, line, "event_id", newest=True).select("user_id", F.array_join("items", "\n").alias("prompt"))
 
 
-@register("SELECT * FROM (VALUES ('good', 1), ('damaged', 0), ('missing', 0)) AS t(file, n)")
+@register("SELECT file, CASE WHEN file = 'good' THEN n END AS n, CASE WHEN file = 'good' THEN least END AS least FROM (SELECT count(*) AS n, min(lang) AS least FROM documents), (SELECT unnest(['good', 'damaged', 'missing']) AS file)")
 def whole_json_or_empty(spark, sf_dir):
+    """A report of the documents as an object in a file; cut short, or not there, it is an empty one."""
     from pyspark.sql import types as Ty
 
-    schema = Ty.StructType([Ty.StructField("a", Ty.LongType())])
-    out = []
-    for name, text in (("good", '{\n"a": 1}'), ("damaged", '{"a": '), ("missing", None)):
+    schema = Ty.StructType([Ty.StructField("n", Ty.LongType()), Ty.StructField("least", Ty.StringType())])
+    report = F.to_json(F.struct(F.count("*").alias("n"), F.min("lang").alias("least")))
+    made = Src.staged(table(spark, sf_dir, "documents").agg(report.alias("value")), "report")
+    out = None
+    for name, kept in (("good", F.col("value")), ("damaged", F.expr("left(value, length(value) - 1)")), ("missing", None)):
         path = Src.fresh_path(spark, f"json-{name}")
-        if text:
-            spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-        out.append(Src.read_json_or_empty(spark, path, schema).agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("file"), "n"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+        if kept is not None:
+            made.select(kept.alias("value")).coalesce(1).write.text(path)
+        own = spark.range(1).select(F.lit(name).alias("file")).join(Src.read_json_or_empty(spark, path, schema), F.lit(True), "left")  # one row each
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @register("SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 2 = 1 THEN 'source' END, CASE WHEN o_orderkey % 3 = 1 THEN 'harness' END, CASE WHEN o_orderkey % 5 = 1 THEN 'mark' END, CASE WHEN o_orderkey % 7 = 1 THEN 'categories' END) AS errors FROM orders")
@@ -586,10 +599,19 @@ def stored_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", A.stored_hash_ok(content, stored).alias("ok"))
 
 
-@register("SELECT * FROM (VALUES (1, 1, 'LeetCode 7: 甲', 'https://leetcode.cn/problems/a/', 'Easy', 'x, y', 'do it'), (1, 2, 'B', 'https://leetcode.cn/problems/b/', 'unknown', 'unknown', '')) AS t(id, rank, title, url, difficulty, tags, statement)")
+@register(f"""WITH p AS (SELECT doc_id AS id, source, lang, CASE WHEN doc_id % 4 = 1 THEN '' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)
+SELECT id, 1 AS rank, 'LeetCode ' || id || ': ' || lang || ' ' || id AS title, CASE WHEN id % 2 = 0 THEN 'https://base' ELSE 'https://leetcode.cn' END || '/problems/' || source || '/' AS url, 'Easy' AS difficulty, lang || ', x' AS tags, left({S.html_to_text("'<p>' || text || ' <b>end</b></p>'")}, 2700) AS statement FROM p
+UNION ALL SELECT id, 2, 'B', CASE WHEN id % 2 = 0 THEN 'https://base' ELSE 'https://leetcode.cn' END || '/problems/b-' || id || '/', 'unknown', 'unknown', '' FROM p""")
 def contest_payload(spark, sf_dir):
-    payload = '{"contest_number":480,"contest_slug":"w","questions":[{"title":"A","titleSlug":"a","detail":{"translatedTitle":"甲","questionFrontendId":"7","difficulty":"Easy","topicTags":[{"name":"x"},{"name":"y"}],"content":"<p>do <b>it</b></p>"}},{"title":""},{"title":"B","titleSlug":"b"}]}'
-    return A.contest_questions(spark.createDataFrame([(1, payload), (2, "{}")], "id int, p string"), "id", "p")
+    """Each document as a contest of three questions, one of them without a title; every fifth one without the contest's slug."""
+    null, k = F.lit(None).cast("string"), F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 4 == 1, "").otherwise(F.col("text"))
+    detail = F.struct(F.concat_ws(" ", "lang", k).alias("translatedTitle"), k.alias("questionFrontendId"), F.lit("Easy").alias("difficulty"), F.array(F.struct(F.col("lang").alias("name")), F.struct(F.lit("x").alias("name"))).alias("topicTags"), F.concat(F.lit("<p>"), text, F.lit(" <b>end</b></p>")).alias("content"))
+    question = lambda title, slug, detail: F.struct(title.alias("title"), slug.alias("titleSlug"), detail.alias("detail"))
+    none = F.when(F.lit(False), detail)
+    asked = F.array(question(F.lit("A"), F.col("source"), detail), question(F.lit(""), null, none), question(F.lit("B"), F.concat(F.lit("b-"), k), none))
+    payload = F.to_json(F.struct(F.col("doc_id").alias("contest_number"), F.when(F.col("doc_id") % 5 != 0, "w").otherwise("").alias("contest_slug"), F.when(F.col("doc_id") % 2 == 0, "https://base/").alias("official_base_url"), asked.alias("questions")))
+    return A.contest_questions(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), payload.alias("p")), "id", "p")
 
 
 @register("SELECT conv_id, array_to_string(list(text ORDER BY turn, text)[1:100], '|') AS seen, '{\"intent\":\"ask\",\"input_artifacts\":{\"language\":\"Python\"}}' AS task FROM conversations GROUP BY conv_id")
@@ -602,25 +624,16 @@ def observer_projection(spark, sf_dir):
     return got.select("conv_id", "seen", F.to_json(task.dropFields("input_artifacts.code")).alias("task"))
 
 
-#: Whole JSON files: a state file that holds anything but a list counts as an empty one.
-@register("SELECT * FROM (VALUES ('good', 2), ('damaged', 0), ('missing', 0), ('object', 0)) AS t(file, n)")
+@register("WITH t AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), s AS (SELECT count(*) AS n, sum(n)::BIGINT AS events FROM t) SELECT file, CASE WHEN file = 'good' THEN n ELSE 0 END AS n, CASE WHEN file = 'good' THEN events END AS events FROM s, (SELECT unnest(['good', 'damaged', 'missing', 'object']) AS file)")
 def state_list_or_empty(spark, sf_dir):
+    """Counts of events by type as a state file, a list of objects; one that is damaged, missing or holds anything else counts as an empty list."""
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    state = Src.staged(counts.agg(F.to_json(F.collect_list(F.struct("event_type", "n"))).alias("value")), "state")  # as many as there are types
     out = None
-    for name, text in (("good", '[{"id": 1}, {"id": 2}]'), ("damaged", '[{"id": 1'), ("missing", None), ("object", '{"id": 1}')):
-        path = f"{Src.fresh_path(spark, 'state')}/{name}.json"
-        if text:
-            Src.write_text(spark, text, path)
-        own = Src.read_list_or_empty(spark, path, "id long").agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("file"), "n")
+    for name, kept in (("good", F.col("value")), ("damaged", F.expr("left(value, length(value) - 1)")), ("missing", None), ("object", F.get_json_object("value", "$[0]"))):
+        path = Src.fresh_path(spark, f"state-{name}")
+        if kept is not None:
+            state.select(kept.alias("value")).coalesce(1).write.text(path)
+        own = Src.read_list_or_empty(spark, path, "n long").agg(F.count("*").alias("n"), F.sum("n").alias("events")).select(F.lit(name).alias("file"), "n", "events")
         out = own if out is None else out.unionByName(own)
     return out
-
-
-@register("SELECT page_id, CASE WHEN length(html) = 0 THEN NULL ELSE length(html) END AS chars, sha256(html) AS sha256 FROM pages")
-def crawl_records(spark, sf_dir):
-    """Each page saved as Markdown and raw JSON under a name from its URL, and read back by its manifest."""
-    root = Src.fresh_path(spark, "crawl")
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit("-"), F.regexp_replace(T.safe_path(F.col("url")), r"\.md$", "")).alias("name"), F.col("html").alias("text"), F.to_json(F.struct("page_id", "url")).alias("raw"))
-    manifest = Src.save_records(pages, root)
-    back = Src.read_bodies(spark, f"{root}/markdown").select(F.regexp_extract("path", r"/markdown/(.*)$", 1).alias("at"), "body")
-    met = manifest.join(back, F.concat(F.lit("markdown/"), "at") == F.col("markdown_file"))
-    return met.select(F.regexp_extract("name", "^([0-9]+)", 1).cast("long").alias("page_id"), F.nullif("chars", F.lit(0)).alias("chars"), F.sha2("body", 256).alias("sha256"))

@@ -207,12 +207,17 @@ def event_stream_frames(spark, sf_dir):
     return S.event_frames(streams, "value", "conv_id").select("conv_id", F.col("pos").cast("long").alias("pos"), "event", "data")
 
 
-@register("SELECT * FROM (VALUES ('a', 'body of a'), ('b', 'B' || chr(10) || 'k: v' || chr(10) || 'source: http://b'), ('c', 'C' || chr(10) || 'k: v')) AS t(id, content)")
+@register("SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN string_agg(text, chr(10) ORDER BY turn, role, text) ELSE 'talk ' || conv_id || chr(10) || 'turns: ' || count(*) || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'source: http://talks/' || conv_id ELSE '' END END AS content FROM conversations GROUP BY conv_id")
 def markdown_bodies(spark, sf_dir):
-    """Bodies by path; a path that leaves the root and a missing file fall back to what the manifest says."""
+    """A file of text for each conversation, and bodies by path; a path that leaves the root and a missing file fall back to what the manifest says."""
     root = S.fresh_path(spark, "bodies")
-    spark.createDataFrame([("body of a",)], "value string").coalesce(1).write.text(root)
-    bodies = S.read_bodies(spark, root).select(F.lit(f"{root}/a.md").alias("path"), F.regexp_replace("body", "\n$", "").alias("body"))
-    rows = [("a", "A", {"k": "v"}, "", "a.md"), ("b", "B", {"k": "v"}, "http://b", "../b.md"), ("c", "C", {"k": "v"}, "", "c.md")]
-    manifest = spark.createDataFrame(rows, "id string, title string, metadata map<string,string>, source_url string, markdown_file string")
-    return S.with_bodies(manifest, bodies, root).select("id", "content")
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"), F.count("*").alias("n"))
+    talks = S.staged(said.select("conv_id", "n", F.array_join(F.col("said.text"), "\n").alias("value")), "talks")
+    talks.select("conv_id", "value").write.partitionBy("conv_id").text(root)
+    name = F.concat(F.lit(f"{root}/"), F.regexp_extract("path", r"/conv_id=([0-9]+)/[^/]*$", 1), F.lit(".md"))
+    bodies = S.read_bodies(spark, root).select(name.alias("path"), F.col("body").substr(F.lit(1), F.length("body") - 1).alias("body"))
+    k, number = F.col("conv_id"), F.col("conv_id").cast("string")
+    file = F.concat(F.when(k % 3 == 1, "../").when(k % 3 == 2, "gone/").otherwise(""), number, F.lit(".md"))
+    link = F.when(k % 2 == 0, F.concat(F.lit("http://talks/"), number)).otherwise("")
+    manifest = talks.select("conv_id", F.concat(F.lit("talk "), number).alias("title"), F.create_map(F.lit("turns"), F.col("n").cast("string")).alias("metadata"), link.alias("source_url"), file.alias("markdown_file"))
+    return S.with_bodies(manifest, bodies, root).select("conv_id", "content")

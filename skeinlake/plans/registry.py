@@ -48,8 +48,3 @@ def said(spark: SparkSession, sf_dir: str, phrases: list[str]) -> DataFrame:
     """The same messages."""
     rows = table(spark, sf_dir, "conversations").withColumn("i", ((F.col("conv_id") + F.col("turn")) % len(phrases)).cast("int"))
     return rows.withColumn("s", F.concat(F.get(F.array(*[F.lit(p) for p in phrases]), F.col("i")), F.lit(" "), "text"))
-
-
-def values(spark: SparkSession, sql: str) -> DataFrame:
-    """Rows given in SQL that both engines read: SELECT ... UNION ALL, or VALUES with column names."""
-    return spark.sql(sql)

@@ -12,7 +12,7 @@ from skeinlake.operators.postings import Postings, StaleIndex, signature
 from skeinlake.sources.tables import fresh_path
 
 from . import sqltext as S
-from .registry import Registry, said, said_sql, table, texts, values
+from .registry import Registry, said, said_sql, table, texts
 
 register = Registry()
 
@@ -107,21 +107,20 @@ def idf_top_terms(spark, sf_dir):
     return R.document_frequency(own).crossJoin(F.broadcast(own.agg(F.count("*").alias("n")))).select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 8).alias("idf")).orderBy(F.desc("df"), "term").limit(50)
 
 
-_CHUNKS = "SELECT * FROM (VALUES ('c167', 'two-sum-ii', 'Two Sum II', 167), ('c1', 'two-sum', 'Two Sum', 1), ('c15', '3sum', '3Sum', 15)) AS t(chunk_id, document_id, title, problem_id)"
-_BOOSTED = "list_concat(" + S.ranking_tokens("concat_ws(' ', title, title, title, '{\"problem_id\": ' || problem_id || '}', '')") + ", list_concat(list_transform(range(8), lambda i: 'lc-id-' || problem_id), list_transform(range(4), lambda i: 'doc-id-' || document_id)))"
+#: Documents as problems by their number, and a question for each fiftieth of them.
+_BOOSTED = "list_concat(" + S.ranking_tokens("concat_ws(' ', source, source, source, '{\"problem_id\": ' || doc_id || '}', text)") + ", list_concat(list_transform(range(8), lambda i: 'lc-id-' || doc_id), list_transform(range(4), lambda i: 'doc-id-' || doc_id)))"
+_NUMBERED_SQL = BM25_SQL.replace(_RECORD, _BOOSTED).replace(ASKED_SQL, "asked AS (SELECT doc_id AS query_id, 'leetcode ' || doc_id AS query FROM documents WHERE doc_id % 50 = 0)")
 
 
-@register(f"""WITH c AS ({_CHUNKS}), idx AS (SELECT chunk_id, document_id, {_BOOSTED} AS tokens FROM c), st AS (SELECT count(*) AS n, avg(len(tokens)) AS al FROM idx),
-tf AS (SELECT term, chunk_id, document_id, l, count(*) AS tf FROM (SELECT chunk_id, document_id, len(tokens) AS l, unnest(tokens) AS term FROM idx) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-qt AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({S.ranking_tokens("'leetcode two sum lc-id-1 lc-id-1 lc-id-1'")}) AS term) GROUP BY ALL)
-SELECT chunk_id, document_id, max(l) AS len, round(sum(qtf * ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (1e0 - 75e-2 + 75e-2 * l / al))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY chunk_id, document_id""")
+@register(f"WITH {_NUMBERED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) SELECT query_id, document_id, score, rank, l AS len FROM r JOIN (SELECT DISTINCT chunk_id, l FROM tf) USING (chunk_id) WHERE rank <= 3")
 def bm25_identifier_boost(spark, sf_dir):
-    chunks = values(spark, _CHUNKS)
-    meta = F.concat(F.lit('{"problem_id": '), F.col("problem_id").cast("string"), F.lit("}"))
-    own = R.records(chunks, "chunk_id", F.col("title"), F.lit(""), meta, F.col("problem_id"), F.col("document_id"))
-    query = spark.range(1).select(F.lit(1).alias("query_id"), T.ranking_tokens(F.lit("leetcode two sum lc-id-1 lc-id-1 lc-id-1")).alias("tokens"))
-    scored = R.bm25(own, query).join(own.select("chunk_id", F.size("tokens").cast("long").alias("len")), "chunk_id")
-    return scored.select("chunk_id", "document_id", "len", "score")
+    """Questions that name a problem by its number find it first, by the identifiers that record and question repeat."""
+    docs = texts(spark, sf_dir)
+    meta = F.concat(F.lit('{"problem_id": '), F.col("doc_id").cast("string"), F.lit("}"))
+    own = R.records(docs, "doc_id", F.col("source"), F.col("text"), meta, F.col("doc_id"), F.col("doc_id").cast("string"))
+    queries = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("leetcode "), F.col("doc_id").cast("string")).alias("query"))
+    best = R.bm25_ranking(own, tokens_of(queries), fetch=60, keep=3)
+    return best.join(own.select("chunk_id", F.col("len").cast("long").alias("len")), "chunk_id").select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"), "len")
 
 
 #: Tokens of queries (lt) and documents (dt), and the score of pairs of q and c.
@@ -224,14 +223,17 @@ def rrf_fusion(spark, sf_dir):
     return hybrid(spark, sf_dir).select("query_id", "document_id", "rrf_score", *[F.col(c).cast("long").alias(c) for c in ("dense_rank", "bm25_rank", "rank")])
 
 
-_GOLD = "SELECT * FROM (VALUES (0, 'a', 1, 0.9), (0, 'b', 2, 0.8), (1, 'b', 1, 12.0), (1, 'c', 2, 10.0)) AS t(source, document_id, rank, score)"
+#: Two rankings of the documents of each language: by length, and by the number of lines.
+_RANKED_SQL = "d AS (SELECT lang, doc_id, n_chars, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents), t AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM d UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY lines DESC, doc_id) AS rank FROM d)"
 
 
-@register(f"WITH t AS ({_GOLD}), f AS (SELECT document_id, round(sum(1e0 / (60 + rank)), 8) AS rrf_score, min(rank) AS best_rank FROM t GROUP BY document_id) SELECT document_id, rrf_score, row_number() OVER (ORDER BY rrf_score DESC, best_rank, document_id) AS rank FROM f")
+@register(f"WITH {_RANKED_SQL}, f AS (SELECT lang, doc_id, round(sum(1e0 / (60 + rank)), 8) AS rrf_score, min(rank) AS best_rank FROM t WHERE rank <= 20 GROUP BY lang, doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rrf_score DESC, best_rank, doc_id) AS rank FROM f) SELECT lang, doc_id, rrf_score, rank FROM r WHERE rank <= 20")
 def rrf_fusion_golden(spark, sf_dir):
-    rows = values(spark, _GOLD).select("source", F.lit(1).alias("query_id"), "document_id", F.col("document_id").alias("chunk_id"), "rank", F.col("score").cast("double").alias("score"))
-    fused = R.fuse(rows.where("source = 0").drop("source"), rows.where("source = 1").drop("source"))
-    return fused.select("document_id", "rrf_score", F.col("rank").cast("long").alias("rank"))
+    """The first twenty documents of each language by length and by lines, fused."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("n_chars").alias("long"), F.regexp_count("text", F.lit("\n")).alias("lines"))
+    by = lambda c: R.ranked(docs.withColumn("score", F.col(c)), "query_id", F.col("score").desc(), F.col("document_id"), limit=20)
+    fused = R.fuse(by("long"), by("lines"))
+    return fused.select(F.col("query_id").alias("lang"), F.col("document_id").alias("doc_id"), "rrf_score", F.col("rank").cast("long").alias("rank"))
 
 
 _LABEL_SQL = "concat_ws('+', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END, 'rrf')"

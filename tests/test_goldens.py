@@ -27,11 +27,19 @@ def test_tokens(spark):
 
 
 def test_identifier_scores(spark):
-    from skeinlake.plans.retrieval import bm25_identifier_boost
-
-    got = {r["chunk_id"]: (r["len"], r["score"]) for r in bm25_identifier_boost(spark, "").collect()}
+    chunks = spark.createDataFrame([("c167", "two-sum-ii", "Two Sum II", 167), ("c1", "two-sum", "Two Sum", 1), ("c15", "3sum", "3Sum", 15)], "chunk_id string, document_id string, title string, problem_id long")
+    meta = F.concat(F.lit('{"problem_id": '), F.col("problem_id").cast("string"), F.lit("}"))
+    own = R.records(chunks, "chunk_id", F.col("title"), F.lit(""), meta, F.col("problem_id"), F.col("document_id"))
+    query = spark.range(1).select(F.lit(1).alias("query_id"), T.ranking_tokens(F.lit("leetcode two sum lc-id-1 lc-id-1 lc-id-1")).alias("tokens"))
+    got = {r["chunk_id"]: r["score"] for r in R.bm25(own, query).collect()}
     assert set(got) == {"c1", "c167"}
-    assert got["c1"][1] == pytest.approx(7.761390, abs=1e-5) and got["c167"][1] == pytest.approx(1.510052, abs=1e-5)
+    assert got["c1"] == pytest.approx(7.761390, abs=1e-5) and got["c167"] == pytest.approx(1.510052, abs=1e-5)
+
+
+def test_fused_ranks(spark):
+    rows = lambda rs: spark.createDataFrame([(1, d, d, r, s) for d, r, s in rs], "query_id int, document_id string, chunk_id string, rank int, score double")
+    fused = R.fuse(rows([("a", 1, 0.9), ("b", 2, 0.8)]), rows([("b", 1, 12.0), ("c", 2, 10.0)])).orderBy("rank").collect()
+    assert [(r["document_id"], r["rrf_score"]) for r in fused] == [("b", round(1 / 62 + 1 / 61, 8)), ("a", round(1 / 61, 8)), ("c", round(1 / 62, 8))]
 
 
 def test_knowledge_tracing(spark):
