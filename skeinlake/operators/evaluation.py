@@ -4,32 +4,93 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skeinlake.sources.tables import running_total
+from skeinlake.sources.tables import running_total, staged
 
-#: Strings that may be looked for at once, and their bytes: they go to every task.
+#: Strings that may be looked for at once by an automaton, and their bytes: they go to every task. More meet the texts by a join.
 MOST_PATTERNS, MOST_BYTES = 1_000_000, 64 << 20
+#: Strings are anchored in windows of a power of two letters, of at most so many.
+WIDEST = 64
 
 
 def holders(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """pattern_id, key: which documents hold which strings (patterns: pattern_id, pattern; a judged suite). One pass with an
-    automaton over each text, however many strings; empty strings are held by none."""
-    import ahocorasick
-
+    """pattern_id, key: which documents hold which strings (patterns: pattern_id, pattern; a judged suite). Up to a bound one pass with an
+    automaton over each text, beyond it a join on anchors; both find the same. Null and empty strings are held by none, null texts hold none."""
     given = patterns.where(F.col("pattern") != "")
     n, size = given.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
-    if n > MOST_PATTERNS or size > MOST_BYTES:
-        raise ValueError(f"{n} patterns of {size} bytes, more than {MOST_PATTERNS} or {MOST_BYTES}: look for them in portions")
+    return joined_holders(docs, given, key, text) if n > MOST_PATTERNS or size > MOST_BYTES else _by_automaton(docs, given, key, text)
+
+
+def anchors(text: str, width: int, piece: int = 1 << 18) -> np.ndarray:
+    """The least hash of the grams of half a window's width in each window of so many letters, sorted, each once. What a text holds has its
+    anchors among the text's; there are none of texts shorter than a window."""
+    q = (width + 1) // 2
+    letters = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    least = [np.zeros(0, np.uint64)]
+    for at in range(0, len(letters) - width + 1, piece):
+        own = letters[at : at + piece + width - 1].astype(np.uint64)
+        h = np.zeros(len(own) - q + 1, np.uint64)
+        for i in range(q):
+            h = h * np.uint64(0x100000001B3) + own[i : len(own) - q + 1 + i]
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        span, grams = 1, width - q + 1
+        while 2 * span <= grams:
+            h, span = np.minimum(h[:-span], h[span:]), 2 * span
+        least.append(np.unique(np.minimum(h[: len(h) - grams + span], h[grams - span :])))
+    return np.unique(np.concatenate(least))
+
+
+def _anchored(rows: DataFrame, carried: str, text: str, widths: Column) -> DataFrame:
+    """carried, width, anchor: the anchors of each row's text in windows of each of the widths."""
+    kind = rows.schema[carried].dataType
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A text and a width at a time: a long text has as many anchors as a batch of others.
+            for i, widths in enumerate(batch.column("__widths").to_pylist()):
+                t = batch.column("__text")[i].as_py()
+                for w in widths:
+                    found = anchors(t, w).view(np.int64)
+                    yield pa.record_batch({carried: batch.column(carried).take(pa.array(np.full(len(found), i))), "width": pa.array(np.full(len(found), w, np.int32)), "anchor": pa.array(found)})
+
+    of_each = rows.select(carried, F.col(text).alias("__text"), widths.alias("__widths"))
+    return of_each.mapInArrow(made, f"{carried} {kind.simpleString()}, width int, anchor long")
+
+
+def joined_holders(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same for any number of strings. Each string is looked up by the one of its anchors that the fewest strings have; texts that have it are then searched for the string itself.
+    Nothing goes to all tasks; a text's copies are one row when anchors meet."""
+    given = patterns.where(F.col("pattern") != "")
+    width = F.least(F.lit(WIDEST), F.pow(F.lit(2), F.length(F.bin(F.length("pattern"))) - 1)).cast("int")
+    once = staged(given.select("pattern").distinct().withColumn("width", width), "patterns")
+    own = staged(_anchored(once, "pattern", "pattern", F.array("width")), "anchors")
+    shared = own.groupBy("width", "anchor").agg(F.count("*").alias("n"))
+    chosen = own.join(shared, ["width", "anchor"]).groupBy("pattern").agg(F.min_by(F.struct("width", "anchor"), F.struct("n", "anchor")).alias("c")).select("pattern", "c.*")
+    rows = docs.select(F.col(key), F.col(text).alias("__held")).where("__held <> ''").withColumn("__hash", F.xxhash64("__held"))
+    widths = [r["width"] for r in once.select("width").distinct().collect()]  # powers of two up to WIDEST
+    if not widths:
+        return _by_automaton(docs, given, key, text)  # of no strings
+    found = _anchored(rows, "__hash", "__held", F.array(*[F.lit(w) for w in widths]))
+    maybe = found.distinct().join(chosen, ["width", "anchor"]).select("__hash", "pattern").distinct()
+    held = rows.join(maybe, "__hash").where(F.contains("__held", "pattern")).select(key, "pattern")
+    return held.join(given.select("pattern_id", "pattern"), "pattern").select("pattern_id", key)
+
+
+def _by_automaton(docs: DataFrame, given: DataFrame, key: str, text: str) -> DataFrame:
+    import ahocorasick
+
+    kind = given.schema["pattern_id"].dataType
     given = given.collect()
     by_text: dict[str, list] = {}
     for r in given:
         by_text.setdefault(r["pattern"], []).append(r["pattern_id"])
     shared = docs.sparkSession.sparkContext.broadcast(by_text)
-    kind = patterns.schema["pattern_id"].dataType
     id_type = to_arrow_type(kind)
     rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skeinlake.operators import evaluation as E
 from skeinlake.operators import retrieval as R
 
-from .registry import Registry, table
+from .registry import Registry, table, texts
 from .retrieval import ASKED_SQL, BM25_SQL, asked, stored, tokens_of
 
 register = Registry()
@@ -98,3 +98,13 @@ def eval_operational_rates(spark, sf_dir):
 SELECT event_type, count(*) AS calls, min(value) AS min, median(value) AS median, max(value) FILTER (i = greatest(1, round_even(n * 0.95, 0)::BIGINT)) AS p95, max(value) AS max FROM p GROUP BY event_type""")
 def latency_percentiles(spark, sf_dir):
     return E.latency(table(spark, sf_dir, "events"), "value", "event_type")
+
+
+@register("WITH p AS (SELECT min(doc_id) AS pattern_id, pattern FROM (SELECT doc_id, substr(text, 1, 20 + doc_id % 90) AS pattern FROM documents WHERE text <> '') GROUP BY pattern) SELECT pattern_id, count(*) AS documents, min(doc_id) AS first FROM p JOIN documents d ON contains(d.text, p.pattern) GROUP BY pattern_id")
+def opening_holders(spark, sf_dir):
+    """Which documents hold the first 20 to 109 letters of each, copies' openings once: how many, and the first of them. There are about as many strings
+    as documents, so they meet by anchors."""
+    docs = texts(spark, sf_dir)
+    begin = F.substr("text", F.lit(1), (20 + F.col("doc_id") % 90).cast("int"))
+    openings = table(spark, sf_dir, "documents").groupBy(begin.alias("pattern")).agg(F.min("doc_id").alias("pattern_id"))
+    return E.joined_holders(docs, openings).groupBy("pattern_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
