@@ -9,9 +9,11 @@ from skeinlake.functions import markdown as M
 from skeinlake.functions import text as T
 from skeinlake.operators import curation as C
 from skeinlake.operators import documents as D
+from skeinlake.operators import folds
 from skeinlake.sources import tables as S
 from skeinlake.sources.commits import Table
 
+from . import sqltext as Q
 from .registry import Registry, table, texts
 
 register = Registry()
@@ -221,3 +223,15 @@ def markdown_bodies(spark, sf_dir):
     link = F.when(k % 2 == 0, F.concat(F.lit("http://talks/"), number)).otherwise("")
     manifest = talks.select("conv_id", F.concat(F.lit("talk "), number).alias("title"), F.create_map(F.lit("turns"), F.col("n").cast("string")).alias("metadata"), link.alias("source_url"), file.alias("markdown_file"))
     return S.with_bodies(manifest, bodies, root).select("conv_id", "content")
+
+
+@register(f"""WITH RECURSIVE e AS (SELECT lang, source, doc_id, {Q.token_estimate("text")} AS tokens, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS i FROM documents),
+b AS (SELECT lang, source, doc_id, i, 0::BIGINT AS batch, 1 AS texts, tokens AS used FROM e WHERE i = 1 UNION ALL
+SELECT lang, source, doc_id, i, batch + ended, CASE WHEN ended = 1 THEN 1 ELSE texts + 1 END, CASE WHEN ended = 1 THEN tokens ELSE used + tokens END
+FROM (SELECT e.*, b.batch, b.texts, b.used, CASE WHEN b.texts >= 12 OR b.used + e.tokens > 4000 THEN 1 ELSE 0 END AS ended FROM b JOIN e ON e.lang = b.lang AND e.source = b.source AND e.i = b.i + 1))
+SELECT lang, source, doc_id, batch FROM b""")
+def token_batches_sql(spark, sf_dir):
+    """Batches of at most 12 texts and 4,000 tokens for each language and source, by a table function in SQL."""
+    folds.register(spark)
+    sized = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return spark.sql("SELECT lang, source, doc_id, batch FROM token_batches(TABLE(SELECT * FROM {sized}) PARTITION BY (lang, source) ORDER BY (doc_id), 12, 4000)", sized=sized)

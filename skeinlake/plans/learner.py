@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skeinlake.operators import folds
 from skeinlake.operators import learner as L
 from skeinlake.operators import retrieval as R
 
@@ -110,3 +111,16 @@ _CONCEPTS_SQL = "list_slice(list_filter([" + ", ".join(f"CASE WHEN {_concept_sql
 def learning_signal_detect(spark, sf_dir):
     s = F.col("s")
     return said(spark, sf_dir, _SAID).select("conv_id", "turn", F.array_join(L.detect_concepts(s), ",").alias("concepts"), L.detect_outcome(s).alias("outcome"), L.detect_difficulty(s).alias("difficulty"))
+
+
+PATH_SQL = f"""st AS (SELECT *, row_number() OVER (PARTITION BY user_id, concept ORDER BY ts, seq) AS i FROM o WHERE outcome <> 'reviewed'),
+mp AS (SELECT user_id, concept, seq, i, {_BKT} AS m FROM (SELECT *, 25e-2 AS m, score AS s FROM st WHERE i = 1) UNION ALL
+SELECT user_id, concept, seq, i, {_BKT} FROM (SELECT st.user_id, st.concept, st.seq, st.i, st.score AS s, mp.m FROM mp JOIN st ON st.user_id = mp.user_id AND st.concept = mp.concept AND st.i = mp.i + 1))"""
+
+
+@register(f"WITH RECURSIVE {OBS_SQL}, {PATH_SQL} SELECT user_id, concept, seq, round(m, 8) AS mastery FROM mp")
+def mastery_path_sql(spark, sf_dir):
+    """Mastery after each observation, by a table function in SQL."""
+    folds.register(spark)
+    seen = observations(spark, sf_dir).where("outcome <> 'reviewed'").withColumn("score", L.lookup(L.SCORES, F.col("outcome")))
+    return spark.sql("SELECT user_id, concept, seq, round(mastery, 8) AS mastery FROM mastery_path(TABLE(SELECT * FROM {seen}) PARTITION BY (user_id, concept) ORDER BY (ts, seq))", seen=seen)
