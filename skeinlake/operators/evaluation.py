@@ -16,6 +16,8 @@ from skeinlake.sources.tables import running_total, staged
 MOST_PATTERNS, MOST_BYTES = 1_000_000, 64 << 20
 #: Strings are anchored in windows of a power of two letters, of at most so many.
 WIDEST = 64
+#: Letters of texts leave their task only where a bit stands for their anchor: this many bits (as a power of two), however many strings.
+MARKS = 26
 
 
 def holders(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,8 +48,18 @@ def anchors(text: str, width: int, piece: int = 1 << 18) -> np.ndarray:
     return np.unique(np.concatenate(least))
 
 
-def _anchored(rows: DataFrame, carried: str, text: str, widths: Column) -> DataFrame:
-    """carried, width, anchor: the anchors of each row's text in windows of each of the widths."""
+def _marks(anchored: DataFrame) -> np.ndarray:
+    """A bit for each anchor by its last digits, as words of 64: at most 2 ** (MARKS - 6) of them come to the driver."""
+    low = F.col("anchor").bitwiseAND(F.lit(2**MARKS - 1))
+    words = anchored.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(2 ** (MARKS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _anchored(rows: DataFrame, carried: str, text: str, widths: Column, marks: np.ndarray | None = None) -> DataFrame:
+    """carried, width, anchor: the anchors of each row's text in windows of each of the widths; those without a mark, if there are marks, are left out."""
+    shared = None if marks is None else rows.sparkSession.sparkContext.broadcast(marks)
     kind = rows.schema[carried].dataType
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +68,13 @@ def _anchored(rows: DataFrame, carried: str, text: str, widths: Column) -> DataF
             for i, widths in enumerate(batch.column("__widths").to_pylist()):
                 t = batch.column("__text")[i].as_py()
                 for w in widths:
-                    found = anchors(t, w).view(np.int64)
+                    found = anchors(t, w)
+                    if shared is not None:
+                        at = found & np.uint64(2**MARKS - 1)
+                        found = found[(shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                    if not len(found):
+                        continue
+                    found = found.view(np.int64)
                     yield pa.record_batch({carried: batch.column(carried).take(pa.array(np.full(len(found), i))), "width": pa.array(np.full(len(found), w, np.int32)), "anchor": pa.array(found)})
 
     of_each = rows.select(carried, F.col(text).alias("__text"), widths.alias("__widths"))
@@ -72,11 +90,12 @@ def joined_holders(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", te
     own = staged(_anchored(once, "pattern", "pattern", F.array("width")), "anchors")
     shared = own.groupBy("width", "anchor").agg(F.count("*").alias("n"))
     chosen = own.join(shared, ["width", "anchor"]).groupBy("pattern").agg(F.min_by(F.struct("width", "anchor"), F.struct("n", "anchor")).alias("c")).select("pattern", "c.*")
+    chosen = staged(chosen, "chosen-anchors")
     rows = docs.select(F.col(key), F.col(text).alias("__held")).where("__held <> ''").withColumn("__hash", F.xxhash64("__held"))
     widths = [r["width"] for r in once.select("width").distinct().collect()]  # powers of two up to WIDEST
     if not widths:
         return _by_automaton(docs, given, key, text)  # of no strings
-    found = _anchored(rows, "__hash", "__held", F.array(*[F.lit(w) for w in widths]))
+    found = _anchored(rows, "__hash", "__held", F.array(*[F.lit(w) for w in widths]), _marks(chosen))
     maybe = found.distinct().join(chosen, ["width", "anchor"]).select("__hash", "pattern").distinct()
     held = rows.join(maybe, "__hash").where(F.contains("__held", "pattern")).select(key, "pattern")
     return held.join(given.select("pattern_id", "pattern"), "pattern").select("pattern_id", key)
