@@ -36,9 +36,9 @@ from .common import slices, staged, texts_sizes
 #: Words of a suffix, and so of the longest phrase.
 MOST = 4
 #: Bytes of text counted at once in the first pass, of packed suffixes in the second, of a row of packed suffixes, and of a bound.
-PORTION, HELD, ROOM, BOUND = 4 << 20, 24 << 20, 8 << 10, 256
+PORTION, HELD, ROOM, BOUND = 2 << 20, 6 << 20, 8 << 10, 256
 #: Documents and suffixes of each from which bounds between ranges are drawn; bytes of suffixes of a range, and ranges at most (beyond, they grow).
-SAMPLE, EACH, RANGE, RANGES = 20_000, 8, 64 << 20, 20_000
+SAMPLE, EACH, RANGE, RANGES = 20_000, 8, 24 << 20, 20_000
 
 _SEPARATOR, _BLANK = lookup(b".,;:!?\n\x0b\x0c\r"), lookup(b" \t")
 _INSIDE = ~(_SEPARATOR | _BLANK)
@@ -225,9 +225,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
     """Counts of prefixes; rows come sorted by (part, lang descending, word descending)."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _portions(batches):
         held.append(batch)
         size += batch.column("rest").nbytes
         if size >= HELD:
@@ -241,6 +239,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield from _closed(pa.Table.from_batches(held), least)
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of `HELD` bytes: a batch has a fixed number of rows, of up to some kilobytes each."""
+    for batch in batches:
+        for a, b in slices(np.asarray(pc.binary_length(batch.column("rest"))), HELD):
+            yield batch.slice(a, b - a)
+
+
 def _keys(table: pa.Table) -> list[np.ndarray]:
     coded = [table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "word")]
     return [table.column("part").to_numpy(), *coded]
