@@ -103,8 +103,8 @@ def latency_percentiles(spark, sf_dir):
 @register("WITH p AS (SELECT min(doc_id) AS pattern_id, pattern FROM (SELECT doc_id, substr(text, 1, 20 + doc_id % 90) AS pattern FROM documents WHERE text <> '') GROUP BY pattern) SELECT pattern_id, count(*) AS documents, min(doc_id) AS first FROM p JOIN documents d ON contains(d.text, p.pattern) GROUP BY pattern_id")
 def opening_holders(spark, sf_dir):
     """Which documents hold the first 20 to 109 letters of each, copies' openings once: how many, and the first of them. There are about as many strings
-    as documents, so they meet by anchors."""
+    as documents, and near copies hold one another's, so they are counted where the texts are."""
     docs = texts(spark, sf_dir)
     begin = F.substr("text", F.lit(1), (20 + F.col("doc_id") % 90).cast("int"))
     openings = table(spark, sf_dir, "documents").groupBy(begin.alias("pattern")).agg(F.min("doc_id").alias("pattern_id"))
-    return E.joined_holders(docs, openings).groupBy("pattern_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+    return E.counted_holders(docs, openings)
