@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -230,6 +232,12 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(normal_form, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def fingerprint_sha256(texts: pd.Series) -> pd.Series:
+    """sha256 of the fingerprint, in one pass over a text: the digits alone come back from Python."""
+    return texts.map(lambda t: hashlib.sha256(normal_form(t).encode()).hexdigest(), na_action="ignore")
+
+
 def suffix(array: Column, n: int) -> Column:
     """The last n elements; all if there are fewer."""
     return F.slice(array, F.greatest(F.size(array) - n + 1, F.lit(1)), n)

@@ -54,12 +54,25 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return only(left, right, "left").unionByName(only(right, left, "right"))
 
 
+def hashed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n (letters), hash (of the normalised text)."""
+    return docs.select(key, F.length(text).alias("n"), T.fingerprint_sha256(F.col(text)).alias("hash"))
+
+
+def copied(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """hash, members, canonical (the longest text's key, the greatest of equals) and its n, of each hash that rows of several keys have."""
+    best = rows.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.count("*").alias("members"), F.min(key).alias("__least"), F.max(key).alias("__most"), F.max(F.struct("n", key)).alias("b"))
+    return best.where(F.col("__least") != F.col("__most")).select("hash", "members", F.col(f"b.{key}").alias("canonical"), "b.n")
+
+
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows that repeat another's normalised text: duplicate, canonical (the longest text's key, the greatest of equals), hash.
 
-    Groups keep one struct each (map-side combined); members meet their group's struct by the hash."""
-    rows = docs.select(key, F.length(text).alias("n"), F.sha2(T.fingerprint(F.col(text)), 256).alias("hash"))
-    best = rows.groupBy("hash").agg(F.count("*").alias("members"), F.max(F.struct("n", key)).alias("b")).where("members > 1").select("hash", F.col(f"b.{key}").alias("canonical"))
+    Texts are read and hashed once. Groups keep one struct each (map-side combined); members meet their group's struct by the hash."""
+    from skeinlake.sources.tables import staged
+
+    rows = staged(hashed(docs, key, text), "hashes")
+    best = copied(rows, key).select("hash", "canonical")
     return rows.join(best, "hash").where(F.col(key) != F.col("canonical")).select(F.col(key).alias("duplicate"), "canonical", "hash")
 
 

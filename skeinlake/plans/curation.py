@@ -9,7 +9,7 @@ from skeinlake.functions import code as K
 from skeinlake.functions import text as T
 from skeinlake.operators import curation as C
 from skeinlake.operators import retrieval as R
-from skeinlake.sources.tables import running_total
+from skeinlake.sources.tables import running_total, staged
 
 from . import sqltext as S
 from .registry import Registry, said, said_sql, table
@@ -69,14 +69,13 @@ def exact_duplicates(spark, sf_dir):
 
 @register(f"WITH {_DUP_SQL} SELECT members, count(*) AS n FROM best GROUP BY members")
 def duplicate_groups_having(spark, sf_dir):
-    keys = table(spark, sf_dir, "documents").groupBy(F.sha2(T.fingerprint(F.col("text")), 256).alias("hash")).agg(F.count("*").alias("members"))
+    keys = C.hashed(table(spark, sf_dir, "documents")).groupBy("hash").agg(F.count("*").alias("members"))
     return keys.where("members > 1").groupBy("members").agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {_DUP_SQL} SELECT DISTINCT canonical, (SELECT length(text) FROM documents WHERE doc_id = canonical) AS n FROM dup")
 def canonical_by_length(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return C.exact_duplicates(docs).select("canonical").distinct().join(docs.select(F.col("doc_id").alias("canonical"), F.length("text").cast("long").alias("n")), "canonical")
+    return C.copied(C.hashed(table(spark, sf_dir, "documents"))).select("canonical", F.col("n").cast("long").alias("n")).distinct()
 
 
 @register("""WITH RECURSIVE a AS (SELECT doc_id AS src, doc_id // 3 AS dst FROM documents WHERE doc_id > 0 AND lang <> 'en'),
@@ -102,11 +101,13 @@ def quality_gate_raw(spark, sf_dir):
 
 @register(f"WITH {_DUP_SQL}, c AS (SELECT d.doc_id, d.text, dup.canonical, sha256(d.text) AS own FROM documents d LEFT JOIN dup ON dup.duplicate = d.doc_id) SELECT c.doc_id, c.canonical, (k.own IS NULL OR k.own = c.own) AS same_text, length(c.text) >= 200 OR c.canonical IS NOT NULL AS long_enough FROM c LEFT JOIN c k ON k.doc_id = c.canonical")
 def quality_gate_processed(spark, sf_dir):
-    """Aliases against their canonical document's hash, in a self join; only documents that stay need the length."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("own"))
-    named = docs.join(C.exact_duplicates(table(spark, sf_dir, "documents")).select(F.col("duplicate").alias("doc_id"), "canonical"), "doc_id", "left")
+    """Aliases against their canonical document's hash, in a self join; only documents that stay need the length. Texts are read once, and
+    only aliases look for another document, so that those without one don't meet in a task."""
+    docs = staged(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), T.fingerprint_sha256(F.col("text")).alias("hash"), F.sha2("text", 256).alias("own")), "gate")
+    best = C.copied(docs).select("hash", "canonical")
+    aliases = docs.join(best, "hash").where("doc_id <> canonical").select("doc_id", "canonical")
     far = docs.select(F.col("doc_id").alias("canonical"), F.col("own").alias("far"))
-    both = named.join(far, "canonical", "left")
+    both = docs.join(aliases.join(far, "canonical", "left"), "doc_id", "left")
     return both.select("doc_id", "canonical", (F.col("far").isNull() | (F.col("far") == F.col("own"))).alias("same_text"), ((F.col("n") >= 200) | F.col("canonical").isNotNull()).alias("long_enough"))
 
 
