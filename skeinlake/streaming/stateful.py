@@ -85,22 +85,26 @@ def stream_progress(events: DataFrame) -> DataFrame:
 
 
 def stream_mastery(observations: DataFrame) -> DataFrame:
-    """The streaming twin of the mastery fold: emits each key's mastery after each batch."""
+    """The streaming twin of the mastery fold: emits each key's mastery after each batch that touches it. A user's concepts are one state, as what a
+    group costs besides its rows is most of the time of small ones."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mastery, n = state.get if state.exists else (PRIOR, 0)
-        for outcome in pd.concat(list(frames)).sort_values(["ts", "seq"])["outcome"]:
-            if outcome == "reviewed":
-                continue
-            s = SCORES[outcome]
-            right = mastery * (1 - SLIP) / max(mastery * (1 - SLIP) + (1 - mastery) * GUESS, 1e-9)
-            wrong = mastery * SLIP / max(mastery * SLIP + (1 - mastery) * (1 - GUESS), 1e-9)
-            blend = s * right + (1 - s) * wrong
-            mastery, n = max(0.01, min(0.995, blend + (1 - blend) * LEARN)), n + 1
-        state.update((mastery, n))
-        yield pd.DataFrame([(key[0], key[1], n, mastery)], columns=["user_id", "concept", "n", "mastery"])
-
-    return observations.groupBy("user_id", "concept").applyInPandasWithState(fold, "user_id long, concept string, n long, mastery double", "mastery double, n long", "append", GroupStateTimeout.NoTimeout)
+        held = {c: (m, n) for c, m, n in zip(*state.get, strict=True)} if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        touched = {}
+        for concept, outcome in zip(rows["concept"].tolist(), rows["outcome"].tolist(), strict=True):
+            mastery, n = held.get(concept, (PRIOR, 0))
+            if outcome != "reviewed":
+                s = SCORES[outcome]
+                right = mastery * (1 - SLIP) / max(mastery * (1 - SLIP) + (1 - mastery) * GUESS, 1e-9)
+                wrong = mastery * SLIP / max(mastery * SLIP + (1 - mastery) * (1 - GUESS), 1e-9)
+                blend = s * right + (1 - s) * wrong
+                mastery, n = max(0.01, min(0.995, blend + (1 - blend) * LEARN)), n + 1
+            held[concept] = touched[concept] = (mastery, n)
+        state.update((list(held), [m for m, _ in held.values()], [n for _, n in held.values()]))
+        yield pd.DataFrame([(key[0], c, n, m) for c, (m, n) in touched.items()], columns=["user_id", "concept", "n", "mastery"])
+
+    return observations.groupBy("user_id").applyInPandasWithState(fold, "user_id long, concept string, n long, mastery double", "concepts array<string>, mastery array<double>, n array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_memory(updates: DataFrame) -> DataFrame:
