@@ -213,15 +213,15 @@ class _Streams(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.active = handle.getValueState("active", "ts timestamp, stream long")
-        self.over = handle.getMapState("over", "stream long", "ended boolean, ts timestamp")  # false: cancelled before it began
+        # One value for all streams of a key, as each call to the store costs more than a row; not ended: cancelled before it began. due: of their timers.
+        self.over = handle.getValueState("over", "streams array<long>, ended array<boolean>, due array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         active = tuple(self.active.get()) if self.active.exists() else None
         frame = pd.concat(list(rows))
         newest = frame["ts"].max()
-        named = {int(s) for s in frame["stream"]} | ({active[1]} if active else set())
-        was = {s: v[0] for s in named if (v := self.over.getValue((s,))) is not None}
-        over, ended = dict(was), []
+        known = self._known()
+        over, ended = {s: done for s, (done, _) in known.items()}, []
 
         def end(stream: int) -> None:
             if not over.get(stream):
@@ -248,20 +248,27 @@ class _Streams(StatefulProcessor):
                 end(stream)
         if active:
             self.active.update(active)
-        changed = {s for s in over if over[s] != was.get(s)}
-        for s in changed:
-            self.over.updateValue((s,), (over[s], newest))
+        changed = {s: (done, _due(newest)) for s, done in over.items() if s not in known or known[s][0] != done}
         if changed:
+            self._keep(known | changed)
             self.handle.registerTimer(_due(newest))
         yield pd.DataFrame([(*key, s) for s in ended], columns=["key", "stream"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         newest = self.active.get()[1] if self.active.exists() else None
-        for k, v in list(self.over.iterator()):
-            if _due(v[1]) <= timerValues.getCurrentWatermarkInMs() and k[0] != newest:
-                self.over.removeKey(k)
+        now = timerValues.getCurrentWatermarkInMs()
+        self._keep({s: v for s, v in self._known().items() if v[1] > now or s == newest})
         return iter(())
 
+    def _known(self) -> dict[int, tuple[bool, int]]:
+        return {s: (done, due) for s, done, due in zip(*self.over.get(), strict=True)} if self.over.exists() else {}
+
+    def _keep(self, over: dict[int, tuple[bool, int]]) -> None:
+        if over:
+            self.over.update((list(over), [done for done, _ in over.values()], [due for _, due in over.values()]))
+        else:
+            self.over.clear()
+
 
 def ended_streams(starts: DataFrame, cancels: DataFrame, late: str = "1 day") -> DataFrame:
     """Of two streams, starts and cancels (key, ts, stream), the streams that are over: key, stream, each once. A newer start of the key replaces the one
