@@ -88,14 +88,16 @@ class Table:
         """A name for what a commit upon base adds; names of later versions are greater."""
         return f"{base.version + 1:012d}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, part: str, kind: str = "rows", bucket: Column | None = None, deal: bool = True) -> list[str]:
+    def write(self, df: DataFrame, part: str, kind: str = "rows", bucket: Column | None = None, deal: bool = True, order: tuple[str, ...] = ()) -> list[str]:
         """Files with the rows of df, each bucket's apart, counted as they are read back; no reader sees them before a commit names them. deal: a
-        task for each bucket; else each task writes what it has."""
+        task for each bucket; else each task writes what it has. order: of the rows in each file."""
         seen = Observation()
         rows = df.withColumn("bucket", F.lit(0) if bucket is None else bucket)
         rows = rows.repartition("bucket") if deal and bucket is not None else rows
         at = f"{self.path}/data/part={part}/kind={kind}"
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("bucket").parquet(at)
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = rows.sortWithinPartitions("bucket", *order) if order else rows  # last, so that the writer doesn't sort once more
+        rows.write.partitionBy("bucket").parquet(at)
         files = self._written(at)
         expected = seen.get["n"]
         got = self.spark.read.schema(df.schema).parquet(*[f"{self.path}/data/{f}" for f in files]).count() if files else 0
