@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.operators import evaluation as E
 from skeinlake.operators import retrieval as R
+from skeinlake.sources.tables import staged
 
 from .registry import Registry, table, texts
 from .retrieval import ASKED_SQL, BM25_SQL, asked, stored, tokens_of
@@ -71,7 +72,7 @@ SELECT g.candidate_k, g.final_k, count(*) AS queries, round(avg(CASE WHEN first
 def eval_candidate_final_grid(spark, sf_dir):
     """Hit and MRR for each (candidates, final) pair, from one reranking."""
     grid = spark.createDataFrame([(5, 1), (5, 3), (5, 5), (20, 3)], "candidate_k int, final_k int")
-    rel = judged(spark, sf_dir)
+    rel = staged(judged(spark, sf_dir), "judged")  # read twice: texts are searched once
     kept = _reranked(spark, sf_dir).join(F.broadcast(grid), F.col("vector_rank") <= F.col("candidate_k"))  # four rows
     placed = R.ranked(kept.drop("rank").withColumn("order", F.col("document_id") * 7919 % 1000), ["candidate_k", "final_k", "case_id"], F.col("order").desc(), F.col("document_id"))
     first = placed.where("rank <= final_k").join(rel, ["case_id", "document_id"]).groupBy("candidate_k", "final_k", "case_id").agg(F.min("rank").alias("first"))

@@ -9,7 +9,7 @@ from skeinlake.functions import text as T
 from skeinlake.operators import retrieval as R
 from skeinlake.operators.answers import Answers
 from skeinlake.operators.postings import Postings, StaleIndex, signature
-from skeinlake.sources.tables import fresh_path
+from skeinlake.sources.tables import fresh_path, staged
 
 from . import sqltext as S
 from .registry import Registry, said, said_sql, table, texts
@@ -254,7 +254,8 @@ def hybrid_with_fallback(spark, sf_dir):
     queries = asked(spark, sf_dir)
     scored = R.bm25(stored(spark, sf_dir), tokens_of(queries)).where("score >= 40")
     found = R.ranked(scored, "query_id", F.col("score").desc(), F.col("chunk_id"), limit=3).select("query_id", "document_id", "score", "rank", F.lit("hybrid").alias("stage"))
-    open_ = queries.join(scored.select("query_id").distinct(), "query_id", "left_anti")
+    found = staged(found, "answered")  # pairs are scored once
+    open_ = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     docs = searched(spark, sf_dir).withColumn("document_id", F.col("document_id").cast("string"))
     rest = R.lexical_ranking(docs, open_, 3).select("query_id", "document_id", "score", "rank", F.lit("lexical").alias("stage"))
     return found.unionByName(rest).withColumn("rank", F.col("rank").cast("long"))
@@ -273,7 +274,8 @@ def rerank_by_provider(spark, sf_dir):
     """A provider that is called with pairs of texts; this one goes by their lengths, and has no score for some."""
     queries = asked(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    found = R.bm25_ranking(stored(spark, sf_dir), tokens_of(queries)).join(queries, "query_id").join(docs, "chunk_id")
+    found = staged(R.bm25_ranking(stored(spark, sf_dir), tokens_of(queries)).join(queries, "query_id"), "candidates")
+    found = found.join(docs, "chunk_id")  # their size is known now: few of them go to the texts
     best = R.reranked(found, lambda pairs: [None if len(t) % 7 == 0 else (len(t) % 997 + len(q)) / 4 for q, t in pairs], 4)
     return best.select("query_id", "document_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
